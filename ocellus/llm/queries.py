@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat
+from ocellus.llm import chat, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_harmonic_packing": packing.op4_harmonic_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
 }
 ORACLE_SQL: dict[str, str] = {
