@@ -15,6 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text handled at once; one larger document is handled alone.
 SLICE_BYTES = 1 << 21
+SLICE_DOCS = 1 << 16
 NULL_ID = -(1 << 63)
 
 #: Words are runs of anything but ASCII white space.
@@ -88,8 +89,9 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + SLICE_DOCS)
+        yield i, j
+        i = j
 
 
 def spans(b: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
