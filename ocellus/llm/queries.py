@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat, packing
+from ocellus.llm import chat, langid, packing, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": secrets.op2_secret_scans,
     "op4_harmonic_packing": packing.op4_harmonic_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_quality_rules": rules.op7_quality_rules,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op10_language_id": langid.op10_language_id,
 }
+#: The others' models, digests of spans and tokenizers cannot be put in SQL.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": chat.OP6_SQL,
 }
