@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat, langid, packing, quality, rules, secrets
+from ocellus.llm import chat, decontaminate, langid, packing, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op4_harmonic_packing": packing.op4_harmonic_packing,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_quality_classifier": quality.op8_quality_classifier,
