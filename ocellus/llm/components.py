@@ -1,0 +1,42 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ocellus.llm._shared import Table
+
+
+def _summary(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> Table:
+    """node and component (smallest node that it reaches) for each node of links (columns u, v; longs).
+
+    Every step pre-aggregates before it shuffles, and a node with very many
+    links is a skewed join key, which Spark splits; rounds grow as the
+    logarithm of the longest path.
+    """
+    edges = Table(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    while (now := _summary(edges.read())) != before:
+        before = now
+        e = edges.read()
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Every edge leads to a smaller node now, so a small star is over one side alone.
+        mid = Table(large)
+        e = mid.read()
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        small = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = Table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges.drop()
+        mid.drop()
+        edges = new
+    e = edges.read()
+    out = Table(e.select(F.col("u").alias("node"), F.col("v").alias("component")))
+    edges.drop()
+    return out

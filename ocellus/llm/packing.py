@@ -16,6 +16,8 @@ repeated pieces; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +36,8 @@ END_ID = 2
 CACHED_WORDS = 300_000
 #: The tokenizer parts these from a letter or digit before them.
 _TAIL = b".,;:!?%&#$*"
+#: What the tokenizer's special strings begin with; it takes them as they stand.
+_SPECIAL = b"<|"
 #: Bytes of text that are looked up together.
 BATCH_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -57,6 +61,10 @@ def cut(n: int, capacity: int = CAPACITY, cut_classes: int = CUT_CLASSES) -> lis
     return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Ids of a text as little-endian 32-bit bytes, looked up word by word.
 
@@ -66,8 +74,13 @@ class WordIds:
 
     def __init__(self, path: str, keep: int = CACHED_WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        # Tasks use the cores already; threads of the tokenizer's own only add to the work.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.plain, self.keep = Tokenizer.from_file(path), Tokenizer.from_file(path), keep
+        # What the normalizers do leaves lower-case ASCII words as they are.
+        self.plain.normalizer = Sequence([])
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -90,17 +103,18 @@ class WordIds:
         for w in [w for w in missing if w in self.old]:
             self.new[w] = self.old[w]
             missing.remove(w)
-        todo = list(missing)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.new[w] = b"".join([x.to_bytes(4, "little") for x in e.ids])
+        plain = [w for w in missing if w.isascii() and w.islower()]
+        for tokenizer, todo in ((self.plain, plain), (self.tokenizer, list(missing.difference(plain)))):
+            for i in range(0, len(todo), 4096):
+                part = todo[i : i + 4096]
+                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                    self.new[w] = _packed(e.ids)
         for w, (stem, tail) in ends.items():
             self.new[w] = self.new[stem] + self.new[tail]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         # The tokenizer lower-cases all but its own special strings.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [(t if _SPECIAL in t else t.lower()).split() for t in texts]
         self.learn(set().union(*split))
         get = self.new.__getitem__
         return [b"".join(map(get, words)) for words in split]

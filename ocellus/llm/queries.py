@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat, decontaminate, langid, packing, quality, rules, secrets
+from ocellus.llm import chat, decontaminate, langid, near_dup, packing, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": secrets.op2_secret_scans,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_minhash_near_dedup": near_dup.op9_minhash_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 #: The others' models, digests of spans and tokenizers cannot be put in SQL.
