@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def _remove_all() -> None:
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Let the files of shuffles that nothing refers to any more go now, not at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Table:
     """A written table: lineage ends here, and a lost executor costs nothing."""
 
@@ -47,6 +54,7 @@ class Table:
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
         _made.append((self.spark, self.path))
+        release(self.spark)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

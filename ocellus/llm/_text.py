@@ -141,6 +141,33 @@ def window_hash(h: np.ndarray, width: int, base: np.uint64 = WINDOW_BASES[0]) ->
     return mix(out ^ U64(width))
 
 
+def sequence_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = WINDOW_BASES[1]) -> np.ndarray:
+    """A 64-bit hash of each range of entries of h (mixed values), the same wherever the range stands."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    p = powers(base, len(h) + 1)
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * p.up[: len(h)], out=total[1:])
+    return mix((total[ends] - total[starts]) * p.down[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def leftmost_least(g: np.ndarray, width: int) -> np.ndarray:
+    """For every width consecutive entries the place of the least, the leftmost of equal ones.
+
+    Values are compared by their high 32 bits, so equal windows have their least at one place.
+    """
+    n = len(g) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    bits = U64(32)
+    low = (g >> bits << bits) | np.arange(len(g), dtype=np.uint64)
+    have = 1
+    while 2 * have <= width:
+        low = np.minimum(low[: len(low) - have], low[have:])
+        have *= 2
+    return (np.minimum(low[:n], low[width - have : width - have + n]) & ((U64(1) << bits) - U64(1))).astype(np.int64)
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
