@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat, decontaminate, langid, near_dup, packing, quality, rules, secrets, substrings
+from ocellus.llm import chat, decontaminate, langid, near_dup, packing, quality, rules, secrets, substrings, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_harmonic_packing": packing.op4_harmonic_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_chat_formatting": chat.op6_chat_formatting,
