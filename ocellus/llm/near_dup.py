@@ -222,12 +222,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found.drop()
         found = components(links.read().unionByName(more.read()))
         more.drop()
-    for t in (rest, links, leaders):
-        t.drop()
     of_class = c.select("s1", "s2", "n", "node").join(found.read(), "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
     every = signed.read().select("k", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     component = F.coalesce("component", "k")
-    return every.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("k") == component).alias("kept"))
+    out = Table(every.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("k") == component).alias("kept")))
+    for t in (signed, classes, leaders, links, rest, found):
+        t.drop()
+    return out.read()
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

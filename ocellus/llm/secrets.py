@@ -211,8 +211,11 @@ def _redact(at: int, ratios: np.ndarray, mark: str):
 
 
 def redact(docs: DataFrame, ratios: np.ndarray, mark: str = MARK) -> DataFrame:
-    """docs with the spans of each text replaced; null texts stay null."""
-    return docs.mapInArrow(_redact(docs.columns.index("text"), ratios, mark), docs.schema)
+    """docs with the spans of each text replaced; null texts stay null, and a column n_chars follows the text."""
+    out = docs.mapInArrow(_redact(docs.columns.index("text"), ratios, mark), docs.schema)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
