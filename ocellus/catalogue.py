@@ -1,15 +1,27 @@
-"""All queries of the reference's own operators, with their SQL."""
+"""All queries of the image, point-cloud and graph operators, with their SQL."""
 
 from __future__ import annotations
 
+import importlib
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from ocellus.plans.registry import Query
 
-def queries():
-    return {}
+MODULES = ("raster_queries", "stereo_queries", "spatial_queries")
 
 
-def oracle_sql():
-    return {}
+def _all():
+    return [importlib.import_module(f"ocellus.plans.{m}").R for m in MODULES]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["disparity_histogram"](spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return {k: q for r in _all() for k, q in r.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: q for r in _all() for k, q in r.sql.items()}
