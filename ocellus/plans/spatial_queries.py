@@ -185,10 +185,10 @@ def _speed(s, d):
     rows = e.select("event_id", (F.col("value") / 200).alias("a"), F.lag(F.col("value") / 200).over(own).alias("b"), (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(own))).cast("double").alias("us"))
     z = F.lit(0.0)
     speed = g.rotation_speed(g.vec(z, z, F.col("b")), g.vec(z, z, F.col("a")), F.col("us") / 1e9)
-    return rows.where("b IS NOT NULL AND us > 0").select("event_id", F.round(g.at(speed, 2), 4).alias("speed"))
+    return rows.where("b IS NOT NULL AND us > 0").select("event_id", (F.round(g.at(speed, 2), 4) + 0.0).alias("speed"))
 
 
-R.add("rotation_speed", _speed, "WITH l AS (SELECT event_id, value / 200 AS a, lag(value / 200) OVER w AS b, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, round((a - b) / (us / 1e9), 4) AS speed FROM l WHERE b IS NOT NULL AND us > 0")
+R.add("rotation_speed", _speed, "WITH l AS (SELECT event_id, value / 200 AS a, lag(value / 200) OVER w AS b, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, round((a - b) / (us / 1e9), 4) + 0.0 AS speed FROM l WHERE b IS NOT NULL AND us > 0")
 _XY = "SELECT CAST(l_suppkey AS BIGINT) AS g, l_quantity AS x1, l_discount * 100 AS x2, l_extendedprice / 1000 AS y FROM lineitem"
 R.add("least_squares", lambda s, d: solve.line_fit(table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))).select("g", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept")), f"WITH q AS ({_XY}) SELECT g, round(regr_slope(y, x1), 5) AS slope, round(regr_intercept(y, x1), 5) AS intercept FROM q GROUP BY g")
 _k = "SELECT event_id, round({0}, 6) AS rho FROM events"
