@@ -82,3 +82,63 @@ def _round_trip(kind, schema, columns):
 R.add("pcd_roundtrip", _round_trip("pcd", "x double, y double, z double, cluster int", lambda: {**{c: F.col(c) for c in "xyz"}, "cluster": F.col("cluster")}), "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS cluster FROM points")
 R.add("las_roundtrip", _round_trip("las", "x double, y double, z double, red int, green int, blue int", lambda: {**{c: F.col(c) for c in "xyz"}, "red": F.col("cluster"), "green": F.col("cluster") * 2, "blue": F.col("cluster") * 3}), "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS red, CAST(cluster * 2 AS INT) AS green, CAST(cluster * 3 AS INT) AS blue FROM points")
 R.add("sdc_roundtrip", _round_trip("sdc", "x double, y double, z double, amplitude int", lambda: {**{c: F.col(c) for c in "xyz"}, "amplitude": F.col("cluster")}), "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS amplitude FROM points")
+
+
+def _ties(s, d):
+    """Points before two cameras, the second turned and moved."""
+    import numpy as np
+    from ocellus.operators.pose import rotation
+
+    r, t = rotation(np.array([0.02, -0.05, 0.01])), np.array([-0.4, 0.1, 0.05])
+    p = points(s, d).select("pt", (F.col("x") / 200).alias("x"), (F.col("y") / 200).alias("y"), (F.col("z") / 200 + 5).alias("z"))
+    moved = [sum((float(r[k, c]) * F.col(n) for c, n in enumerate("xyz")), F.lit(float(t[k]))) for k in range(3)]
+    q = p.select("*", *[m.alias(f"{n}2") for m, n in zip(moved, "xyz", strict=True)])
+    return q.select("pt", "x", "y", "z", F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("z2").alias("bz"), (F.col("x") / F.col("z")).alias("x1"), (F.col("y") / F.col("z")).alias("y1"), (F.col("x2") / F.col("z2")).alias("x2"), (F.col("y2") / F.col("z2")).alias("y2"))
+
+
+def _posed(s, d):
+    from ocellus.operators import pose
+
+    ties = _ties(s, d)
+    r, t = pose.select_pose(ties, pose.essential(ties))
+    return _vector(s, [*r.ravel(), *t])
+
+
+def _rectified(s, d):
+    import numpy as np
+    from ocellus.operators import pose
+
+    a, b = pose.rectify(pose.rotation(np.array([0.02, -0.05, 0.01])), np.array([-0.4, 0.1, 0.05]))
+    return _vector(s, [*a.ravel(), *b.ravel()])
+
+
+def _similar(s, d):
+    from ocellus.operators import pose
+
+    k, r, t = pose.similarity(_ties(s, d).select("x", "y", "z", (2 * F.col("bx") + 1).alias("x2"), (2 * F.col("by")).alias("y2"), (2 * F.col("bz")).alias("z2")))
+    return _vector(s, [k, *r.ravel(), *t])
+
+
+def _pnp(s, d):
+    from ocellus.operators import pose
+
+    v = _ties(s, d).select((F.col("pt") % 10).alias("g"), "x", "y", "z", F.col("x2").alias("u"), F.col("y2").alias("v"))
+    return pose.pnp(v).select("g", *[F.round(F.get("t", F.lit(k)), 4).alias(f"t{k}") for k in range(3)])
+
+
+R.add("essential", _posed)
+R.add("rectify", _rectified)
+R.add("similarity_align", _similar)
+R.add("pnp", _pnp)
+
+
+def _segmented(f):
+    from ocellus.operators import segmentation
+
+    return lambda s, d: f(segmentation, raster(s, d))
+
+
+R.add("min_cut_mask", _segmented(lambda m, x: m.min_cut_masks(x, 25.0, 4.0)))
+R.add("retinex", _segmented(lambda m, x: m.decompose(x.withColumn("value", F.col("value") + 1), 0.3)))
+R.add("shape_from_shading", _segmented(lambda m, x: m.shape_from_shading(x, (0.2, 0.3, 0.93))))
+R.add("checkerboard_corners", _segmented(lambda m, x: m.checkerboard_corners(x, 10.0)))
