@@ -145,12 +145,19 @@ def _packed(p: str = "p", n: str = "n"):
 def repeated_segments(texts: DataFrame, width: int, units) -> tuple[Table, Table]:
     """Segments whose anchor is repeated, and for each distinct one (a, f) its first place and how often it is there."""
     rows = texts.mapInArrow(_emit_segments(width, units), "a long, f long, k long, p int, n int")
-    twice = rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    found = Table(rows.join(twice, "a", "left_semi"))
+    # A written table has an exchange of its own, so that Spark can split what a frequent anchor is joined to.
+    twice = Table(rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"))
+    found = Table(rows.join(twice.read(), "a", "left_semi"))
+    twice.drop()
     firsts = Table(found.read().groupBy("a", "f").agg(F.min(F.struct("k", "p")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")))
     return found, firsts
 
 
+def shared_anchors(firsts: DataFrame) -> Table:
+    """Anchors that stand in different segments."""
+    return Table(firsts.groupBy("a").agg(F.count("*").alias("d")).where("d > 1").select("a"))
+
+
 def later_places(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
     """Rows at a place after the first of their key; a key of very many rows is split by Spark."""
     return rows.join(firsts.where("c > 1").select(*keys, "first"), keys).where(F.struct("k", "p") > F.col("first"))
@@ -160,11 +167,10 @@ def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """k and a list of runs of windows (p << 32 | n) that occur earlier too."""
     found, firsts = repeated_segments(texts, width, words)
     f = firsts.read()
-    shared = f.groupBy("a").agg(F.count("*").alias("d")).where("d > 1").select("a")
-    lists = f.join(shared, "a", "left_semi").select("first.k", "first.p", "n").groupBy("k").agg(F.collect_list(_packed()).alias("listed"))
+    lists = f.join(shared_anchors(f).read(), "a", "left_semi").select("first.k", "first.p", "n").groupBy("k").agg(F.collect_list(_packed()).alias("listed"))
     windows = Table(texts.join(lists, "k").select("k", "text", "listed").mapInArrow(_emit_windows(width), "h1 long, h2 long, k long, p int"))
     w = windows.read()
-    first_windows = w.groupBy("h1", "h2").agg(F.min(F.struct("k", "p")).alias("first"), F.count("*").alias("c"))
+    first_windows = Table(w.groupBy("h1", "h2").agg(F.min(F.struct("k", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")).read()
     whole = later_places(found.read(), ["a", "f"], f).select("k", "p", "n")
     single = later_places(w, ["h1", "h2"], first_windows).select("k", "p", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("k").agg(F.collect_list(_packed()).alias("listed"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
 from ocellus.llm._text import NULL_ID, mix, ranges, runs, slices, utf8
-from ocellus.llm.substrings import _keyed, _packed, _removed, later_places, repeated_segments
+from ocellus.llm.substrings import _keyed, _packed, _removed, later_places, repeated_segments, shared_anchors
 from ocellus.llm.suffix import suffix_order
 
 LENGTH = 100
@@ -131,8 +131,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """k and a list of runs of strings (p << 32 | n) that occur earlier too."""
     found, firsts = repeated_segments(texts, length, byte_units)
     f = firsts.read()
-    shared = f.groupBy("a").agg(F.count("*").alias("d")).where("d > 1").select("a")
-    lists = f.join(shared, "a", "left_semi").groupBy("first.k").agg(F.collect_list(F.struct("a", F.col("first.p").cast("long").alias("p"), F.col("n").cast("long").alias("n"))).alias("listed"))
+    lists = f.join(shared_anchors(f).read(), "a", "left_semi").groupBy("first.k").agg(F.collect_list(F.struct("a", F.col("first.p").cast("long").alias("p"), F.col("n").cast("long").alias("n"))).alias("listed"))
     cut = texts.join(lists, "k").select("k", "text", "listed").mapInArrow(_cut_segments(length), "a long, k long, p long, s binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = Table(cut.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_sort_shards(length), "k long, p long, n long"))
