@@ -114,3 +114,29 @@ def background_mask(frame: DataFrame, background: DataFrame, tolerance: int) ->
     """img, i, j, foreground: the frame's disparity differs from the background's by tolerance or more."""
     b = background.select(*CELL, F.col("disparity").alias("_b"))
     return frame.join(b, CELL).select(*CELL, (F.abs(F.col("disparity") - F.col("_b")) >= tolerance).alias("foreground"))
+
+
+def barycentric(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
+    """img, i, j, disparity: the winner, moved towards the neighbour on either side by the share of the two targets' mix that is nearest to the source, if that lies between them and is nearer than the winner alone. Winners at the range's ends stay."""
+    along = Window.partitionBy("img", "i").orderBy("j")
+    zero = F.transform("t", lambda v: F.lit(0.0))
+    volume = pair.withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(disparities)})
+    volume = volume.withColumns({"ts": F.array(*[F.col(f"_t{d}") for d in range(disparities)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d}")) for d in range(disparities)])})
+    w = winner(volume).withColumns({"a": F.get("ts", F.col("d")), "up": F.get("ts", F.col("d") + 1), "down": F.get("ts", F.col("d") - 1)})
+
+    def against(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+
+    def minus(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda p, q: p - q)
+
+    gap = minus(F.col("s"), F.col("a"))
+    for side in ("up", "down"):
+        step = minus(F.col(side), F.col("a"))
+        w = w.withColumns({f"{side}_p": against(gap, step), f"{side}_q": against(step, step)})
+    for side in ("up", "down"):
+        share = F.try_divide(F.col(f"{side}_p"), F.col(f"{side}_q"))
+        w = w.withColumn(f"{side}_a", F.when((share > 0) & (share < 1), share)).withColumn(f"{side}_g", F.coalesce(F.col(f"{side}_a") * F.col(f"{side}_p"), F.lit(0.0)))
+    inside = (F.col("d") > 0) & (F.col("d") < disparities - 1)
+    moved = F.when(F.round("up_g", 6) >= F.round("down_g", 6), F.coalesce("up_a", F.lit(0.0))).otherwise(-F.coalesce("down_a", F.lit(0.0)))
+    return w.select(*CELL, (F.col("d") + F.when(inside, moved).otherwise(0.0)).alias("disparity"))

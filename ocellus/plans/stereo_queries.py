@@ -131,3 +131,11 @@ def _patch(s, d):
 R.add("refine_patch", _patch, with_(CELLS, around_sql("nb", 1, 1), """q AS (SELECT img, i, j, sum(di * v) AS gy, sum(dj * v) AS gx, sum(di * dj * v) AS xy,
     sum((3 * di * di - 2) * v) AS yy, sum((3 * dj * dj - 2) * v) AS xx FROM nb GROUP BY img, i, j), e AS (SELECT *, 16 * yy * xx - 9 * xy * xy AS det FROM q)""") +
       "SELECT img, i, j, round(CASE WHEN det = 0 THEN 0 ELSE (6 * xy * gx - 8 * xx * gy) / det END, 4) + 0.0 AS dy, round(CASE WHEN det = 0 THEN 0 ELSE (6 * xy * gy - 8 * yy * gx) / det END, 4) + 0.0 AS dx FROM e")
+R.add("refine_barycentric", lambda s, d: v.barycentric(_pair(s, d), vectors.ssd, D).select("img", "i", "j", _r("disparity").alias("disparity")), with_(
+    *PAIR_SQL, VOLUME_SQL.replace("sum(abs(s.v - coalesce(t.v, 0)))", "sum((s.v - coalesce(t.v, 0)) ** 2)"), WIN_SQL,
+    """m AS (SELECT w.img, w.i, w.j, w.d, s.v AS s, coalesce(a.v, 0) AS a, coalesce(u.v, 0) AS u, coalesce(o.v, 0) AS o FROM win w JOIN ns s ON s.img = w.img AND s.i = w.i AND s.j = w.j
+    LEFT JOIN nt a ON a.img = w.img AND a.i = w.i AND a.j = w.j + w.d AND a.di = s.di AND a.dj = s.dj LEFT JOIN nt u ON u.img = w.img AND u.i = w.i AND u.j = w.j + w.d + 1 AND u.di = s.di AND u.dj = s.dj
+    LEFT JOIN nt o ON o.img = w.img AND o.i = w.i AND o.j = w.j + w.d - 1 AND o.di = s.di AND o.dj = s.dj)""",
+    "g AS (SELECT img, i, j, d, sum((s - a) * (u - a)) AS up, sum((u - a) ** 2) AS uq, sum((s - a) * (o - a)) AS op, sum((o - a) ** 2) AS oq FROM m GROUP BY ALL)",
+    "h AS (SELECT *, CASE WHEN up > 0 AND up < uq THEN up / uq END AS ua, CASE WHEN op > 0 AND op < oq THEN op / oq END AS oa FROM g)") + f"""
+SELECT img, i, j, round(d + CASE WHEN d = 0 OR d = {D - 1} THEN 0 WHEN round(coalesce(ua * up, 0), 6) >= round(coalesce(oa * op, 0), 6) THEN coalesce(ua, 0) ELSE -coalesce(oa, 0) END, 6) AS disparity FROM h""")
