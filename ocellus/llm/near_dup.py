@@ -6,12 +6,13 @@ bitmap each (position, sample) flips one bit, so that the population count of
 two sketches' XOR estimates how many samples differ, most precisely where
 similarity is high. Documents of one set are a class with one representative.
 
-Within a band's bucket each class is first held against the smallest one; the
-sketches discard candidates estimated below SKETCH_FLOOR and the full sets of
-the others decide. Where members of a bucket are then still in different
-components, all pairs of such members have their sketches compared, a block of
-members at a time, and the same confirmation follows: no link that a bucket
-holds is lost, and a group of copies costs one comparison for each copy.
+Within a band's bucket each class is held against the smallest one and against
+the one whose sketch is nearest, a block of members at a time; the sketches
+discard candidates estimated below SKETCH_FLOOR and the full sets of the others
+decide. That joins most components. Where members of a bucket are then still in
+different ones, all pairs of such members are compared and confirmed the same
+way: no link between components is lost, and a group of copies, however near
+they are to one another, costs few confirmations for each copy.
 
 A pair at similarity 0.75 shares no bucket with probability 5e-6, and the
 floor lies more than five standard errors below 0.75.
@@ -152,53 +153,59 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long").distinct()
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group (sorted by key) whose sketches are near and components differ."""
-    key, rows = None, []
+def _compare_blocks(best: bool):
+    """Pairs of one group (sorted by key) whose sketches are near and components differ: all, or only each member's nearest."""
 
-    def pairs() -> tuple[np.ndarray, np.ndarray]:
-        node, component, mine, other = (np.concatenate([r[k] for r in rows]) for k in range(4))
-        sketch = np.concatenate([r[4] for r in rows])
-        found = []
+    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        node, component, mine, other, sketch = (np.concatenate([r[k] for r in rows]) for k in range(5))
+        us, vs = [], []
         for i in range(len(node)):
-            ok = (component != component[i]) & ((mine != mine[i]) | (other == mine)) & (node < node[i])
-            at = np.flatnonzero(ok)
-            near = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1) <= MAX_DIFFERING]
-            found.append((np.full(len(near), node[i]), node[near]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-    def emit() -> pa.RecordBatch:
-        u, v = pairs()
-        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
-        data = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7)]
-        sketch = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
-        cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if key is not None and tuple(keys[s]) != key:
-                yield emit()
-                rows = []
-            key = tuple(keys[s])
-            rows.append([x[s:e] for x in data] + [sketch[s:e]])
-    if rows:
-        yield emit()
-
-
-def _rest(buckets: DataFrame, leaders: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates among those that a bucket's smallest member left in different components."""
-    rows = buckets.join(leaders.where("c > 2"), "band").where("node != leader").join(found, "node", "left")
-    rows = rows.select("band", "node", F.coalesce("component", "node").alias("component"))
+            at = np.flatnonzero((component != component[i]) & ((mine != mine[i]) | (other == mine)) & ((node != node[i]) if best else (node < node[i])))
+            if not len(at):
+                continue
+            apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1)
+            near = at[apart <= MAX_DIFFERING]
+            if best and len(near):
+                near = at[[np.lexsort((node[at], apart))[0]]]
+            us.append(np.maximum(node[near], node[i]))
+            vs.append(np.minimum(node[near], node[i]))
+        return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            data = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7)]
+            sketch = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if key is not None and tuple(keys[s]) != key:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows)], names=["u", "v"])
+                    rows = []
+                key = tuple(keys[s])
+                rows.append([x[s:e] for x in data] + [sketch[s:e]])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows)], names=["u", "v"])
+
+    return run
+
+
+def _rest(buckets: DataFrame, leaders: DataFrame, found: DataFrame | None, classes: DataFrame, best: bool) -> DataFrame:
+    """Candidates among those of a bucket that are in different components (None: each is one); its smallest member is held against all anyway."""
+    rows = buckets.join(leaders.where("c > 2"), "band").where("node != leader")
+    if found is None:
+        rows = rows.select("band", "node", F.col("node").alias("component"))
+    else:
+        rows = rows.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
     open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "sketch"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "other", "sketch")
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_compare_blocks, "u long, v long").distinct()
+    return keyed.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_compare_blocks(best), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,21 +219,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = Table(buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1"))
     pairs = buckets.join(leaders.read(), "band").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     sketched = pairs.join(c.select(F.col("node").alias("u"), F.col("sketch").alias("x")), "u").join(c.select(F.col("node").alias("v"), F.col("sketch").alias("y")), "v")
-    near = Table(sketched.where(_differing("x", "y") <= MAX_DIFFERING).select("u", "v"))
+    led = sketched.where(_differing("x", "y") <= MAX_DIFFERING).select("u", "v")
+    near = Table(led.unionByName(_rest(buckets, leaders.read(), None, c, best=True)).distinct())
     links = Table(confirm(near.read(), texts))
     near.drop()
     found = components(links.read())
-    rest = Table(_rest(buckets, leaders.read(), found.read(), c))
+    # All pairs of members that are still apart.
+    rest = Table(_rest(buckets, leaders.read(), found.read(), c, best=False))
     if rest.read().limit(1).count():
         more = Table(confirm(rest.read(), texts))
-        found.drop()
-        found = components(links.read().unionByName(more.read()))
+        if more.read().limit(1).count():
+            found.drop()
+            found = components(links.read().unionByName(more.read()))
         more.drop()
+    rest.drop()
     of_class = c.select("s1", "s2", "n", "node").join(found.read(), "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
     every = signed.read().select("k", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     component = F.coalesce("component", "k")
     out = Table(every.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("k") == component).alias("kept")))
-    for t in (signed, classes, leaders, links, rest, found):
+    for t in (signed, classes, leaders, links, found):
         t.drop()
     return out.read()
 
