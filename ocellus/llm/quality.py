@@ -154,8 +154,9 @@ def train(stats: DataFrame, labels: DataFrame, name: str = "stats", label: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The documents whose score reaches cut, with their own columns."""
-    only, name = with_stats(docs.join(labelled(labels, "quality").select("doc_id"), "doc_id", "left_semi"), ["doc_id"])
-    model = train(only, labels, name)
+    # Counts are small, so they are joined to the labels, and the texts stay where they are.
+    counts, name = with_stats(docs, ["doc_id"])
+    model = train(counts, labels, name)
     made, name = with_stats(docs)
     return made.where(model.column(feature_columns(name)) >= cut).drop(name)
 

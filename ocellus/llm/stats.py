@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ocellus.llm._shared import free_name
@@ -123,6 +122,10 @@ def with_stats(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFram
     """The columns in keep (None: all) and a struct column of COUNTS, whose name is returned too."""
     name = free_name(docs, "stats")
     kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
-    rows = docs.select(*[docs[f"`{f.name}`"] for f in kept], F.coalesce(docs["text"], F.lit("")).alias(free_name(docs, "whole_text")))
+    columns = [docs[f"`{f.name}`"] for f in kept]
+    names = [f.name for f in kept]
+    if "text" not in names:
+        columns.append(docs["text"])
+    at = names.index("text") if "text" in names else len(kept)
     schema = T.StructType([*kept, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
-    return rows.mapInArrow(_run(len(kept), list(range(len(kept))), name), schema), name
+    return docs.select(*columns).mapInArrow(_run(at, list(range(len(kept))), name), schema), name
