@@ -140,3 +140,14 @@ def barycentric(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
     inside = (F.col("d") > 0) & (F.col("d") < disparities - 1)
     moved = F.when(F.round("up_g", 6) >= F.round("down_g", 6), F.coalesce("up_a", F.lit(0.0))).otherwise(-F.coalesce("down_a", F.lit(0.0)))
     return w.select(*CELL, (F.col("d") + F.when(inside, moved).otherwise(0.0)).alias("disparity"))
+
+
+def accuracy(found: DataFrame, truth: DataFrame, within: float) -> DataFrame:
+    """img, n, mae, rmse, snr (decibels) of disparities within a bound of the truth, and the share of such inliers."""
+    t = truth.select(*CELL, F.col("disparity").alias("_t"))
+    e = found.join(t, CELL).withColumn("_e", F.col("disparity") - F.col("_t"))
+    inlier = F.abs("_e") <= within
+    own = [F.avg(F.when(inlier, F.abs("_e"))).alias("mae"), F.sqrt(F.avg(F.when(inlier, F.col("_e") * F.col("_e")))).alias("rmse")]
+    power = F.avg(F.when(inlier, F.col("_t") * F.col("_t")))
+    snr = 10 * F.log10(F.try_divide(power, F.avg(F.when(inlier, F.col("_e") * F.col("_e")))))
+    return e.groupBy("img").agg(F.count_if(inlier).alias("n"), *own, snr.alias("snr"), F.avg(F.when(inlier, 1.0).otherwise(0.0)).alias("share"))

@@ -155,3 +155,13 @@ R.add("threshold_filter", lambda s, d: raster(s, d).where("value > 30"), with_(C
 R.add("weighted_median", lambda s, d: histograms.weighted_median(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("g"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("w"))), """
 WITH c AS (SELECT l_suppkey AS g, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), d AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY v) AS cum, sum(w) OVER (PARTITION BY g) AS tot FROM c)
 SELECT g, min(v) AS median FROM d WHERE 2 * cum > tot GROUP BY g""")
+
+
+def _lens(s, d):
+    from ocellus.functions import filters
+
+    c = raster(s, d)
+    return c.select("img", "i", "j", *[_r(x).alias(n) for n, x in filters.lens_map(F.col("i"), F.col("j"), 50.0, 48, 32, (-0.1, 0.02, 0.0)).items()])
+
+
+R.add("lens_map", _lens, with_(CELLS, "n AS (SELECT img, i, j, (j - 23.5) / 50 AS x, (i - 15.5) / 50 AS y FROM cells)", "k AS (SELECT *, 1 + (x * x + y * y) * (-0.1 + (x * x + y * y) * 0.02) AS k FROM n)") + "SELECT img, i, j, round(y * k * 50 + 15.5, 6) AS si, round(x * k * 50 + 23.5, 6) AS sj FROM k")

@@ -139,3 +139,12 @@ R.add("refine_barycentric", lambda s, d: v.barycentric(_pair(s, d), vectors.ssd,
     "g AS (SELECT img, i, j, d, sum((s - a) * (u - a)) AS up, sum((u - a) ** 2) AS uq, sum((s - a) * (o - a)) AS op, sum((o - a) ** 2) AS oq FROM m GROUP BY ALL)",
     "h AS (SELECT *, CASE WHEN up > 0 AND up < uq THEN up / uq END AS ua, CASE WHEN op > 0 AND op < oq THEN op / oq END AS oa FROM g)") + f"""
 SELECT img, i, j, round(d + CASE WHEN d = 0 OR d = {D - 1} THEN 0 WHEN round(coalesce(ua * up, 0), 6) >= round(coalesce(oa * op, 0), 6) THEN coalesce(ua, 0) ELSE -coalesce(oa, 0) END, 6) AS disparity FROM h""")
+
+
+def _accuracy(s, d):
+    found = v.barycentric(_pair(s, d), vectors.ssd, D)
+    return v.accuracy(found, found.select("img", "i", "j", F.lit(2.0).alias("disparity")), 1.0).select("img", "n", *[F.round(c, 5).alias(c) for c in ("mae", "rmse", "share")])
+
+
+R.add("disparity_accuracy", _accuracy, R.sql["refine_barycentric"].rpartition("\nSELECT")[0] + f""", b AS (SELECT img, d + CASE WHEN d = 0 OR d = {D - 1} THEN 0 WHEN round(coalesce(ua * up, 0), 6) >= round(coalesce(oa * op, 0), 6) THEN coalesce(ua, 0) ELSE -coalesce(oa, 0) END - 2 AS e FROM h)
+SELECT img, count(*) FILTER (WHERE abs(e) <= 1) AS n, round(avg(abs(e)) FILTER (WHERE abs(e) <= 1), 5) AS mae, round(sqrt(avg(e * e) FILTER (WHERE abs(e) <= 1)), 5) AS rmse, round(avg(CASE WHEN abs(e) <= 1 THEN 1.0 ELSE 0.0 END), 5) AS share FROM b GROUP BY img""")
