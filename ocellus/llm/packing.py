@@ -17,29 +17,36 @@ repeated pieces; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
+from ocellus.llm._text import LOWER, PLAIN, ranges, slices, span_hash, spans, utf8
 
 CAPACITY = 4096
 #: Lengths of classes below this are cut to the next class's size.
 CUT_CLASSES = 32
 END_ID = 2
-#: Words whose ids a worker keeps, in each of two generations.
-CACHED_WORDS = 300_000
-#: The tokenizer parts these from a letter or digit before them.
-_TAIL = b".,;:!?%&#$*"
+#: Words whose ids a worker keeps; with one more it begins anew.
+CACHED_WORDS = 2_000_000
+#: The tokenizer parts these from letters before them.
+_TAIL = ".,;:!?%&#$*"
+_IS_TAIL = np.zeros(256, dtype=bool)
+_IS_TAIL[list(_TAIL.encode())] = True
+_IS_WORD = np.zeros(256, dtype=bool)
+_IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_BEYOND_LATIN = "\u0250"
 #: What the tokenizer's special strings begin with; it takes them as they stand.
 _SPECIAL = b"<|"
 #: Bytes of text that are looked up together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -61,15 +68,26 @@ def cut(n: int, capacity: int = CAPACITY, cut_classes: int = CUT_CLASSES) -> lis
     return out
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _without_tails(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with the marks of _TAIL after an ASCII letter or digit as words of their own, as the tokenizer parts them anyway."""
+    if not len(starts):
+        return starts, ends, first
+    last = np.maximum.accumulate(np.where(_IS_TAIL[b], 0, np.arange(len(b), dtype=np.int32)))[ends - 1]
+    split = (last >= starts) & (last < ends - 1) & _IS_WORD[b[last]]
+    size = 1 + split
+    at = np.cumsum(size) - size
+    out_s, out_e = np.repeat(starts, size), np.repeat(ends, size)
+    own = at[split]
+    out_e[own] = out_s[own + 1] = last[split] + 1
+    return out_s, out_e, np.append(at, len(out_s))[first]
 
 
 class WordIds:
-    """Ids of a text as little-endian 32-bit bytes, looked up word by word.
+    """Ids of texts, looked up word by word.
 
     The tokenizer never joins what ASCII white space parts, so a text's ids are
-    its words' ids in a row.
+    its words' ids in a row. Words are known by 64-bit hashes in sorted arrays:
+    among a million words two share one with probability 3e-8.
     """
 
     def __init__(self, path: str, keep: int = CACHED_WORDS):
@@ -81,73 +99,106 @@ class WordIds:
         self.tokenizer, self.plain, self.keep = Tokenizer.from_file(path), Tokenizer.from_file(path), keep
         # What the normalizers do leaves lower-case ASCII words as they are.
         self.plain.normalizer = Sequence([])
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.new) > self.keep:
-            self.new, self.old = {}, self.new
-        ends: dict[bytes, tuple[bytes, bytes]] = {}
-        missing = set()
-        for w in words.difference(self.new):
-            if (ids := self.old.get(w)) is not None:
-                self.new[w] = ids
-                continue
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, keys)
+        inside = np.minimum(at, max(len(self.known) - 1, 0))
+        return at, (at < len(self.known)) & (self.known[inside] == keys) if len(self.known) else np.zeros(len(keys), dtype=bool)
+
+    def _joined(self, tokenizer, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of known numbers of pieces, encoded as one text, and how many each has; None if the numbers don't hold."""
+        ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
+        done = np.cumsum(self.last[ids])
+        if not len(ids) or done[-1] != pieces.sum():
+            return None
+        return ids, np.diff(np.searchsorted(done, np.cumsum(pieces)) + 1, prepend=0)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """keys: sorted, and none of them known."""
+        said = [w.decode() for w in words]
+        # Letters are one piece, and the marks of _TAIL after them are another; each piece's last id is marked as such.
+        pieces = np.zeros(len(words), dtype=np.int64)
+        for k, w in enumerate(said):
             stem = w.rstrip(_TAIL)
-            if len(stem) < len(w) and stem[-1:].isalnum():
-                ends[w] = stem, w[len(stem) :]
-                missing.update(ends[w])
-            else:
-                missing.add(w)
-        missing.difference_update(self.new)
-        for w in [w for w in missing if w in self.old]:
-            self.new[w] = self.old[w]
-            missing.remove(w)
-        plain = [w for w in missing if w.isascii() and w.islower()]
-        for tokenizer, todo in ((self.plain, plain), (self.tokenizer, list(missing.difference(plain)))):
-            for i in range(0, len(todo), 4096):
-                part = todo[i : i + 4096]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.new[w] = _packed(e.ids)
-        for w, (stem, tail) in ends.items():
-            self.new[w] = self.new[stem] + self.new[tail]
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        # The tokenizer lower-cases all but its own special strings.
-        split = [(t if _SPECIAL in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            if stem.isalpha() and max(stem) < _BEYOND_LATIN:
+                pieces[k] = 1 + (len(stem) < len(w))
+        easy = np.array([w.isascii() and w == w.lower() for w in words], dtype=bool)
+        at, size, parts, total = np.zeros(len(words), np.int64), np.full(len(words), -1), [self.ids], len(self.ids)
+
+        def put(places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal total
+            at[places], size[places] = total + np.cumsum(sizes) - sizes, sizes
+            parts.append(ids)
+            total += len(ids)
+
+        for tokenizer, own in ((self.plain, easy & (pieces > 0)), (self.tokenizer, ~easy & (pieces > 0))):
+            places = np.flatnonzero(own)
+            for i in range(0, len(places), 4096):
+                part = places[i : i + 4096]
+                if (got := self._joined(tokenizer, [said[k] for k in part], pieces[part])) is not None:
+                    put(part, *got)
+        rest = np.flatnonzero(size < 0)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([said[k] for k in part], add_special_tokens=False)]
+            put(part, np.array(list(chain.from_iterable(found)), dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64))
+        self.ids = np.concatenate(parts)
+        place = np.searchsorted(self.known, keys)
+        self.known, self.at, self.size = np.insert(self.known, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+
+    def of(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the documents of a byte buffer, in a row, and where each document's begin."""
+        low = LOWER[b]
+        if b.tobytes().find(_SPECIAL) >= 0:  # the tokenizer lower-cases all but its own special strings
+            low = b
+        starts, ends, first = _without_tails(low, *spans(low, off, PLAIN))
+        keys, where, inverse = np.unique(span_hash(low, starts, ends), return_index=True, return_inverse=True)
+        _, have = self._places(keys)
+        if len(self.known) + np.count_nonzero(~have) > self.keep:
+            self.forget()
+            have[:] = False
+        new = np.flatnonzero(~have)
+        if len(new):
+            raw = low.tobytes()
+            self._learn(keys[new], [raw[s:e] for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        at = self._places(keys)[0][inverse]
+        size = self.size[at]
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.ids[ranges(self.at[at], size)], total[first]
 
 
 _ids: dict[str, WordIds] = {}
 
 
 def _pieces(tokenizer: str, capacity: int, cut_classes: int, end_id: int, with_ids: bool):
-    end = end_id.to_bytes(4, "little")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ids:
             _ids[tokenizer] = WordIds(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            i = 0
-            while i < len(doc_ids):
-                part, size, first = [], 0, i
-                while i < len(doc_ids) and (size < BATCH_BYTES or not part):
-                    part.append(texts[i].as_py() or b"")
-                    size += len(part[-1])
-                    i += 1
-                rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[first:i], _ids[tokenizer].of(part), strict=True):
-                    ids, at = ids + end, 0
-                    n = len(ids) // 4
+            doc_ids = batch.column(0).to_pylist()
+            b, off = utf8(batch.column(1))
+            for i, j in slices(off, BATCH_BYTES):
+                found, first = _ids[tokenizer].of(b[off[i] : off[j]], off[i : j + 1] - off[i])
+                found = np.insert(found, first[1:], end_id).astype("<u4")
+                ends = (first[1:] + np.arange(1, j - i + 1)).tolist()
+                raw, begin, rows = found.tobytes(), 0, []
+                for doc_id, end in zip(doc_ids[i:j], ends, strict=True):
+                    n, at = end - begin, 0
                     for length in cut(n, capacity, cut_classes):
-                        own = ids[4 * at : 4 * (at + length)]
+                        own = raw[4 * (begin + at) : 4 * (begin + at + length)]
                         rows.append((doc_id, at, length, zlib.crc32(own), n, own) if with_ids else (doc_id, at, length, zlib.crc32(own), n))
                         at += length
-                kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+                    begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
