@@ -249,7 +249,7 @@ def circle_descriptors(cells: DataFrame, points: DataFrame, levels: tuple[int, .
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"img": [], "i": [], "j": [], "f": []})
+            return pd.DataFrame({"img": [], "i": [], "j": [], "f": pd.Series([], dtype=object)})
         x = np.pad(image(left), len(levels) + 2)
         rows = []
         for p in right.itertuples():
