@@ -15,7 +15,7 @@ way: no link between components is lost, and a group of copies, however near
 they are to one another, costs few confirmations for each copy.
 
 A pair at similarity 0.75 shares no bucket with probability 5e-6, and the
-floor lies more than five standard errors below 0.75.
+floor lies 4.8 standard errors below 0.75.
 
 Cases: a null or empty text has an empty set and is linked with nothing; a
 document of fewer than five words has its whole sequence as one shingle; a null
@@ -34,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
-from ocellus.llm._text import LOWER, NULL_ID, PLAIN, U64, mix, slices, span_hash, spans, utf8, window_hash
+from ocellus.llm._text import LOWER, NULL_ID, PLAIN, U64, give_back, mix, slices, span_hash, spans, utf8, window_hash
 from ocellus.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
-HASHES = ROWS * BANDS
-SKETCH_BITS, SKETCH_FLOOR = 512, 0.55
+#: Samples of a sketch; the bands are made of the first of them.
+HASHES = 192
+SKETCH_BITS, SKETCH_FLOOR = 768, 0.6
 #: Members of a bucket whose sketches are compared at once.
 BLOCK = 1024
 
@@ -81,7 +82,7 @@ def signatures(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     keyed = mix(samples.astype(np.uint64) | (np.arange(HASHES, dtype=np.uint64) << U64(32)))
     bands = np.zeros((len(samples), BANDS), dtype=np.uint64)
     for r in range(ROWS):
-        bands = mix(bands ^ keyed[:, r::ROWS])
+        bands = mix(bands ^ keyed[:, r : ROWS * BANDS : ROWS])
     bits = (keyed % U64(SKETCH_BITS)).astype(np.int64)
     flips = np.zeros((len(samples), SKETCH_BITS), dtype=np.uint8)
     np.add.at(flips, (np.arange(len(samples))[:, None], bits), 1)
@@ -117,6 +118,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, sketch)]
             arrays = [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *[pa.array(s.view(np.int64)) for s in sums], *lists]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+    give_back()
 
 
 def _differing(a: str, b: str) -> Column:
@@ -154,10 +156,13 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _compare_blocks(best: bool):
-    """Pairs of one group (sorted by key) whose sketches are near and components differ: all, or only each member's nearest."""
+    """Pairs of one group (sorted by key) whose sketches are near and components differ: each member's nearest, or all.
 
-    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        node, component, mine, other, sketch = (np.concatenate([r[k] for r in rows]) for k in range(5))
+    Of all pairs, one that shares several bands comes from the first of them alone.
+    """
+
+    def pairs(band: int, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        node, component, mine, other, sketch, bands = (np.concatenate([r[k] for r in rows]) for k in range(6))
         us, vs = [], []
         for i in range(len(node)):
             at = np.flatnonzero((component != component[i]) & ((mine != mine[i]) | (other == mine)) & ((node != node[i]) if best else (node < node[i])))
@@ -167,6 +172,8 @@ def _compare_blocks(best: bool):
             near = at[apart <= MAX_DIFFERING]
             if best and len(near):
                 near = at[[np.lexsort((node[at], apart))[0]]]
+            elif len(near):
+                near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == band]
             us.append(np.maximum(node[near], node[i]))
             vs.append(np.minimum(node[near], node[i]))
         return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
@@ -178,16 +185,16 @@ def _compare_blocks(best: bool):
                 continue
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
             data = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7)]
-            sketch = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            lists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) for k in (7, 8)]
             cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if key is not None and tuple(keys[s]) != key:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows)], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(key[0], rows)], names=["u", "v"])
                     rows = []
                 key = tuple(keys[s])
-                rows.append([x[s:e] for x in data] + [sketch[s:e]])
+                rows.append([x[s:e] for x in (*data, *lists)])
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(key[0], rows)], names=["u", "v"])
 
     return run
 
@@ -200,10 +207,10 @@ def _rest(buckets: DataFrame, leaders: DataFrame, found: DataFrame | None, class
     else:
         rows = rows.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "sketch"), "node")
+    open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "sketch", "bands"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "other", "sketch")
+    keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "other", "sketch", "bands")
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_compare_blocks(best), "u long, v long").distinct()
 
@@ -224,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = Table(confirm(near.read(), texts))
     near.drop()
     found = components(links.read())
-    # All pairs of members that are still apart.
+    # All pairs of members that are still apart; a pair with the smallest member of a shared bucket was held against it.
     rest = Table(_rest(buckets, leaders.read(), found.read(), c, best=False))
     if rest.read().limit(1).count():
         more = Table(confirm(rest.read(), texts))
