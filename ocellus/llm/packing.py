@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
-from ocellus.llm._text import LOWER, PLAIN, ranges, slices, span_hash, spans, utf8
+from ocellus.llm._text import LOWER, PLAIN, give_back, ranges, slices, span_hash, spans, utf8
 
 CAPACITY = 4096
 #: Lengths of classes below this are cut to the next class's size.
@@ -200,6 +200,7 @@ def _pieces(tokenizer: str, capacity: int, cut_classes: int, end_id: int, with_i
                         at += length
                     begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        give_back()
 
     return run
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ocellus.llm._shared import free_name
-from ocellus.llm._text import PLAIN, U64, mix, slices, span_hash, spans, utf8, window_hash
+from ocellus.llm._text import PLAIN, U64, give_back, mix, slices, span_hash, spans, utf8, window_hash
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -114,6 +114,7 @@ def _run(at: int, keep: list[int], name: str):
                 stats = pa.StructArray.from_arrays([pa.array(made[c].astype(np.int64)) for c in COUNTS], fields=list(kind))
                 names = [batch.schema.names[k] for k in keep] + [name]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in keep] + [stats], names=names)
+        give_back()
 
     return run
 
