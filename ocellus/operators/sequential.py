@@ -308,19 +308,57 @@ def rasterise_lines(lines: DataFrame) -> DataFrame:
     return lines.select("line", "i0", "j0", "i1", "j1").mapInPandas(run, "line long, i int, j int")
 
 
-def mean_shift(points: DataFrame, columns: list[str], radius: float, steps: int = 30, tol: float = 1e-3) -> DataFrame:
-    """Points moved to the mean of those within radius until none moves more than tol, by grid-keyed joins; one written step a round."""
+def shifted_means(points: np.ndarray, places: np.ndarray, radius: float) -> np.ndarray:
+    """Means of the points (sorted along x) within radius of each place, block by block of places; a place without any stays."""
+    out, block = places.copy(), np.floor(places / (radius / 2))
+    order = np.lexsort(block.T)
+    for own in np.split(order, np.flatnonzero((np.diff(block[order], axis=0) != 0).any(axis=1)) + 1):
+        low, high = places[own].min(axis=0) - radius * (1 + 1e-9), places[own].max(axis=0) + radius * (1 + 1e-9)
+        near = points[np.searchsorted(points[:, 0], low[0]) : np.searchsorted(points[:, 0], high[0], "right")]
+        near = near[((near >= low) & (near <= high)).all(axis=1)]
+        for some in np.split(own, range(0, len(own), max(1, 500_000 // max(len(near), 1)))[1:]):
+            inside = (sum((places[some, None, c] - near[None, :, c]) ** 2 for c in range(places.shape[1])) <= radius * radius).astype(float)
+            n = inside.sum(axis=1)
+            out[some[n > 0]] = (inside @ near)[n > 0] / n[n > 0, None]
+    return out
+
+
+def mean_shift(points: DataFrame, columns: list[str], radius: float, tol: float = 1e-3) -> DataFrame:
+    """Points moved to the mean of those within radius, each until its own step is no longer than tol, however many that takes.
+
+    A tile holds the points that its places can need; places move there until they are done or have left it by more than a
+    margin, and the latter go on in the tile that they came to. One written step for each such change, not for each move.
+    """
     from ocellus.operators.iteration import Step
-    from ocellus.operators.spatial import within
+    from ocellus.operators.spatial import _cell
 
-    base = points.select("pt", *[F.col(c).alias(n) for c, n in zip(columns, "xyz", strict=True)])
-    now = Step(base)
-    for _ in range(steps):
-        near = within(base, now.read(), radius).groupBy("q.pt").agg(*[F.avg(f"p.{c}").alias(c) for c in "xyz"], F.max(F.struct(*[F.col(f"q.{c}").alias(c) for c in "xyz"])).alias("old"))
-        moved = F.sqrt(sum(((F.col(c) - F.col(f"old.{c}")) * (F.col(c) - F.col(f"old.{c}")) for c in "xyz"), F.lit(0.0)))
-        new = Step(near.select("pt", *"xyz", moved.alias("moved")))
-        most = new.read().agg(F.max("moved")).first()[0]
-        now = Step(new.read().drop("moved"))
-        if most is None or most < tol:
-            break
-    return now.read()
+    side, margin = 2 * radius, radius / 2
+    reach, keys = (radius + margin) * (1 + 1e-9), ["_x", "_y", "_z"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at, p = left[list("xyz")].to_numpy(dtype=float, copy=True), right[list("xyz")].to_numpy(dtype=float)
+        done = np.zeros(len(at), dtype=bool)
+        if len(at):
+            p, tile = p[np.argsort(p[:, 0])], left[keys].iloc[0].to_numpy(dtype=float)
+            low, high = tile * side - margin, (tile + 1) * side + margin
+            live = np.arange(len(at))
+            while len(live):
+                new = shifted_means(p, at[live], radius)
+                moved = np.sqrt(((new - at[live]) ** 2).sum(axis=1))
+                at[live], done[live] = new, moved <= tol
+                live = live[(moved > tol) & ((new >= low) & (new <= high)).all(axis=1)]
+        return pd.DataFrame({"pt": left["pt"], "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "done": done})
+
+    base = Step(points.select("pt", *[F.col(c).cast("double").alias(n) for c, n in zip(columns, "xyz", strict=True)]).dropna(subset=list("xyz")))
+    tiled = base.read()
+    for c in "xyz":
+        tiled = tiled.withColumn(f"_{c}", F.explode(F.sequence(_cell(F.col(c) - reach, side), _cell(F.col(c) + reach, side))))
+    left, found = base.read(), None
+    while not left.isEmpty():
+        asked = left.withColumns({f"_{c}": _cell(F.col(c), side) for c in "xyz"})
+        near = tiled.join(asked.select(*keys).distinct(), keys, "left_semi")
+        moved = Step(asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, f"pt {dict(base.read().dtypes)['pt']}, x double, y double, z double, done boolean"))
+        ended = moved.read().where("done").drop("done")
+        found = ended if found is None else found.unionByName(ended)
+        left = moved.read().where("NOT done").drop("done")
+    return base.read() if found is None else found

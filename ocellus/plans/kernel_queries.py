@@ -24,7 +24,7 @@ R.add("circle_descriptor", lambda s, d: q.circle_descriptors(raster(s, d), raste
 _PAIRS = [(a, b, b, -a) for a in range(-3, 4) for b in range(-3, 4) if (a, b) != (0, 0)][:40]
 R.add("brief", lambda s, d: q.brief(raster(s, d), raster(s, d).where(_KEYS), _PAIRS).select("img", "i", "j", F.get("words", F.lit(0)).alias("w0"), F.get("words", F.lit(1)).alias("w1")))
 R.add("line_pixels", lambda s, d: q.rasterise_lines(table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("line"), F.lit(0).alias("i0"), F.col("n_regionkey").cast("int").alias("j0"), F.col("n_nationkey").cast("int").alias("i1"), F.lit(9).alias("j1"))))
-R.add("mean_shift", lambda s, d: q.mean_shift(points(s, d), ["x", "y", "z"], 80.0, steps=8).select("pt", *[F.round(c, 3).alias(c) for c in "xyz"]))
+R.add("mean_shift", lambda s, d: q.mean_shift(points(s, d), ["x", "y", "z"], 80.0).select("pt", *[F.round(c, 3).alias(c) for c in "xyz"]))
 
 
 def _lines(s, d):

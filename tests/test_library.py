@@ -92,6 +92,21 @@ def test_nearest(spark):
     assert {r.pt: r.nearest for r in spatial.nearest(df, df, 5.0, 200.0).collect()} == dict(enumerate(d.argmin(axis=1).tolist()))
 
 
+def test_mean_shift_goes_on_until_no_place_moves(spark):
+    p = np.zeros((300, 3))
+    p[:, 0] = np.sort(np.round(np.random.default_rng(8).random(300) ** 0.6 * 400))
+    want, live, rounds = p.copy(), np.arange(300), 0
+    while len(live):
+        near = ((want[live, None] - p[None]) ** 2).sum(axis=2) <= 40 * 40
+        new = near @ p / near.sum(axis=1)[:, None]
+        moved, want[live], rounds = np.sqrt(((new - want[live]) ** 2).sum(axis=1)), new, rounds + 1
+        live = live[moved > 1e-3]
+    assert rounds > 30
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(p)], "pt long, x double, y double, z double")
+    got = {r.pt: [r.x, r.y, r.z] for r in sequential.mean_shift(df, ["x", "y", "z"], 40.0).collect()}
+    assert np.allclose([got[k] for k in range(300)], want, atol=1e-6)
+
+
 def test_flow_and_components(spark):
     edges = [(-1, 1, 3.0), (-1, 2, 2.0), (1, 2, 1.0), (1, -2, 2.0), (2, -2, 3.0)]
     assert graphs.flow(edges, -1, -2)[0] == 5.0
