@@ -142,13 +142,42 @@ def detrend(points: DataFrame, tile: float) -> DataFrame:
     return points.join(ground, "pt").select("pt", (F.col("z") - F.col("_g")).alias("height"))
 
 
+def _rim(known: DataFrame) -> DataFrame:
+    """Known cells that lack a known one beside them; no other can be nearest to an unknown cell."""
+    from pyspark.sql import Window
+
+    full = F.lit(True)
+    for line, along in (("i", "j"), ("j", "i")):
+        own = Window.partitionBy("img", line).orderBy(along)
+        full = full & F.coalesce((F.lag(along).over(own) == F.col(along) - 1) & (F.lead(along).over(own) == F.col(along) + 1), F.lit(False))
+    return known.withColumn("_full", full).where("NOT _full").drop("_full")
+
+
 def inpaint_nearest(cells: DataFrame, reach: int) -> DataFrame:
-    """Unknown cells (null value) take the nearest known one's value within reach; ties to the least (i, j)."""
+    """Unknown cells (null value) take the nearest known one's value; ties to the least (i, j). Null only in an image without known cells.
+
+    Windows of reach are searched first; what may have a nearer cell outside them is searched in grids of growing size until none is left.
+    """
+    from ocellus.operators.iteration import Step
+
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
-    asked = cells.where("value IS NULL").select("img", "i", "j", steps.alias("_s")).select("img", "i", "j", (F.col("i") + F.col("_s.a")).alias("ki"), (F.col("j") + F.col("_s.b")).alias("kj"), (F.col("_s.a") * F.col("_s.a") + F.col("_s.b") * F.col("_s.b")).alias("d2"))
-    known = cells.where("value IS NOT NULL").select("img", F.col("i").alias("ki"), F.col("j").alias("kj"), "value")
-    filled = asked.join(known, ["img", "ki", "kj"]).groupBy("img", "i", "j").agg(F.min_by("value", F.struct("d2", "ki", "kj")).alias("_v"))
-    return cells.join(filled, ["img", "i", "j"], "left").select("img", "i", "j", F.coalesce("value", "_v").alias("value"))
+    unknown, known = cells.where("value IS NULL").select("img", "i", "j"), cells.where("value IS NOT NULL").select("img", F.col("i").alias("ki"), F.col("j").alias("kj"), "value")
+    best = F.min(F.struct(((F.col("ki") - F.col("i")) * (F.col("ki") - F.col("i")) + (F.col("kj") - F.col("j")) * (F.col("kj") - F.col("j"))).cast("bigint").alias("d2"), "ki", "kj", "value")).alias("m")
+    asked = unknown.select("img", "i", "j", steps.alias("_s")).select("img", "i", "j", (F.col("i") + F.col("_s.a")).alias("ki"), (F.col("j") + F.col("_s.b")).alias("kj"))
+    near = asked.join(known, ["img", "ki", "kj"]).groupBy("img", "i", "j").agg(best).where(F.col("m.d2") < (reach + 1) * (reach + 1))
+    found = near.select("img", "i", "j", F.col("m.value").alias("_v"))
+    left = Step(unknown.join(found, ["img", "i", "j"], "left_anti").join(known.select("img").distinct(), "img", "left_semi")).read()
+    size, rim = 2 * (reach + 1), None
+    while not left.isEmpty():
+        rim = rim or Step(_rim(cells.where("value IS NOT NULL").select("img", "i", "j", "value")).withColumnsRenamed({"i": "ki", "j": "kj"}))
+        around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        asked = left.withColumn("_s", around).select("img", "i", "j", (_cell(F.col("i"), size) + F.col("_s.a")).alias("_i"), (_cell(F.col("j"), size) + F.col("_s.b")).alias("_j"))
+        keyed = rim.read().withColumns({"_i": _cell(F.col("ki"), size), "_j": _cell(F.col("kj"), size)})
+        near = Step(asked.join(keyed, ["img", "_i", "_j"]).groupBy("img", "i", "j").agg(best).where(F.col("m.d2") <= size * size).select("img", "i", "j", F.col("m.value").alias("_v"))).read()
+        found = found.unionByName(near)
+        left = Step(left.join(near, ["img", "i", "j"], "left_anti")).read()
+        size *= 2
+    return cells.join(found, ["img", "i", "j"], "left").select("img", "i", "j", F.coalesce("value", "_v").alias("value"))
 
 
 def covering(disparities: DataFrame, share: float) -> DataFrame:

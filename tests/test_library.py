@@ -85,6 +85,21 @@ def test_nearest_inpainting_and_diffusion(spark, x):
     assert not np.isnan(smooth).any()
 
 
+def test_nearest_inpainting_of_a_hole_wider_than_the_reach(spark):
+    h = np.random.default_rng(9).random((30, 41))
+    h[2:29, 3:40] = np.nan
+    h[12, 20] = 5.0
+    at = np.argwhere(~np.isnan(h))
+    want = h.copy()
+    for i, j in np.argwhere(np.isnan(h)):
+        want[i, j] = h[tuple(at[((at - (i, j)) ** 2).sum(axis=1).argmin()])]
+    both = cells(spark, h).unionByName(cells(spark, np.full((2, 2), np.nan), 1))
+    for reach in (1, 3):
+        got = spatial.inpaint_nearest(both, reach)
+        assert np.array_equal(as_array(got.where("img = 0")), want)
+        assert got.where("img = 1 AND value IS NULL").count() == 4
+
+
 def test_nearest(spark):
     p = np.random.default_rng(4).random((60, 3)) * 100
     df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(p)], "pt long, x double, y double, z double")
