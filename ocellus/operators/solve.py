@@ -129,7 +129,7 @@ def lmeds_lines(rows: DataFrame, trials: int, seed: int = 7) -> DataFrame:
     slope = F.try_divide(F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x"))
     lines = two.select("g", "trial", slope.alias("slope"), (F.col("p.y") - slope * F.col("p.x")).alias("intercept")).where("slope IS NOT NULL")
     e = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
-    score = dealt.join(lines, ["g", "trial"]).groupBy("g", "trial", "slope", "intercept").agg(F.percentile_approx(e * e, 0.5, 10000).alias("median"))
+    score = dealt.join(lines, ["g", "trial"]).withColumn("e2", e * e).groupBy("g", "trial", "slope", "intercept").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY e2)").alias("median"))
     best = F.min_by(F.struct("slope", "intercept", "median"), F.struct("median", "trial"))
     return score.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 

@@ -141,6 +141,14 @@ def test_assignment_is_the_cheapest():
         assert got == want
 
 
+def test_lmeds_median_is_exact_in_a_large_group(spark):
+    x, y = np.random.default_rng(10).random((2, 60001))
+    df = spark.createDataFrame([(0, float(a), float(b)) for a, b in zip(x, y, strict=True)], "g int, x double, y double")
+    best = solve.lmeds_lines(df, 3).first()
+    want = np.sort((y - best.slope * x - best.intercept) ** 2)[30000]
+    assert np.isclose(best.median, want, rtol=1e-12, atol=0)
+
+
 def test_l1_is_no_worse_than_least_squares():
     rng = np.random.default_rng(6)
     a = np.stack([rng.random(30), np.ones(30)], axis=1)
