@@ -1,30 +1,32 @@
 """Removal of word windows that occur earlier, by level-wise doubling.
 
-The first level looks at windows of half the wanted length, and of those only
-at anchors: in each wanted window the half-length window of least hash. Equal
-windows have equal anchors, so a window whose anchor occurs once occurs once.
-Windows around repeated anchors are extended to twice the length, the wanted
-one. There, all windows of one anchor are a segment; segments of equal words
-repeat as a whole, and only where an anchor stands in different segments are
-single windows compared. Longer levels would only look at windows that this
-one has settled, so doubling stops: no window that is removed or kept would
-change.
+The first level looks at windows of a quarter of the wanted length, and of those
+only at anchors: in each wanted window the short window of least hash. Equal
+windows have equal anchors, so a wanted window whose anchor occurs once occurs
+once. Where an anchor is repeated, it alone is extended to a window of twice the
+length that still lies in the wanted one, and counted again, level by level,
+until no candidate survives or the wanted length is reached. There, all windows
+of one anchor are a segment; segments of equal words repeat as a whole, and
+only where an anchor stands in different segments are single windows compared.
+Windows longer than wanted would change nothing that is removed.
 
 Rows that are shuffled are hashes and places, not texts, until the kept words
 are written; every group is pre-aggregated to its first place, and what is
 joined back on a key of very many rows is a skewed join that Spark splits.
 
 Cases: a null or empty text has no words; a document shorter than a window
-loses nothing; a null doc_id counts as smaller than any other; rows that share
-a doc_id are at the same places, and neither is earlier; a repeated row is
-therefore judged as the first is; an empty table gives no rows; other columns
-are ignored.
+loses nothing; a null doc_id (or -2**63) counts as smaller than any other; rows
+that share a doc_id are ordered by their texts' hashes, so different texts are
+different documents; rows alike in both are one document, and each of them is
+judged as that document is; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,45 +37,94 @@ from ocellus.llm._shared import Table, documents
 from ocellus.llm._text import NULL_ID, PLAIN, WINDOW_BASES, leftmost_least, ranges, sequence_hash, slices, span_hash, spans, utf8, window_hash
 
 WIDTH = 20
+#: The shortest windows that a first level looks at.
+LEAST = 5
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """k, t and text: a document is known by its id and its text's hash, in that order."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def segments(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: the anchor's hash, the document, the first window and how many.
+def levels(width: int, least: int) -> list[int]:
+    """Window lengths, each at most twice the one before; the last is the wanted one."""
+    out = [width]
+    while (half := (out[0] + 1) // 2) >= least:
+        out.insert(0, half)
+    return out if len(out) > 1 else [max(1, (width + 1) // 2), width]
 
-    h: hashes of the units (words or bytes) of all documents; first: where each document's begin.
-    """
-    half = width // 2
-    g = window_hash(h, half)
-    at = leftmost_least(g, width - half + 1)
+
+@dataclass
+class Segments:
+    """Runs of wanted windows whose anchors agree at every level: the document, the first window, how many, and the anchors' hashes and places."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    anchors: list[np.ndarray]
+    places: list[np.ndarray]
+
+
+def segments(h: np.ndarray, first: np.ndarray, lengths: list[int]) -> Segments:
+    """h: hashes of the units (words or bytes) of all documents; first: where each document's begin."""
+    width = lengths[-1]
+    hashes = [window_hash(h, n) for n in lengths[:-1]]
+    at = leftmost_least(hashes[0], width - lengths[0] + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     own = np.flatnonzero(doc[: len(at)] == doc[width - 1 :]) if len(at) else np.zeros(0, np.int64)
     if not len(own):
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
-    anchor = at[own]
+        return Segments(z, z, z, [z.view(np.uint64)] * len(hashes), [z] * len(hashes))
+    place = at[own]
+    places = [place]
+    for n, more in zip(lengths, lengths[1:-1], strict=False):
+        # To the right while that lies in the wanted window, else to the left.
+        place = np.where(place + more <= own + width, place, place + n - more)
+        places.append(place)
     new = np.ones(len(own), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1)
+    new[1:] = own[1:] != own[:-1] + 1
+    for p in places:
+        new[1:] |= p[1:] != p[:-1]
     start = np.flatnonzero(new)
-    return g[anchor[start]], doc[own[start]], own[start], np.diff(np.concatenate((start, [len(own)])))
+    return Segments(doc[own[start]], own[start], np.diff(np.concatenate((start, [len(own)]))), [g[p[start]] for g, p in zip(hashes, places, strict=True)], [p[start] for p in places])
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), dtype=bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
 
 
-def _emit_segments(width: int, units):
-    names = ["a", "f", "k", "p", "n"]
+def _emit_anchors(lengths: list[int], units):
+    """The hash of each place that is an anchor of the first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, off = utf8(batch.column(1))
-            k = batch.column(0).to_numpy()
+            b, off = utf8(batch.column(0))
             for i, j in slices(off):
                 h, first = units(b[off[i] : off[j]], off[i : j + 1] - off[i])
-                a, doc, p, n = segments(h, first, width)
-                f = sequence_hash(h, p, p + n - 1 + width)
-                arrays = [a.view(np.int64), f.view(np.int64), k[i + doc], p - first[doc], n]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(arrays, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)], names=names)
+                made = segments(h, first, [lengths[0], lengths[-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(made.anchors[0][_changes(made.places[0])].view(np.int64))], names=["a0"])
+
+    return run
+
+
+def _emit_segments(lengths: list[int], units):
+    """Segments: anchors of each level and whether their places are new, the hash of all units, the document, and packed place and length."""
+    m = len(lengths) - 1
+    names = [*[f"a{j}" for j in range(m)], *[f"new{j}" for j in range(1, m)], "f", "k", "t", "run"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, off = utf8(batch.column(2))
+            k, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j in slices(off):
+                h, first = units(b[off[i] : off[j]], off[i : j + 1] - off[i])
+                made = segments(h, first, lengths)
+                f = sequence_hash(h, made.start, made.start + made.n - 1 + lengths[-1])
+                columns = [*made.anchors, *[_changes(p) for p in made.places[1:]], f, k[i + made.doc], t[i + made.doc], (made.start - first[made.doc]) << 32 | made.n]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
     return run
 
@@ -84,12 +135,12 @@ def words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_windows(width: int):
-    """Hashes of the windows of listed segments; rows k, text, list of p << 32 | n."""
+    """Hashes of the windows of listed segments; rows k, t, text, list of p << 32 | n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, off = utf8(batch.column(1))
-            k, listed = batch.column(0).to_numpy(), batch.column(2)
+            b, off = utf8(batch.column(2))
+            k, t, listed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for i, j in slices(off):
                 h, first = words(b[off[i] : off[j]], off[i : j + 1] - off[i])
                 part = listed.slice(i, j - i)
@@ -98,7 +149,8 @@ def _emit_windows(width: int):
                 p, n = packed >> 32, packed & 0xFFFFFFFF
                 at = ranges(first[doc] + p, n)
                 hashes = [window_hash(h, width, base)[at].view(np.int64) for base in WINDOW_BASES]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, np.repeat(k[i + doc], n), ranges(p, n).astype(np.int32))], names=["h1", "h2", "k", "p"])
+                own = np.repeat(i + doc, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, k[own], t[own], ranges(p, n) << 32 | 1)], names=["h1", "h2", "k", "t", "run"])
 
     return run
 
@@ -116,7 +168,7 @@ def _kept_words(width: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = utf8(batch.column(1))
-            b, listed = np.concatenate([b, np.zeros(1, np.uint8)]), batch.column(2).to_pylist()
+            b, listed = np.concatenate([b, np.zeros(1, np.uint8)]), batch.column(2)
             total, removed, out = [], [], []
             for i, j in slices(off):
                 part = b[off[i] : off[j] + 1]
@@ -124,8 +176,8 @@ def _kept_words(width: int, digest: bool):
                 for d in range(j - i):
                     s, e = starts[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
                     total.append(len(s))
-                    if found := listed[i + d]:
-                        gone = _removed(np.array(found, dtype=np.int64), len(s), width)
+                    if (found := listed[i + d].values) is not None:
+                        gone = _removed(found.to_numpy(), len(s), width)
                         s, e = s[~gone], e[~gone]
                     removed.append(total[-1] - len(s))
                     # Each word with the byte after it, which becomes a space.
@@ -138,48 +190,61 @@ def _kept_words(width: int, digest: bool):
     return run
 
 
-def _packed(p: str = "p", n: str = "n"):
-    return F.shiftleft(F.col(p).cast("long"), 32) + F.col(n)
-
-
-def repeated_segments(texts: DataFrame, width: int, units) -> tuple[Table, Table]:
-    """Segments whose anchor is repeated, and for each distinct one (a, f) its first place and how often it is there."""
-    rows = texts.mapInArrow(_emit_segments(width, units), "a long, f long, k long, p int, n int")
+def repeated_segments(texts: DataFrame, lengths: list[int], units) -> tuple[Table, Table]:
+    """Segments whose anchors are repeated at every level, and for each distinct one (a, f) its first place and how often it is there."""
+    m = len(lengths) - 1
+    kinds = [*[f"a{j} long" for j in range(m)], *[f"new{j} boolean" for j in range(1, m)], "f long", "k long", "t long", "run long"]
+    anchors = texts.select("text").mapInArrow(_emit_anchors(lengths, units), "a0 long")
     # A written table has an exchange of its own, so that Spark can split what a frequent anchor is joined to.
-    twice = Table(rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"))
-    found = Table(rows.join(twice.read(), "a", "left_semi"))
+    twice = Table(anchors.groupBy("a0").agg(F.count("*").alias("c")).where("c > 1").select("a0"))
+    found = Table(texts.mapInArrow(_emit_segments(lengths, units), ", ".join(kinds)).join(twice.read(), "a0", "left_semi").drop(*["a0"] * (m > 1)))
     twice.drop()
-    firsts = Table(found.read().groupBy("a", "f").agg(F.min(F.struct("k", "p")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")))
+    for j in range(1, m):
+        if found.read().isEmpty():
+            break
+        rows = found.read()
+        again = Table(rows.groupBy(f"a{j}").agg(F.count_if(f"new{j}").alias("c")).where("c > 1").select(f"a{j}"))
+        kept = Table(rows.drop(f"new{j}").join(again.read(), f"a{j}", "left_semi").drop(*[f"a{j}"] * (j < m - 1)))
+        again.drop()
+        found.drop()
+        found = kept
+    last = f"a{m - 1}"
+    firsts = Table(found.read().groupBy(F.col(last).alias("a"), "f").agg(F.min(F.struct("k", "t", "run")).alias("first"), F.count("*").alias("c")))
     return found, firsts
 
 
 def shared_anchors(firsts: DataFrame) -> Table:
     """Anchors that stand in different segments."""
-    return Table(firsts.groupBy("a").agg(F.count("*").alias("d")).where("d > 1").select("a"))
+    return Table(firsts.groupBy("a").agg(F.count("*").alias("d")).where("d > 1").select("a", "d"))
 
 
 def later_places(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
     """Rows at a place after the first of their key; a key of very many rows is split by Spark."""
-    return rows.join(firsts.where("c > 1").select(*keys, "first"), keys).where(F.struct("k", "p") > F.col("first"))
+    return rows.join(firsts.where("c > 1").select(*keys, "first"), keys).where(F.struct("k", "t", "run") > F.col("first")).select("k", "t", "run")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """k, t and the distinct runs of a document."""
+    return rows.groupBy("k", "t").agg(F.collect_set("run").alias("listed"))
 
 
 def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """k and a list of runs of windows (p << 32 | n) that occur earlier too."""
-    found, firsts = repeated_segments(texts, width, words)
+    """k, t and a list of runs of windows (p << 32 | n) that occur earlier too."""
+    lengths = levels(width, LEAST)
+    found, firsts = repeated_segments(texts, lengths, words)
     f = firsts.read()
-    lists = f.join(shared_anchors(f).read(), "a", "left_semi").select("first.k", "first.p", "n").groupBy("k").agg(F.collect_list(_packed()).alias("listed"))
-    windows = Table(texts.join(lists, "k").select("k", "text", "listed").mapInArrow(_emit_windows(width), "h1 long, h2 long, k long, p int"))
+    lists = listed(f.join(shared_anchors(f).read(), "a", "left_semi").select("first.*"))
+    windows = Table(texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").mapInArrow(_emit_windows(width), "h1 long, h2 long, k long, t long, run long"))
     w = windows.read()
-    first_windows = Table(w.groupBy("h1", "h2").agg(F.min(F.struct("k", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")).read()
-    whole = later_places(found.read(), ["a", "f"], f).select("k", "p", "n")
-    single = later_places(w, ["h1", "h2"], first_windows).select("k", "p", F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("k").agg(F.collect_list(_packed()).alias("listed"))
+    first_windows = Table(w.groupBy("h1", "h2").agg(F.min(F.struct("k", "t", "run")).alias("first"), F.count("*").alias("c")).where("c > 1")).read()
+    whole = later_places(found.read().withColumnRenamed(f"a{len(lengths) - 2}", "a"), ["a", "f"], f)
+    return listed(whole.unionByName(later_places(w, ["h1", "h2"], first_windows)))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by a space (or their SHA-256)."""
     texts = _keyed(docs)
-    out = texts.join(repeats(texts, width), "k", "left").select("k", "text", "listed")
+    out = texts.join(repeats(texts, width), ["k", "t"], "left").select("k", "text", "listed")
     made = out.mapInArrow(_kept_words(width, digest), "k long, n_words long, n_removed long, kept string")
     return made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "text"))
 

@@ -8,14 +8,21 @@ shard of its anchor. A shard's suffixes are put in order by external induced
 sorting, which carries common prefixes along; suffixes that share the wanted
 length are neighbours there, and all but the earliest of them are removed.
 
-Shards are as many as the shuffle has partitions; a shard's suffix entries
-beyond a limit wait in a scratch file of its worker. Matches never cross
-documents, as segments end in a symbol that no byte has.
+An anchor that stands in more than HOT different segments is extended, by half
+of what is missing to the wanted length each time, to one side or the other of
+each string, which parts its segments and spreads them over the shards.
+
+A shard is a partition of the shuffle, of any size: its text, the places of its
+segments and its queues are in scratch files of its worker where they exceed
+the memory that they are given. Matches never cross documents, as segments end
+in a symbol that no byte has.
 
 Cases: a null or empty text has no bytes; a document shorter than the wanted
-length loses nothing; a null doc_id counts as smaller than any other; rows
-that share a doc_id are at the same places, and neither is earlier; an empty
-table gives no rows; other columns are ignored.
+length loses nothing; a null doc_id (or -2**63) counts as smaller than any
+other; rows that share a doc_id are ordered by their texts' hashes, so
+different texts are different documents; rows alike in both are one document,
+and each of them is judged as that document is; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
-from ocellus.llm._text import NULL_ID, mix, ranges, runs, slices, utf8
-from ocellus.llm.substrings import _keyed, _packed, _removed, later_places, repeated_segments, shared_anchors
-from ocellus.llm.suffix import suffix_order
+from ocellus.llm._text import NULL_ID, mix, ranges, runs, sequence_hash, slices, utf8
+from ocellus.llm.substrings import _keyed, _removed, later_places, listed, repeated_segments, segments, shared_anchors
+from ocellus.llm.suffix import IN_MEMORY, Growing, Scratch, suffix_order
 
 LENGTH = 100
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 #: Symbols of a shard's text: the end, the end of a segment, and the bytes.
 END, BREAK, FIRST_BYTE, SYMBOLS = 0, 1, 2, 258
-#: Symbols of segments that are sorted as one text; the segments of one anchor stay together.
-SHARD_SYMBOLS = 8_000_000
+#: Different segments of one anchor beyond which the anchor is extended.
+HOT = 512
 
 
 def byte_units(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,97 +53,158 @@ def byte_units(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_segments(length: int):
-    """The bytes of listed segments; rows k, text, list of (a, p, n)."""
+    """The bytes of listed segments; rows k, t, text, list of (a, run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, off = utf8(batch.column(1))
-            k, listed = batch.column(0).to_numpy(), batch.column(2)
+            b, off = utf8(batch.column(2))
+            k, t, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for i, j in slices(off):
-                part = listed.slice(i, j - i)
+                part = found.slice(i, j - i)
                 flat = part.flatten()
-                a, p, n = (flat.field(x).to_numpy() for x in range(3))
+                a, packed = (flat.field(x).to_numpy() for x in range(2))
                 doc = i + np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
-                size = n + length - 1
-                data = b[ranges(off[doc] + p, size)]
+                size = (packed & 0xFFFFFFFF) + length - 1
+                data = b[ranges(off[doc] + (packed >> 32), size)]
                 ends = np.concatenate(([0], np.cumsum(size)))
                 cut = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k[doc]), pa.array(p), cut], names=["a", "k", "p", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k[doc]), pa.array(t[doc]), pa.array(packed >> 32), cut], names=["a", "k", "t", "p", "s"])
 
     return run
 
 
-def later_in_shard(k: np.ndarray, p: np.ndarray, data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (k, p, n) of strings that stand earlier in these segments (data: their bytes in a row)."""
-    starts = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-    text = np.full(int(size.sum()) + len(size) + 1, BREAK, dtype=np.uint16)
-    text[ranges(starts, size)] = data.astype(np.uint16) + FIRST_BYTE
-    text[-1] = END
-    later = np.zeros(len(text), dtype=bool)
-    for place, lcp in suffix_order(text, SYMBOLS, length):
-        together = lcp >= length
-        member = together | np.append(together[1:], False)
-        at, group = place[member].astype(np.int64), np.cumsum(~together[member])
-        owner = np.searchsorted(starts, at, side="right") - 1
-        # Strings that reach into the next segment are none.
-        inside = at - starts[owner] + length <= size[owner]
-        at, group, owner = at[inside], group[inside], owner[inside]
-        if not len(at):
-            continue
-        own_k, own_p = k[owner], p[owner] + at - starts[owner]
-        order = np.lexsort((own_p, own_k, group))
-        group, own_k, own_p = group[order], own_k[order], own_p[order]
-        new = np.ones(len(group), dtype=bool)
-        new[1:] = group[1:] != group[:-1]
-        least = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later[at[order][(own_k != own_k[least]) | (own_p != own_p[least])]] = True
-    s, e = runs(later)
-    owner = np.searchsorted(starts, s, side="right") - 1
-    return k[owner], p[owner] + s - starts[owner], e - s
+def _extend_anchors(lengths: list[int]):
+    """Listed segments parted by longer anchors; rows k, t, text, list of runs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, off = utf8(batch.column(2))
+            k, t, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for i, j in slices(off):
+                h, first = byte_units(b[off[i] : off[j]], off[i : j + 1] - off[i])
+                part = found.slice(i, j - i)
+                packed = part.flatten().to_numpy()
+                doc = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
+                wanted = np.zeros(len(h) + 1, dtype=bool)
+                wanted[ranges(first[doc] + (packed >> 32), packed & 0xFFFFFFFF)] = True
+                made = segments(h, first, lengths)
+                own = wanted[made.start]
+                doc, start, n = made.doc[own], made.start[own], made.n[own]
+                f = sequence_hash(h, start, start + n - 1 + lengths[-1])
+                columns = [made.anchors[-1][own].view(np.int64), f.view(np.int64), k[i + doc], t[i + doc], (start - first[doc]) << 32 | n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "f", "k", "t", "run"])
 
-def _sort_shards(length: int):
-    """Rows a, k, p, s in the order of a; the last anchor of a text waits until it is whole."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
 
-        def settle(rows: pa.Table) -> pa.RecordBatch:
-            data, off = utf8(rows.column("s").combine_chunks().cast(pa.large_binary()))
-            k, p = rows.column("k").to_numpy(), rows.column("p").to_numpy().astype(np.int64)
-            out = later_in_shard(k, p, data, np.diff(off), length)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["k", "p", "n"])
+class _Shard:
+    """The segments of a shard, as they come."""
+
+    def __init__(self, limit: int = IN_MEMORY):
+        self.scratch = Scratch(limit)
+        self.text, self.n = Growing(self.scratch, np.uint16), 0
+        self.owner = [Growing(self.scratch, np.int64) for _ in range(5)]
+
+    def add(self, k: np.ndarray, t: np.ndarray, p: np.ndarray, data: np.ndarray, size: np.ndarray) -> None:
+        """size: of each segment, whose bytes stand in data in a row."""
+        starts = np.concatenate(([0], np.cumsum(size + 1)))
+        text = np.full(int(starts[-1]), BREAK, dtype=np.uint16)
+        text[ranges(starts[:-1], size)] = data.astype(np.uint16) + FIRST_BYTE
+        self.text.add(text)
+        for x, values in zip(self.owner, (self.n + starts[:-1], size, k, t, p), strict=True):
+            x.add(values)
+        self.n += len(text)
+
+    def later(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs (k, t, p << 32 | n) of strings that stand earlier in these segments."""
+        if not self.n:
+            return
+        self.text.add(np.array([END]))
+        text, (starts, sizes, k, t, p) = self.text.done(), [x.done() for x in self.owner]
+        flags = self.scratch.array(len(text), bool)
+        held = None  # the earliest place of the group that is open
+        for place, lcp in suffix_order(text, SYMBOLS, length, self.scratch):
+            together = lcp >= length
+            place = place.astype(np.int64)
+            if held is not None:
+                place, together = np.append(held, place), np.append(False, together)
+            # The last entry may go on in the next block.
+            member = together | np.append(together[1:], True)
+            at, group = place[member], np.cumsum(~together[member])
+            owner = np.searchsorted(starts, at, side="right") - 1
+            order = np.lexsort((p[owner] + at - starts[owner], t[owner], k[owner], group))
+            at, group, owner = at[order], group[order], owner[order]
+            again = np.zeros(len(at), dtype=bool)
+            again[1:] = group[1:] == group[:-1]
+            # Strings that reach into the next segment are none.
+            inside = at - starts[owner] + length <= sizes[owner]
+            flags[at[again & inside]] = True
+            held = at[np.searchsorted(group, group[-1])]
+        step = self.scratch.block
+        for i in range(0, len(flags), step):
+            s, e = runs(np.ascontiguousarray(flags[i : i + step]))
+            if len(s):
+                owner = np.searchsorted(starts, s + i, side="right") - 1
+                yield k[owner], t[owner], (p[owner] + s + i - starts[owner]) << 32 | e - s
+
 
+def _sort_shards(length: int):
+    """Rows a, k, t, p, s: a partition is a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard()
         for batch in batches:
-            held.append(batch)
-            size += batch.column(3).nbytes
-            if size >= SHARD_SYMBOLS:
-                rows = pa.Table.from_batches(held)
-                a = rows.column("a").to_numpy()
-                whole = int(np.searchsorted(a, a[-1], side="left"))
-                if whole:
-                    yield settle(rows.slice(0, whole))
-                held = rows.slice(whole).combine_chunks().to_batches()
-                size = sum(x.column(3).nbytes for x in held)
-        if held:
-            rows = pa.Table.from_batches(held)
-            if len(rows):
-                yield settle(rows)
+            data, off = utf8(batch.column(4).cast(pa.large_binary()))
+            shard.add(*(batch.column(x).to_numpy() for x in (1, 2, 3)), data, np.diff(off))
+        for columns in shard.later(length):
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in columns], names=["k", "t", "run"])
 
     return run
 
 
-def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k and a list of runs of strings (p << 32 | n) that occur earlier too."""
-    found, firsts = repeated_segments(texts, length, byte_units)
+def _anchor_levels(length: int) -> list[int]:
+    """Lengths of anchors: half of what is wanted, and each time nearer to it by half of what is missing."""
+    out = [(length + 1) // 2]
+    while length - out[-1] > 1:
+        out.append((length + out[-1] + 1) // 2)
+    return out
+
+
+def spread_anchors(texts: DataFrame, firsts: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
+    """First segments (a, k, t, run) of anchors in different segments, those of hot anchors parted; and places that are found to be later on the way."""
+    later, lengths = [], _anchor_levels(length)
+    settled, shared = [], shared_anchors(firsts).read()
+    rows = firsts
+    for m in range(2, len(lengths) + 1):
+        settled.append(rows.join(shared.where(F.col("d") <= hot), "a", "left_semi").select("a", "first.*"))
+        many = shared.where(F.col("d") > hot)
+        if many.isEmpty():
+            break
+        lists = listed(rows.join(many, "a", "left_semi").select("first.*"))
+        parted = Table(texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").mapInArrow(_extend_anchors([*lengths[:m], length]), "a long, f long, k long, t long, run long")).read()
+        rows = Table(parted.groupBy("a", "f").agg(F.min(F.struct("k", "t", "run")).alias("first"), F.count("*").alias("c"))).read()
+        later.append(later_places(parted, ["a", "f"], rows))
+        shared = shared_anchors(rows).read()
+    else:
+        settled.append(rows.join(shared, "a", "left_semi").select("a", "first.*"))
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out, later
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """k, t and a list of runs of strings (p << 32 | n) that occur earlier too."""
+    found, firsts = repeated_segments(texts, [(length + 1) // 2, length], byte_units)
     f = firsts.read()
-    lists = f.join(shared_anchors(f).read(), "a", "left_semi").groupBy("first.k").agg(F.collect_list(F.struct("a", F.col("first.p").cast("long").alias("p"), F.col("n").cast("long").alias("n"))).alias("listed"))
-    cut = texts.join(lists, "k").select("k", "text", "listed").mapInArrow(_cut_segments(length), "a long, k long, p long, s binary")
+    first_segments, later = spread_anchors(texts, f, length, hot)
+    lists = first_segments.groupBy("k", "t").agg(F.collect_list(F.struct("a", "run")).alias("listed"))
+    cut = texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").dropDuplicates(["k", "t"]).mapInArrow(_cut_segments(length), "a long, k long, t long, p long, s binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = Table(cut.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_sort_shards(length), "k long, p long, n long"))
-    whole = later_places(found.read(), ["a", "f"], f).select("k", "p", "n")
-    return whole.unionByName(single.read()).groupBy("k").agg(F.collect_list(_packed()).alias("listed"))
+    out = Table(cut.repartition(parts, "a").mapInArrow(_sort_shards(length), "k long, t long, run long")).read()
+    for rows in [later_places(found.read().withColumnRenamed("a0", "a"), ["a", "f"], f), *later]:
+        out = out.unionByName(rows)
+    return listed(out)
 
 
 def _kept_bytes(length: int):
@@ -146,11 +214,11 @@ def _kept_bytes(length: int):
         for batch in batches:
             b, off = utf8(batch.column(1))
             rows = []
-            for d, listed in enumerate(batch.column(2).to_pylist()):
+            for d, found in enumerate(batch.column(2)):
                 own, spans = b[off[d] : off[d + 1]], 0
                 total = len(own)
-                if listed:
-                    gone = _removed(np.array(listed, dtype=np.int64), total, length)
+                if found.values is not None:
+                    gone = _removed(found.values.to_numpy(), total, length)
                     spans, own = len(runs(gone)[0]), own[~gone]
                 rows.append((total, total - len(own), spans, hashlib.sha256(own.tobytes()).hexdigest(), own.tobytes()))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
@@ -160,10 +228,10 @@ def _kept_bytes(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     texts = _keyed(docs)
-    out = texts.join(repeats(texts, length), "k", "left").select("k", "text", "listed")
+    out = texts.join(repeats(texts, length, hot), ["k", "t"], "left").select("k", "text", "listed")
     made = out.mapInArrow(_kept_bytes(length), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from ocellus.llm import chat, decontaminate, langid, near_dup, packing, quality, rules, secrets, substrings, suffix, suffix_dedup
 from ocellus.llm.stats import with_stats
 
@@ -49,53 +50,107 @@ def _rows(docs):
     return [(r.doc_id, r.text or "") for r in docs.collect()]
 
 
-def _first_is_kept(rows, units, width, key):
-    """For each row, flags of the units that a window which starts earlier covers."""
+def _first_is_kept(docs, units, width, key):
+    """For each row, flags of the units that a window which starts earlier covers; rows of one id are ordered by their texts' hashes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = [((-1 << 70) if r.doc_id is None else r.doc_id, r.t, r.doc_id, r.text) for r in docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t")).collect()]
     first = {}
-    order = lambda d: (-1 << 70) if d is None else d
-    for d, t in rows:
+    for d, x, _, t in rows:
         u = units(t)
         for i in range(len(u) - width + 1):
             w = key(u[i : i + width])
-            first[w] = min(first.get(w, (1 << 70, 0)), (order(d), i))
+            first[w] = min(first.get(w, (1 << 70, 0, 0)), (d, x, i))
     out = []
-    for d, t in rows:
+    for d, x, doc_id, t in rows:
         u = units(t)
         gone = [False] * len(u)
         for i in range(len(u) - width + 1):
-            if (order(d), i) > first[key(u[i : i + width])]:
+            if (d, x, i) > first[key(u[i : i + width])]:
                 gone[i : i + width] = [True] * width
-        out.append((d, u, gone))
+        out.append((doc_id, u, gone))
     return out
 
 
-def test_substring_dedup(docs, empty):
+@pytest.fixture(scope="module")
+def shared_ids(spark, docs):
+    """docs, and different texts under one id and under none, which share passages or nothing."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"q{rng.randrange(500)}" for _ in range(n))
+    passage, old = say(50), _texts()[7]
+    texts = [f"{say(9)} {passage}", f"{passage} {say(40)}", f"{say(3)} {old}", say(80), "short", None]
+    rows = [(d, t, "en", "s", 0, "clash", "clash", "clash") for d in (3, None, 5000) for t in [*texts, texts[0]]]
+    return docs.unionByName(spark.createDataFrame(rows, SCHEMA)).repartition(4)
+
+
+@pytest.mark.parametrize("width", [20, 40, 13])
+def test_substring_dedup(shared_ids, empty, width):
     want = []
-    for d, w, gone in _first_is_kept(_rows(docs), WORDS.findall, 20, tuple):
+    for d, w, gone in _first_is_kept(shared_ids, WORDS.findall, width, tuple):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = [tuple(r) for r in substrings.without_repeats(docs, digest=True).collect()]
+    got = [tuple(r) for r in substrings.without_repeats(shared_ids, width, digest=True).collect()]
     assert Counter(got) == Counter(want)
     assert substrings.without_repeats(empty).count() == 0
 
 
-def test_suffix_array_dedup(docs, empty):
+def test_substring_levels():
+    assert substrings.levels(20, 5) == [5, 10, 20] and substrings.levels(80, 5) == [5, 10, 20, 40, 80]
+    rng = np.random.default_rng(3)
+    for lengths in ([5, 10, 20], [5, 10, 20, 40, 80], [50, 75, 88, 94, 97, 99, 100]):
+        h = rng.integers(1, 4 if lengths[0] == 5 else 1 << 40, 600).astype(np.uint64)
+        made = substrings.segments(h, np.array([0, 250, 250, 255, 600]), lengths)
+        windows = sum(max(0, n - lengths[-1] + 1) for n in (250, 0, 5, 345))
+        assert made.n.sum() == windows
+        for s, n, *places in zip(made.start, made.n, *made.places, strict=True):
+            for at in (s, s + n - 1):
+                inner = None
+                for p, size in zip(places, lengths, strict=False):
+                    assert at <= p and p + size <= at + lengths[-1]
+                    assert inner is None or (p <= inner[0] and inner[1] <= p + size)
+                    inner = (p, p + size)
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+def test_suffix_array_dedup(shared_ids, empty, hot):
     want = []
-    for d, b, gone in _first_is_kept(_rows(docs), lambda t: t.encode(), 100, bytes):
+    for d, b, gone in _first_is_kept(shared_ids, lambda t: t.encode(), 100, bytes):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(g and not p for g, p in zip(gone, [False, *gone], strict=False))
         want.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in suffix_dedup.without_repeats(docs).drop("kept").collect()]
+    got = [tuple(r) for r in suffix_dedup.without_repeats(shared_ids, hot=hot).drop("kept").collect()]
     assert Counter(got) == Counter(want)
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
-def test_induced_sorting_with_spilled_queues():
+@pytest.mark.parametrize("limit", [50, 100_000])
+def test_a_shard_beyond_its_memory(limit):
+    """Segments of three documents, with the shard's text, places and queues on disk at the smaller limit."""
+    rng = np.random.default_rng(1)
+    shard, rows = suffix_dedup._Shard(limit), []
+    base = rng.integers(97, 100, 60).astype(np.uint8)
+    for k in range(40):
+        data = np.concatenate([rng.integers(97, 100, int(rng.integers(0, 30))).astype(np.uint8), base[int(rng.integers(0, 30)) :]])
+        rows.append((k % 3, 7 * (k % 2), 1000 * k, data.tobytes()))
+    for i in range(0, 40, 8):
+        part = rows[i : i + 8]
+        shard.add(*(np.array([r[x] for r in part]) for x in range(3)), np.frombuffer(b"".join(r[3] for r in part), np.uint8), np.array([len(r[3]) for r in part]))
+    got = Counter((int(a), int(b), int(x >> 32) + i) for k, t, run in shard.later(12) for a, b, x in zip(k, t, run, strict=True) for i in range(int(x & 0xFFFFFFFF)))
+    places = defaultdict(list)
+    for k, t, p, data in rows:
+        for i in range(len(data) - 11):
+            places[data[i : i + 12]].append((k, t, p + i))
+    assert got == Counter(x for found in places.values() for x in sorted(found)[1:])
+
+
+def test_induced_sorting_beyond_memory():
     rng = np.random.default_rng(0)
-    for trial in range(60):
-        body = rng.integers(1, 4, int(rng.integers(1, 150))) if trial % 2 else np.tile(rng.integers(1, 3, int(rng.integers(1, 9))), 15)
-        text = np.concatenate([body, [0]]).astype(np.uint16)
-        parts = list(suffix.suffix_order(text, 5, 200, in_memory=20))
+    deepest = 0
+    for trial in range(120):
+        kinds = (rng.integers(1, 4, int(rng.integers(0, 150))), np.tile(rng.integers(1, 3, int(rng.integers(1, 9))), 15), rng.integers(1, 3, 200), np.repeat(rng.integers(1, 5, 40), rng.integers(1, 6, 40)))
+        text = np.concatenate([kinds[trial % 4], [0]]).astype(np.uint16)
+        levels = []
+        parts = list(suffix.suffix_order(text, 5, 250, suffix.Scratch((3, 20, 1000)[trial % 3]), levels))
+        deepest = max(deepest, len(levels))
         order, lcp = np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist()
         want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
         assert order == want
@@ -104,6 +159,7 @@ def test_induced_sorting_with_spilled_queues():
             while a + both < len(text) and b + both < len(text) and text[a + both] == text[b + both]:
                 both += 1
             assert n == both
+    assert deepest >= 3
 
 
 def test_near_duplicates(docs, empty, spark):
