@@ -40,14 +40,22 @@ def reachable(edges: DataFrame, cut: DataFrame, start: DataFrame, direction: str
     seen = front = Step(start.select("node").distinct())
     while True:
         new = Step(front.read().join(e.read(), F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen.read(), "node", "left_anti"))
-        if not new.read().limit(1).count():
+        if new.read().isEmpty():
+            new.drop()
+            e.drop()
             return seen.read()
-        seen = Step(seen.read().unionByName(new.read()))
-        front = new
+        grown = Step(seen.read().unionByName(new.read()))
+        for old in {id(x): x for x in (seen, front)}.values():
+            old.drop()
+        seen, front = grown, new
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node that it is connected with; large and small stars until nothing changes."""
+    """node, component: the least node that it is connected with; large and small stars until nothing changes.
+
+    Every step pre-aggregates before it shuffles, and a node with very many links is a skewed join key, which Spark
+    splits; rounds grow as the logarithm of the longest path.
+    """
     now = Step(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     before = None
     while True:
@@ -62,7 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
         e = large.read()
         m = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(m, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = Step(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
+        new = Step(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
+        now.drop()
+        large.drop()
+        now = new
     pairs = now.read().select(F.col("u").alias("node"), F.col("v").alias("component"))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(pairs, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -85,11 +96,11 @@ def twins(half_edges: DataFrame) -> DataFrame:
     return half_edges.join(other, ["a", "b"], "left").select("edge", "twin")
 
 
-def polygon_edges(faces: DataFrame) -> DataFrame:
-    """edge (face * 16 + k), face, a, b of faces (face, corners array)."""
+def polygon_edges(faces: DataFrame, stride: int = 1 << 20) -> DataFrame:
+    """edge (face * stride + k), face, a, b of faces (face, corners array of fewer than stride)."""
     n = F.size("corners")
     ends = F.transform("corners", lambda a, k: F.struct(k.alias("k"), a.alias("a"), F.get(F.col("corners"), (k + 1) % n).alias("b")))
-    return faces.select("face", F.explode(ends).alias("e")).select((F.col("face") * 16 + F.col("e.k")).alias("edge"), "face", "e.a", "e.b")
+    return faces.select("face", F.explode(ends).alias("e")).select((F.col("face").cast("bigint") * stride + F.col("e.k")).alias("edge"), "face", "e.a", "e.b")
 
 
 def flow(edges: list[tuple[int, int, float]], source: int, sink: int) -> tuple[float, list[int]]:

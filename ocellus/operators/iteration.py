@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. In local mode, one is made where that is unset; on a cluster that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="ocellus-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written step."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                remove(spark, path)
+        except Exception:  # the session has ended, and the folder may have gone with it
+            return
+
+
 class Step:
+    """A written table: lineage ends here, and a lost executor costs nothing. What is not dropped before goes with the driver."""
+
     def __init__(self, df: DataFrame):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_dir(self.spark)}/ocellus/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
+        _made.append((self.spark, self.path))
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+        _made.remove((self.spark, self.path))

@@ -103,7 +103,7 @@ def _faces(s, d):
     return t.select((2 * k).alias("face"), F.array(p(0, 0), p(1, 0), p(1, 1)).alias("corners")).unionByName(t.select((2 * k + 1).alias("face"), F.array(p(0, 0), p(1, 1), p(0, 1)).alias("corners")))
 
 
-R.add("half_edge_twin", lambda s, d: graphs.twins(graphs.polygon_edges(_faces(s, d))).select("edge", F.coalesce("twin", F.lit(-1).cast("bigint")).alias("twin")), """WITH f AS (SELECT 2 * s_suppkey AS face, [s_suppkey * 1000, (s_suppkey + 1) * 1000, (s_suppkey + 1) * 1000 + 1] AS c FROM supplier
+R.add("half_edge_twin", lambda s, d: graphs.twins(graphs.polygon_edges(_faces(s, d), 16)).select("edge", F.coalesce("twin", F.lit(-1).cast("bigint")).alias("twin")), """WITH f AS (SELECT 2 * s_suppkey AS face, [s_suppkey * 1000, (s_suppkey + 1) * 1000, (s_suppkey + 1) * 1000 + 1] AS c FROM supplier
 UNION ALL SELECT 2 * s_suppkey + 1, [s_suppkey * 1000, (s_suppkey + 1) * 1000 + 1, s_suppkey * 1000 + 1] FROM supplier),
 e AS (SELECT face * 16 + k AS edge, c[k + 1] AS a, c[(k + 1) % 3 + 1] AS b FROM f CROSS JOIN range(3) r(k)) SELECT x.edge, coalesce(y.edge, -1) AS twin FROM e x LEFT JOIN e y ON y.a = x.b AND y.b = x.a""")
 
