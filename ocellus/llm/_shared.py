@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+from ocellus.operators.iteration import Step
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="ocellus-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that materialise() wrote."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the session has ended, and the folder may have gone with it
-            return
+#: Bytes of an Arrow batch while a table is written: texts are long, and each task of an executor holds a batch on either side.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def release(spark: SparkSession) -> None:
@@ -45,24 +20,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-class Table:
-    """A written table: lineage ends here, and a lost executor costs nothing."""
+class Table(Step):
+    """A written table, made with Arrow batches of bounded bytes."""
 
     def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/ocellus/{uuid.uuid4().hex}"
-        self.schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
-        _made.append((self.spark, self.path))
+        conf = df.sparkSession.conf
+        before = conf.get(_BATCH)
+        conf.set(_BATCH, str(BATCH_BYTES))
+        try:
+            super().__init__(df)
+        finally:
+            conf.set(_BATCH, before)
         release(self.spark)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-        _made.remove((self.spark, self.path))
-
 
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it where df has such a column."""
@@ -77,5 +47,17 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sampled(table: Table, h: str, rows: int) -> DataFrame:
+    """About as many rows of table as given, and hardly ever more, or all if there are no more: those of low hash h, which is near to unique.
+
+    The bound comes from a count, so what is collected does not grow with the table.
+    """
+    n = table.read().count()
+    if n <= rows:
+        return table.read()
+    share = max(rows - 4 * rows**0.5, rows / 2) / n
+    return table.read().where(F.col(h) < int((2 * share - 1) * 2**63))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,9 +1,9 @@
 """Chat formatting with Spark expressions alone.
 
 Turns of a conversation are collected as structs and sorted; adjacent turns of
-one role go under one header, parted by a mark, so that the single turns can
-be read back; an array aggregation finds the places of the texts under the
-loss mask. A control string inside a text or role is escaped with a backslash
+one role are merged into a block under one header, parted by a mark, so that the
+single turns can be read back; array aggregations of lengths, in chunks, find
+the places of the texts under the loss mask. A control string inside a text or role is escaped with a backslash
 and so is a backslash, which makes escaping reversible.
 
 Cases: a null text or role counts as empty; a null turn comes first; a null
@@ -34,33 +34,64 @@ def _escape_role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
 
 
+def _chunks(array: str | Column) -> Column:
+    """The array in parts of about the square root of its size."""
+    a = F.col(array) if isinstance(array, str) else array
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), step), lambda i: F.slice(a, i + 1, step))
+
+
+def _before(lengths: Column) -> Column:
+    """The sum of all entries before each of a list of longs.
+
+    An aggregation copies what it has appended to, so it appends within chunks, and to the list of chunks.
+    """
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    parts = F.transform(_chunks(lengths), sums)
+    bases = sums(F.transform(parts, lambda p: p["at"]))["out"]
+    return F.flatten(F.zip_with(parts, bases, lambda p, base: F.transform(p["out"], lambda x: x + base)))
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted string, loss_spans array<struct<start,end>> (code points, end exclusive)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id"), F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def piece(x: Column, i: Column) -> Column:
-        """What stands before the text, the escaped text, and whether it counts for the loss."""
-        before = F.when(i > 0, F.get(F.col("turns"), i - 1)["role"])
-        same = F.coalesce(before == x["role"], F.lit(False))
-        head = F.concat(F.lit(START), _escape_role(x["role"]), F.lit("\n"))
-        lead = F.when(same, F.lit(PART)).when(i == 0, head).otherwise(F.concat(F.lit(_CLOSE), head))
-        return F.struct(lead.alias("lead"), escape(x["text"]).alias("body"), (x["role"] == loss_role).alias("loss"))
-
-    pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("p"))
-    formatted = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"])), ""), F.lit(_CLOSE))
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["lead"])
-        to = at + F.length(x["body"])
-        span = F.array(F.struct(at.alias("start"), to.alias("end")))
-        return F.struct(to.alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate("p", F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("spans")), add)["spans"]
-    return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    # Where a role follows another: a block of turns goes from one such place to the next.
+    changed = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get(F.col("turns"), i)["role"] != F.get(F.col("turns"), i - 1)["role"]))
+    placed = sorted_turns.select("conv_id", "turns", changed.alias("first"))
+    ends = F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(F.size("turns")))
+
+    def block(s: Column, e: Column) -> Column:
+        return F.struct(F.get(F.col("turns"), s)["role"].alias("role"), F.transform(F.slice("turns", s + 1, e - s), lambda x: escape(x["text"])).alias("bodies"))
+
+    blocks = placed.select("conv_id", F.zip_with("first", ends, block).alias("b"))
+
+    def pieces_of(b: Column) -> Column:
+        """What stands before each text, the escaped text, what stands after, and whether it counts for the loss."""
+        head = F.concat(F.lit(START), _escape_role(b["role"]), F.lit("\n"))
+        last = F.size(b["bodies"]) - 1
+        return F.transform(
+            b["bodies"],
+            lambda x, i: F.struct(F.when(i == 0, head).otherwise(F.lit(PART)).alias("lead"), x.alias("body"), F.when(i == last, F.lit(_CLOSE)).otherwise(F.lit("")).alias("tail"), (b["role"] == loss_role).alias("loss")),
+        )
+
+    pieces = blocks.select("conv_id", F.flatten(F.transform("b", pieces_of)).alias("p"))
+    formatted = F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"], x["tail"])), "")
+    lengths = F.transform("p", lambda x: (F.length(x["lead"]) + F.length(x["body"]) + F.length(x["tail"])).cast("bigint"))
+    at = pieces.select("conv_id", "p", formatted.alias("formatted"), lengths.alias("lengths")).withColumn("at", _before(F.col("lengths")))
+
+    def span(x: Column, start: Column) -> Column:
+        begin = start + F.length(x["lead"])
+        return F.when(x["loss"], F.struct(begin.alias("start"), (begin + F.length(x["body"])).alias("end")))
+
+    spans = F.filter(F.zip_with("p", "at", span), lambda x: x.isNotNull())
+    return at.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

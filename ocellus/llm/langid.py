@@ -7,7 +7,7 @@ kernel ridge regression, one language against the rest, is solved there. As
 the presence kernel is an inner product, landmarks and weights fold into one
 matrix, and a batch of texts is scored by one matrix product.
 
-Training takes the sample_rows rows of lowest hash among those with a language
+Training takes at most sample_rows rows of low hash among those with a language
 and crc32 modulo 5 not 0, and their whole texts; every row is scored, on its
 whole text.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._shared import bucket, documents
+from ocellus.llm._shared import Table, bucket, documents, sampled
 
 SAMPLE_ROWS, LANDMARKS, RIDGE = 8_000, 256, 1e-2
 GRAMS, BUCKET_BITS = (1, 2, 3), 13
@@ -121,12 +121,15 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(F.col("doc_id"), 5) != 0))
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
-    bound = keyed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
+    keys = Table(hashed.select("h"))
+    # Repeated rows share a hash, and only one of them is learned from.
+    bound = sampled(keys, "h", sample_rows).agg(F.max("h")).first()[0]
+    keys.drop()
     if bound is None:
         return fit(np.zeros((0, BUCKETS)), [])
-    # The bound leaves sample_rows rows but for ties, which are repeated rows.
-    made = keyed.where(F.col("h") <= bound).mapInArrow(_bits, "h long, grams binary, lang string").orderBy("h").limit(sample_rows).toPandas()
+    made = hashed.where(F.col("h") <= bound).mapInArrow(_bits, "h long, grams binary, lang string")
+    made = made.groupBy("h").agg(F.min(F.struct("lang", "grams")).alias("x")).select("h", "x.*").orderBy("h").limit(sample_rows).toPandas()
     grams = np.unpackbits(np.frombuffer(b"".join(made["grams"]), dtype=np.uint8).reshape(len(made), -1), axis=1)
     return fit(grams, list(made["lang"]))
 
@@ -150,4 +153,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return identify(docs, train(docs))
+    return Table(identify(docs, train(docs))).read()

@@ -8,8 +8,8 @@ similarity is high. Documents of one set are a class with one representative.
 
 Within a band's bucket each class is held against the smallest one and against
 the one whose sketch is nearest, a block of members at a time; the sketches
-discard candidates estimated below SKETCH_FLOOR and the full sets of the others
-decide. That joins most components. Where members of a bucket are then still in
+discard candidates estimated below SKETCH_FLOOR, sizes those that cannot reach
+the wanted similarity, and the full sets of the others decide. That joins most components. Where members of a bucket are then still in
 different ones, all pairs of such members are compared and confirmed the same
 way: no link between components is lost, and a group of copies, however near
 they are to one another, costs few confirmations for each copy.
@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._shared import Table, documents
+from ocellus.llm._shared import Table, documents, free_name
 from ocellus.llm._text import LOWER, NULL_ID, PLAIN, U64, give_back, mix, slices, span_hash, spans, utf8, window_hash
-from ocellus.llm.components import components
+from ocellus.operators.graphs import components
 
 SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
@@ -146,13 +146,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own) and len(held) and 100 * inter >= PERCENT * (len(own) + len(held) - inter):
                 out.append((u, v))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+    give_back()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; texts: k, text. A v of very many pairs is a skewed key that Spark splits."""
-    one = pairs.join(texts.select(F.col("k").alias("u"), F.col("text").alias("a")), "u")
-    two = one.join(texts.select(F.col("k").alias("v"), F.col("text").alias("b")), "v")
-    return two.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long").distinct()
+    """The pairs (u, v) whose full sets are similar enough; texts: k, text. A v of very many pairs is a skewed key that Spark splits.
+
+    Only texts of nodes in pairs move: they are written once, and both sides are joined to that table.
+    """
+    nodes = Table(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct())
+    own = Table(texts.join(nodes.read(), "k", "left_semi"))
+    nodes.drop()
+    held = own.read()
+    one = pairs.join(held.select(F.col("k").alias("u"), F.col("text").alias("a")), "u")
+    two = one.join(held.select(F.col("k").alias("v"), F.col("text").alias("b")), "v")
+    out = Table(two.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long").distinct())
+    own.drop()
+    return out
+
+
+def _sizes_allow(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def _compare_blocks(best: bool):
@@ -162,10 +177,11 @@ def _compare_blocks(best: bool):
     """
 
     def pairs(band: int, rows: list) -> tuple[np.ndarray, np.ndarray]:
-        node, component, mine, other, sketch, bands = (np.concatenate([r[k] for r in rows]) for k in range(6))
+        node, component, mine, other, size, sketch, bands = (np.concatenate([r[k] for r in rows]) for k in range(7))
         us, vs = [], []
         for i in range(len(node)):
-            at = np.flatnonzero((component != component[i]) & ((mine != mine[i]) | (other == mine)) & ((node != node[i]) if best else (node < node[i])))
+            possible = 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
+            at = np.flatnonzero(possible & (component != component[i]) & ((mine != mine[i]) | (other == mine)) & ((node != node[i]) if best else (node < node[i])))
             if not len(at):
                 continue
             apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1)
@@ -184,8 +200,8 @@ def _compare_blocks(best: bool):
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
-            data = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7)]
-            lists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) for k in (7, 8)]
+            data = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
+            lists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) for k in (8, 9)]
             cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if key is not None and tuple(keys[s]) != key:
@@ -207,10 +223,10 @@ def _rest(buckets: DataFrame, leaders: DataFrame, found: DataFrame | None, class
     else:
         rows = rows.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "sketch", "bands"), "node")
+    open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "n", "sketch", "bands"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "other", "sketch", "bands")
+    keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "other", "n", "sketch", "bands")
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_compare_blocks(best), "u long, v long").distinct()
 
@@ -225,19 +241,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = c.select("node", F.explode("bands").alias("band"))
     leaders = Table(buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1"))
     pairs = buckets.join(leaders.read(), "band").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    sketched = pairs.join(c.select(F.col("node").alias("u"), F.col("sketch").alias("x")), "u").join(c.select(F.col("node").alias("v"), F.col("sketch").alias("y")), "v")
-    led = sketched.where(_differing("x", "y") <= MAX_DIFFERING).select("u", "v")
+    sketched = pairs.join(c.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("x")), "u").join(c.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("y")), "v")
+    led = sketched.where(_sizes_allow("nu", "nv")).where(_differing("x", "y") <= MAX_DIFFERING).select("u", "v")
     near = Table(led.unionByName(_rest(buckets, leaders.read(), None, c, best=True)).distinct())
-    links = Table(confirm(near.read(), texts))
+    links = confirm(near.read(), texts)
     near.drop()
-    found = components(links.read())
+    found = Table(components(links.read()))
     # All pairs of members that are still apart; a pair with the smallest member of a shared bucket was held against it.
     rest = Table(_rest(buckets, leaders.read(), found.read(), c, best=False))
-    if rest.read().limit(1).count():
-        more = Table(confirm(rest.read(), texts))
-        if more.read().limit(1).count():
+    if not rest.read().isEmpty():
+        more = confirm(rest.read(), texts)
+        if not more.read().isEmpty():
             found.drop()
-            found = components(links.read().unionByName(more.read()))
+            found = Table(components(links.read().unionByName(more.read())))
         more.drop()
     rest.drop()
     of_class = c.select("s1", "s2", "n", "node").join(found.read(), "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
@@ -251,8 +267,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group, with their own columns."""
-    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
+    name = free_name(docs, "dropped")
+    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop[name]), "left_anti")
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

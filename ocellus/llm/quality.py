@@ -3,8 +3,8 @@
 Small boosted trees over text statistics give their paths as conjunctive
 rules; a lasso logistic regression over the rules keeps few of them; those are
 compiled into one Spark column expression, so a score is a sum over native
-comparisons. Fitting takes at most sample_rows labelled rows, those of lowest
-hash; scoring takes every row.
+comparisons. Fitting takes at most sample_rows labelled documents, of low hash;
+scoring takes every row.
 
 Cases: a null or empty text is scored as one whose counts are 0; a null doc_id
 has no label, and its crc32 is an empty text's; rows of labels that share a
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._shared import Table, bucket, documents
+from ocellus.llm._shared import Table, bucket, documents, sampled
 from ocellus.llm.stats import with_stats
 
 SAMPLE_ROWS = 8_000
@@ -146,19 +146,21 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 
 
 def train(stats: DataFrame, labels: DataFrame, name: str = "stats", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Rules:
-    """Fit on the sample_rows labelled rows of lowest hash whose crc32 modulo 3 is not 1."""
-    rows = stats.where(bucket(F.col("doc_id"), 3) != 1).join(labelled(labels, label), "doc_id")
-    picked = rows.select(F.xxhash64("doc_id").alias("h"), "y", *[c.alias(k) for k, c in feature_columns(name).items()]).orderBy("h", *FEATURES).limit(sample_rows).toPandas()
+    """Fit on at most sample_rows labelled documents of low hash whose crc32 modulo 3 is not 1; of rows that share a doc_id, on the one of least counts."""
+    said = labelled(labels, label).where(bucket(F.col("doc_id"), 3) != 1)
+    rows = stats.select("doc_id", F.col(name).alias("counts")).join(said, "doc_id").groupBy("doc_id", "y").agg(F.min("counts").alias("counts"))
+    kept = Table(rows.select(F.xxhash64("doc_id").alias("h"), "y", *[c.alias(k) for k, c in feature_columns("counts").items()]))
+    picked = sampled(kept, "h", sample_rows).orderBy("h").limit(sample_rows).toPandas()
+    kept.drop()
     return fit(picked[list(FEATURES)].to_numpy(dtype=float), (picked["y"].to_numpy() == 1).astype(float))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The documents whose score reaches cut, with their own columns."""
-    # Counts are small, so they are joined to the labels, and the texts stay where they are.
-    counts, name = with_stats(docs, ["doc_id"])
-    model = train(counts, labels, name)
     made, name = with_stats(docs)
-    return made.where(model.column(feature_columns(name)) >= cut).drop(name)
+    rows = Table(made).read()
+    model = train(rows, labels, name)
+    return rows.where(model.column(feature_columns(name)) >= cut).drop(name)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat, decontaminate, langid, near_dup, packing, quality, rules, secrets, substrings, suffix_dedup
+from ocellus.llm import chat, decontaminate, langid, near_dup, oracles, packing, quality, rules, secrets, substrings, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -20,7 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": near_dup.op9_minhash_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
-#: The others' models, digests of spans and tokenizers cannot be put in SQL.
+#: The others' models and tokenizers cannot be put in SQL.
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op3_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op5_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
     "op6_chat_formatting": chat.OP6_SQL,
+    "op9_minhash_near_dedup": oracles.NEAR_DEDUP,
 }

@@ -11,8 +11,9 @@ few labels gets no cutoff, and none of its documents is rejected by a rule.
 
 Cases: a null or empty text has no words and fails the base rules; a null
 language is a stratum of its own; a null doc_id has no label; rows of labels
-that share a doc_id count as their lowest quality; repeated rows are judged
-each; without labels only the base rules reject; other columns are ignored.
+that share a doc_id count as their lowest quality; rows of documents that share
+one are judged each, and count once, as one labelled document, for the bounds;
+without labels only the base rules reject; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,12 +98,28 @@ def judge(rows: DataFrame, chosen: DataFrame, stats: str, stratum: str) -> DataF
     return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
-def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    made, stats = with_stats(docs.withColumn("stratum", F.coalesce(F.col("lang"), F.lit(""))), ["doc_id", "stratum"])
+def strata(lang: Column) -> Column:
+    """A stratum for each language, and one for none."""
+    return F.when(lang.isNull(), F.lit("none")).otherwise(F.concat(F.lit("lang "), lang.cast("string")))
+
+
+def labelled_good(rows: DataFrame, labels: DataFrame, stats: str, stratum: str) -> DataFrame:
+    """Stratum and counts of each good labelled document, once: of rows that share a doc_id, the first stratum's and least counts."""
+    good = labelled(labels, "quality").where("y = 1").select("doc_id")
+    one = rows.join(good, "doc_id").groupBy("doc_id").agg(F.min(F.struct(stratum, stats)).alias("x"))
+    return one.select("doc_id", "x.*")
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of each document."""
+    own = docs.select("doc_id", "text", strata(F.col("lang")).alias("stratum"))
+    made, stats = with_stats(own, ["doc_id", "stratum"])
     table = Table(made).read()
-    good = table.join(labelled(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality").where("y = 1").select("doc_id"), "doc_id")
-    chosen = Table(cutoffs(good, stats, "stratum")).read()
+    chosen = Table(cutoffs(labelled_good(table, labels, stats, "stratum"), stats, "stratum")).read()
     out = judge(table, chosen, stats, "stratum")
     counts = [F.col(f"{stats}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select("doc_id", *counts, "base_failed", "kept")
+
+
+def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    return apply_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

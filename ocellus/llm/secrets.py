@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm._shared import documents
-from ocellus.llm._text import ranges, slices, spans, utf8
+from ocellus.llm._shared import Table, documents
+from ocellus.llm._text import LOWER, give_back, ranges, slices, spans, utf8
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -53,6 +53,13 @@ RANDOM = {
 }
 
 
+#: In lower case, what any match of the first two patterns begins with; and characters of the third.
+_HEADS = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia")
+_HEX = np.zeros(256, dtype=bool)
+_HEX[list(b"0123456789abcdef")] = True
+MIN_HEX = 24
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     if "AKIA" in text:
@@ -114,24 +121,73 @@ def token_ratios(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, ratios: np
     return np.stack([np.add.reduceat(r[pair], edge) for r in ratios]).max(axis=0)
 
 
+def _char_starts(b: np.ndarray) -> np.ndarray:
+    """How many code points begin before each byte."""
+    return np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+
+
+def _maybe(b: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Documents in which a pattern can match at all."""
+    out, low, last = set(), LOWER[b].tobytes(), len(off) - 2
+    for head in _HEADS:
+        at = low.find(head)
+        while at >= 0:
+            d = min(int(np.searchsorted(off, at, side="right")) - 1, last)
+            out.add(d)
+            at = low.find(head, int(off[d + 1]))
+    starts, ends, _ = spans(b, off, _HEX)
+    out.update((np.searchsorted(off, starts[ends - starts >= MIN_HEX], side="right") - 1).tolist())
+    return np.array(sorted(out), dtype=np.int64)
+
+
+def found_by_patterns(b: np.ndarray, off: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    """The base spans of each document of a byte buffer; code points."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in range(len(off) - 1)]
+    for d in _maybe(b, off).tolist():
+        out[d] = base_spans(b[off[d] : off[d + 1]].tobytes().decode())
+    return out
+
+
 def find(b: np.ndarray, off: np.ndarray, ratios: np.ndarray) -> list[list[tuple[str, int, int]]]:
     """All spans of each document of a byte buffer, in order; code points."""
-    out = [base_spans(bytes(b[off[k] : off[k + 1]]).decode()) for k in range(len(off) - 1)]
+    out = found_by_patterns(b, off)
     starts, ends, _ = spans(b, off, _TOKEN)
     long = ends - starts >= MIN_TOKEN
     starts, ends = starts[long], ends[long]
     hit = token_ratios(b, starts, ends, ratios) >= THRESHOLD
-    doc = np.searchsorted(off, starts[hit], side="right") - 1
-    for s, e, d in zip(starts[hit].tolist(), ends[hit].tolist(), doc.tolist(), strict=True):
-        head = b[off[d] : s]
-        at = int(np.count_nonzero((head & 0xC0) != 0x80))
-        if all(at + e - s <= x or y <= at for _, x, y in out[d]):
-            out[d].append(("markov", at, at + e - s))
+    starts, ends = starts[hit], ends[hit]
+    if len(starts):
+        doc = np.searchsorted(off, starts, side="right") - 1
+        before = _char_starts(b)
+        at, to = before[starts] - before[off[doc]], before[ends] - before[off[doc]]
+        cuts = np.searchsorted(doc, np.arange(len(off)))
+        for d in np.unique(doc).tolist():
+            s, e = at[cuts[d] : cuts[d + 1]], to[cuts[d] : cuts[d + 1]]
+            if out[d]:
+                # A span overlaps a pattern's when one that starts before its end ends after its start.
+                base = sorted((x, y) for _, x, y in out[d])
+                reach = np.maximum.accumulate([y for _, y in base])
+                k = np.searchsorted([x for x, _ in base], e, side="left") - 1
+                free = (k < 0) | (reach[np.maximum(k, 0)] <= s)
+                s, e = s[free], e[free]
+            out[d] += [("markov", x, y) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
     for found in out:
         found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return out
 
 
+def _in_patterns(b: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Flags of tokens that begin inside a pattern's match."""
+    inside = np.zeros(len(starts), dtype=bool)
+    for d, found in enumerate(found_by_patterns(b, off)):
+        if found:
+            s, e = np.searchsorted(starts, off[d : d + 2])
+            at = _char_starts(b[off[d] : off[d + 1]])[starts[s:e] - off[d]]
+            for _, x, y in found:
+                inside[s + np.searchsorted(at, x) : s + np.searchsorted(at, y)] = True
+    return inside
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(N * N, np.int64)
     for batch in batches:
@@ -139,7 +195,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(off):
             part, at = b[off[i] : off[j]], off[i : j + 1] - off[i]
             starts, ends, _ = spans(part, at, _TOKEN)
-            short = (ends - starts < MIN_TOKEN) & (ends - starts > 1)
+            short = (ends - starts < MIN_TOKEN) & (ends - starts > 1) & ~_in_patterns(part, at, starts)
             total += pair_counts(part, starts[short], ends[short])
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
@@ -148,7 +204,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> np.ndarray:
     """The models; of the corpus only N*N sums reach the driver.
 
-    Tokens shorter than MIN_TOKEN stand for ordinary identifiers: no span of the models is that short.
+    Every token is a labelled sample: one outside the patterns' matches and shorter than MIN_TOKEN is labelled ordinary
+    (no span of the models is that short); those inside are labelled secret, and train no ordinary model.
     """
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sums = rows.mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
@@ -176,6 +233,7 @@ def _scan(ratios: np.ndarray):
                     n = [sum(x[0] == k for x in base) for k in KINDS[:3]]
                     rows.append((doc_id, *n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(found)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        give_back()
 
     return run
 
@@ -206,13 +264,14 @@ def _redact(at: int, ratios: np.ndarray, mark: str):
                 found = find(b[off[i] : off[j]], off[i : j + 1] - off[i], ratios)
                 texts += [t.as_py() if not f else replaced(t.as_py(), f, mark) for t, f in zip(column.slice(i, j - i), found, strict=True)]
             yield batch.set_column(at, batch.schema.names[at], pa.array(texts, column.type))
+        give_back()
 
     return run
 
 
 def redact(docs: DataFrame, ratios: np.ndarray, mark: str = MARK) -> DataFrame:
     """docs with the spans of each text replaced; null texts stay null, and a column n_chars follows the text."""
-    out = docs.mapInArrow(_redact(docs.columns.index("text"), ratios, mark), docs.schema)
+    out = Table(docs.mapInArrow(_redact(docs.columns.index("text"), ratios, mark), docs.schema)).read()
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -220,4 +279,4 @@ def redact(docs: DataFrame, ratios: np.ndarray, mark: str = MARK) -> DataFrame:
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return scan(docs, train(docs))
+    return Table(scan(docs, train(docs))).read()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
-from ocellus.llm._text import NULL_ID, PLAIN, WINDOW_BASES, leftmost_least, ranges, sequence_hash, slices, span_hash, spans, utf8, window_hash
+from ocellus.llm._text import NULL_ID, PLAIN, WINDOW_BASES, give_back, leftmost_least, ranges, sequence_hash, slices, span_hash, spans, utf8, window_hash
 
 WIDTH = 20
 #: The shortest windows that a first level looks at.
@@ -42,9 +42,11 @@ LEAST = 5
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """k, t and text: a document is known by its id and its text's hash, in that order."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
+    """k, t and text: a document is known by its id and, where rows share that, its text's hash (else 0, which costs nothing to shuffle)."""
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    shared = Table(docs.select(k.alias("k")).groupBy("k").agg(F.count("*").alias("_c")).where("_c > 1"))
+    rows = docs.select(k.alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(shared.read(), "k", "left")
+    return rows.select("k", F.when(F.col("_c").isNull(), 0).otherwise(F.xxhash64("text")).alias("t"), "text")
 
 
 def levels(width: int, least: int) -> list[int]:
@@ -106,6 +108,7 @@ def _emit_anchors(lengths: list[int], units):
                 h, first = units(b[off[i] : off[j]], off[i : j + 1] - off[i])
                 made = segments(h, first, [lengths[0], lengths[-1]])
                 yield pa.RecordBatch.from_arrays([pa.array(made.anchors[0][_changes(made.places[0])].view(np.int64))], names=["a0"])
+        give_back()
 
     return run
 
@@ -125,6 +128,7 @@ def _emit_segments(lengths: list[int], units):
                 f = sequence_hash(h, made.start, made.start + made.n - 1 + lengths[-1])
                 columns = [*made.anchors, *[_changes(p) for p in made.places[1:]], f, k[i + made.doc], t[i + made.doc], (made.start - first[made.doc]) << 32 | made.n]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
+        give_back()
 
     return run
 
@@ -151,6 +155,7 @@ def _emit_windows(width: int):
                 hashes = [window_hash(h, width, base)[at].view(np.int64) for base in WINDOW_BASES]
                 own = np.repeat(i + doc, n)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, k[own], t[own], ranges(p, n) << 32 | 1)], names=["h1", "h2", "k", "t", "run"])
+        give_back()
 
     return run
 
@@ -186,6 +191,7 @@ def _kept_words(width: int, digest: bool):
                     kept = kept[:-1].tobytes()
                     out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["k", "n_words", "n_removed", "kept"])
+        give_back()
 
     return run
 
@@ -246,7 +252,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False) -
     texts = _keyed(docs)
     out = texts.join(repeats(texts, width), ["k", "t"], "left").select("k", "text", "listed")
     made = out.mapInArrow(_kept_words(width, digest), "k long, n_words long, n_removed long, kept string")
-    return made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "text"))
+    return Table(made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "text"))).read()
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ length are neighbours there, and all but the earliest of them are removed.
 
 An anchor that stands in more than HOT different segments is extended, by half
 of what is missing to the wanted length each time, to one side or the other of
-each string, which parts its segments and spreads them over the shards.
+each string, which parts its segments and spreads them over the shards. Only
+the segments' own bytes are handled again for that.
 
 A shard is a partition of the shuffle, of any size: its text, the places of its
 segments and its queues are in scratch files of its worker where they exceed
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
-from ocellus.llm._text import NULL_ID, mix, ranges, runs, sequence_hash, slices, utf8
+from ocellus.llm._text import NULL_ID, give_back, mix, ranges, runs, sequence_hash, slices, utf8
 from ocellus.llm.substrings import _keyed, _removed, later_places, listed, repeated_segments, segments, shared_anchors
 from ocellus.llm.suffix import IN_MEMORY, Growing, Scratch, suffix_order
 
@@ -52,6 +53,12 @@ def byte_units(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _BYTES[b], off
 
 
+def _binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bytes in a row as binaries of these sizes."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
 def _cut_segments(length: int):
     """The bytes of listed segments; rows k, t, text, list of (a, run)."""
 
@@ -65,34 +72,31 @@ def _cut_segments(length: int):
                 a, packed = (flat.field(x).to_numpy() for x in range(2))
                 doc = i + np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
                 size = (packed & 0xFFFFFFFF) + length - 1
-                data = b[ranges(off[doc] + (packed >> 32), size)]
-                ends = np.concatenate(([0], np.cumsum(size)))
-                cut = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k[doc]), pa.array(t[doc]), pa.array(packed >> 32), cut], names=["a", "k", "t", "p", "s"])
+                cut = _binaries(b[ranges(off[doc] + (packed >> 32), size)], size)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k[doc]), pa.array(t[doc]), pa.array(packed), cut], names=["a", "k", "t", "run", "s"])
+        give_back()
 
     return run
 
 
-def _extend_anchors(lengths: list[int]):
-    """Listed segments parted by longer anchors; rows k, t, text, list of runs."""
+def _part_segments(lengths: list[int]):
+    """Segments parted by longer anchors; rows a, k, t, run, s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, off = utf8(batch.column(2))
-            k, t, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            b, off = utf8(batch.column(4))
+            k, t, packed = (batch.column(x).to_numpy() for x in (1, 2, 3))
             for i, j in slices(off):
-                h, first = byte_units(b[off[i] : off[j]], off[i : j + 1] - off[i])
-                part = found.slice(i, j - i)
-                packed = part.flatten().to_numpy()
-                doc = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
-                wanted = np.zeros(len(h) + 1, dtype=bool)
-                wanted[ranges(first[doc] + (packed >> 32), packed & 0xFFFFFFFF)] = True
+                part, first = b[off[i] : off[j]], off[i : j + 1] - off[i]
+                h, first = byte_units(part, first)
                 made = segments(h, first, lengths)
-                own = wanted[made.start]
-                doc, start, n = made.doc[own], made.start[own], made.n[own]
-                f = sequence_hash(h, start, start + n - 1 + lengths[-1])
-                columns = [made.anchors[-1][own].view(np.int64), f.view(np.int64), k[i + doc], t[i + doc], (start - first[doc]) << 32 | n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "f", "k", "t", "run"])
+                size = made.n - 1 + lengths[-1]
+                f = sequence_hash(h, made.start, made.start + size)
+                own = i + made.doc
+                place = (packed[own] >> 32) + made.start - first[made.doc]
+                columns = [made.anchors[-1].view(np.int64), f.view(np.int64), k[own], t[own], place << 32 | made.n]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], _binaries(part[ranges(made.start, size)], size)], names=["a", "f", "k", "t", "run", "s"])
+        give_back()
 
     return run
 
@@ -132,10 +136,12 @@ class _Shard:
             member = together | np.append(together[1:], True)
             at, group = place[member], np.cumsum(~together[member])
             owner = np.searchsorted(starts, at, side="right") - 1
-            order = np.lexsort((p[owner] + at - starts[owner], t[owner], k[owner], group))
-            at, group, owner = at[order], group[order], owner[order]
-            again = np.zeros(len(at), dtype=bool)
-            again[1:] = group[1:] == group[:-1]
+            own = np.stack([k[owner], t[owner], p[owner] + at - starts[owner]])
+            order = np.lexsort((*own[::-1], group))
+            at, group, owner, own = at[order], group[order], owner[order], own[:, order]
+            # A repeated row has the same places again, which are not later.
+            least = np.searchsorted(group, group)
+            again = (own != own[:, least]).any(axis=0)
             # Strings that reach into the next segment are none.
             inside = at - starts[owner] + length <= sizes[owner]
             flags[at[again & inside]] = True
@@ -149,15 +155,17 @@ class _Shard:
 
 
 def _sort_shards(length: int):
-    """Rows a, k, t, p, s: a partition is a shard."""
+    """Rows a, k, t, run, s: a partition is a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard()
         for batch in batches:
-            data, off = utf8(batch.column(4).cast(pa.large_binary()))
-            shard.add(*(batch.column(x).to_numpy() for x in (1, 2, 3)), data, np.diff(off))
+            data, off = utf8(batch.column(4))
+            k, t, packed = (batch.column(x).to_numpy() for x in (1, 2, 3))
+            shard.add(k, t, packed >> 32, data, np.diff(off))
         for columns in shard.later(length):
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in columns], names=["k", "t", "run"])
+        give_back()
 
     return run
 
@@ -170,45 +178,43 @@ def _anchor_levels(length: int) -> list[int]:
     return out
 
 
-def spread_anchors(texts: DataFrame, firsts: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
-    """First segments (a, k, t, run) of anchors in different segments, those of hot anchors parted; and places that are found to be later on the way."""
-    later, lengths = [], _anchor_levels(length)
-    settled, shared = [], shared_anchors(firsts).read()
-    rows = firsts
+def spread_anchors(cut: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
+    """Different segments of each anchor (a, k, t, run, s) with those of hot anchors parted; and places that are found to be later on the way."""
+    later, settled, lengths = [], [], _anchor_levels(length)
     for m in range(2, len(lengths) + 1):
-        settled.append(rows.join(shared.where(F.col("d") <= hot), "a", "left_semi").select("a", "first.*"))
-        many = shared.where(F.col("d") > hot)
+        many = Table(cut.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("a")).read()
         if many.isEmpty():
             break
-        lists = listed(rows.join(many, "a", "left_semi").select("first.*"))
-        parted = Table(texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").mapInArrow(_extend_anchors([*lengths[:m], length]), "a long, f long, k long, t long, run long")).read()
-        rows = Table(parted.groupBy("a", "f").agg(F.min(F.struct("k", "t", "run")).alias("first"), F.count("*").alias("c"))).read()
-        later.append(later_places(parted, ["a", "f"], rows))
-        shared = shared_anchors(rows).read()
-    else:
-        settled.append(rows.join(shared, "a", "left_semi").select("a", "first.*"))
-    out = settled[0]
-    for s in settled[1:]:
-        out = out.unionByName(s)
-    return out, later
+        settled.append(cut.join(many, "a", "left_anti"))
+        pieces = Table(cut.join(many, "a", "left_semi").mapInArrow(_part_segments([*lengths[:m], length]), "a long, f long, k long, t long, run long, s binary")).read()
+        firsts = Table(pieces.groupBy("a", "f").agg(F.min(F.struct("k", "t", "run", "s")).alias("first"), F.count("*").alias("c"))).read()
+        places = firsts.select("a", "f", "c", F.struct("first.k", "first.t", "first.run").alias("first"))
+        later.append(later_places(pieces.drop("s"), ["a", "f"], places))
+        cut = Table(firsts.join(shared_anchors(firsts).read(), "a", "left_semi").select("a", "first.*")).read()
+    for s in settled:
+        cut = cut.unionByName(s)
+    return cut, later
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """k, t and a list of runs of strings (p << 32 | n) that occur earlier too."""
     found, firsts = repeated_segments(texts, [(length + 1) // 2, length], byte_units)
     f = firsts.read()
-    first_segments, later = spread_anchors(texts, f, length, hot)
-    lists = first_segments.groupBy("k", "t").agg(F.collect_list(F.struct("a", "run")).alias("listed"))
-    cut = texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").dropDuplicates(["k", "t"]).mapInArrow(_cut_segments(length), "a long, k long, t long, p long, s binary")
+    lists = f.join(shared_anchors(f).read(), "a", "left_semi").select("a", "first.*").groupBy("k", "t").agg(F.collect_list(F.struct("a", "run")).alias("listed"))
+    cut = Table(texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").mapInArrow(_cut_segments(length), "a long, k long, t long, run long, s binary"))
+    parted, later = spread_anchors(cut.read(), length, hot)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = Table(cut.repartition(parts, "a").mapInArrow(_sort_shards(length), "k long, t long, run long")).read()
+    out = Table(parted.repartition(parts, "a").mapInArrow(_sort_shards(length), "k long, t long, run long")).read()
     for rows in [later_places(found.read().withColumnRenamed("a0", "a"), ["a", "f"], f), *later]:
         out = out.unionByName(rows)
-    return listed(out)
+    runs_ = Table(listed(out))
+    for table in (found, firsts, cut):
+        table.drop()
+    return runs_.read()
 
 
-def _kept_bytes(length: int):
-    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+def _kept_bytes(length: int, digest: bool):
+    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * (not digest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,21 +226,23 @@ def _kept_bytes(length: int):
                 if found.values is not None:
                     gone = _removed(found.values.to_numpy(), total, length)
                     spans, own = len(runs(gone)[0]), own[~gone]
-                rows.append((total, total - len(own), spans, hashlib.sha256(own.tobytes()).hexdigest(), own.tobytes()))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
+                kept = own.tobytes()
+                rows.append((total, total - len(own), spans, hashlib.sha256(kept).hexdigest(), *[kept] * (not digest)))
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * (not digest)
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=names)
+        give_back()
 
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, digest: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, without digest, the kept bytes."""
     texts = _keyed(docs)
     out = texts.join(repeats(texts, length, hot), ["k", "t"], "left").select("k", "text", "listed")
-    made = out.mapInArrow(_kept_bytes(length), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    made = out.mapInArrow(_kept_bytes(length, digest), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * (not digest))
+    return Table(made.withColumn("doc_id", F.nullif(F.col("k"), F.lit(NULL_ID))).select("doc_id", *made.columns[1:])).read()
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return without_repeats(documents(spark, sf_dir)).drop("kept")
+    return without_repeats(documents(spark, sf_dir), digest=True)

@@ -19,6 +19,7 @@ def planted(spark, tmp_path_factory):
     junk = {300 + k: " ".join(f"{rng.choice(vocabulary)}%%%{rng.choice('#$&')}" for _ in range(80)) for k in range(120)}
     bench = [(k, say(36)) for k in range(5)]
     leaks = {500 + k: f"{say(48)} {t} {say(48)}" for k, t in bench}
+    leaks |= {520: f"{say(1200)} {bench[0][1]} {say(1200)}"}
     copies = {600 + k: good[k] for k in range(20)} | {700 + k: good[k] + " " + rng.choice(vocabulary) for k in range(20, 40)}
     key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
     secret = {800: f'{say(60)} token = "{key}" {say(60)}'}
