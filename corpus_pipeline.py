@@ -6,7 +6,6 @@ documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,44 +17,26 @@ from ocellus.llm._shared import Table, documents
 ORACLE_SQL: str | None = None
 
 
-#: Rows of an Arrow batch: whole texts are long, and each task of an executor holds a batch on either side.
-BATCH_ROWS = 1_000
-
-
-def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_bounded
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores 0.5 or more."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@_bounded
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group."""
     return near_dup.first_of_each(docs)
 
 
-@_bounded
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows do not contaminate."""
+    """Documents that no window of the benchmark occurs in."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_bounded
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced."""
     return secrets.redact(docs, secrets.train(docs))
 
 
-@_bounded
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences."""
     return packing.pack_documents(docs)
