@@ -8,6 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ocellus.sources.las import las_bytes, las_header, las_records
+
+__all__ = ["las_bytes", "las_header", "las_records"]
+
 PCD_TYPES = {("F", 4): "f4", ("F", 8): "f8", ("I", 1): "i1", ("I", 2): "i2", ("I", 4): "i4", ("I", 8): "i8", ("U", 1): "u1", ("U", 2): "u2", ("U", 4): "u4", ("U", 8): "u8"}
 
 
@@ -78,73 +82,6 @@ def pcd_bytes(columns: dict[str, np.ndarray], binary: bool = True) -> bytes:
     return head.encode() + "".join(" ".join(str(a[k].item()) for a in arrays) + "\n" for k in range(n)).encode()
 
 
-_OLD = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classes", "u1"), ("scanAngle", "i1"), ("userData", "u1"), ("pointSourceID", "<u2")]
-_NEW = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("classification", "u1"), ("userData", "u1"), ("scanAngle", "<i2"), ("pointSourceID", "<u2"), ("GPSTime", "<f8")]
-_TIME, _RGB, _NIR = [("GPSTime", "<f8")], [("red", "<u2"), ("green", "<u2"), ("blue", "<u2")], [("NIR", "<u2")]
-_WAVE = [("waveDescriptor", "u1"), ("waveOffset", "<u8"), ("waveSize", "<u4"), ("waveReturn", "<f4"), ("waveX", "<f4"), ("waveY", "<f4"), ("waveZ", "<f4")]
-#: The fields of LAS point formats 0 to 10.
-LAS_FORMATS = {
-    0: _OLD, 1: _OLD + _TIME, 2: _OLD + _RGB, 3: _OLD + _TIME + _RGB, 4: _OLD + _TIME + _WAVE, 5: _OLD + _TIME + _RGB + _WAVE,
-    6: _NEW, 7: _NEW + _RGB, 8: _NEW + _RGB + _NIR, 9: _NEW + _WAVE, 10: _NEW + _RGB + _NIR + _WAVE,
-}
-NO_POSITION = 2147483647
-
-
-def las_header(raw: bytes) -> dict:
-    if raw[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    minor = raw[25]
-    data_at, = struct.unpack_from("<I", raw, 96)
-    fmt, size, count = struct.unpack_from("<BHI", raw, 104)
-    if minor >= 4:
-        long_count, = struct.unpack_from("<Q", raw, 247)
-        count = long_count or count
-    return {"major": raw[24], "minor": minor, "format": fmt & 0x3F, "record_size": size, "points": count, "data_at": data_at, "scale": struct.unpack_from("<3d", raw, 131), "offset": struct.unpack_from("<3d", raw, 155)}
-
-
-def las_records(raw: bytes) -> tuple[dict, dict[str, np.ndarray]]:
-    """Header and columns: positions scaled (NaN where there is none), bit fields apart, extra bytes as they are."""
-    h = las_header(raw)
-    fields = LAS_FORMATS[h["format"]]
-    own = np.dtype(fields)
-    extra = h["record_size"] - own.itemsize
-    dtype = np.dtype([*fields, ("extra", f"V{extra}")]) if extra else own
-    rows = np.frombuffer(raw, dtype=dtype, count=h["points"], offset=h["data_at"])
-    out = {c: np.where(rows[c.upper()] == NO_POSITION, np.nan, rows[c.upper()] * s + o) for c, s, o in zip("xyz", h["scale"], h["offset"], strict=True)}
-    out |= {f: rows[f] for f, _ in fields if f not in ("X", "Y", "Z", "flags", "returns", "classes")}
-    flags = rows["flags"]
-    if h["format"] <= 5:
-        bits = {"returnNumber": (flags, 0, 3), "numberOfReturns": (flags, 3, 3), "scanDirection": (flags, 6, 1), "edge": (flags, 7, 1), "classification": (rows["classes"], 0, 5), "synthetic": (rows["classes"], 5, 1), "keyPoint": (rows["classes"], 6, 1), "withheld": (rows["classes"], 7, 1)}
-    else:
-        bits = {"returnNumber": (rows["returns"], 0, 4), "numberOfReturns": (rows["returns"], 4, 4), "synthetic": (flags, 0, 1), "keyPoint": (flags, 1, 1), "withheld": (flags, 2, 1), "overlap": (flags, 3, 1), "scannerChannel": (flags, 4, 2), "scanDirection": (flags, 6, 1), "edge": (flags, 7, 1)}
-    return h, out | {k: (a >> s) & ((1 << n) - 1) for k, (a, s, n) in bits.items()}
-
-
-def las_bytes(columns: dict[str, np.ndarray], scale: float = 0.01) -> bytes:
-    """A version 1.4 file; its point format is the least of 6, 7 and 8 that holds the colours there are."""
-    n = len(columns["x"])
-    lower = {c.lower(): np.asarray(a) for c, a in columns.items()}
-    fmt = 8 if "nir" in lower else 7 if "red" in lower else 6
-    rows = np.zeros(n, dtype=LAS_FORMATS[fmt])
-    for c in "xyz":
-        v = np.asarray(columns[c], dtype=float)
-        rows[c.upper()] = np.where(np.isnan(v), NO_POSITION, np.round(np.nan_to_num(v) / scale))
-    for f, _ in LAS_FORMATS[fmt]:
-        if f.lower() in lower and f not in ("X", "Y", "Z"):
-            rows[f] = lower[f.lower()]
-    one = np.zeros(n, dtype=np.int64)
-    rows["returns"] = lower.get("returnnumber", one + 1) | (lower.get("numberofreturns", one + 1) << 4)
-    head = bytearray(375)
-    head[:4], head[24], head[25] = b"LASF", 1, 4
-    struct.pack_into("<HII", head, 94, 375, 375, 0)
-    struct.pack_into("<BHI", head, 104, fmt, rows.dtype.itemsize, 0)
-    struct.pack_into("<3d", head, 131, scale, scale, scale)
-    struct.pack_into("<Q", head, 247, n)
-    for k, v in enumerate(np.bincount(np.asarray(rows["returns"]) & 15, minlength=16)[1:16]):
-        struct.pack_into("<Q", head, 255 + 8 * k, int(v))
-    return bytes(head) + rows.tobytes()
-
-
 #: The fields of SDC records, and the versions that add to them.
 SDC_FIELDS = [
     ("time", "<f8"), ("range", "<f4"), ("theta", "<f4"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("amplitude", "<u2"), ("width", "<u2"), ("targettype", "u1"), ("target", "u1"),
@@ -199,18 +136,70 @@ def dense_bytes(array: np.ndarray) -> bytes:
     return " ".join(head).encode() + b"\n" + a.tobytes()
 
 
-def metacloud(text: str) -> dict[str, list[str]]:
-    """Sections of a metacloud file: a name on a line, then its entries up to the next name."""
-    sections: dict[str, list[str]] = {}
-    now: list[str] | None = None
+@dataclass
+class Metacloud:
+    """Members in order; side files with (kind, name) of their attributes; indices (path, type, name); typed attributes of the whole."""
+
+    members: list[str]
+    sides: list[tuple[str, list[tuple[str, str]]]]
+    indices: list[tuple[str, str, str]]
+    attributes: dict[str, int | float | str]
+
+
+SECTIONS = ("POINTS_FILES", "EXTRA_ATTRIBUTES", "INDEX_FILES", "METACLOUD_ATTRIBUTES")
+#: The kinds of a side file's attributes.
+SIDE_KINDS = {"uint8": "u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8", "int8": "i1", "int16": "<i2", "int32": "<i4", "int64": "<i8", "float32": "<f4", "float64": "<f8"}
+_TOKEN = re.compile(r'"((?:[^"\\]|\\.)*)"|([^\s"#]+)|(#.*)')
+_WHOLE = re.compile(r"[+-]?[0-9]+")
+_REAL = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+
+
+def _tokens(line: str) -> list[tuple[str, bool]]:
+    """Words of a line up to a comment, and whether each was in quotes."""
+    out = []
+    for quoted, bare, comment in _TOKEN.findall(line):
+        if comment:
+            break
+        out.append((bare, False) if bare else (re.sub(r"\\(.)", r"\1", quoted), True))
+    return out
+
+
+def read_metacloud_text(text: str) -> Metacloud:
+    """A section's name stands alone on a line; its entries follow up to the next name."""
+    out, now = Metacloud([], [], [], {}), None
     for line in text.splitlines():
-        line = line.strip()
-        if not line or line.startswith("#"):
+        words = _tokens(line)
+        if not words:
             continue
-        key, *rest = line.split(maxsplit=1)
-        if key.upper().rstrip(":") in ("POINTS_FILES", "EXTRA_ATTRIBUTES", "INDEX_FILES", "METACLOUD_ATTRIBUTES"):
-            now = sections.setdefault(key.upper().rstrip(":"), [])
-            line = rest[0] if rest else ""
-        if now is not None and line:
-            now.append(line)
-    return sections
+        said = [w for w, _ in words]
+        if len(words) == 1 and not words[0][1] and said[0] in SECTIONS:
+            now = said[0]
+        elif now == "POINTS_FILES":
+            out.members += said
+        elif now == "EXTRA_ATTRIBUTES":
+            if len(said) < 3 or len(said) % 2 == 0 or any(k not in SIDE_KINDS for k in said[1::2]):
+                raise ValueError(f"not a side file: {line}")
+            out.sides.append((said[0], list(zip(said[1::2], said[2::2], strict=True))))
+        elif now == "INDEX_FILES":
+            if len(said) != 3:
+                raise ValueError(f"not an index file: {line}")
+            out.indices.append((said[0], said[1], said[2]))
+        elif now == "METACLOUD_ATTRIBUTES":
+            if len(said) != 2:
+                raise ValueError(f"not an attribute: {line}")
+            bare = not words[1][1]
+            out.attributes[said[0]] = int(said[1]) if bare and _WHOLE.fullmatch(said[1]) else float(said[1]) if bare and _REAL.fullmatch(said[1]) else said[1]
+        else:
+            raise ValueError(f"outside of any section: {line}")
+    return out
+
+
+def metacloud(text: str) -> dict[str, list[str]]:
+    """Members by section name."""
+    return {"POINTS_FILES": read_metacloud_text(text).members}
+
+
+def side_records(raw: bytes, attributes: list[tuple[str, str]]) -> np.ndarray:
+    """A side file: records of its attributes one after another, without a header."""
+    dtype = np.dtype([(name, SIDE_KINDS[kind]) for kind, name in attributes])
+    return np.frombuffer(raw, dtype=dtype, count=len(raw) // dtype.itemsize)

@@ -175,7 +175,7 @@ def test_files():
     flow = np.random.default_rng(0).random((3, 4, 2)).astype("f4")
     assert np.array_equal(formats.flow_array(formats.flow_bytes(flow)), flow)
     assert np.array_equal(formats.dense_array(formats.dense_bytes(flow)), flow)
-    assert formats.metacloud("# x\nPOINTS_FILES\na.las\nb.las\nEXTRA_ATTRIBUTES\nc")["POINTS_FILES"] == ["a.las", "b.las"]
+    assert formats.metacloud("# x\nPOINTS_FILES\na.las\nb.las\nEXTRA_ATTRIBUTES\nc int8 n")["POINTS_FILES"] == ["a.las", "b.las"]
 
 
 def test_reading_files_and_members(spark, tmp_path):
