@@ -104,7 +104,13 @@ def polygon_edges(faces: DataFrame, stride: int = 1 << 20) -> DataFrame:
 
 
 def flow(edges: list[tuple[int, int, float]], source: int, sink: int) -> tuple[float, list[int]]:
-    """Greatest flow along shortest augmenting paths, and the places of all saturated edges."""
+    """Greatest flow, and the places of all saturated edges."""
+    total, full, _ = min_cut(edges, source, sink)
+    return total, full
+
+
+def min_cut(edges: list[tuple[int, int, float]], source: int, sink: int) -> tuple[float, list[int], set[int]]:
+    """Greatest flow along shortest augmenting paths, the places of all saturated edges, and the nodes on the source's side of the least cut."""
     ends: list[int] = []
     room: list[float] = []
     at: dict[int, list[int]] = {}
@@ -124,7 +130,7 @@ def flow(edges: list[tuple[int, int, float]], source: int, sink: int) -> tuple[f
                     came[ends[k]] = k
                     queue.append(ends[k])
         if sink not in came or source == sink:
-            return total, [k for k in range(len(edges)) if room[2 * k] <= 1e-12 and edges[k][2] > 0]
+            return total, [k for k in range(len(edges)) if room[2 * k] <= 1e-12 and edges[k][2] > 0], set(came)
         path, x = [], sink
         while x != source:
             path.append(came[x])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ocellus.operators.graphs import flow
+from ocellus.operators.graphs import min_cut
 from ocellus.operators.sequential import _laplace, _long, conjugate_gradient, image
 
 
@@ -35,21 +35,75 @@ def cut_mask(fore: np.ndarray, back: np.ndarray, smooth: np.ndarray | float) ->
                 if a < h and b < w:
                     s = float(smooth if np.isscalar(smooth) else smooth[i, j])
                     edges += [(k, a * w + b, s), (a * w + b, k, s)]
-    room = {}
-    total, full = flow(edges, -1, -2)
-    full = set(full)
-    for n, (u, v, _) in enumerate(edges):
-        if n not in full:
-            room.setdefault(u, []).append(v)
-    seen, todo = {-1}, [-1]
-    while todo:
-        for v in room.get(todo.pop(), ()):
-            if v not in seen and v != -2:
-                seen.add(v)
-                todo.append(v)
+    seen = min_cut(edges, -1, -2)[2]
     return np.array([[i * w + j in seen for j in range(w)] for i in range(h)])
 
 
+def partial_cut_mask(fore: np.ndarray, back: np.ndarray, smooth: float, known: np.ndarray) -> np.ndarray:
+    """The mask of least cost among those that agree with known (1 true, 0 false, -1 open)."""
+    h, w = fore.shape
+    fore, back, edges = fore.astype(float), back.astype(float), []
+    for i, j in zip(*np.nonzero(known < 0), strict=True):
+        for a, b in ((i, j + 1), (i + 1, j), (i, j - 1), (i - 1, j)):
+            if 0 <= a < h and 0 <= b < w and known[a, b] >= 0:
+                # A neighbour that is settled adds to what the other side costs.
+                (back if known[a, b] else fore)[i, j] += smooth
+    for i, j in zip(*np.nonzero(known < 0), strict=True):
+        k = int(i * w + j)
+        edges += [(-1, k, float(back[i, j])), (k, -2, float(fore[i, j]))]
+        for a, b in ((i, j + 1), (i + 1, j)):
+            if a < h and b < w and known[a, b] < 0:
+                edges += [(k, int(a * w + b), smooth), (int(a * w + b), k, smooth)]
+    mask = known == 1
+    if not edges:
+        return mask
+    seen = min_cut(edges, -1, -2)[2]
+    for k in seen - {-1}:
+        mask[k // w, k % w] = True
+    return mask
+
+
+def hierarchical_cut_mask(fore: np.ndarray, back: np.ndarray, smooth: float, depth: int) -> np.ndarray:
+    """A mask cut at half the size first (costs of 2 x 2 cells together), then opened again along its border only."""
+    h, w = fore.shape
+    if depth <= 0 or h < 4 or w < 4:
+        return cut_mask(fore, back, smooth)
+    pad = ((0, h % 2), (0, w % 2))
+    halves = [np.pad(x, pad).reshape((h + 1) // 2, 2, (w + 1) // 2, 2).sum(axis=(1, 3)) for x in (fore, back)]
+    coarse = np.kron(hierarchical_cut_mask(*halves, 2 * smooth, depth - 1), np.ones((2, 2), dtype=bool))[:h, :w]
+    around = np.pad(coarse, 2, mode="edge")
+    views = [around[a : a + h, b : b + w] for a in range(5) for b in range(5)]
+    border = np.any(views, axis=0) & ~np.all(views, axis=0)
+    return partial_cut_mask(fore, back, smooth, np.where(border, -1, coarse.astype(int)))
+
+
+def hierarchical_masks(cells: DataFrame, threshold: float, smooth: float, depth: int = 2) -> DataFrame:
+    """img, i, j, mask as min_cut_masks(), from coarse to fine."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = image(pdf)
+        return _long(pdf["img"].iloc[0], mask=hierarchical_cut_mask(np.maximum(threshold - x, 0), np.maximum(x - threshold, 0), smooth, depth))
+
+    return cells.select("img", "i", "j", "value").groupBy("img").applyInPandas(run, "img int, i int, j int, mask boolean")
+
+
+#: Fixed value: how many thresholds the automatic decomposition tries.
+THRESHOLDS = 12
+
+
+def automatic_retinex(x: np.ndarray, low: float = 0.05, high: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """The decomposition, of those with thresholds between low and high, whose reflectance has the least spread of levels (entropy of its histogram)."""
+    best = None
+    for t in np.geomspace(low, high, THRESHOLDS):
+        r, s = retinex(x, float(t))
+        n = np.histogram(np.log(np.maximum(r, 1e-6)), bins=64)[0].astype(float)
+        share = n[n > 0] / n.sum()
+        entropy = float(-(share * np.log(share)).sum())
+        if best is None or entropy < best[0] - 1e-12:
+            best = entropy, r, s, float(t)
+    return best[1], best[2], best[3]
+
+
 def min_cut_masks(cells: DataFrame, threshold: float, smooth: float) -> DataFrame:
     """img, i, j, mask: cells above threshold, smoothed."""
 
