@@ -83,6 +83,68 @@ def similarity(ties: DataFrame, scaled: bool = True) -> tuple[float, np.ndarray,
     return s, r, mb - s * r @ ma
 
 
+def affine_map(ties: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A, t with (x2, y2, z2) nearest to A (x, y, z) + t: one aggregation of outer products for all three rows."""
+    columns = [F.col(c) for c in "xyz"] + [F.lit(1.0)]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    got = ties.agg(*[F.sum(columns[i] * columns[j]) for i, j in pairs], *[F.sum(c * F.col(f"{b}2")) for b in "xyz" for c in columns]).first()
+    m = np.zeros((4, 4))
+    for (i, j), v in zip(pairs, got, strict=False):
+        m[i, j] = m[j, i] = v or 0.0
+    right = np.array([v or 0.0 for v in got[len(pairs) :]]).reshape(3, 4).T
+    x = np.linalg.lstsq(m, right, rcond=None)[0]
+    return x[:3].T, x[3]
+
+
+def nearest_similarity(a: np.ndarray, scaled: bool = True) -> tuple[float, np.ndarray]:
+    """The scale and rotation nearest to a matrix: what is left of an affine map when it may not shear."""
+    u, d, vt = np.linalg.svd(a)
+    flip = np.diag([1, 1, np.sign(np.linalg.det(u @ vt))])
+    return float((d * np.diag(flip)).mean()) if scaled else 1.0, u @ flip @ vt
+
+
+def quasi_similarity(ties: DataFrame, scaled: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """s, R, t from the affine map's nearest similarity (or, without scale, rigid map); t lays the means on each other."""
+    a, _ = affine_map(ties)
+    s, r = nearest_similarity(a, scaled)
+    got = np.array(ties.agg(*[F.avg(c) for c in ("x", "y", "z", "x2", "y2", "z2")]).first())
+    return s, r, got[3:] - s * r @ got[:3]
+
+
+def translation(ties: DataFrame) -> np.ndarray:
+    """t alone: the mean difference."""
+    return np.array(ties.agg(*[F.avg(F.col(f"{c}2") - F.col(c)) for c in "xyz"]).first())
+
+
+def scale_and_translation(ties: DataFrame) -> tuple[float, np.ndarray]:
+    """s, t with (x2, y2, z2) nearest to s (x, y, z) + t."""
+    got = ties.agg(*[F.avg(c) for c in ("x", "y", "z", "x2", "y2", "z2")], sum((F.covar_pop(c, f"{c}2") for c in "xyz"), F.lit(0.0)), sum((F.var_pop(c) for c in "xyz"), F.lit(0.0))).first()
+    s = float(got[6] / got[7]) if got[7] else 1.0
+    return s, np.array(got[3:6]) - s * np.array(got[:3])
+
+
+def reproject(pixels: DataFrame, r: np.ndarray, t: np.ndarray) -> DataFrame:
+    """pixels (u, v normalised, depth, and others) with u2, v2, depth2 in the other image; null behind its camera."""
+    from ocellus.functions import geometry as g
+
+    m, tt = F.array(*[F.lit(float(v)) for v in np.asarray(r).ravel()]), F.array(*[F.lit(float(v)) for v in t])
+    rows = pixels.withColumn("_p", g.add(g.apply(m, F.array(F.col("u") * F.col("depth"), F.col("v") * F.col("depth"), F.col("depth"))), tt))
+    z = F.get("_p", F.lit(2))
+    ahead = z > 0
+    return rows.withColumns({"u2": F.when(ahead, F.get("_p", F.lit(0)) / z), "v2": F.when(ahead, F.get("_p", F.lit(1)) / z), "depth2": F.when(ahead, z)}).drop("_p")
+
+
+def reprojected_image(cells: DataFrame, depth: DataFrame, r: np.ndarray, t: np.ndarray, focal: float) -> DataFrame:
+    """img, i, j, value: cells as the other camera sees them, the nearest of those that fall on one place; null where none does."""
+    from ocellus.operators.raster import sizes
+
+    rows = cells.join(depth.select("img", "i", "j", "depth"), ["img", "i", "j"]).join(sizes(cells), "img")
+    seen = reproject(rows.withColumns({"u": (F.col("j") - (F.col("w") - 1) / 2) / focal, "v": (F.col("i") - (F.col("h") - 1) / 2) / focal}), r, t).where("depth2 IS NOT NULL")
+    place = seen.select("img", F.round(F.col("v2") * focal + (F.col("h") - 1) / 2).cast("int").alias("i"), F.round(F.col("u2") * focal + (F.col("w") - 1) / 2).cast("int").alias("j"), "depth2", "value")
+    near = place.groupBy("img", "i", "j").agg(F.min(F.struct("depth2", "value")).alias("m"))
+    return cells.select("img", "i", "j").join(near.select("img", "i", "j", F.col("m.value").alias("value")), ["img", "i", "j"], "left")
+
+
 def _minimise(residuals: Callable[[np.ndarray], np.ndarray], x: np.ndarray, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
     """Damped Gauss-Newton with differences."""
     damp = 1e-3
@@ -120,13 +182,96 @@ def pnp_solve(world: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rotation(x[:3]) @ r0, x[3:]
 
 
+def _placed(world: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """R, t that lay world points on seen ones."""
+    a, b = world - world.mean(axis=0), seen - seen.mean(axis=0)
+    u, _, vt = np.linalg.svd(b.T @ a)
+    r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+    return r, seen.mean(axis=0) - r @ world.mean(axis=0)
+
+
+def p3p(world: np.ndarray, image: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The poses, four at most, that see three world points at normalised image points: Grunert's quartic for the ratio of two distances."""
+    rays = np.column_stack([image, np.ones(3)])
+    rays /= np.linalg.norm(rays, axis=1, keepdims=True)
+    a2, b2, c2 = (((world[i] - world[j]) ** 2).sum() for i, j in ((1, 2), (0, 2), (0, 1)))
+    ca, cb, cg = rays[1] @ rays[2], rays[0] @ rays[2], rays[0] @ rays[1]
+    if min(a2, b2, c2) < 1e-18:
+        return []
+    d, s = (a2 - c2) / b2, (a2 + c2) / b2
+    quartic = [
+        (d - 1) ** 2 - 4 * c2 / b2 * ca * ca,
+        4 * (d * (1 - d) * cb - (1 - s) * ca * cg + 2 * c2 / b2 * ca * ca * cb),
+        2 * (d * d - 1 + 2 * d * d * cb * cb + 2 * (b2 - c2) / b2 * ca * ca - 4 * s * ca * cb * cg + 2 * (b2 - a2) / b2 * cg * cg),
+        4 * (-d * (1 + d) * cb + 2 * a2 / b2 * cg * cg * cb - (1 - s) * ca * cg),
+        (1 + d) ** 2 - 4 * a2 / b2 * cg * cg,
+    ]
+    out = []
+    for v in np.roots(quartic):
+        if abs(v.imag) > 1e-6 or v.real <= 0:
+            continue
+        v = float(v.real)
+        below = 2 * (cg - v * ca)
+        if abs(below) < 1e-12:
+            continue
+        u = ((d - 1) * v * v - 2 * d * cb * v + 1 + d) / below
+        near = 1 + v * v - 2 * v * cb
+        if u <= 0 or near <= 0:
+            continue
+        first = np.sqrt(b2 / near)
+        out.append(_placed(world, rays * (first * np.array([1.0, u, v]))[:, None]))
+    return out
+
+
+def _misses(pose: tuple[np.ndarray, np.ndarray], world: np.ndarray, image: np.ndarray) -> np.ndarray:
+    q = world @ pose[0].T + pose[1]
+    ahead = q[:, 2] > 1e-12
+    off = np.linalg.norm(q[:, :2] / np.where(ahead, q[:, 2], 1)[:, None] - image, axis=1)
+    return np.where(ahead, off, np.inf)
+
+
+def p4p(world: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pose of three of four points (or more) that misses the others least; each of the first four points is left out in turn."""
+    best = None
+    for k in range(4):
+        chosen = [x for x in range(4) if x != k]
+        for pose in p3p(world[chosen], image[chosen]):
+            miss = float(_misses(pose, world, image).sum())
+            if np.isfinite(miss) and (best is None or miss < best[0]):
+                best = miss, pose
+    return None if best is None else best[1]
+
+
+def refine_pose(pose: tuple[np.ndarray, np.ndarray], world: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A pose of least squared reprojection errors, from one near it."""
+
+    def residuals(x: np.ndarray) -> np.ndarray:
+        q = world @ (rotation(x[:3]) @ pose[0]).T + x[3:]
+        return (q[:, :2] / q[:, 2:] - image).ravel()
+
+    x = _minimise(residuals, np.concatenate([np.zeros(3), pose[1]]))
+    return rotation(x[:3]) @ pose[0], x[3:]
+
+
+def _pose_of(world: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    if len(world) >= 6:
+        return pnp_solve(world, image)
+    if len(world) >= 4:
+        start = p4p(world, image)
+        return None if start is None else refine_pose(start, world, image)
+    return None
+
+
 def pnp(views: DataFrame) -> DataFrame:
-    """g and the pose (r: 9 by rows, t: 3) of each view's points (g, x, y, z, u, v); six at least. A view is solved by one task."""
+    """g and the pose (r: 9 by rows, t: 3) of each view's points (g, x, y, z, u, v); four at least, and four or five start from three of them. A view is solved by one task; one without a pose gives no row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 6:
-            return pd.DataFrame({"g": [], "r": [], "t": []})
-        r, t = pnp_solve(pdf[["x", "y", "z"]].to_numpy(), pdf[["u", "v"]].to_numpy())
+        # In a fixed order, so that the first four are the same whatever the plan.
+        pdf = pdf.sort_values(["x", "y", "z", "u", "v"])
+        found = _pose_of(pdf[["x", "y", "z"]].to_numpy(), pdf[["u", "v"]].to_numpy())
+        if found is None:
+            return pd.DataFrame({"g": pd.Series(dtype="int64"), "r": pd.Series(dtype=object), "t": pd.Series(dtype=object)})
+        r, t = found
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "r": [r.ravel().tolist()], "t": [t.tolist()]})
 
     return views.groupBy("g").applyInPandas(run, "g long, r array<double>, t array<double>")
