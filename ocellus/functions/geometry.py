@@ -95,6 +95,56 @@ def rodrigues(r: Vector) -> Matrix:
     return let(r, lambda r: let(F.struct(F.sqrt(dot(r, r)).alias("n"), r.alias("r")), matrix))
 
 
+def rodrigues_jacobian(r: Vector) -> Column:
+    """Derivatives of the rotation's nine entries by r: an array of 27, entry by entry. Series near no rotation."""
+
+    def factors(p: Column) -> Column:
+        n = p["n"]
+        small, n2 = n < 1e-4, n * n
+        a, b = _sinc(n), F.when(n < 1e-8, 0.5).otherwise(F.try_divide(1 - F.cos(n), n2))
+        # Derivatives of a and b by the angle, over the angle.
+        da = F.when(small, -1 / 3 + n2 / 30).otherwise(F.try_divide(n * F.cos(n) - F.sin(n), n2 * n))
+        db = F.when(small, -1 / 12 + n2 / 180).otherwise(F.try_divide(n * F.sin(n) - 2 * (1 - F.cos(n)), n2 * n2))
+        return let(F.struct(a.alias("a"), b.alias("b"), da.alias("da"), db.alias("db"), p["r"].alias("r")), entries)
+
+    def entries(p: Column) -> Column:
+        r = [at(p["r"], k) for k in range(3)]
+        turn = {(0, 1): -r[2], (0, 2): r[1], (1, 0): r[2], (1, 2): -r[0], (2, 0): -r[1], (2, 1): r[0]}
+        sign = {(0, 1): (2, -1.0), (0, 2): (1, 1.0), (1, 0): (2, 1.0), (1, 2): (0, -1.0), (2, 0): (1, -1.0), (2, 1): (0, 1.0)}
+        norm = r[0] * r[0] + r[1] * r[1] + r[2] * r[2]
+        out = []
+        for i in range(3):
+            for j in range(3):
+                square = r[i] * r[j] - norm * float(i == j)
+                for k in range(3):
+                    d = r[k] * (p["da"] * turn.get((i, j), F.lit(0.0)) + p["db"] * square)
+                    axis, s = sign.get((i, j), (None, 0.0))
+                    if axis == k:
+                        d = d + p["a"] * s
+                    d = d + p["b"] * (r[j] * float(i == k) + r[i] * float(j == k) - 2 * r[k] * float(i == j))
+                    out.append(d)
+        return F.array(*out)
+
+    return let(r, lambda r: let(F.struct(F.sqrt(dot(r, r)).alias("n"), r.alias("r")), factors))
+
+
+def rotated_jacobian(r: Vector, v: Vector) -> Column:
+    """Derivatives of the rotated v by r: an array of 9, row by row."""
+    return _pair(rodrigues_jacobian(r), v, lambda d, v: F.array(*[at(d, 9 * i + k) * at(v, 0) + at(d, 9 * i + 3 + k) * at(v, 1) + at(d, 9 * i + 6 + k) * at(v, 2) for i in range(3) for k in range(3)]))
+
+
+def quaternion_jacobian(r: Vector) -> Column:
+    """Derivatives of the quaternion by r: an array of 12, entry by entry."""
+
+    def entries(p: Column) -> Column:
+        n, r = p["n"], [at(p["r"], k) for k in range(3)]
+        s = F.when(n < 1e-8, 0.5).otherwise(F.try_divide(F.sin(n / 2), n))
+        ds = F.when(n < 1e-4, -1 / 24 + n * n / 960).otherwise(F.try_divide(n * F.cos(n / 2) / 2 - F.sin(n / 2), n * n * n))
+        return F.array(*[-s / 2 * r[k] for k in range(3)], *[ds * r[i] * r[k] + s * float(i == k) for i in range(3) for k in range(3)])
+
+    return let(r, lambda r: let(F.struct(F.sqrt(dot(r, r)).alias("n"), r.alias("r")), entries))
+
+
 def inverse_rodrigues(m: Matrix) -> Vector:
     """The axis times the angle of a rotation by less than half a turn."""
 

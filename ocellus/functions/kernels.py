@@ -50,6 +50,25 @@ def matern(d: Column, rho: float, nu: float) -> Column:
     return general(x)
 
 
+def matern_derivative(d: Column, rho: float, nu: float) -> Column:
+    """Derivative of matern() by the distance; nu 1/2 (one-sided at 0), 3/2, 5/2, or beyond 150."""
+    if nu > 150:
+        return -d / (rho * rho) * F.exp(-d * d / (2 * rho * rho))
+    x = math.sqrt(2 * nu) * d / rho
+    if nu == 0.5:
+        return -F.exp(-x) / rho
+    if nu == 1.5:
+        return -3 * d / (rho * rho) * F.exp(-x)
+    if nu == 2.5:
+        return -5 * d / (3 * rho * rho) * (1 + x) * F.exp(-x)
+    raise ValueError(f"no closed derivative for nu {nu}")
+
+
+def covariance(d: Column, variance: float, rho: float, nu: float, nugget: float = 0.0) -> Column:
+    """A variance times the correlation; the nugget is added at no distance."""
+    return variance * matern(d, rho, nu) + F.when(d == 0, nugget).otherwise(0.0)
+
+
 def matern_values(x: np.ndarray, nu: float) -> np.ndarray:
     """2^(1-nu) / Gamma(nu) x^nu K_nu(x), K by its integral over cosh."""
     t = np.linspace(0, 12, 4001)

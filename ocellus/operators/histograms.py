@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,11 +77,32 @@ def balanced_threshold(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("img").applyInPandas(run, "img int, bin long")
 
 
+#: Buckets of an image's range of values, of which one is looked into.
+BUCKETS = 4096
+
+
+def order_statistics(cells: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """img and, for each name, the value of a rank (from 0, a function of the image's number of cells); null beyond the ends.
+
+    Counts of buckets, summed on the cells' side, tell which bucket a rank falls in; only that bucket's distinct values are
+    counted one by one. An image is never sorted by one task.
+    """
+    ends = cells.groupBy("img").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
+    share = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    placed = cells.select("img", value).join(ends, "img").select("img", F.col(value).alias("_v"), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("_b"))
+    counts = placed.groupBy("img", "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("img").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = ends.select("img", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).alias("k")) for name, rank in ranks.items()])).alias("_r")).select("img", "_r.*")
+    at = counts.withColumn("_before", before).join(asked, "img").where((F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("_c")))
+    inside = placed.join(at.select("img", "_b", "name", (F.col("k") - F.col("_before")).alias("k")), ["img", "_b"]).groupBy("img", "name", "k", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("img", "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).where(F.col("_upto") > F.col("k")).groupBy("img").pivot("name", list(ranks)).agg(F.min("_v"))
+    return ends.select("img").join(found, "img", "left")
+
+
 def percentile_stretch(cells: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Values between two order statistics of the image, scaled to 0 and 1 and clamped."""
-    own = Window.partitionBy("img")
-    ranked = cells.select("img", "value", (F.row_number().over(own.orderBy("value")) - 1).alias("k"), F.count("*").over(own).alias("n"))
-    ends = ranked.groupBy("img").agg(*[F.max(F.when(F.col("k") == F.floor(F.lit(q) * F.col("n")).cast("int"), F.col("value"))).alias(c) for q, c in ((low, "lo"), (high, "hi"))])
+    ends = order_statistics(cells, "value", {c: (lambda n, q=q: F.floor(F.lit(q) * n).cast("long")) for q, c in ((low, "lo"), (high, "hi"))})
     scaled = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     return cells.join(ends, "img").select("img", "i", "j", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)).alias("value"))
 

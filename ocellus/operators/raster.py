@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocellus.operators.histograms import order_statistics
+
 CELL = ["img", "i", "j"]
 
 
@@ -133,9 +135,7 @@ def sobel(cells: DataFrame) -> DataFrame:
 def gradient_edges(cells: DataFrame, share: float) -> DataFrame:
     """Cells whose squared gradient reaches the image's order statistic at 1 - share."""
     amp = sobel(cells).withColumn("amp", F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    own = Window.partitionBy("img")
-    ranked = amp.withColumns({"_k": F.row_number().over(own.orderBy("amp")), "_n": F.count("*").over(own)})
-    level = ranked.where(F.col("_k") == F.floor((1 - share) * (F.col("_n") - 1)) + 1).select("img", F.col("amp").alias("_level"))
+    level = order_statistics(amp, "amp", {"_level": lambda n: F.floor((1 - share) * (n - 1))})
     return amp.join(level, "img").where(F.col("amp") >= F.col("_level")).select(*CELL, "amp")
 
 
@@ -215,6 +215,16 @@ def interpolate(cells: DataFrame, points: DataFrame, kernel: str = "linear") ->
     return hit.groupBy("pt", "img", "y", "x").agg(F.sum(weight * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
+#: The windows of seventeen labels of radius 3 and 4, one character a cell (1 to 9, then a to h).
+MASK_R3 = ["eeaaagg", "ee647gg", "b66477d", "b22133d", "b88599d", "ff859hh", "ffccchh"]
+MASK_R4 = ["eeeaaaggg", "eeeaaaggg", "ee66477gg", "bb66477dd", "bb22133dd", "bb88599dd", "ff88599hh", "fffccchhh", "fffccchhh"]
+
+
+def labels(mask: list[str]) -> list[list[int]]:
+    """A window of labels as numbers."""
+    return [[int(x, 36) for x in row] for row in mask]
+
+
 def superpixel_features(cells: DataFrame, mask: list[list[int]]) -> DataFrame:
     """Means over the window's cells of each label above 0, labels ascending; mask is the odd-sized window of labels."""
     ri, rj = len(mask) // 2, len(mask[0]) // 2

@@ -120,7 +120,7 @@ def fast_match(volume: DataFrame) -> DataFrame:
 
 
 def patch_match(volume: DataFrame, iterations: int = 5, searches: int = 4, seed: int = 1) -> DataFrame:
-    """img, i, j, d: random starts, neighbours' disparities in alternating directions, and shrinking random searches."""
+    """img, i, j, d: random starts; scans along rows, then along columns, in alternating directions, in which a cell takes its forerunner's disparity where that is better; and shrinking random searches."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = cube(pdf)
@@ -129,6 +129,18 @@ def patch_match(volume: DataFrame, iterations: int = 5, searches: int = 4, seed:
         d = rng.integers(0, n, (h, w))
         at = np.ogrid[:h, :w]
 
+        def scan(axis: int, forward: bool) -> bool:
+            """All lines at once, cell after cell; the first of a line has no forerunner."""
+            cost, own = (c, d) if axis == 1 else (c.transpose(1, 0, 2), d.T)
+            lines, moved = np.arange(own.shape[0]), False
+            order = range(1, own.shape[1]) if forward else range(own.shape[1] - 2, -1, -1)
+            for k in order:
+                other = own[:, k - 1 if forward else k + 1]
+                better = cost[lines, k, other] < cost[lines, k, own[:, k]]
+                own[better, k] = other[better]
+                moved |= bool(better.any())
+            return moved
+
         def keep(other: np.ndarray) -> bool:
             better = c[at[0], at[1], other] < c[at[0], at[1], d]
             d[better] = other[better]
@@ -136,9 +148,8 @@ def patch_match(volume: DataFrame, iterations: int = 5, searches: int = 4, seed:
 
         for k in range(iterations):
             moved = False
-            for axis in (0, 1):
-                shifted = np.roll(d, 1 if k % 2 == 0 else -1, axis=axis)
-                moved |= keep(shifted)
+            for axis in (1, 0):
+                moved |= scan(axis, k % 2 == 0)
             reach = n
             for _ in range(searches):
                 moved |= keep(np.clip(d + rng.integers(-reach, reach + 1, (h, w)), 0, n - 1))

@@ -108,28 +108,42 @@ def pca(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def ransac_lines(rows: DataFrame, trials: int, threshold: float, seed: int = 7) -> DataFrame:
     """g, slope, intercept, inliers: the best of lines through two rows, for each group.
 
-    The pairs come of the rows' own hashes: for each trial, the two rows of
-    lowest hash of a group. Trials are few, so each row is repeated trials times.
+    The pairs come of the rows' own hashes: for each trial, a group's rows of lowest and highest hash, or, with
+    priorities (a column `priority`, above 0), the row of least exponential draw with that rate in either half of the group
+    (by another hash), so that a row is drawn as often as its priority says. A row is joined to its group's lines once, and counts for all of them in one
+    aggregation.
     """
-    t = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
-    dealt = rows.withColumn("trial", t).withColumn("h", F.xxhash64("x", "y", "trial", F.lit(seed)))
-    two = dealt.groupBy("g", "trial").agg(F.min(F.struct("h", "x", "y")).alias("p"), F.max(F.struct("h", "x", "y")).alias("q"))
+    lines = _drawn_lines(rows, trials, seed)
+    held = rows.join(lines, "g")
+    inlier = [F.abs(F.col("y") - F.get("lines", F.lit(k))["slope"] * F.col("x") - F.get("lines", F.lit(k))["intercept"]) < threshold for k in range(trials)]
+    score = held.groupBy("g").agg(F.array(*[F.count_if(c) for c in inlier]).alias("n"), F.any_value("lines").alias("lines"))
+    listed = F.zip_with("lines", "n", lambda x, n: F.struct(n.alias("inliers"), (-x["trial"]).alias("t"), x["slope"].alias("slope"), x["intercept"].alias("intercept")))
+    best = F.array_max(F.filter(listed, lambda x: x["inliers"].isNotNull() & x["slope"].isNotNull()))
+    return score.select("g", best.alias("b")).select("g", "b.slope", "b.intercept", "b.inliers")
+
+
+def _drawn_lines(rows: DataFrame, trials: int, seed: int) -> DataFrame:
+    """g, lines: an array of trial, slope, intercept through two rows each; groups without any are left out. Of rows only two for each trial leave a partition."""
+    dealt = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    h = F.xxhash64("x", "y", "trial", F.lit(seed))
+    if "priority" in rows.columns:
+        # 53 bits of the hash as a uniform number make an exponential draw.
+        uniform = (F.shiftrightunsigned(h, 11) + 1) / F.lit(float(1 << 53))
+        dealt = dealt.withColumns({"h": -F.ln(uniform) / F.col("priority"), "half": F.pmod(F.xxhash64("trial", "y", "x", F.lit(seed)), F.lit(2))})
+        two = dealt.groupBy("g", "trial").agg(*[F.min(F.when(F.col("half") == k, F.struct("h", "x", "y"))).alias(c) for k, c in enumerate("pq")])
+    else:
+        two = dealt.withColumn("h", h).groupBy("g", "trial").agg(F.min(F.struct("h", "x", "y")).alias("p"), F.max(F.struct("h", "x", "y")).alias("q"))
     slope = F.try_divide(F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x"))
     lines = two.select("g", "trial", slope.alias("slope"), (F.col("p.y") - slope * F.col("p.x")).alias("intercept")).where("slope IS NOT NULL")
-    score = dealt.join(lines, ["g", "trial"]).groupBy("g", "trial", "slope", "intercept").agg(F.count_if(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")) < threshold).alias("inliers"))
-    best = F.max_by(F.struct("slope", "intercept", "inliers"), F.struct("inliers", -F.col("trial")))
-    return score.groupBy("g").agg(best.alias("b")).select("g", "b.*")
+    return lines.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("trial", "slope", "intercept"))).alias("lines"))
 
 
 def lmeds_lines(rows: DataFrame, trials: int, seed: int = 7) -> DataFrame:
     """g, slope, intercept, median: the line through two rows of least median squared residual."""
-    t = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
-    dealt = rows.withColumn("trial", t).withColumn("h", F.xxhash64("x", "y", "trial", F.lit(seed)))
-    two = dealt.groupBy("g", "trial").agg(F.min(F.struct("h", "x", "y")).alias("p"), F.max(F.struct("h", "x", "y")).alias("q"))
-    slope = F.try_divide(F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x"))
-    lines = two.select("g", "trial", slope.alias("slope"), (F.col("p.y") - slope * F.col("p.x")).alias("intercept")).where("slope IS NOT NULL")
+    lines = _drawn_lines(rows, trials, seed)
+    dealt = rows.join(lines, "g").select("g", "x", "y", F.explode("lines").alias("l")).select("g", "x", "y", "l.*")
     e = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
-    score = dealt.join(lines, ["g", "trial"]).withColumn("e2", e * e).groupBy("g", "trial", "slope", "intercept").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY e2)").alias("median"))
+    score = dealt.withColumn("e2", e * e).groupBy("g", "trial", "slope", "intercept").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY e2)").alias("median"))
     best = F.min_by(F.struct("slope", "intercept", "median"), F.struct("median", "trial"))
     return score.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 

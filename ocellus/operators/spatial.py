@@ -50,16 +50,23 @@ def nearest(points: DataFrame, queries: DataFrame, size: float, reach: float) ->
     """For each query pt the nearest other point: pt, nearest, d2; ties to the least pt.
 
     Cells of size are searched first; only queries whose answer may lie beyond
-    the 27 cells are searched in cells of twice the size, and so on until reach,
-    the extent of the points, is passed.
+    the 27 cells are searched in cells of four times the size, and so on until
+    none is left or reach, the extent of points and queries, is passed; a query
+    without any other point by then is null. Each round is written, so none is
+    repeated.
     """
+    from ocellus.operators.iteration import Step
+
     found, left = None, queries
     while True:
-        hit = within(points, left, size).where("q.pt != p.pt").groupBy("q.pt").agg(F.min(F.struct("d2", F.col("p.pt").alias("nearest"))).alias("m")).select("pt", "m.nearest", "m.d2")
+        best = F.min(F.struct("d2", F.col("p.pt").alias("nearest"))).alias("m")
+        hit = Step(within(points, left, size).where("q.pt != p.pt").groupBy("q.pt").agg(best).select("pt", "m.nearest", "m.d2")).read()
         found = hit if found is None else found.unionByName(hit)
-        if size > reach:
+        left = Step(left.join(hit.select("pt"), "pt", "left_anti")).read()
+        if left.isEmpty():
             return found
-        left = left.join(hit.select("pt"), "pt", "left_anti")
+        if size > reach:
+            return found.unionByName(left.select("pt", F.lit(None).cast(hit.schema["nearest"].dataType).alias("nearest"), F.lit(None).cast("double").alias("d2")))
         size *= 4
 
 
@@ -74,15 +81,29 @@ def nearest_in_box(points: DataFrame, queries: DataFrame, half: float) -> DataFr
     return queries.select("pt").join(best, "pt", "left").select("pt", "m.nearest", "m.d2")
 
 
+def _levelled(boxes: DataFrame, size: float, low: tuple[str, ...], high: tuple[str, ...]) -> DataFrame:
+    """boxes with a row for each cell that they meet, of a grid whose cells (size times a power of two) are no smaller than the box: eight rows at most."""
+    extent = F.greatest(*[F.col(h) - F.col(l) for l, h in zip(low, high, strict=True)], F.lit(0.0))
+    level = F.greatest(F.ceil(F.log2(F.greatest(extent / size, F.lit(1e-300)))), F.lit(0)).cast("int")
+    out = boxes.withColumn("_level", level)
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    for k, (l, h) in enumerate(zip(low, high, strict=True)):
+        out = out.withColumn(f"_k{k}", F.explode(F.sequence(F.floor(F.col(l) / cell).cast("bigint"), F.floor(F.col(h) / cell).cast("bigint"))))
+    return out
+
+
 def containing(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """pt, box of boxes (box, x0..z1) that contain a point. A box has the key of each cell along x that it meets."""
-    keys = F.explode(F.sequence(_cell(F.col("x0"), size), _cell(F.col("x1"), size)))
-    b = boxes.withColumn("_k", keys)
-    p = points.withColumn("_k", _cell(F.col("x"), size))
+    """pt, box of boxes (box, x0..z1) that contain a point. A box has the keys of the cells on all axes that it meets, in a grid of its own extent; a point has a key in each grid that has boxes."""
+    b = _levelled(boxes, size, tuple(f"{c}0" for c in XYZ), tuple(f"{c}1" for c in XYZ))
+    # As many rows as there are sizes of boxes, by powers of two.
+    levels = [r[0] for r in b.select("_level").distinct().collect()]
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]).cast("array<int>")))
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    p = p.withColumns({f"_k{k}": F.floor(F.col(c) / cell).cast("bigint") for k, c in enumerate(XYZ)})
     inside = F.lit(True)
     for c in XYZ:
         inside = inside & F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1"))
-    return p.join(b, "_k").where(inside).select("pt", "box")
+    return p.join(b, ["_level", "_k0", "_k1", "_k2"]).where(inside).select("pt", "box")
 
 
 def in_any(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
@@ -90,17 +111,52 @@ def in_any(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
     return points.join(containing(boxes, points, size).select("pt").distinct(), "pt", "left_semi")
 
 
-def first_hit(boxes: DataFrame, rays: DataFrame) -> DataFrame:
-    """ray, box, t of the first box that each ray (ox..oz, dx..dz) enters, by slabs; ties to the least box. Boxes are the small side."""
+def _slabs(low: str, high: str) -> tuple[Column, Column]:
+    """Where a ray (ox..oz, dx..dz) enters and leaves a box, by slabs; the entry is not before the ray's origin."""
     near, far = [], []
     for c in XYZ:
-        o, d = F.col(f"o{c}"), F.col(f"d{c}")
-        a, b = F.try_divide(F.col(f"{c}0") - o, d), F.try_divide(F.col(f"{c}1") - o, d)
-        outside = (d == 0) & ~o.between(F.col(f"{c}0"), F.col(f"{c}1"))
+        o, d, l, h = F.col(f"o{c}"), F.col(f"d{c}"), F.col(low.format(c)), F.col(high.format(c))
+        a, b = F.try_divide(l - o, d), F.try_divide(h - o, d)
+        outside = (d == 0) & ~o.between(l, h)
         near.append(F.when(outside, F.lit(float("inf"))).otherwise(F.coalesce(F.least(a, b), F.lit(float("-inf")))))
         far.append(F.when(outside, F.lit(float("-inf"))).otherwise(F.coalesce(F.greatest(a, b), F.lit(float("inf")))))
-    t0, t1 = F.greatest(*near, F.lit(0.0)), F.least(*far)
-    hit = rays.join(boxes, t0 <= t1).select("ray", "box", t0.alias("t"))
+    return F.greatest(*near, F.lit(0.0)), F.least(*far)
+
+
+def _cells_along(rays: DataFrame) -> DataFrame:
+    """rays with a row for each cell (of _cell) that they pass or touch between _t0 and _t1."""
+
+    def crossed(c: str) -> Column:
+        o, d = F.col(f"o{c}"), F.col(f"d{c}")
+        ends = [F.floor((o + F.col(t) * d) / F.col("_cell")).cast("bigint") for t in ("_t0", "_t1")]
+        planes = F.sequence(F.least(*ends), F.greatest(*ends) + 1)
+        return F.when(d == 0, F.array().cast("array<double>")).otherwise(F.transform(planes, lambda k: (k * F.col("_cell") - o) / d))
+
+    inside = F.filter(F.concat(*[crossed(c) for c in XYZ]), lambda t: (t > F.col("_t0")) & (t < F.col("_t1")))
+    rows = rays.withColumn("_ts", F.array_sort(F.concat(F.array("_t0", "_t1"), inside)))
+    # A cell is known by the middle of the way through it; one that is only touched, by the point itself.
+    ways = F.zip_with(F.slice("_ts", F.lit(1), F.size("_ts") - 1), F.slice("_ts", F.lit(2), F.size("_ts") - 1), lambda x, y: (x + y) / 2)
+    cells = F.array_distinct(F.transform(F.concat("_ts", ways), lambda t: F.struct(*[F.floor((F.col(f"o{c}") + t * F.col(f"d{c}")) / F.col("_cell")).cast("bigint").alias(f"_k{k}") for k, c in enumerate(XYZ)])))
+    return rows.withColumn("_c", F.explode(cells)).select("ray", *[f"{n}{c}" for n in "od" for c in XYZ], "_level", "_c.*")
+
+
+def first_hit(boxes: DataFrame, rays: DataFrame, size: float | None = None) -> DataFrame:
+    """ray, box, t of the first box that each ray (ox..oz, dx..dz) enters; ties to the least box.
+
+    A ray is followed through the cells of a grid for each size of boxes (by powers of two), and held against the boxes
+    of those cells alone. size is of the finest cells; None takes the boxes' mean extent.
+    """
+    if size is None:
+        size = boxes.agg(F.avg(F.greatest(*[F.col(f"{c}1") - F.col(f"{c}0") for c in XYZ]))).first()[0] or 1.0
+    b = _levelled(boxes, size, tuple(f"{c}0" for c in XYZ), tuple(f"{c}1" for c in XYZ))
+    # A row for each size of boxes, with the extent of those.
+    scene = b.groupBy("_level").agg(*[F.min(f"{c}0").alias(f"_lo{c}") for c in XYZ], *[F.max(f"{c}1").alias(f"_hi{c}") for c in XYZ])
+    t0, t1 = _slabs("_lo{}", "_hi{}")
+    each = F.array_sort(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in scene.collect()] or [F.lit(None).cast(scene.schema)]))
+    rows = rays.withColumn("_s", F.explode(F.filter(each, lambda x: x.isNotNull()))).select(*rays.columns, "_s.*")
+    rows = rows.withColumns({"_t0": t0, "_t1": t1}).where("_t0 <= _t1").withColumn("_cell", F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level")))
+    t0, t1 = _slabs("{}0", "{}1")
+    hit = _cells_along(rows).join(b, ["_level", "_k0", "_k1", "_k2"]).where(t0 <= t1).select("ray", "box", t0.alias("t"))
     return hit.groupBy("ray").agg(F.min(F.struct("t", "box")).alias("m")).select("ray", "m.box", "m.t")
 
 
@@ -133,10 +189,13 @@ def depth_layers(points: DataFrame, size: float, layers: int) -> DataFrame:
 
 
 def detrend(points: DataFrame, tile: float) -> DataFrame:
-    """pt and the height above the terrain: least heights of tiles, interpolated bicubically; empty tiles count as their row's nearest."""
+    """pt and the height above the terrain: least heights of tiles, interpolated bicubically; empty tiles of the points' extent take the nearest one's."""
     from ocellus.operators.raster import interpolate
 
     low = points.groupBy(_cell(F.col("y"), tile).cast("int").alias("i"), _cell(F.col("x"), tile).cast("int").alias("j")).agg(F.min("z").alias("value")).withColumn("img", F.lit(0))
+    ends = low.agg(*[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "ij"])
+    whole = ends.select(F.explode(F.sequence("loi", "hii")).alias("i"), "loj", "hij").select(F.lit(0).alias("img"), "i", F.explode(F.sequence("loj", "hij")).alias("j"))
+    low = inpaint_nearest(whole.join(low, ["img", "i", "j"], "left"), 2)
     at = points.select("pt", F.lit(0).alias("img"), (F.col("y") / tile - 0.5).alias("y"), (F.col("x") / tile - 0.5).alias("x"))
     ground = interpolate(low, at, "cubic").select("pt", F.col("value").alias("_g"))
     return points.join(ground, "pt").select("pt", (F.col("z") - F.col("_g")).alias("height"))
