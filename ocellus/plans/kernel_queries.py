@@ -1,4 +1,4 @@
-"""Queries that have no SQL: sequential kernels, solvers, files and streams. Rows only are checked against brute force in tests."""
+"""Queries of sequential kernels, solvers and files. Those without SQL (seeded draws, iterations to a tolerance) are held against brute force in tests."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ocellus.operators import sequential as q
 from ocellus.operators import solve
+from ocellus.plans import kernel_sql
 from ocellus.plans.registry import Registry
 from ocellus.plans.spatial_queries import _holes
 from ocellus.plans.standins import POINTS_SQL, points, raster, table
@@ -18,7 +19,7 @@ R.add("fast_match", lambda s, d: q.fast_match(_volume()(s, d)))
 R.add("patchmatch", lambda s, d: q.patch_match(_volume()(s, d)))
 R.add("l0_fusion", lambda s, d: q.l0_fusion(raster(s, d), 20.0))
 R.add("inpaint_diffusion", lambda s, d: q.inpaint_diffusion(_holes(s, d)))
-R.add("fft_rows", lambda s, d: q.fft_rows(raster(s, d)).select("img", "i", "k", F.round("re", 4).alias("re"), F.round("im", 4).alias("im")))
+R.add("fft_rows", lambda s, d: q.fft_rows(raster(s, d)).select("img", "i", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im")))
 _KEYS = "value > 40"
 R.add("circle_descriptor", lambda s, d: q.circle_descriptors(raster(s, d), raster(s, d).where(_KEYS)).select("img", "i", "j", F.round(F.get("f", F.lit(0)), 4).alias("f0"), F.size("f").alias("n")))
 _PAIRS = [(a, b, b, -a) for a in range(-3, 4) for b in range(-3, 4) if (a, b) != (0, 0)][:40]
@@ -101,7 +102,7 @@ def _posed(s, d):
 
     ties = _ties(s, d)
     r, t = pose.select_pose(ties, pose.essential(ties))
-    return _vector(s, [*r.ravel(), *t])
+    return _vector(s, [float(v) + 0.0 for v in (*r.ravel(), *t)])
 
 
 def _rectified(s, d):
@@ -139,6 +140,13 @@ def _segmented(f):
 
 
 R.add("min_cut_mask", _segmented(lambda m, x: m.min_cut_masks(x, 25.0, 4.0)))
+R.add("hierarchical_mask", _segmented(lambda m, x: m.hierarchical_masks(x, 25.0, 4.0)))
 R.add("retinex", _segmented(lambda m, x: m.decompose(x.withColumn("value", F.col("value") + 1), 0.3)))
 R.add("shape_from_shading", _segmented(lambda m, x: m.shape_from_shading(x, (0.2, 0.3, 0.93))))
 R.add("checkerboard_corners", _segmented(lambda m, x: m.checkerboard_corners(x, 10.0)))
+
+R.sql |= {
+    "sgm": kernel_sql.sgm(10.0, 60.0), "dp_scanline": kernel_sql.dp_scanline(10.0), "fast_match": kernel_sql.FAST_MATCH, "fft_rows": kernel_sql.FFT_ROWS, "brief": kernel_sql.brief(_PAIRS, _KEYS),
+    "circle_descriptor": kernel_sql.circle_descriptor(_KEYS, 16, 14), "line_pixels": kernel_sql.LINE_PIXELS, "pca": kernel_sql.PCA, "gauss_newton": kernel_sql.GAUSS_NEWTON, "assignment": kernel_sql.ASSIGNMENT,
+    "essential": kernel_sql.ESSENTIAL, "similarity_align": kernel_sql.SIMILARITY, "pnp": kernel_sql.PNP,
+}

@@ -165,3 +165,12 @@ def _lens(s, d):
 
 
 R.add("lens_map", _lens, with_(CELLS, "n AS (SELECT img, i, j, (j - 23.5) / 50 AS x, (i - 15.5) / 50 AS y FROM cells)", "k AS (SELECT *, 1 + (x * x + y * y) * (-0.1 + (x * x + y * y) * 0.02) AS k FROM n)") + "SELECT img, i, j, round(y * k * 50 + 15.5, 6) AS si, round(x * k * 50 + 23.5, 6) AS sj FROM k")
+
+
+def _balanced_sql() -> str:
+    from ocellus.plans.kernel_sql import BALANCED
+
+    return f"WITH RECURSIVE hf AS ({R.sql['hist_float']})" + BALANCED.format(histogram="hf")
+
+
+R.sql["balanced_threshold"] = _balanced_sql()

@@ -51,7 +51,9 @@ R.add("context_split", lambda s, d: spatial.with_context(points(s, d), 50.0), wi
 R.add("raster_nearest", lambda s, d: spatial.raster_nearest(points(s, d), 20.0, 3), with_(POINTS_SQL, "w AS (SELECT pt, x / 20 AS x, y / 20 AS y, CAST(floor(y / 20) AS BIGINT) + a AS i, CAST(floor(x / 20) AS BIGINT) + b AS j FROM points CROSS JOIN (SELECT unnest(range(-3, 4)) AS a) CROSS JOIN (SELECT unnest(range(-3, 4)) AS b))", "k AS (SELECT i, j, pt, row_number() OVER (PARTITION BY i, j ORDER BY round((x - j - 0.5) ** 2 + (y - i - 0.5) ** 2, 9), pt) AS n FROM w WHERE (x - j - 0.5) ** 2 + (y - i - 0.5) ** 2 <= 9)") + "SELECT i, j, pt FROM k WHERE n = 1")
 R.add("raster_zbuffer", lambda s, d: spatial.depth_layers(points(s, d), 64.0, 2).select("i", "j", "layer", "z", "pt"), with_(POINTS_SQL, "c AS (SELECT CAST(round(y / 64) AS BIGINT) AS i, CAST(round(x / 64) AS BIGINT) AS j, z, min(pt) AS pt FROM points GROUP BY ALL)", "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i, j ORDER BY z DESC) - 1 AS INT) AS layer FROM c)") + "SELECT i, j, layer, z, pt FROM k WHERE layer < 2")
 _cub = "(CASE WHEN abs({0}) <= 1 THEN 1.5 * abs({0}) ** 3 - 2.5 * abs({0}) ** 2 + 1 ELSE -0.5 * abs({0}) ** 3 + 2.5 * abs({0}) ** 2 - 4 * abs({0}) + 2 END)"
-R.add("detrend", lambda s, d: spatial.detrend(points(s, d), 64.0).select("pt", F.round("height", 3).alias("height")), with_(POINTS_SQL, "low AS (SELECT CAST(floor(y / 64) AS INT) AS i, CAST(floor(x / 64) AS INT) AS j, min(z) AS v FROM points GROUP BY ALL)", "q AS (SELECT pt, z, y / 64 - 0.5 AS y, x / 64 - 0.5 AS x FROM points)") +
+R.add("detrend", lambda s, d: spatial.detrend(points(s, d), 64.0).select("pt", F.round("height", 3).alias("height")), with_(POINTS_SQL, "seen AS (SELECT CAST(floor(y / 64) AS INT) AS i, CAST(floor(x / 64) AS INT) AS j, min(z) AS v FROM points GROUP BY ALL)",
+      "grid AS (SELECT i, j FROM (SELECT unnest(range((SELECT min(i) FROM seen), (SELECT max(i) + 1 FROM seen))) AS i) CROSS JOIN (SELECT unnest(range((SELECT min(j) FROM seen), (SELECT max(j) + 1 FROM seen))) AS j))",
+      "low AS (SELECT g.i, g.j, v FROM grid g CROSS JOIN seen s QUALIFY row_number() OVER (PARTITION BY g.i, g.j ORDER BY (s.i - g.i) ** 2 + (s.j - g.j) ** 2, s.i, s.j) = 1)", "q AS (SELECT pt, z, y / 64 - 0.5 AS y, x / 64 - 0.5 AS x FROM points)") +
       f"SELECT pt, round(any_value(z) - coalesce(sum({_cub.format('(y - i)')} * {_cub.format('(x - j)')} * v), 0), 3) AS height FROM q LEFT JOIN low ON abs(y - i) < 2 AND abs(x - j) < 2 GROUP BY pt")
 
 
@@ -108,6 +110,16 @@ UNION ALL SELECT 2 * s_suppkey + 1, [s_suppkey * 1000, (s_suppkey + 1) * 1000 +
 e AS (SELECT face * 16 + k AS edge, c[k + 1] AS a, c[(k + 1) % 3 + 1] AS b FROM f CROSS JOIN range(3) r(k)) SELECT x.edge, coalesce(y.edge, -1) AS twin FROM e x LEFT JOIN e y ON y.a = x.b AND y.b = x.a""")
 
 
+#: Every cut of the seven inner nodes; the least one is the greatest flow.
+MAX_FLOW = """WITH o AS (SELECT o_custkey % 50 AS g, o_orderkey % 4 AS mid, 10 + o_custkey % 3 AS last, CAST(floor(o_totalprice / 50000) AS DOUBLE) AS w FROM orders),
+e AS (SELECT g, -1 AS u, mid AS v, w FROM o UNION ALL SELECT g, mid, last, w / 2 FROM o UNION ALL SELECT g, last, -2, w FROM o),
+w AS (SELECT g, u, v, sum(w) AS w FROM e GROUP BY ALL),
+place(node, bit) AS (VALUES (0, 1), (1, 2), (2, 4), (3, 8), (10, 16), (11, 32), (12, 64)),
+cuts AS (SELECT w.g, s, sum(CASE WHEN (u = -1 OR (s & coalesce(a.bit, 0)) > 0) AND (v = -2 OR (s & coalesce(b.bit, 0)) = 0) THEN w ELSE 0 END) AS cut
+  FROM w LEFT JOIN place a ON a.node = u LEFT JOIN place b ON b.node = v CROSS JOIN range(128) r(s) GROUP BY w.g, s)
+SELECT g, min(cut) AS flow FROM cuts GROUP BY g"""
+
+
 def _flow_edges(s, d):
     o = table(s, d, "orders")
     g_ = (F.col("o_custkey") % 50).alias("g")
@@ -117,7 +129,7 @@ def _flow_edges(s, d):
     return rows.groupBy("g", "u", "v").agg(F.sum("w").alias("w"))
 
 
-R.add("max_flow", lambda s, d: graphs.max_flow(_flow_edges(s, d)))
+R.add("max_flow", lambda s, d: graphs.max_flow(_flow_edges(s, d)).select("g", "flow"), MAX_FLOW)
 
 _P = "SELECT pt, x / 100 AS x, y / 100 AS y, z / 100 + 8 AS z FROM points"
 
