@@ -87,12 +87,12 @@ R.add("refine_cost_symmetric", lambda s, d: stereo.cost_symmetric(_pair(s, d), v
 
 def _grown(s, d):
     found = _volume()(s, d)
-    return stereo.background_growth(found, found.withColumn("img", (F.col("img") + 3) % 4), 2, 0.5)
+    return stereo.background_growth(found, found.withColumn("img", F.col("img") - F.col("img") % 4 + (F.col("img") + 3) % 4), 2, 0.5)
 
 
 R.add("background_growth", _grown, "WITH RECURSIVE " + ",\n".join([
     *PAIR_SQL, VOLUME_SQL, WIN_SQL,
-    "c AS (SELECT f.img, f.i, f.j, f.d, b.d AS b, x.cost AS cb, y.cost AS cf FROM win f JOIN win b ON b.img = (f.img + 1) % 4 AND b.i = f.i AND b.j = f.j JOIN vol x ON x.img = b.img AND x.i = b.i AND x.j = b.j AND x.d = b.d JOIN vol y ON y.img = f.img AND y.i = f.i AND y.j = f.j AND y.d = b.d)",
+    "c AS (SELECT f.img, f.i, f.j, f.d, b.d AS b, x.cost AS cb, y.cost AS cf FROM win f JOIN win b ON b.img = f.img - f.img % 4 + (f.img + 1) % 4 AND b.i = f.i AND b.j = f.j JOIN vol x ON x.img = b.img AND x.i = b.i AND x.j = b.j AND x.d = b.d JOIN vol y ON y.img = f.img AND y.i = f.i AND y.j = f.j AND y.d = b.d)",
     "m AS (SELECT img, i, j, d, b, NOT (CASE WHEN greatest(cb, cf) = 0 THEN 0 ELSE least(cb, cf) / greatest(cb, cf) END > 0.5) AS seed, abs(d - b) >= 2 AS apart FROM c)",
     "fg(img, i, j) AS (SELECT img, i, j FROM m WHERE seed AND apart UNION SELECT m.img, m.i, m.j FROM fg JOIN m ON m.apart AND m.img = fg.img AND abs(m.i - fg.i) <= 1 AND abs(m.j - fg.j) <= 1)",
     "near AS (SELECT DISTINCT m.img, m.i, m.j FROM m JOIN fg ON m.img = fg.img AND abs(m.i - fg.i) <= 1 AND abs(m.j - fg.j) <= 1)"]) + """

@@ -5,33 +5,42 @@ Each builder has an SQL twin, a list of common table expressions, for the oracle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 H, W, IMAGES, SHIFT = 32, 48, 4, 2
+#: Orders that share a block of IMAGES images; images grow in number with the table.
+ORDERS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark: SparkSession, images: int = IMAGES) -> DataFrame:
-    k = F.col("id")
-    return spark.range(images * H * W).select((k / (H * W)).cast("int").alias("img"), (k / W % H).cast("int").alias("i"), (k % W).cast("int").alias("j"))
+def _block() -> Column:
+    return F.floor(F.col("l_orderkey") / ORDERS)
+
+
+def grid(lines: DataFrame) -> DataFrame:
+    """All cells of the images of each block of orders."""
+    k = F.col("k")
+    cells = lines.select(_block().alias("b")).distinct().select("b", F.explode(F.sequence(F.lit(0), F.lit(IMAGES * H * W - 1))).alias("k"))
+    return cells.select((F.col("b") * IMAGES + F.floor(k / (H * W))).cast("int").alias("img"), (k / W % H).cast("int").alias("i"), (k % W).cast("int").alias("j"))
 
 
 def raster(spark: SparkSession, sf_dir: str, measure: str = "l_quantity", scale: float = 1.0) -> DataFrame:
     """img, i, j, value: whole-numbered means of a measure on a dense grid, 0 where there is none."""
-    cell = {"img": F.col("l_linenumber") % IMAGES, "i": F.col("l_partkey") % H, "j": F.col("l_orderkey") % W}
-    means = table(spark, sf_dir, "lineitem").groupBy(*[c.cast("int").alias(n) for n, c in cell.items()]).agg(F.floor(F.sum(F.round(F.col(measure) * scale, 0)) / F.count("*")).cast("double").alias("value"))
-    return grid(spark).join(means, ["img", "i", "j"], "left").select("img", "i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
+    lines = table(spark, sf_dir, "lineitem")
+    cell = {"img": _block() * IMAGES + F.col("l_linenumber") % IMAGES, "i": F.col("l_partkey") % H, "j": F.col("l_orderkey") % W}
+    means = lines.groupBy(*[c.cast("int").alias(n) for n, c in cell.items()]).agg(F.floor(F.sum(F.round(F.col(measure) * scale, 0)) / F.count("*")).cast("double").alias("value"))
+    return grid(lines).join(means, ["img", "i", "j"], "left").select("img", "i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def raster_sql(name: str = "cells", measure: str = "l_quantity", scale: float = 1.0) -> str:
-    return f"""{name}_g AS (SELECT CAST(l_linenumber % {IMAGES} AS INT) AS img, CAST(l_partkey % {H} AS INT) AS i, CAST(l_orderkey % {W} AS INT) AS j,
+    return f"""{name}_g AS (SELECT CAST(l_orderkey // {ORDERS} * {IMAGES} + l_linenumber % {IMAGES} AS INT) AS img, CAST(l_partkey % {H} AS INT) AS i, CAST(l_orderkey % {W} AS INT) AS j,
     floor(sum(round({measure} * {scale}, 0)) / count(*)) AS value FROM lineitem GROUP BY ALL),
-{name} AS (SELECT CAST(k // {H * W} AS INT) AS img, CAST(k // {W} % {H} AS INT) AS i, CAST(k % {W} AS INT) AS j, CAST(coalesce(value, 0) AS DOUBLE) AS value
-    FROM range({IMAGES * H * W}) r(k) LEFT JOIN {name}_g g ON g.img = k // {H * W} AND g.i = k // {W} % {H} AND g.j = k % {W})"""
+{name} AS (SELECT CAST(b * {IMAGES} + k // {H * W} AS INT) AS img, CAST(k // {W} % {H} AS INT) AS i, CAST(k % {W} AS INT) AS j, CAST(coalesce(value, 0) AS DOUBLE) AS value
+    FROM (SELECT DISTINCT l_orderkey // {ORDERS} AS b FROM lineitem) CROSS JOIN range({IMAGES * H * W}) r(k) LEFT JOIN {name}_g g ON g.img = b * {IMAGES} + k // {H * W} AND g.i = k // {W} % {H} AND g.j = k % {W})"""
 
 
 def shifted(cells: DataFrame, shift: int = SHIFT) -> DataFrame:

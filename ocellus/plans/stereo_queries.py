@@ -93,12 +93,12 @@ R.add("hierarchical", lambda s, d: v.hierarchical(shifted(raster(s, d)), raster(
     """ask AS (SELECT DISTINCT s.img, s.i, s.j, greatest(2 * w.d + e, 0) AS d FROM source s JOIN cwin w ON w.img = s.img AND w.i = s.i // 2 AND w.j = s.j // 2 CROSS JOIN (SELECT unnest([-1, 0, 1]) AS e)),
 fine AS (SELECT a.img, a.i, a.j, a.d, sum(abs(s.v - coalesce(t.v, 0))) AS cost FROM ask a JOIN ns s ON s.img = a.img AND s.i = a.i AND s.j = a.j LEFT JOIN nt t ON t.img = a.img AND t.i = a.i AND t.j = a.j + a.d AND t.di = s.di AND t.dj = s.dj GROUP BY ALL)""") +
       "SELECT img, i, j, CAST(max_by(d, struct_pack(c := -cost, d := d)) AS INT) AS disparity FROM fine GROUP BY img, i, j")
-_BACK = "SELECT w.img, w.i, w.j, abs(w.d - b.d) >= 2 AS foreground FROM win w JOIN win b ON b.img = (w.img + 1) % 4 AND b.i = w.i AND b.j = w.j"
+_BACK = "SELECT w.img, w.i, w.j, abs(w.d - b.d) >= 2 AS foreground FROM win w JOIN win b ON b.img = w.img - w.img % 4 + (w.img + 1) % 4 AND b.i = w.i AND b.j = w.j"
 
 
 def _background(s, d):
     found = v.disparity(_volume()(s, d))
-    return v.background_mask(found, found.withColumn("img", (F.col("img") + 3) % 4), 2)
+    return v.background_mask(found, found.withColumn("img", F.col("img") - F.col("img") % 4 + (F.col("img") + 3) % 4), 2)
 
 
 R.add("background_mask", _background, with_(*PAIR_SQL, VOLUME_SQL, WIN_SQL) + _BACK)
