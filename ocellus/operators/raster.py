@@ -152,9 +152,19 @@ def average_pool(cells: DataFrame, size: int) -> DataFrame:
     return cells.groupBy("img", *cell).agg(F.avg("value").alias("value"))
 
 
-def harris(cells: DataFrame, r: int = 1) -> DataFrame:
-    """Determinant over trace of the structure tensor summed over a window; 0 where it is not finite."""
-    t = sobel(cells).select(*CELL, (F.col("gx") * F.col("gx")).alias("xx"), (F.col("gx") * F.col("gy")).alias("xy"), (F.col("gy") * F.col("gy")).alias("yy"))
+def structure_tensor(cells: DataFrame, mask: str | None = None) -> DataFrame:
+    """img, i, j, xx, xy, yy: products of the gradients; 0 where a mask (the name of a boolean column) is not true."""
+    products = [(F.col(a) * F.col(b)).alias(n) for n, a, b in (("xx", "gx", "gx"), ("xy", "gx", "gy"), ("yy", "gy", "gy"))]
+    t = sobel(cells).select(*CELL, *products)
+    if mask is None:
+        return t
+    kept = cells.select(*CELL, F.coalesce(F.col(mask), F.lit(False)).alias("_kept"))
+    return t.join(kept, CELL).select(*CELL, *[F.when(F.col("_kept"), F.col(n)).otherwise(0.0).alias(n) for n in ("xx", "xy", "yy")])
+
+
+def harris(cells: DataFrame, r: int = 1, mask: str | None = None) -> DataFrame:
+    """Determinant over trace of the structure tensor summed over a window; 0 where it is not finite, and outside of a mask."""
+    t = structure_tensor(cells, mask)
     for c in ("xx", "xy", "yy"):
         t = neighbourhood(t, r, r, value=c, out="_f").withColumn(f"s{c}", F.aggregate("_f", F.lit(0.0), lambda acc, v: acc + v)).drop("_f")
     det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
@@ -192,6 +202,47 @@ def orientation(cells: DataFrame, r: int) -> DataFrame:
     return m.select(*CELL, F.try_divide("_y", size).alias("oy"), F.try_divide("_x", size).alias("ox"))
 
 
+def _unit(v: Column) -> Column:
+    """A list less its mean, over the root of its mean square; null where that is 0."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    mean = total(v) / F.size(v)
+    centred = F.transform(v, lambda x: x - mean)
+    norm = F.sqrt(total(F.transform(centred, lambda x: x * x)) / F.size(v))
+    return F.when(norm > 0, F.transform(centred, lambda x: x / norm))
+
+
+def whitened_patches(cells: DataFrame, points: DataFrame, r: int) -> DataFrame:
+    """img, i, j, f: the window's values around each point (img, i, j), 0 outside the image, with mean 0 and mean square 1."""
+    f = neighbourhood(cells, r, r).select(*CELL, F.col("f"))
+    return f.join(points.select(*CELL), CELL, "left_semi").select(*CELL, _unit(F.col("f")).alias("f"))
+
+
+def oriented_patches(cells: DataFrame, points: DataFrame, offsets: list[tuple[float, float]]) -> DataFrame:
+    """img, i, j, f: values at offsets (y, x) turned by each point's direction (oy, ox, a unit vector), between cells linearly, 0 outside, with mean 0 and mean square 1.
+
+    The offset (0, 1) lies in the point's direction.
+    """
+    taps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, (a, b) in enumerate(offsets)]))
+    at = points.select(*CELL, "oy", "ox", taps.alias("t"))
+    at = at.select(F.struct(*CELL, F.col("t.k").alias("k")).alias("pt"), "img", (F.col("i") + F.col("t.a") * F.col("ox") + F.col("t.b") * F.col("oy")).alias("y"), (F.col("j") - F.col("t.a") * F.col("oy") + F.col("t.b") * F.col("ox")).alias("x"))
+    values = interpolate(cells, at, "linear").groupBy("pt.img", "pt.i", "pt.j").agg(F.sort_array(F.collect_list(F.struct("pt.k", "value"))).alias("v"))
+    return values.select(*CELL, _unit(F.transform("v", lambda x: x["value"])).alias("f"))
+
+
+def flatten_heights(cells: DataFrame) -> DataFrame:
+    """img, i, j, value: heights (value) in a mask (boolean column mask) above the plane that is nearest to them, from 0 up; 0 outside the mask. One aggregation of products for each image."""
+    own = cells.where("mask")
+    sums = own.groupBy("img").agg(*[F.avg(c).alias(f"m{c}") for c in ("i", "j", "value")], *[F.covar_pop(a, b).alias(f"c{n}") for n, (a, b) in {"ii": ("i", "i"), "ij": ("i", "j"), "jj": ("j", "j"), "iv": ("i", "value"), "jv": ("j", "value")}.items()])
+    det = F.col("cii") * F.col("cjj") - F.col("cij") * F.col("cij")
+    a = F.coalesce(F.try_divide(F.col("civ") * F.col("cjj") - F.col("cjv") * F.col("cij"), det), F.lit(0.0))
+    b = F.coalesce(F.try_divide(F.col("cjv") * F.col("cii") - F.col("civ") * F.col("cij"), det), F.lit(0.0))
+    plane = sums.select("img", "mi", "mj", "mvalue", a.alias("_a"), b.alias("_b"))
+    left = F.col("value") - F.col("mvalue") - F.col("_a") * (F.col("i") - F.col("mi")) - F.col("_b") * (F.col("j") - F.col("mj"))
+    rest = cells.join(plane, "img", "left").select(*CELL, "mask", left.alias("_r"))
+    low = rest.where("mask").groupBy("img").agg(F.min("_r").alias("_low"))
+    return rest.join(low, "img", "left").select(*CELL, F.when(F.col("mask"), F.col("_r") - F.col("_low")).otherwise(0.0).alias("value"))
+
+
 def _cubic(t: Column) -> Column:
     """Keys' kernel with a = -1/2."""
     x = F.abs(t)

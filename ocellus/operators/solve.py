@@ -186,6 +186,48 @@ def l1_lines(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").applyInPandas(run, "g long, slope double, intercept double")
 
 
+def affine_of(fit: Callable[[np.ndarray, np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights that sum to 1 by a fit of free ones: the last is what the others leave."""
+    free = fit(a[:, :-1] - a[:, -1:], b - a[:, -1])
+    return np.append(free, 1 - free.sum())
+
+
+def affine_l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights that sum to 1 with least absolute residuals."""
+    return affine_of(l1_fit, a, b)
+
+
+def median_fit(a: np.ndarray, b: np.ndarray, trials: int = 500, seed: int = 7) -> np.ndarray:
+    """Unknowns of least median squared residual among those that solve as many rows as there are unknowns, drawn by a seed."""
+    rng, n = np.random.default_rng(seed), a.shape[1]
+    best = np.inf, np.linalg.lstsq(a, b, rcond=None)[0]
+    for _ in range(trials):
+        rows = rng.choice(len(a), n, replace=False)
+        if abs(np.linalg.det(a[rows])) < 1e-12:
+            continue
+        x = np.linalg.solve(a[rows], b[rows])
+        median = float(np.sort((a @ x - b) ** 2)[len(b) // 2])
+        if median < best[0]:
+            best = median, x
+    return best[1]
+
+
+def affine_median(a: np.ndarray, b: np.ndarray, trials: int = 500, seed: int = 7) -> np.ndarray:
+    """Weights that sum to 1 of least median squared residual."""
+    return affine_of(lambda p, q: median_fit(p, q, trials, seed), a, b)
+
+
+def spherical_affine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights that sum to 1 whose mix of columns points in a direction nearest to b's: the affine span's point along b's projection on the columns' span."""
+    m, base = a[:, :-1] - a[:, -1:], a[:, -1]
+    along = a @ np.linalg.lstsq(a, b, rcond=None)[0]
+    normal = base - m @ np.linalg.lstsq(m, base, rcond=None)[0]
+    reach = float(normal @ along)
+    scale = float(normal @ normal) / reach if abs(reach) > 1e-15 else 1.0
+    free = np.linalg.lstsq(m, scale * along - base, rcond=None)[0]
+    return np.append(free, 1 - free.sum())
+
+
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, in the order of columns; by potentials, one row at a time."""
     if cost.shape[0] > cost.shape[1]:

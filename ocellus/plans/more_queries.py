@@ -236,3 +236,42 @@ def _packed(s, d):
 
 _q4 = ["o_orderkey % 256", "o_custkey % 256", "o_orderkey * 7 % 256", "o_custkey * 3 % 256"]
 R.add("packed_yuv", _packed, "SELECT o_orderkey, " + ", ".join(f"CAST({_q4[{'y': 2 * k, 'u': 1 if order == 'yuyv' else 3, 'v': 3 if order == 'yuyv' else 1}[c]]} AS INT) AS {order}_{c}{k}" for order in ("yuyv", "yvyu") for k in (0, 1) for c in "yuv") + " FROM orders")
+
+
+def _whitened(s, d):
+    c = raster(s, d)
+    f = ops.whitened_patches(c, c.where("value > 30"), 1)
+    return f.select("img", "i", "j", *[(F.round(F.get("f", F.lit(k)), 5) + 0.0).alias(f"f{k}") for k in range(9)])
+
+
+_W = with_(CELLS, around_sql("nb", 1, 1), "m AS (SELECT *, avg(v) OVER w AS mean, sqrt(var_pop(v) OVER w) AS norm FROM nb WHERE centre > 30 WINDOW w AS (PARTITION BY img, i, j))")
+R.add("whitened_patches", _whitened, _W + "SELECT img, i, j, " + ", ".join(f"round(max(CASE WHEN di = {k // 3 - 1} AND dj = {k % 3 - 1} AND norm > 0 THEN (v - mean) / norm END), 5) + 0.0 AS f{k}" for k in range(9)) + " FROM m GROUP BY img, i, j")
+_OFFSETS = [(0.0, 0.0), (0.0, 1.0), (0.0, -1.0), (1.0, 0.0), (-1.0, 0.0), (1.5, 0.5)]
+
+
+def _oriented(s, d):
+    c = raster(s, d)
+    turned = c.where("value > 30").select("img", "i", "j", F.lit(0.6).alias("oy"), F.lit(0.8).alias("ox"))
+    f = ops.oriented_patches(c, turned, _OFFSETS)
+    return f.select("img", "i", "j", *[(F.round(F.get("f", F.lit(k)), 5) + 0.0).alias(f"f{k}") for k in range(len(_OFFSETS))])
+
+
+R.add("oriented_patches", _oriented, with_(
+    CELLS, "o(k, a, b) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(_OFFSETS)) + ")",
+    "t AS (SELECT img, i, j, k, i + a * 0.8::DOUBLE + b * 0.6::DOUBLE AS y, j - a * 0.6::DOUBLE + b * 0.8::DOUBLE AS x FROM cells CROSS JOIN o WHERE value > 30)",
+    "s AS (SELECT t.img, t.i, t.j, k, coalesce(sum(greatest(1 - abs(y - n.i), 0) * greatest(1 - abs(x - n.j), 0) * n.value), 0) AS v FROM t LEFT JOIN cells n ON n.img = t.img AND n.i BETWEEN floor(y) AND floor(y) + 1 AND n.j BETWEEN floor(x) AND floor(x) + 1 GROUP BY t.img, t.i, t.j, k)",
+    "m AS (SELECT *, avg(v) OVER w AS mean, sqrt(var_pop(v) OVER w) AS norm FROM s WINDOW w AS (PARTITION BY img, i, j))") +
+    "SELECT img, i, j, " + ", ".join(f"round(max(CASE WHEN k = {k} AND norm > 0 THEN (v - mean) / norm END), 5) + 0.0 AS f{k}" for k in range(len(_OFFSETS))) + " FROM m GROUP BY img, i, j")
+R.add("flatten_heights", lambda s, d: ops.flatten_heights(raster(s, d).withColumn("mask", F.col("i") + F.col("j") < 40)).select("img", "i", "j", (F.round("value", 5) + 0.0).alias("value")), with_(
+    CELLS, "o AS (SELECT * FROM cells WHERE i + j < 40)",
+    "g AS (SELECT img, avg(i) AS mi, avg(j) AS mj, avg(value) AS mv, var_pop(i) AS ii, var_pop(j) AS jj, covar_pop(i, j) AS ij, covar_pop(i, value) AS iv, covar_pop(j, value) AS jv FROM o GROUP BY img)",
+    "p AS (SELECT *, (iv * jj - jv * ij) / (ii * jj - ij * ij) AS a, (jv * ii - iv * ij) / (ii * jj - ij * ij) AS b FROM g)",
+    "r AS (SELECT o.img, i, j, value - mv - a * (i - mi) - b * (j - mj) AS r FROM o JOIN p USING (img))", "l AS (SELECT img, min(r) AS low FROM r GROUP BY img)") +
+    "SELECT c.img, c.i, c.j, round(coalesce(r - low, 0), 5) + 0.0 AS value FROM cells c LEFT JOIN r ON r.img = c.img AND r.i = c.i AND r.j = c.j LEFT JOIN l ON l.img = c.img")
+_SOB = "SELECT img, i, j, sum(dj * (2 - abs(di)) * v) AS gx, sum(di * (2 - abs(dj)) * v) AS gy FROM {0} GROUP BY img, i, j"
+R.add("harris_masked", lambda s, d: ops.harris(raster(s, d).withColumn("mask", F.col("j") >= F.col("i")), 1, "mask").select("img", "i", "j", (F.round("value", 4) + 0.0).alias("value")), with_(
+    CELLS, f"""pad AS (SELECT c.img, c.i, c.j, di, dj, n.value AS v FROM cells c CROSS JOIN (SELECT unnest([-1, 0, 1]) AS di) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dj)
+  JOIN cells n ON n.img = c.img AND n.i = least(greatest(c.i + di, 0), {H - 1}) AND n.j = least(greatest(c.j + dj, 0), {W - 1}))""",
+    f"g AS ({_SOB.format('pad')})", "t AS (SELECT img, i, j, CASE WHEN j >= i THEN gx * gx ELSE 0 END AS xx, CASE WHEN j >= i THEN gx * gy ELSE 0 END AS xy, CASE WHEN j >= i THEN gy * gy ELSE 0 END AS yy FROM g)",
+    "w AS (SELECT c.img, c.i, c.j, sum(t.xx) AS xx, sum(t.xy) AS xy, sum(t.yy) AS yy FROM cells c JOIN t ON t.img = c.img AND abs(t.i - c.i) <= 1 AND abs(t.j - c.j) <= 1 GROUP BY c.img, c.i, c.j)") +
+    "SELECT img, i, j, round(CASE WHEN xx + yy = 0 THEN 0 ELSE (xx * yy - xy * xy) / (xx + yy) END, 4) + 0.0 AS value FROM w")

@@ -323,3 +323,21 @@ def test_slices_say_the_same_as_their_bounds(spark):
     assert all(x is None or x == whole[k][n] for k, v in same.items() for n, x in enumerate(v))
     with pytest.raises(ValueError):
         stereo.slices(volume, 1, "sideways")
+
+
+def test_weights_that_sum_to_one():
+    rng = np.random.default_rng(11)
+    a, x = rng.normal(size=(30, 3)), np.array([0.5, 0.7, -0.2])
+    b = a @ x
+    b[:6] += 40
+    for fit in (solve.affine_l1, solve.affine_median):
+        got = fit(a, b)
+        assert abs(got.sum() - 1) < 1e-9 and np.allclose(got, x, atol=1e-6)
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        a, b = rng.uniform(0.2, 1, (5, 3)), rng.uniform(0.2, 1, 5)
+        unit = lambda v: v / np.linalg.norm(v)
+        miss = lambda y: np.linalg.norm(unit(a @ y) - unit(b))  # noqa: E731, B023
+        got = solve.spherical_affine(a, b)
+        near = min(miss(got + np.array([p, q, -p - q])) for p in (-1e-3, 0, 1e-3) for q in (-1e-3, 0, 1e-3))
+        assert abs(got.sum() - 1) < 1e-9 and (miss(got) <= near + 1e-9 or miss(got) > 1)
