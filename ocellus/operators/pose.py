@@ -316,3 +316,15 @@ def rectify(r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     z /= np.linalg.norm(z)
     first = np.stack([x, np.cross(z, x), z])
     return first, first @ r.T
+
+
+def backward_map(cells: DataFrame, r: np.ndarray, focal: float) -> DataFrame:
+    """img, i, j, si, sj: where each pixel of an image turned by r (from rectify()) lies in the one it is made of; null behind the camera."""
+    from ocellus.operators.raster import sizes
+
+    m = np.asarray(r).T
+    rows = cells.select("img", "i", "j").join(sizes(cells), "img")
+    x, y = (F.col("j") - (F.col("w") - 1) / 2) / focal, (F.col("i") - (F.col("h") - 1) / 2) / focal
+    p = [F.lit(float(m[k, 0])) * x + F.lit(float(m[k, 1])) * y + F.lit(float(m[k, 2])) for k in range(3)]
+    ahead = p[2] > 0
+    return rows.select("img", "i", "j", F.when(ahead, p[1] / p[2] * focal + (F.col("h") - 1) / 2).alias("si"), F.when(ahead, p[0] / p[2] * focal + (F.col("w") - 1) / 2).alias("sj"))

@@ -168,14 +168,27 @@ def with_context(points: DataFrame, distance: float) -> DataFrame:
 
 
 def raster_nearest(points: DataFrame, size: float, reach: int) -> DataFrame:
-    """i, j, pt: the point nearest to the centre of each cell that has one within reach cells; ties to the least pt."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
-    # Only the nearest point of a cell's own offset can win, so points are not repeated beyond their window.
-    rows = points.withColumn("_s", steps).select("pt", "x", "y", (_cell(F.col("y"), size) + F.col("_s.a")).alias("i"), (_cell(F.col("x"), size) + F.col("_s.b")).alias("j"))
-    dy, dx = F.col("y") / size - (F.col("i") + 0.5), F.col("x") / size - (F.col("j") + 0.5)
-    d2 = dx * dx + dy * dy
-    near = rows.withColumn("d2", d2).where(F.col("d2") <= reach * reach)
-    return near.groupBy("i", "j").agg(F.min(F.struct(F.round("d2", 9), "pt")).alias("m")).select("i", "j", "m.pt")
+    """i, j, pt: the point nearest to the centre of each cell that has one within reach cells; ties to the least pt.
+
+    A point goes to the nine cells around it; where one lies nearer than a cell and a half, none farther off can be nearer.
+    Only the other cells that an occupied one reaches look further, each cell once, so a crowded cell is not repeated.
+    """
+    key = points.select("pt", "x", "y", _cell(F.col("y"), size).alias("_i"), _cell(F.col("x"), size).alias("_j"))
+
+    def around(n: int, i: str, j: str) -> list[Column]:
+        return [F.struct((F.col(i) + a).alias("i"), (F.col(j) + b).alias("j")) for a in range(-n, n + 1) for b in range(-n, n + 1)]
+
+    def best(rows: DataFrame) -> DataFrame:
+        dy, dx = F.col("y") / size - (F.col("i") + 0.5), F.col("x") / size - (F.col("j") + 0.5)
+        near = rows.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= reach * reach)
+        return near.groupBy("i", "j").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), "pt")).alias("m"))
+
+    close = best(key.select("pt", "x", "y", F.explode(F.array(*around(1, "_i", "_j"))).alias("_c")).select("pt", "x", "y", "_c.*")).where(F.col("m.d2") < min(2.249, reach * reach + 1e-9))
+    occupied = key.select("_i", "_j").distinct()
+    open_cells = occupied.select(F.explode(F.array(*around(reach, "_i", "_j"))).alias("_c")).select("_c.*").distinct().join(close, ["i", "j"], "left_anti")
+    sources = open_cells.select("i", "j", F.explode(F.array(*[F.struct((F.col("i") + a).alias("_i"), (F.col("j") + b).alias("_j")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])).alias("_s")).select("i", "j", "_s.*")
+    far = best(sources.join(occupied, ["_i", "_j"], "left_semi").join(key, ["_i", "_j"]))
+    return close.unionByName(far).select("i", "j", "m.pt")
 
 
 def depth_layers(points: DataFrame, size: float, layers: int) -> DataFrame:
@@ -188,6 +201,24 @@ def depth_layers(points: DataFrame, size: float, layers: int) -> DataFrame:
     return tops.withColumn("layer", F.row_number().over(own) - 1).where(F.col("layer") < layers)
 
 
+def depth_buffer(points: DataFrame, height: int, width: int, layers: int, focal: float | None = None, size: float = 1.0) -> DataFrame:
+    """i, j, layer, depth of an image: the least distinct depths (z) of each cell, in layers; -1 where there is none.
+
+    With a focal length the camera is a pinhole before which z is positive; without, cells are size wide, the camera looks
+    along z and the image's middle is the origin.
+    """
+    scale = F.lit(focal) / F.col("z") if focal is not None else F.lit(1.0 / size)
+    ahead = points.where("z > 0") if focal is not None else points
+    cell = ahead.select(F.round(F.col("y") * scale + (height - 1) / 2).cast("int").alias("i"), F.round(F.col("x") * scale + (width - 1) / 2).cast("int").alias("j"), "z")
+    seen = cell.where((F.col("i") >= 0) & (F.col("i") < height) & (F.col("j") >= 0) & (F.col("j") < width)).groupBy("i", "j", "z").agg(F.count("*").alias("_n"))
+    from pyspark.sql import Window
+
+    ranked = seen.withColumn("layer", F.row_number().over(Window.partitionBy("i", "j").orderBy("z")) - 1).where(F.col("layer") < layers)
+    k = F.col("id")
+    whole = points.sparkSession.range(height * width * layers).select((k / (width * layers)).cast("int").alias("i"), (k / layers % width).cast("int").alias("j"), (k % layers).cast("int").alias("layer"))
+    return whole.join(ranked, ["i", "j", "layer"], "left").select("i", "j", "layer", F.coalesce("z", F.lit(-1.0)).alias("depth"))
+
+
 def detrend(points: DataFrame, tile: float) -> DataFrame:
     """pt and the height above the terrain: least heights of tiles, interpolated bicubically; empty tiles of the points' extent take the nearest one's."""
     from ocellus.operators.raster import interpolate

@@ -118,6 +118,57 @@ def cost_symmetric(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
     return r.select(*CELL, (F.col("d") + F.coalesce(moved, F.lit(0.0))).alias("disparity"))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def _minus(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda p, q: p - q)
+
+
+def _two_shares(rows: DataFrame, gap: str, one: str, two: str, name: str) -> DataFrame:
+    """Adds name_p, name_q and name_g: the shares of two steps whose sum is nearest to gap, and by how much that lessens its squared length; null where the steps are along one line."""
+    for n, (a, b) in {"pp": (one, one), "pq": (one, two), "qq": (two, two), "gp": (gap, one), "gq": (gap, two)}.items():
+        rows = rows.withColumn(f"_{n}", _dot(F.col(a), F.col(b)))
+    det = F.col("_pp") * F.col("_qq") - F.col("_pq") * F.col("_pq")
+    p = F.try_divide(F.col("_gp") * F.col("_qq") - F.col("_gq") * F.col("_pq"), det)
+    q = F.try_divide(F.col("_gq") * F.col("_pp") - F.col("_gp") * F.col("_pq"), det)
+    rows = rows.withColumns({f"{name}_p": p, f"{name}_q": q})
+    return rows.withColumn(f"{name}_g", F.col(f"{name}_p") * F.col("_gp") + F.col(f"{name}_q") * F.col("_gq")).drop("_pp", "_pq", "_qq", "_gp", "_gq")
+
+
+def barycentric_symmetric(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
+    """img, i, j, disparity: the winner moved by the mix, with shares that sum to 1, of the targets at it and on both sides that is nearest to the source, if that is by less than 1. Winners at the range's ends, and whose neighbours leave the image, stay."""
+    along = Window.partitionBy("img", "i").orderBy("j")
+    zero = F.transform("t", lambda v: F.lit(0.0))
+    rows = pair.join(sizes(pair), "img").withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(disparities)})
+    rows = rows.withColumns({"_ts": F.array(*[F.col(f"_t{d}") for d in range(disparities)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d}")) for d in range(disparities)])})
+    r = winner(rows).withColumn("_own", F.get("_ts", F.col("d")))
+    r = r.withColumns({"_gap": _minus(F.col("s"), F.col("_own")), "_down": _minus(F.get("_ts", F.col("d") - 1), F.col("_own")), "_up": _minus(F.get("_ts", F.col("d") + 1), F.col("_own"))})
+    r = _two_shares(r, "_gap", "_down", "_up", "_m").withColumn("_move", F.col("_m_q") - F.col("_m_p"))
+    partner = F.col("j") + F.col("d")
+    possible = (F.col("d") > 0) & (F.col("d") + 1 < disparities) & (F.col("j") + 1 < F.col("w")) & (partner >= 1) & (partner + 1 < F.col("w"))
+    return r.select(*CELL, (F.col("d") + F.when(possible & (F.abs("_move") < 1), F.col("_move")).otherwise(0.0)).alias("disparity"))
+
+
+def barycentric_2d(pair: DataFrame, winners: DataFrame) -> DataFrame:
+    """img, i, j, y, x: winners (img, i, j, d1, d2) moved, in the quadrant that comes nearest to the source, by the mix of the target there and of its two neighbours on the quadrant's axes; shares sum to 1, moves are 1 at most. Targets on the border stay."""
+    along, across = Window.partitionBy("img", "i").orderBy("j"), Window.partitionBy("img", "j").orderBy("i")
+    steps = {"up": F.lag("t", 1).over(across), "down": F.lag("t", -1).over(across), "left": F.lag("t", 1).over(along), "right": F.lag("t", -1).over(along)}
+    target = pair.withColumns({f"_{n}": c for n, c in steps.items()})
+    target = target.select("img", F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("t").alias("_own"), *[_minus(F.col(f"_{n}"), F.col("t")).alias(f"_{n}") for n in steps])
+    asked = pair.select(*CELL, "s").join(winners, CELL).withColumns({"_i": F.col("i") + F.col("d1"), "_j": F.col("j") + F.col("d2")})
+    rows = asked.join(target, ["img", "_i", "_j"], "left").withColumn("_gap", _minus(F.col("s"), F.col("_own")))
+    options = []
+    for n, (v, h, dy, dx) in enumerate((("_down", "_right", 1, 1), ("_down", "_left", 1, -1), ("_up", "_right", -1, 1), ("_up", "_left", -1, -1))):
+        rows = _two_shares(rows, "_gap", v, h, f"_m{n}")
+        y, x, gain = F.col(f"_m{n}_p") * dy, F.col(f"_m{n}_q") * dx, F.round(f"_m{n}_g", 6)
+        options.append(F.when((F.abs(y) <= 1) & (F.abs(x) <= 1) & (gain > 0), F.struct(gain.alias("gain"), F.lit(-n).alias("first"), y.alias("y"), x.alias("x"))))
+    whole = F.col("_up").isNotNull() & F.col("_down").isNotNull() & F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    best = F.when(whole, F.array_max(F.array(*options)))
+    return rows.withColumn("_best", best).select(*CELL, (F.col("d1") + F.coalesce(F.col("_best.y"), F.lit(0.0))).alias("y"), (F.col("d2") + F.coalesce(F.col("_best.x"), F.lit(0.0))).alias("x"))
+
+
 def background_growth(frame: DataFrame, background: DataFrame, tolerance: int, ratio: float) -> DataFrame:
     """img, i, j, disparity, foreground of a frame's volume against a background's.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ocellus.functions import colour, kernels, vectors
 from ocellus.functions import geometry as g
 from ocellus.operators import raster as ops
-from ocellus.operators import stereo
+from ocellus.operators import spatial, stereo
 from ocellus.operators import volumes as v
 from ocellus.operators.iteration import shared_dir
 from ocellus.plans.registry import Registry, with_
@@ -275,3 +275,72 @@ R.add("harris_masked", lambda s, d: ops.harris(raster(s, d).withColumn("mask", F
     f"g AS ({_SOB.format('pad')})", "t AS (SELECT img, i, j, CASE WHEN j >= i THEN gx * gx ELSE 0 END AS xx, CASE WHEN j >= i THEN gx * gy ELSE 0 END AS xy, CASE WHEN j >= i THEN gy * gy ELSE 0 END AS yy FROM g)",
     "w AS (SELECT c.img, c.i, c.j, sum(t.xx) AS xx, sum(t.xy) AS xy, sum(t.yy) AS yy FROM cells c JOIN t ON t.img = c.img AND abs(t.i - c.i) <= 1 AND abs(t.j - c.j) <= 1 GROUP BY c.img, c.i, c.j)") +
     "SELECT img, i, j, round(CASE WHEN xx + yy = 0 THEN 0 ELSE (xx * yy - xy * xy) / (xx + yy) END, 4) + 0.0 AS value FROM w")
+
+
+def _barycentric_sql() -> str:
+    m = """m AS (SELECT w.img, w.i, w.j, w.d, s.v AS s, coalesce(a.v, 0) AS a, coalesce(u.v, 0) AS u, coalesce(o.v, 0) AS o FROM win w JOIN ns s ON s.img = w.img AND s.i = w.i AND s.j = w.j
+    LEFT JOIN nt a ON a.img = w.img AND a.i = w.i AND a.j = w.j + w.d AND a.di = s.di AND a.dj = s.dj LEFT JOIN nt u ON u.img = w.img AND u.i = w.i AND u.j = w.j + w.d + 1 AND u.di = s.di AND u.dj = s.dj
+    LEFT JOIN nt o ON o.img = w.img AND o.i = w.i AND o.j = w.j + w.d - 1 AND o.di = s.di AND o.dj = s.dj)"""
+    g_ = "g AS (SELECT img, i, j, d, sum((o - a) ** 2) AS pp, sum((u - a) ** 2) AS qq, sum((o - a) * (u - a)) AS pq, sum((s - a) * (o - a)) AS gp, sum((s - a) * (u - a)) AS gq FROM m GROUP BY ALL)"
+    h = "h AS (SELECT *, CASE WHEN pp * qq - pq * pq <> 0 THEN (gq * pp - gp * pq) / (pp * qq - pq * pq) - (gp * qq - gq * pq) / (pp * qq - pq * pq) END AS mv FROM g)"
+    return with_(*PAIR_SQL, VOLUME_SQL.replace("sum(abs(s.v - coalesce(t.v, 0)))", "sum((s.v - coalesce(t.v, 0)) ** 2)"), WIN_SQL, m, g_, h) + f"""
+SELECT img, i, j, round(d + CASE WHEN d > 0 AND d + 1 < {D} AND j + 1 < {W} AND j + d >= 1 AND j + d + 1 < {W} AND abs(mv) < 1 THEN mv ELSE 0 END, 5) + 0.0 AS disparity FROM h"""
+
+
+R.add("refine_barycentric_symmetric", lambda s, d: stereo.barycentric_symmetric(_pair(s, d), vectors.ssd, D).select("img", "i", "j", (F.round("disparity", 5) + 0.0).alias("disparity")), _barycentric_sql())
+
+
+def _quadrants(s, d):
+    pair = _pair(s, d)
+    found = stereo.barycentric_2d(pair, v.winner_2d(v.cost_volume_2d(pair, vectors.sad, (-1, 1), (0, 3))))
+    return found.select("img", "i", "j", *[(F.round(c, 4) + 0.0).alias(c) for c in "yx"])
+
+
+def _quadrants_sql() -> str:
+    places = {"a": (0, 0), "dn": (1, 0), "up": (-1, 0), "rt": (0, 1), "lf": (0, -1)}
+    joins = " ".join(f"LEFT JOIN nt {n} ON {n}.img = w.img AND {n}.i = w.i + w.d1 + ({p}) AND {n}.j = w.j + w.d2 + ({q}) AND {n}.di = s.di AND {n}.dj = s.dj" for n, (p, q) in places.items())
+    sums, options = [], []
+    for n in ("dn", "up", "rt", "lf"):
+        sums += [f"sum(({n}.v - a.v) ** 2) AS {n}2", f"sum((s.v - a.v) * ({n}.v - a.v)) AS {n}g", f"count({n}.v) AS {n}n"]
+    for n, (p, q, dy, dx) in enumerate((("dn", "rt", 1, 1), ("dn", "lf", 1, -1), ("up", "rt", -1, 1), ("up", "lf", -1, -1))):
+        sums.append(f"sum(({p}.v - a.v) * ({q}.v - a.v)) AS c{n}")
+        det = f"nullif({p}2 * {q}2 - c{n} * c{n}, 0)"
+        y, x = f"({p}g * {q}2 - {q}g * c{n}) / {det}", f"({q}g * {p}2 - {p}g * c{n}) / {det}"
+        options.append(f"SELECT img, i, j, {n} AS n, {y} * {dy} AS y, {x} * {dx} AS x, round({y} * {p}g + {x} * {q}g, 6) AS gain FROM g WHERE dnn = 9 AND upn = 9 AND rtn = 9 AND lfn = 9")
+    return with_(*PAIR_SQL, _V2, "w AS (SELECT img, i, j, d.d1 AS d1, d.d2 AS d2 FROM (SELECT img, i, j, max_by(struct_pack(d1 := d1, d2 := d2), struct_pack(c := -cost, d1 := d1, d2 := d2)) AS d FROM vol2 GROUP BY img, i, j))",
+                 f"g AS (SELECT w.img, w.i, w.j, w.d1, w.d2, {', '.join(sums)} FROM w JOIN ns s ON s.img = w.img AND s.i = w.i AND s.j = w.j {joins} GROUP BY ALL)", f"o AS ({' UNION ALL '.join(options)})",
+                 "b AS (SELECT * FROM o WHERE abs(y) <= 1 AND abs(x) <= 1 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY img, i, j ORDER BY gain DESC, n) = 1)") + (
+        "SELECT w.img, w.i, w.j, round(w.d1 + coalesce(b.y, 0), 4) + 0.0 AS y, round(w.d2 + coalesce(b.x, 0), 4) + 0.0 AS x FROM w LEFT JOIN b USING (img, i, j)")
+
+
+R.add("refine_barycentric_2d", _quadrants, _quadrants_sql())
+
+
+def _layers(**options):
+    return lambda s, d: spatial.depth_buffer(points(s, d).withColumns({"z": F.col("z") + 500}), 24, 30, 2, **options)
+
+
+_WHOLE = "a AS (SELECT CAST(k // 60 AS INT) AS i, CAST(k // 2 % 30 AS INT) AS j, CAST(k % 2 AS INT) AS layer FROM range(1440) r(k))"
+_RANKED = "r AS (SELECT i, j, z, row_number() OVER (PARTITION BY i, j ORDER BY z) - 1 AS layer FROM (SELECT DISTINCT i, j, z FROM c))"
+_SEEN = "SELECT a.i, a.j, a.layer, coalesce(r.z, -1) AS depth FROM a LEFT JOIN r USING (i, j, layer)"
+R.add("depth_buffer", _layers(size=30.0), with_(POINTS_SQL, "c AS (SELECT CAST(round(y * (1.0 / 30.0)::DOUBLE + 11.5) AS INT) AS i, CAST(round(x * (1.0 / 30.0)::DOUBLE + 14.5) AS INT) AS j, z + 500 AS z FROM points)", _WHOLE, _RANKED) + _SEEN)
+R.add("depth_buffer_pinhole", _layers(focal=20.0), with_(POINTS_SQL, "c AS (SELECT CAST(round(y * (20.0 / (z + 500)) + 11.5) AS INT) AS i, CAST(round(x * (20.0 / (z + 500)) + 14.5) AS INT) AS j, z + 500 AS z FROM points WHERE z + 500 > 0)", _WHOLE, _RANKED) + _SEEN)
+
+
+def _backward(s, d):
+    import numpy as np
+
+    from ocellus.operators import pose
+
+    return pose.backward_map(raster(s, d), pose.rotation(np.array([0.02, -0.05, 0.01])), 50.0).select("img", "i", "j", F.round("si", 5).alias("si"), F.round("sj", 5).alias("sj"))
+
+
+def _backward_sql() -> str:
+    from ocellus.plans.kernel_sql import TURN
+
+    x, y = f"((j - {(W - 1) / 2}) / 50)", f"((i - {(H - 1) / 2}) / 50)"
+    p = [f"(({TURN[k]}) * {x} + ({TURN[3 + k]}) * {y} + ({TURN[6 + k]}))" for k in range(3)]
+    return with_(CELLS, f"p AS (SELECT img, i, j, {p[0]} AS x, {p[1]} AS y, {p[2]} AS z FROM cells)") + f"SELECT img, i, j, round(y / z * 50 + {(H - 1) / 2}, 5) AS si, round(x / z * 50 + {(W - 1) / 2}, 5) AS sj FROM p"
+
+
+R.add("rectified_backward_map", _backward, _backward_sql())

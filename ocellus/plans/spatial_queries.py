@@ -48,7 +48,7 @@ _RAYS = "rays AS (SELECT pt AS ray, x * 3 AS ox, y * 3 AS oy, z * 3 AS oz, -x AS
 _slab = ", ".join(f"CASE WHEN d{c} = 0 THEN (CASE WHEN o{c} BETWEEN {c}0 AND {c}1 THEN -1e300 ELSE 1e300 END) ELSE least(({c}0 - o{c}) / d{c}, ({c}1 - o{c}) / d{c}) END AS n{c}, CASE WHEN d{c} = 0 THEN (CASE WHEN o{c} BETWEEN {c}0 AND {c}1 THEN 1e300 ELSE -1e300 END) ELSE greatest(({c}0 - o{c}) / d{c}, ({c}1 - o{c}) / d{c}) END AS f{c}" for c in "xyz")
 R.add("ray_first_hit", lambda s, d: spatial.first_hit(_boxes(s, d), _rays(s, d)).select("ray", "box", _r("t").alias("t")), with_(POINTS_SQL, _BOXES, _RAYS, f"h AS (SELECT ray, box, {_slab} FROM rays CROSS JOIN boxes)", "k AS (SELECT ray, box, greatest(nx, ny, nz, 0) AS t, least(fx, fy, fz) AS t1 FROM h)", "o AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, box) AS n FROM k WHERE t <= t1)") + "SELECT ray, box, round(t, 6) AS t FROM o WHERE n = 1")
 R.add("context_split", lambda s, d: spatial.with_context(points(s, d), 50.0), with_(POINTS_SQL) + f"SELECT cluster AS set, pt, true AS member FROM points WHERE cluster > 0 UNION ALL SELECT DISTINCT b.cluster, a.pt, false FROM points a JOIN points b ON b.cluster > 0 AND a.cluster <> b.cluster AND {D2} <= 2500")
-R.add("raster_nearest", lambda s, d: spatial.raster_nearest(points(s, d), 20.0, 3), with_(POINTS_SQL, "w AS (SELECT pt, x / 20 AS x, y / 20 AS y, CAST(floor(y / 20) AS BIGINT) + a AS i, CAST(floor(x / 20) AS BIGINT) + b AS j FROM points CROSS JOIN (SELECT unnest(range(-3, 4)) AS a) CROSS JOIN (SELECT unnest(range(-3, 4)) AS b))", "k AS (SELECT i, j, pt, row_number() OVER (PARTITION BY i, j ORDER BY round((x - j - 0.5) ** 2 + (y - i - 0.5) ** 2, 9), pt) AS n FROM w WHERE (x - j - 0.5) ** 2 + (y - i - 0.5) ** 2 <= 9)") + "SELECT i, j, pt FROM k WHERE n = 1")
+R.add("raster_nearest", lambda s, d: spatial.raster_nearest(points(s, d), 20.0, 8), with_(POINTS_SQL, "w AS (SELECT pt, x / 20 AS x, y / 20 AS y, CAST(floor(y / 20) AS BIGINT) + a AS i, CAST(floor(x / 20) AS BIGINT) + b AS j FROM points CROSS JOIN (SELECT unnest(range(-8, 9)) AS a) CROSS JOIN (SELECT unnest(range(-8, 9)) AS b))", "k AS (SELECT i, j, pt, row_number() OVER (PARTITION BY i, j ORDER BY round((x - j - 0.5) ** 2 + (y - i - 0.5) ** 2, 9), pt) AS n FROM w WHERE (x - j - 0.5) ** 2 + (y - i - 0.5) ** 2 <= 64)") + "SELECT i, j, pt FROM k WHERE n = 1")
 R.add("raster_zbuffer", lambda s, d: spatial.depth_layers(points(s, d), 64.0, 2).select("i", "j", "layer", "z", "pt"), with_(POINTS_SQL, "c AS (SELECT CAST(round(y / 64) AS BIGINT) AS i, CAST(round(x / 64) AS BIGINT) AS j, z, min(pt) AS pt FROM points GROUP BY ALL)", "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i, j ORDER BY z DESC) - 1 AS INT) AS layer FROM c)") + "SELECT i, j, layer, z, pt FROM k WHERE layer < 2")
 _cub = "(CASE WHEN abs({0}) <= 1 THEN 1.5 * abs({0}) ** 3 - 2.5 * abs({0}) ** 2 + 1 ELSE -0.5 * abs({0}) ** 3 + 2.5 * abs({0}) ** 2 - 4 * abs({0}) + 2 END)"
 R.add("detrend", lambda s, d: spatial.detrend(points(s, d), 64.0).select("pt", F.round("height", 3).alias("height")), with_(POINTS_SQL, "seen AS (SELECT CAST(floor(y / 64) AS INT) AS i, CAST(floor(x / 64) AS INT) AS j, min(z) AS v FROM points GROUP BY ALL)",
