@@ -96,6 +96,13 @@ def twins(half_edges: DataFrame) -> DataFrame:
     return half_edges.join(other, ["a", "b"], "left").select("edge", "twin")
 
 
+def with_exterior(half_edges: DataFrame) -> DataFrame:
+    """half_edges (edge, face, a, b) and, for each without a twin, the exterior one that runs the other way: edge -1 - edge, no face."""
+    lone = half_edges.join(twins(half_edges).where("twin IS NULL").select("edge"), "edge", "left_semi")
+    outside = lone.select((-1 - F.col("edge")).alias("edge"), F.lit(None).cast(half_edges.schema["face"].dataType).alias("face"), F.col("b").alias("a"), F.col("a").alias("b"))
+    return half_edges.select("edge", "face", "a", "b").unionByName(outside)
+
+
 def polygon_edges(faces: DataFrame, stride: int = 1 << 20) -> DataFrame:
     """edge (face * stride + k), face, a, b of faces (face, corners array of fewer than stride)."""
     n = F.size("corners")

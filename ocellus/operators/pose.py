@@ -277,8 +277,8 @@ def pnp(views: DataFrame) -> DataFrame:
     return views.groupBy("g").applyInPandas(run, "g long, r array<double>, t array<double>")
 
 
-def align_rays(rays: DataFrame, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """R, t for which rays (ox..dz) of one frame meet those (px..ez) of the other: Gauss-Newton, one aggregation a step."""
+def align_rays(rays: DataFrame, steps: int = 20, bound: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """R, t for which rays (ox..dz) of one frame meet those (px..ez) of the other: Gauss-Newton, one aggregation a step. With a bound, pairs that miss by more weigh as Huber's kernel says."""
     from ocellus.functions import geometry as g
 
     r, t = np.eye(3), np.zeros(3)
@@ -291,7 +291,8 @@ def align_rays(rays: DataFrame, steps: int = 20) -> tuple[np.ndarray, np.ndarray
         res = g.dot(F.col("e"), g.cross(gap, F.col("b")))
         turn = [g.dot(F.col("e"), g.add(g.cross(g.cross(x, F.col("a")), F.col("b")), g.cross(gap, g.cross(x, F.col("b"))))) for x in _AXES()]
         move = [g.dot(F.col("e"), g.cross(x, F.col("b"))) for x in _AXES()]
-        a, b = normal_equations(rows, turn + move, res)
+        weight = None if bound is None else F.when(F.abs(res) <= bound, 1.0).otherwise(bound / F.abs(res))
+        a, b = normal_equations(rows, turn + move, res, weight)
         step = np.linalg.lstsq(a, b, rcond=1e-12)[0]
         r, t = rotation(-step[:3]) @ r, t - step[3:]
         if np.linalg.norm(step) < 1e-10:

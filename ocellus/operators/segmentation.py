@@ -23,6 +23,23 @@ def neighbour_edges(cells: DataFrame, price: Callable, value: str = "value") ->
     return right.unionByName(rows.where("_d IS NOT NULL").select("img", "a", (F.col("a") + (1 << 20)).alias("b"), price(F.col(value), F.col("_d")).alias("w")))
 
 
+def guided_edges(guide: DataFrame, channels: list[str], switch: float, least: float = 0.0) -> DataFrame:
+    """img, a, b, w: what unlike marks of neighbours cost, from least where a guide's channels differ most to switch where they differ least."""
+    high, low = max(switch, least), min(switch, least)
+    packed = guide.withColumn("_g", F.array(*[F.col(c).cast("double") for c in channels]))
+    gap = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: acc + x)
+    edges = neighbour_edges(packed, gap, "_g")
+    ends = edges.groupBy("img").agg(F.min("w").alias("_lo"), F.max("w").alias("_hi"))
+    share = F.coalesce(F.try_divide(F.col("_hi") - F.col("w"), F.col("_hi") - F.col("_lo")), F.lit(1.0))
+    return edges.join(ends, "img").select("img", "a", "b", (low + (high - low) * share).alias("w"))
+
+
+def masked_edges(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Those of edges (img, a, b, w) between two cells of a mask (img, i, j)."""
+    inside = cells.select("img", (F.col("i").cast("bigint") * (1 << 20) + F.col("j")).alias("a")).distinct()
+    return edges.join(inside, ["img", "a"], "left_semi").join(inside.withColumnRenamed("a", "b"), ["img", "b"], "left_semi").select("img", "a", "b", "w")
+
+
 def cut_mask(fore: np.ndarray, back: np.ndarray, smooth: np.ndarray | float) -> np.ndarray:
     """The mask of least cost: fore where true, back where false, smooth for each pair of unlike neighbours."""
     h, w = fore.shape

@@ -100,6 +100,55 @@ def dp_scanline(volume: DataFrame, jump: float) -> DataFrame:
     return volume.select(*VOLUME).groupBy("img", "i").applyInPandas(run, "img int, i int, j int, d int")
 
 
+#: Steps of a scan-line path: a match, a target passed over, a source passed over.
+MATCH, PAST_TARGET, PAST_SOURCE = range(3)
+
+
+def match_and_skip(cost: np.ndarray, first: float, further: float) -> np.ndarray:
+    """Disparities of one line (columns, disparities) along the path of least cost from disparity 0 to 0; -1 where the source has no partner.
+
+    A step matches a column, passes over a target (the disparity grows by one, in the same column) or over a source (it
+    falls by one, in the next). The first step of a run of passes of one kind costs first, each that follows further.
+    """
+    w, n = cost.shape
+    best = np.full((w + 1, n, 3), np.inf)
+    came = np.zeros((w + 1, n, 3), dtype=np.int8)
+    best[0, 0, MATCH] = 0
+    for j in range(w + 1):
+        if j:
+            # In from the column before: a match at the same disparity, or a source passed over from the one above.
+            best[j, :, MATCH] = best[j - 1].min(axis=1) + cost[j - 1]
+            came[j, :, MATCH] = best[j - 1].argmin(axis=1)
+            over = best[j - 1, 1:] + np.array([first, first, further])
+            best[j, :-1, PAST_SOURCE], came[j, :-1, PAST_SOURCE] = over.min(axis=1), over.argmin(axis=1)
+        for d in range(1, n):
+            over = best[j, d - 1] + np.array([first, further, first])
+            best[j, d, PAST_TARGET], came[j, d, PAST_TARGET] = over.min(), over.argmin()
+    out, j, d, kind = np.full(w, -1, dtype=np.int32), w, 0, int(best[w, 0].argmin())
+    while j or d:
+        before = int(came[j, d, kind])
+        if kind == MATCH:
+            out[j - 1] = d
+            j -= 1
+        elif kind == PAST_SOURCE:
+            j, d = j - 1, d + 1
+        else:
+            d -= 1
+        kind = before
+    return out
+
+
+def scanline_paths(volume: DataFrame, first: float, further: float) -> DataFrame:
+    """img, i, j, d of match_and_skip() along each row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("j")
+        d = match_and_skip(np.stack(pdf["costs"].to_numpy()).astype(float), first, further)
+        return pd.DataFrame({"img": pdf["img"], "i": pdf["i"], "j": pdf["j"], "d": d})
+
+    return volume.select(*VOLUME).groupBy("img", "i").applyInPandas(run, "img int, i int, j int, d int")
+
+
 def fast_match(volume: DataFrame) -> DataFrame:
     """img, i, j, d along each row: the left neighbour's disparity or one beside it; the whole range after two jumps in a row."""
 

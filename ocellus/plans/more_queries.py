@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ocellus.functions import colour, kernels, vectors
 from ocellus.functions import geometry as g
 from ocellus.operators import raster as ops
-from ocellus.operators import spatial, stereo
+from ocellus.operators import graphs, segmentation, sequential, spatial, stereo
 from ocellus.operators import volumes as v
 from ocellus.operators.iteration import shared_dir
 from ocellus.plans.registry import Registry, with_
-from ocellus.plans.spatial_queries import _GEO, _ROT, _geo, _k, _r
+from ocellus.plans.spatial_queries import _GEO, _ROT, _faces, _geo, _r
+from ocellus.plans.spatial_queries import R as R_spatial
 from ocellus.plans.standins import POINTS_SQL, H, W, around_sql, points, raster, raster_sql, table
 from ocellus.plans.stereo_queries import _PARA, _V2, PAIR_SQL, VOLUME_SQL, WIN_SQL, D, _pair, _volume
 
@@ -344,3 +345,27 @@ def _backward_sql() -> str:
 
 
 R.add("rectified_backward_map", _backward, _backward_sql())
+
+
+def _exterior(s, d):
+    e = graphs.with_exterior(graphs.polygon_edges(_faces(s, d), 16))
+    return e.select("edge", F.coalesce("face", F.lit(-1).cast("bigint")).alias("face"), "a", "b")
+
+
+_FACES = R_spatial.sql["half_edge_twin"].partition(" SELECT x.edge")[0]
+R.add("half_edge_exterior", _exterior, _FACES.replace("SELECT face * 16 + k AS edge,", "SELECT face * 16 + k AS edge, face,") + """ SELECT edge, face, a, b FROM e UNION ALL
+SELECT -1 - edge, -1, b, a FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.a = x.b AND y.b = x.a)""")
+
+
+def _guided(s, d):
+    c = raster(s, d).withColumn("other", F.col("i") * 2.0)
+    e = segmentation.masked_edges(segmentation.guided_edges(c, ["value", "other"], 10.0, 1.0), c.where("value < 45"))
+    return e.select("img", "a", "b", F.round("w", 6).alias("w"))
+
+
+R.add("guided_edges", _guided, with_(
+    CELLS, "k AS (SELECT *, i * 1048576 + j AS k FROM cells)",
+    "e AS (SELECT x.img, x.k AS a, y.k AS b, abs(x.value - y.value) + abs(x.i - y.i) * 2.0 AS w, x.value AS u, y.value AS v FROM k x JOIN k y ON y.img = x.img AND ((y.i = x.i AND y.j = x.j + 1) OR (y.i = x.i + 1 AND y.j = x.j)))",
+    "m AS (SELECT img, min(w) AS lo, max(w) AS hi FROM e GROUP BY img)") +
+    "SELECT img, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(1 + 9 * (hi - w) / (hi - lo), 6) AS w FROM e JOIN m USING (img) WHERE u < 45 AND v < 45")
+R.add("scanline_paths", lambda s, d: sequential.scanline_paths(_volume()(s, d), 20.0, 5.0))

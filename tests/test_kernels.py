@@ -341,3 +341,58 @@ def test_weights_that_sum_to_one():
         got = solve.spherical_affine(a, b)
         near = min(miss(got + np.array([p, q, -p - q])) for p in (-1e-3, 0, 1e-3) for q in (-1e-3, 0, 1e-3))
         assert abs(got.sum() - 1) < 1e-9 and (miss(got) <= near + 1e-9 or miss(got) > 1)
+
+
+def _paths(w, n):
+    """Every scan-line path from disparity 0 to 0, as its steps."""
+
+    def go(j, d):
+        if j == w and d == 0:
+            yield []
+        if j < w:
+            for rest in go(j + 1, d):
+                yield [(sequential.MATCH, j, d), *rest]
+            if d:
+                for rest in go(j + 1, d - 1):
+                    yield [(sequential.PAST_SOURCE, j, d), *rest]
+        if d + 1 < n and (w - j) > d:
+            for rest in go(j, d + 1):
+                yield [(sequential.PAST_TARGET, j, d), *rest]
+
+    return go(0, 0)
+
+
+def test_scan_line_paths_are_the_cheapest():
+    rng = np.random.default_rng(5)
+
+    def price(path, cost):
+        total, before = 0.0, sequential.MATCH
+        for kind, j, d in path:
+            total += cost[j, d] if kind == sequential.MATCH else (1.0 if kind == before else 3.0)
+            before = kind
+        return total
+
+    for _ in range(12):
+        cost = rng.integers(0, 12, (5, 3)).astype(float)
+        options = {}
+        for p in _paths(5, 3):
+            found = [-1] * 5
+            for kind, j, d in p:
+                if kind == sequential.MATCH:
+                    found[j] = d
+            options[tuple(found)] = min(options.get(tuple(found), np.inf), price(p, cost))
+        got = tuple(sequential.match_and_skip(cost, 3.0, 1.0).tolist())
+        assert options[got] == min(options.values())
+
+
+def test_rays_that_miss_weigh_less(spark):
+    r, t = pose.rotation(np.array([0.02, -0.03, 0.01])), np.array([0.05, -0.1, 0.05])
+    rng = np.random.default_rng(8)
+    o, d, e = (rng.normal(size=(60, 3)) for _ in range(3))
+    met = (o + d * rng.uniform(1, 3, (60, 1))) @ r.T + t
+    met[:6] += rng.normal(size=(6, 3))
+    rows = [tuple(map(float, (*a, *b, *c, *f))) for a, b, c, f in zip(o, d, met - e, e, strict=True)]
+    rays = spark.createDataFrame(rows, ", ".join(f"{n}{c} double" for n in "odpe" for c in "xyz"))
+    plain, robust = (pose.align_rays(rays, 40, b) for b in (None, 0.01))
+    miss = lambda x: np.abs(x[0] - r).max() + np.abs(x[1] - t).max()
+    assert miss(robust) < 0.5 * miss(plain) and miss(robust) < 0.05
