@@ -158,8 +158,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = Table(texts.join(nodes.read(), "k", "left_semi"))
     nodes.drop()
     held = own.read()
-    one = pairs.join(held.select(F.col("k").alias("u"), F.col("text").alias("a")), "u")
-    two = one.join(held.select(F.col("k").alias("v"), F.col("text").alias("b")), "v")
+    one = pairs.join(held.select(F.col("k").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
+    two = one.join(held.select(F.col("k").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
     out = Table(two.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long").distinct())
     own.drop()
     return out
@@ -215,19 +215,19 @@ def _compare_blocks(best: bool):
     return run
 
 
-def _rest(buckets: DataFrame, leaders: DataFrame, found: DataFrame | None, classes: DataFrame, best: bool) -> DataFrame:
+def _rest(shared: DataFrame, found: DataFrame | None, classes: DataFrame, best: bool) -> DataFrame:
     """Candidates among those of a bucket that are in different components (None: each is one); its smallest member is held against all anyway."""
-    rows = buckets.join(leaders.where("c > 2"), "band").where("node != leader")
+    rows = shared.where("c > 2 AND node != leader")
     if found is None:
         rows = rows.select("band", "node", F.col("node").alias("component"))
     else:
         rows = rows.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "n", "sketch", "bands"), "node")
+    open_rows = rows.join(mixed.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "band").join(classes.select("node", "n", "sketch", "bands").hint("merge"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "other", "n", "sketch", "bands")
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_compare_blocks(best), "u long, v long").distinct()
 
 
@@ -239,16 +239,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = Table(sets.groupBy("s1", "s2", "n").agg(F.min("k").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     c = classes.read()
     buckets = c.select("node", F.explode("bands").alias("band"))
-    leaders = Table(buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1"))
-    pairs = buckets.join(leaders.read(), "band").where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    sketched = pairs.join(c.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("x")), "u").join(c.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("y")), "v")
+    leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
+    # What is in a bucket with others, once; a hot bucket is a skewed key that Spark splits.
+    shared = Table(buckets.join(leaders.hint("merge"), "band"))
+    pairs = shared.read().where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    sketches = c.select("node", "n", "sketch").hint("merge")
+    sketched = pairs.join(sketches.toDF("u", "nu", "x"), "u").join(sketches.toDF("v", "nv", "y"), "v")
     led = sketched.where(_sizes_allow("nu", "nv")).where(_differing("x", "y") <= MAX_DIFFERING).select("u", "v")
-    near = Table(led.unionByName(_rest(buckets, leaders.read(), None, c, best=True)).distinct())
+    near = Table(led.unionByName(_rest(shared.read(), None, c, best=True)).distinct())
     links = confirm(near.read(), texts)
     near.drop()
     found = Table(components(links.read()))
     # All pairs of members that are still apart; a pair with the smallest member of a shared bucket was held against it.
-    rest = Table(_rest(buckets, leaders.read(), found.read(), c, best=False))
+    rest = Table(_rest(shared.read(), found.read(), c, best=False))
     if not rest.read().isEmpty():
         more = confirm(rest.read(), texts)
         if not more.read().isEmpty():
@@ -260,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     every = signed.read().select("k", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     component = F.coalesce("component", "k")
     out = Table(every.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("k") == component).alias("kept")))
-    for t in (signed, classes, leaders, links, found):
+    for t in (signed, classes, shared, links, found):
         t.drop()
     return out.read()
 
