@@ -54,6 +54,22 @@ def gather(cells: DataFrame, offsets: list[tuple[int, int, float]], padding: str
     return source.join(values, ["img", "si", "sj"], "left").groupBy(*CELL).agg(F.sum(F.col("k") * F.coalesce(F.col("value"), F.lit(fill))).alias("value"))
 
 
+def gather_channels(cells: DataFrame, taps: list[tuple[int, int, int | None, float]], channel: str = "c") -> DataFrame:
+    """img, i, j and a channel's place, value: weighted sums over offsets and channels of cells with a channel column; 0 outside.
+
+    taps: (di, dj, k, weight). With k None a tap is a batch's: it goes from each channel to the same one of the result. With
+    a number it is summed over: from that channel into the one result, whose channel is 0.
+    """
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(k).cast("int").alias("k"), F.lit(float(w)).alias("w")) for a, b, k, w in taps]))
+    # Each cell goes to the places that it counts for; those that lie outside are no cells of the image.
+    sent = cells.select(*CELL, channel, "value", steps.alias("t")).where(F.col("t.k").isNull() | (F.col("t.k") == F.col(channel)))
+    sent = sent.select("img", (F.col("i") - F.col("t.di")).alias("i"), (F.col("j") - F.col("t.dj")).alias("j"), F.when(F.col("t.k").isNull(), F.col(channel)).otherwise(0).alias(channel), (F.col("t.w") * F.col("value")).alias("value"))
+    sums = sent.groupBy(*CELL, channel).agg(F.sum("value").alias("value"))
+    batched = any(k is None for _, _, k, _ in taps)
+    places = cells.select(*CELL, channel) if batched else cells.select(*CELL).distinct().withColumn(channel, F.lit(0))
+    return places.join(sums, [*CELL, channel], "left").select(*CELL, channel, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def weighted(f: str, weights: list[float]) -> Column:
     """Sum of an array's entries by fixed weights."""
     out = F.lit(0.0)

@@ -169,6 +169,31 @@ def barycentric_2d(pair: DataFrame, winners: DataFrame) -> DataFrame:
     return rows.withColumn("_best", best).select(*CELL, (F.col("d1") + F.coalesce(F.col("_best.y"), F.lit(0.0))).alias("y"), (F.col("d2") + F.coalesce(F.col("_best.x"), F.lit(0.0))).alias("x"))
 
 
+def _added(x: Column, y: Column, weight: Column) -> Column:
+    return F.zip_with(x, y, lambda p, q: p + weight * q)
+
+
+def kernel_refined(pair: DataFrame, cost: Cost, disparities: int, kernel: Callable[[Column], Column], radius: int = 1, cut: int = 10) -> DataFrame:
+    """img, i, j, disparity: the winner moved by the multiple of 1 / cut, less than 1 either way, at which the target's line, interpolated by a kernel of that radius, costs least; of equal ones the shortest move, then the lower. Targets on the border stay."""
+    along = Window.partitionBy("img", "i").orderBy("j")
+    zero = F.transform("t", lambda v: F.lit(0.0))
+    rows = pair.join(sizes(pair), "img").withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(-radius, disparities + radius)})
+    rows = rows.withColumns({"_ts": F.array(*[F.col(f"_t{d}") for d in range(-radius, disparities + radius)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d}")) for d in range(disparities)])})
+    r = winner(rows)
+
+    def at(move: Column) -> Column:
+        out = F.transform("t", lambda v: F.lit(0.0))
+        for p in range(-radius, radius + 1):
+            out = _added(out, F.get("_ts", F.col("d") + p + radius), kernel(F.lit(float(p)) - move))
+        return out
+
+    moves = F.transform(F.sequence(F.lit(1 - cut), F.lit(cut - 1)), lambda k: k / F.lit(float(cut)))
+    tried = F.transform(moves, lambda m: F.struct(F.round(cost(F.col("s"), at(m)), 9).alias("cost"), F.abs(m).alias("size"), m.alias("move")))
+    partner = F.col("j") + F.col("d")
+    possible = (partner >= 1) & (partner + 1 < F.col("w"))
+    return r.select(*CELL, (F.col("d") + F.when(possible, F.array_min(tried)["move"]).otherwise(0.0)).alias("disparity"))
+
+
 def background_growth(frame: DataFrame, background: DataFrame, tolerance: int, ratio: float) -> DataFrame:
     """img, i, j, disparity, foreground of a frame's volume against a background's.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ocellus.functions import colour, kernels, vectors
 from ocellus.functions import geometry as g
 from ocellus.operators import raster as ops
-from ocellus.operators import graphs, segmentation, sequential, spatial, stereo
+from ocellus.operators import attributes, graphs, segmentation, sequential, solve, spatial, stereo
 from ocellus.operators import volumes as v
 from ocellus.operators.iteration import shared_dir
 from ocellus.plans.registry import Registry, with_
@@ -369,3 +369,37 @@ R.add("guided_edges", _guided, with_(
     "m AS (SELECT img, min(w) AS lo, max(w) AS hi FROM e GROUP BY img)") +
     "SELECT img, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(1 + 9 * (hi - w) / (hi - lo), 6) AS w FROM e JOIN m USING (img) WHERE u < 45 AND v < 45")
 R.add("scanline_paths", lambda s, d: sequential.scanline_paths(_volume()(s, d), 20.0, 5.0))
+
+
+def _kernel_sql(cut: int) -> str:
+    costs = "c AS (SELECT w.img, w.i, w.j, w.d, k, sum((s.v - (1 - abs(k / {0})) * coalesce(a.v, 0) - greatest(k / {0}, 0) * coalesce(u.v, 0) - greatest(-k / {0}, 0) * coalesce(o.v, 0)) ** 2) AS cost"
+    return with_(*PAIR_SQL, VOLUME_SQL.replace("sum(abs(s.v - coalesce(t.v, 0)))", "sum((s.v - coalesce(t.v, 0)) ** 2)"), WIN_SQL, costs.format(cut) + f""" FROM win w CROSS JOIN range({1 - cut}, {cut}) r(k) JOIN ns s ON s.img = w.img AND s.i = w.i AND s.j = w.j
+  LEFT JOIN nt a ON a.img = w.img AND a.i = w.i AND a.j = w.j + w.d AND a.di = s.di AND a.dj = s.dj LEFT JOIN nt u ON u.img = w.img AND u.i = w.i AND u.j = w.j + w.d + 1 AND u.di = s.di AND u.dj = s.dj
+  LEFT JOIN nt o ON o.img = w.img AND o.i = w.i AND o.j = w.j + w.d - 1 AND o.di = s.di AND o.dj = s.dj GROUP BY ALL)""") + f"""
+SELECT img, i, j, d + CASE WHEN j + d >= 1 AND j + d + 1 < {W} THEN min_by(k, struct_pack(c := round(cost, 9), a := abs(k), k := k)) / {cut} ELSE 0 END AS disparity FROM c GROUP BY img, i, j, d"""
+
+
+R.add("refine_kernel", lambda s, d: stereo.kernel_refined(_pair(s, d), vectors.ssd, D, lambda t: F.greatest(1 - F.abs(t), F.lit(0.0)), 1, 4), _kernel_sql(4))
+
+
+def _affine(s, d):
+    w = solve.affine_least_squares(table(s, d, "lineitem"), [F.col("l_quantity"), F.col("l_discount") * 100], F.col("l_extendedprice") / 1000)
+    return s.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(w)], "k int, value double")
+
+
+_AFFINE = "WITH q AS (SELECT l_quantity - l_discount * 100 AS a, l_extendedprice / 1000 - l_discount * 100 AS b FROM lineitem), f AS (SELECT sum(a * b) / sum(a * a) AS w FROM q)"
+R.add("affine_least_squares", _affine, _AFFINE + " SELECT 0::INT AS k, round(w, 6) AS value FROM f UNION ALL SELECT 1, round(1 - w, 6) FROM f")
+R.add("drop_colour", lambda s, d: attributes.drop_colour(table(s, d, "part").select("p_partkey", F.col("p_size").alias("Red"), F.col("p_size").alias("nir"), F.col("p_retailprice").alias("greenish"))), "SELECT p_partkey, p_retailprice AS greenish FROM part")
+R.add("typed_geometry", lambda s, d: attributes.geometry(points(s, d)).select("pt", *[F.col(f"xyz.{c}").alias(f"g{c}") for c in "xyz"], "cluster"), with_(POINTS_SQL) + "SELECT pt, x AS gx, y AS gy, z AS gz, cluster FROM points")
+
+
+def _channels(s, d):
+    c = raster(s, d)
+    return c.select("img", "i", "j", F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("value")), F.struct(F.lit(1).alias("c"), (F.col("i") + F.col("j")).cast("double").alias("value")))).alias("x")).select("img", "i", "j", "x.*")
+
+
+_CHANNELS = "ch AS (SELECT img, i, j, 0 AS c, value FROM cells UNION ALL SELECT img, i, j, 1, i + j FROM cells)"
+R.add("conv_batched", lambda s, d: ops.gather_channels(_channels(s, d), [(0, 0, None, 2.0), (0, 1, None, -1.0), (1, 0, None, 0.5)]), with_(CELLS, _CHANNELS) + """SELECT x.img, x.i, x.j, CAST(x.c AS INT) AS c, CAST(2 * x.value - coalesce(r.value, 0) + coalesce(b.value, 0) * 0.5 AS DOUBLE) AS value FROM ch x
+LEFT JOIN ch r ON r.img = x.img AND r.i = x.i AND r.j = x.j + 1 AND r.c = x.c LEFT JOIN ch b ON b.img = x.img AND b.i = x.i + 1 AND b.j = x.j AND b.c = x.c""")
+R.add("conv_aggregated", lambda s, d: ops.gather_channels(_channels(s, d), [(0, 0, 0, 2.0), (0, -1, 1, 1.0), (0, 0, 1, -1.0)]), with_(CELLS, _CHANNELS) + """SELECT x.img, x.i, x.j, 0::INT AS c, CAST(2 * x.value + coalesce(l.value, 0) - y.value AS DOUBLE) AS value FROM ch x
+JOIN ch y ON y.img = x.img AND y.i = x.i AND y.j = x.j AND y.c = 1 LEFT JOIN ch l ON l.img = x.img AND l.i = x.i AND l.j = x.j - 1 AND l.c = 1 WHERE x.c = 0""")
