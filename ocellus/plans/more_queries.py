@@ -403,3 +403,15 @@ R.add("conv_batched", lambda s, d: ops.gather_channels(_channels(s, d), [(0, 0,
 LEFT JOIN ch r ON r.img = x.img AND r.i = x.i AND r.j = x.j + 1 AND r.c = x.c LEFT JOIN ch b ON b.img = x.img AND b.i = x.i + 1 AND b.j = x.j AND b.c = x.c""")
 R.add("conv_aggregated", lambda s, d: ops.gather_channels(_channels(s, d), [(0, 0, 0, 2.0), (0, -1, 1, 1.0), (0, 0, 1, -1.0)]), with_(CELLS, _CHANNELS) + """SELECT x.img, x.i, x.j, 0::INT AS c, CAST(2 * x.value + coalesce(l.value, 0) - y.value AS DOUBLE) AS value FROM ch x
 JOIN ch y ON y.img = x.img AND y.i = x.i AND y.j = x.j AND y.c = 1 LEFT JOIN ch l ON l.img = x.img AND l.i = x.i AND l.j = x.j - 1 AND l.c = 1 WHERE x.c = 0""")
+
+
+def _byte_ranges(s, d):
+    from ocellus.sources.ranges import read_point_ranges
+    from ocellus.sources.sinks import write_points
+
+    at = _kept_at(s)
+    write_points(points(s, d).select("x", "y", "z", F.col("cluster").cast("short").alias("mark")), at, "las")
+    return read_point_ranges(s, f"{at}/*.las", "las", range_bytes=4000).select(*[F.round(c, 3).alias(c) for c in "xyz"], F.col("mark").cast("int").alias("mark"))
+
+
+R.add("las_byte_ranges", _byte_ranges, with_(POINTS_SQL) + f"SELECT {_XYZ_SQL}, CAST(cluster AS INT) AS mark FROM points")

@@ -64,6 +64,16 @@ def pcd_records(raw: bytes) -> tuple[PcdHeader, np.ndarray]:
     return h, out
 
 
+def with_colours(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """r, g, b (and a) of a packed rgb or rgba of four bytes, beside it."""
+    for packed in ("rgba", "rgb"):
+        if packed in columns and columns[packed].dtype.itemsize == 4 and columns[packed].ndim == 1:
+            bits = np.ascontiguousarray(columns[packed]).view("<u4")
+            parts = {"r": 16, "g": 8, "b": 0} | ({"a": 24} if packed == "rgba" else {})
+            columns = {**{c: ((bits >> s) & 255).astype("u1") for c, s in parts.items()}, **columns}
+    return columns
+
+
 def pcd_bytes(columns: dict[str, np.ndarray], binary: bool = True) -> bytes:
     """A PCD file; names keep only letters, digits and underscores."""
     names = [re.sub(r"[^A-Za-z0-9_]", "_", c) for c in columns]

@@ -45,6 +45,7 @@ def public_header(raw: bytes) -> dict:
     """All values of the public header block, by name."""
     if raw[:4] != b"LASF":
         raise ValueError("not a LAS file")
+    raw = raw[:375]
     size = struct.unpack_from("<H", raw, 94)[0]
     late = (raw[24], raw[25]) >= (1, 4)
     fields = HEADER + HEADER_13 * (size >= 235) + HEADER_14 * late
@@ -73,8 +74,8 @@ def variable_records(raw: bytes) -> list[dict]:
     h, out = public_header(raw), []
     for at, count, extended in ((h["headerSize"], h["numberOfVariableLengthRecords"], False), (h["startOfFirstExtendedVariableLengthRecord"], h["numberOfExtendedVariableLengthRecords"], True)):
         for _ in range(count):
-            user, record, size = struct.unpack_from("<16sHQ" if extended else "<16sHH", raw, at + 2)
             head = 60 if extended else 54
+            user, record, size = struct.unpack("<16sHQ" if extended else "<16sHH", raw[at + 2 : at + head - 32])
             text = lambda b: b.split(b"\0")[0].decode("latin-1")
             out.append({"user": text(user), "record": record, "description": text(raw[at + head - 32 : at + head]), "extended": extended, "data": raw[at + head : at + head + size]})
             at += head + size
@@ -114,14 +115,18 @@ def record_type(h: dict, extras: list[tuple[str, str]]) -> tuple[np.dtype, list[
 
 
 def las_records(raw: bytes) -> tuple[dict, dict[str, np.ndarray]]:
-    """Header and columns: positions scaled (NaN where there is none), bit fields apart, extra attributes typed, other extra bytes as they are."""
+    """Header and columns of a whole file."""
     h = las_header(raw)
     dtype, names = record_type(h, extra_fields(raw))
-    rows = np.frombuffer(raw, dtype=dtype, count=h["points"], offset=h["data_at"])
+    return h, las_columns(h, names, np.frombuffer(raw, dtype=dtype, count=h["points"], offset=h["data_at"]))
+
+
+def las_columns(h: dict, names: list[str], rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns of records: positions scaled (NaN where there is none), bit fields apart, extra attributes typed, other extra bytes as they are."""
     out = {c: np.where(rows[c.upper()] == NO_POSITION, np.nan, rows[c.upper()] * s + o) for c, s, o in zip("xyz", h["scale"], h["offset"], strict=True)}
     out |= {f: rows[f] for f, _ in LAS_FORMATS[h["format"]] if f not in _PACKED}
     out |= {k: (rows[f] >> s) & ((1 << n) - 1) for k, (f, s, n) in (_OLD_BITS if h["format"] <= 5 else _NEW_BITS).items()}
-    return h, out | {n: rows[n] for n in names}
+    return out | {n: rows[n] for n in names}
 
 
 def suitable_format(names: set[str]) -> int:

@@ -26,13 +26,7 @@ _WIDER = {"u1": "i2", "u2": "i4", "u4": "i8"}
 def _columns(kind: str, raw: bytes) -> dict[str, np.ndarray]:
     if kind == "pcd":
         h, rows = f.pcd_records(raw)
-        out = {c: rows[c] for c in h.fields}
-        for packed in ("rgba", "rgb"):
-            if packed in out and out[packed].dtype.itemsize == 4 and out[packed].ndim == 1:
-                bits = np.ascontiguousarray(out[packed]).view("<u4")
-                parts = {"r": 16, "g": 8, "b": 0} | ({"a": 24} if packed == "rgba" else {})
-                out = {**{c: ((bits >> s) & 255).astype("u1") for c, s in parts.items()}, **out}
-        return out
+        return f.with_colours({c: rows[c] for c in h.fields})
     if kind == "las":
         return f.las_records(raw)[1]
     if kind == "sdc":

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from ocellus.sources import images, las, sinks
 from ocellus.sources.formats import pcd_bytes, read_metacloud_text
+from ocellus.sources.ranges import read_point_ranges
 from ocellus.sources.readers import read_header, read_metacloud_attributes, read_points, read_variable_records
 from pyspark.sql import functions as F
 
@@ -114,3 +115,24 @@ def test_pictures(spark, tmp_path, channels):
     got = {(r.i, r.j, r.c): r.value for r in images.read_images(spark, str(tmp_path / "p")).collect()}
     assert got == {(r.i, r.j, r.c): r.value for r in cells.collect()}
     assert images.levels(np.array([True, False])).tolist() == [255, 0] and images.levels(np.array([-3.0, 700.4]), 8).tolist() == [0, 255]
+
+
+@pytest.mark.parametrize("kind", ["las", "pcd", "sdc"])
+def test_ranges_of_a_file_are_the_whole(spark, tmp_path, kind):
+    points = spark.range(1000).select(*[(F.col("id") * k / 4).alias(c) for k, c in enumerate("xyz", start=1)], F.col("id").cast("int").alias("amplitude"), F.col("id").cast("short").alias("mark"))
+    sinks.write_points(points.repartition(2), str(tmp_path / "p"), kind)
+    at = f"{tmp_path}/p/*.{kind}"
+    whole, parts = read_points(spark, at, kind), read_point_ranges(spark, at, kind, range_bytes=3000)
+    assert parts.rdd.getNumPartitions() > 6 and parts.columns == whole.columns and parts.dtypes == whole.dtypes
+    key = lambda df: sorted((r.file.rsplit("/", 1)[1], *r[1:]) for r in df.collect())
+    assert key(parts) == key(whole)
+
+
+def test_ranges_with_extended_records(spark, tmp_path):
+    raw = bytearray(las.las_bytes({"x": np.arange(5.0), "y": np.arange(5.0), "z": np.arange(5.0), "a": np.arange(5, dtype="u1")}))
+    data = bytearray(192)
+    data[2], data[4:6] = 2, b"b2"
+    struct.pack_into("<QI", raw, 235, len(raw), 1)
+    raw += struct.pack("<H16sHQ32s", 0, b"LASF_Spec", 4, 192, b"more") + data
+    (tmp_path / "e.las").write_bytes(raw)
+    assert sorted(r.b2 for r in read_point_ranges(spark, str(tmp_path / "e.las"), range_bytes=100).collect()) == [0, 1, 2, 3, 4]
