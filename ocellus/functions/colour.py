@@ -39,6 +39,15 @@ def gray(r: Column, g: Column, b: Column) -> Column:
     return GRAY[0] * r + GRAY[1] * g + GRAY[2] * b
 
 
+#: The channels of a pixel in each colour model; the packed ones have two values for a pixel.
+CHANNELS = {"rgb": "rgb", "bgr": "bgr", "rgba": "rgba", "bgra": "bgra", "cmyk": "cmyk", "hsi": "hsi", "hsv": "hsv", "yuv": "yuv", "yuyv": "yu", "yvyu": "yv"}
+
+
+def in_order(channels: dict[str, Column], model: str) -> Column:
+    """An array of a pixel's channels (by their letters) in a model's order."""
+    return F.array(*[channels[c] for c in CHANNELS[model]])
+
+
 def swap_red_blue(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return b, g, r
 

@@ -25,6 +25,11 @@ def finite_difference(order: int = 1) -> list[float]:
     return {1: [-0.5, 0.0, 0.5], 2: [1.0, -2.0, 1.0]}[order]
 
 
+def linear_extension() -> list[float]:
+    """What goes across a finite difference."""
+    return [1.0, 2.0, 1.0]
+
+
 def outer(rows: list[float], columns: list[float]) -> list[tuple[int, int, float]]:
     """A kernel of two axes as offsets and weights."""
     ri, rj = len(rows) // 2, len(columns) // 2

@@ -57,6 +57,11 @@ def geometry(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"]).alias("xyz"), *[c for c in df.columns if c not in ("x", "y", "z")])
 
 
+def component_boxes(labelled: DataFrame) -> DataFrame:
+    """img, label and the ends, included, of the rows and columns that labelled cells (img, i, j, label) take."""
+    return labelled.groupBy("img", "label").agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
+
+
 def component_stats(labelled: DataFrame) -> DataFrame:
     """img, label, n, centroid, mean value and principal variances of labelled cells (img, i, j, label, value)."""
     a = labelled.groupBy("img", "label").agg(

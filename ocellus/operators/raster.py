@@ -271,15 +271,26 @@ def _linear(t: Column) -> Column:
     return F.greatest(1 - F.abs(t), F.lit(0.0))
 
 
-def interpolate(cells: DataFrame, points: DataFrame, kernel: str = "linear") -> DataFrame:
-    """points (pt, img, y, x) with the raster's value there; 0 outside. Each point joins the 4 or 16 cells around it."""
+def interpolate(cells: DataFrame, points: DataFrame, kernel: str = "linear", fill: float = 0.0) -> DataFrame:
+    """points (pt, img, y, x) with the raster's value there; fill stands for what lies outside. Each point joins the 4 or 16 cells around it."""
     k, reach = (_linear, (0, 1)) if kernel == "linear" else (_cubic, (-1, 2))
     steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(reach[0], reach[1] + 1) for b in range(reach[0], reach[1] + 1)]
     near = points.withColumn("_o", F.explode(F.array(*steps)))
     near = near.withColumns({"i": (F.floor("y") + F.col("_o.a")).cast("int"), "j": (F.floor("x") + F.col("_o.b")).cast("int")})
     hit = near.join(cells.select(*CELL, "value"), CELL, "left")
     weight = k(F.col("y") - F.col("i")) * k(F.col("x") - F.col("j"))
-    return hit.groupBy("pt", "img", "y", "x").agg(F.sum(weight * F.coalesce("value", F.lit(0.0))).alias("value"))
+    return hit.groupBy("pt", "img", "y", "x").agg(F.sum(weight * F.coalesce("value", F.lit(float(fill)))).alias("value"))
+
+
+def triangle_cells(triangles: DataFrame) -> DataFrame:
+    """triangle, i, j of the cells whose centres lie in triangles (triangle, y0, x0 ... y2, x2), borders included."""
+    ys, xs = [F.col(f"y{k}") for k in range(3)], [F.col(f"x{k}") for k in range(3)]
+    rows = triangles.withColumn("i", F.explode(F.sequence(F.ceil(F.least(*ys)).cast("int"), F.greatest(F.ceil(F.least(*ys)), F.floor(F.greatest(*ys))).cast("int"))))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.ceil(F.least(*xs)).cast("int"), F.greatest(F.ceil(F.least(*xs)), F.floor(F.greatest(*xs))).cast("int"))))
+    sides = [(xs[(k + 1) % 3] - xs[k]) * (F.col("i") - ys[k]) - (ys[(k + 1) % 3] - ys[k]) * (F.col("j") - xs[k]) for k in range(3)]
+    held = (F.least(*sides) >= 0) | (F.greatest(*sides) <= 0)
+    inside = F.col("i").between(F.least(*ys), F.greatest(*ys)) & F.col("j").between(F.least(*xs), F.greatest(*xs))
+    return rows.where(held & inside).select("triangle", "i", "j")
 
 
 #: The windows of seventeen labels of radius 3 and 4, one character a cell (1 to 9, then a to h).

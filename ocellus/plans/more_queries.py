@@ -16,7 +16,7 @@ from ocellus.operators.iteration import shared_dir
 from ocellus.plans.registry import Registry, with_
 from ocellus.plans.spatial_queries import _GEO, _ROT, _faces, _geo, _r
 from ocellus.plans.spatial_queries import R as R_spatial
-from ocellus.plans.standins import POINTS_SQL, H, W, around_sql, points, raster, raster_sql, table
+from ocellus.plans.standins import POINTS_SQL, RGB_SQL, H, W, around_sql, points, raster, raster_sql, rgb, table
 from ocellus.plans.stereo_queries import _PARA, _V2, PAIR_SQL, VOLUME_SQL, WIN_SQL, D, _pair, _volume
 
 R = Registry()
@@ -415,3 +415,23 @@ def _byte_ranges(s, d):
 
 
 R.add("las_byte_ranges", _byte_ranges, with_(POINTS_SQL) + f"SELECT {_XYZ_SQL}, CAST(cluster AS INT) AS mark FROM points")
+
+
+def _spots(s, d):
+    return attributes.component_boxes(graphs.mask_components(raster(s, d).where("value > 32")))
+
+
+R.add("component_boxes", _spots, R_spatial.sql["components"].replace(" SELECT img, i, j, CAST(min(z) AS BIGINT) AS label FROM r GROUP BY img, i, j", ", l AS (SELECT img, i, j, CAST(min(z) AS BIGINT) AS label FROM r GROUP BY img, i, j)") +
+      " SELECT img, label, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM l GROUP BY img, label")
+_BORDER = "p AS (SELECT img * 1536 + i * 48 + j AS pt, img, i - 0.75::DOUBLE AS y, j + 0.375::DOUBLE AS x FROM cells)"
+R.add("interpolate_filled", lambda s, d: ops.interpolate(raster(s, d), raster(s, d).select((F.col("img") * 1536 + F.col("i") * 48 + F.col("j")).alias("pt"), "img", (F.col("i") - 0.75).alias("y"), (F.col("j") + 0.375).alias("x")), fill=100.0).select("pt", F.round("value", 6).alias("value")), with_(
+    CELLS, _BORDER, "t AS (SELECT pt, img, y, x, floor(y) + a AS i, floor(x) + b AS j FROM p CROSS JOIN (SELECT unnest([0, 1]) AS a) CROSS JOIN (SELECT unnest([0, 1]) AS b))") +
+    "SELECT pt, round(sum((1 - abs(y - t.i)) * (1 - abs(x - t.j)) * coalesce(c.value, 100)), 6) AS value FROM t LEFT JOIN cells c ON c.img = t.img AND c.i = t.i AND c.j = t.j GROUP BY pt")
+_CORNERS = {"y0": "s_suppkey % 7 + 0.5", "x0": "s_suppkey % 5", "y1": "10 + s_suppkey % 3", "x1": "s_suppkey % 11 - 2", "y2": "4 - s_suppkey % 2", "x2": "12.25"}
+R.add("triangle_cells", lambda s, d: ops.triangle_cells(table(s, d, "supplier").select(F.col("s_suppkey").alias("triangle"), *[F.expr(e).cast("double").alias(c) for c, e in _CORNERS.items()])),
+      "WITH t AS (SELECT s_suppkey AS triangle, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _CORNERS.items()) + """ FROM supplier),
+c AS (SELECT t.*, i, j FROM t CROSS JOIN range(-5, 20) a(i) CROSS JOIN range(-5, 20) b(j)),
+s AS (SELECT *, (x1 - x0) * (i - y0) - (y1 - y0) * (j - x0) AS a, (x2 - x1) * (i - y1) - (y2 - y1) * (j - x1) AS b, (x0 - x2) * (i - y2) - (y0 - y2) * (j - x2) AS d FROM c)
+SELECT triangle, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM s WHERE (least(a, b, d) >= 0 OR greatest(a, b, d) <= 0) AND i BETWEEN least(y0, y1, y2) AND greatest(y0, y1, y2) AND j BETWEEN least(x0, x1, x2) AND greatest(x0, x1, x2)""")
+R.add("colour_orders", lambda s, d: rgb(s, d).select("img", "i", "j", F.array_join(F.transform(colour.in_order({c: F.col(c) for c in "rgb"}, "bgr"), lambda x: x.cast("int").cast("string")), ",").alias("bgr")),
+      with_(RGB_SQL) + "SELECT img, i, j, concat_ws(',', CAST(b AS INT), CAST(g AS INT), CAST(r AS INT)) AS bgr FROM rgb")
