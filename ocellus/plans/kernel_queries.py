@@ -81,7 +81,15 @@ def _round_trip(kind, schema, columns):
 
 
 R.add("pcd_roundtrip", _round_trip("pcd", "x double, y double, z double, cluster int", lambda: {**{c: F.col(c) for c in "xyz"}, "cluster": F.col("cluster")}), "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS cluster FROM points")
-R.add("las_roundtrip", _round_trip("las", "x double, y double, z double, red int, green int, blue int", lambda: {**{c: F.col(c) for c in "xyz"}, "red": F.col("cluster"), "green": F.col("cluster") * 2, "blue": F.col("cluster") * 3}), "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS red, CAST(cluster * 2 AS INT) AS green, CAST(cluster * 3 AS INT) AS blue FROM points")
+R.add(
+    "las_roundtrip",
+    _round_trip(
+        "las",
+        "x double, y double, z double, red int, green int, blue int",
+        lambda: {**{c: F.col(c) for c in "xyz"}, "red": F.col("cluster"), "green": F.col("cluster") * 2, "blue": F.col("cluster") * 3},
+    ),
+    "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS red, CAST(cluster * 2 AS INT) AS green, CAST(cluster * 3 AS INT) AS blue FROM points",
+)
 R.add("sdc_roundtrip", _round_trip("sdc", "x double, y double, z double, amplitude int", lambda: {**{c: F.col(c) for c in "xyz"}, "amplitude": F.col("cluster")}), "WITH " + POINTS_SQL + " SELECT x, y, z, CAST(cluster AS INT) AS amplitude FROM points")
 
 

@@ -164,7 +164,18 @@ def _lens(s, d):
     return c.select("img", "i", "j", *[_r(x).alias(n) for n, x in filters.lens_map(F.col("i"), F.col("j"), 50.0, 48, 32, (-0.1, 0.02, 0.0)).items()])
 
 
-R.add("lens_map", _lens, with_(CELLS, "n AS (SELECT img, i, j, (j - 23.5) / 50 AS x, (i - 15.5) / 50 AS y FROM cells)", "k AS (SELECT *, 1 + (x * x + y * y) * (-0.1 + (x * x + y * y) * 0.02) AS k FROM n)") + "SELECT img, i, j, round(y * k * 50 + 15.5, 6) AS si, round(x * k * 50 + 23.5, 6) AS sj FROM k")
+R.add(
+    "lens_map",
+    _lens,
+    (
+        with_(
+            CELLS,
+            "n AS (SELECT img, i, j, (j - 23.5) / 50 AS x, (i - 15.5) / 50 AS y FROM cells)",
+            "k AS (SELECT *, 1 + (x * x + y * y) * (-0.1 + (x * x + y * y) * 0.02) AS k FROM n)",
+        )
+        + "SELECT img, i, j, round(y * k * 50 + 15.5, 6) AS si, round(x * k * 50 + 23.5, 6) AS sj FROM k"
+    ),
+)
 
 
 def _balanced_sql() -> str:

@@ -23,7 +23,17 @@ def _r(c):
 
 
 R.add("box_query", lambda s, d: spatial.box(points(s, d), {"x": -100, "y": -100, "z": -100}, {"x": 100, "y": 100, "z": 100}), with_(POINTS_SQL) + "SELECT * FROM points WHERE x BETWEEN -100 AND 100 AND y BETWEEN -100 AND 100 AND z BETWEEN -100 AND 100")
-R.add("nearest", lambda s, d: spatial.nearest(points(s, d), points(s, d), 60.0, 2000.0), with_(POINTS_SQL, f"p AS (SELECT a.pt, b.pt AS nearest, {D2} AS d2, row_number() OVER (PARTITION BY a.pt ORDER BY {D2}, b.pt) AS k FROM points a JOIN points b ON a.pt <> b.pt)") + "SELECT pt, nearest, d2 FROM p WHERE k = 1")
+R.add(
+    "nearest",
+    lambda s, d: spatial.nearest(points(s, d), points(s, d), 60.0, 2000.0),
+    (
+        with_(
+            POINTS_SQL,
+            f"p AS (SELECT a.pt, b.pt AS nearest, {D2} AS d2, row_number() OVER (PARTITION BY a.pt ORDER BY {D2}, b.pt) AS k FROM points a JOIN points b ON a.pt <> b.pt)",
+        )
+        + "SELECT pt, nearest, d2 FROM p WHERE k = 1"
+    ),
+)
 R.add("nearest_in_box", lambda s, d: spatial.nearest_in_box(points(s, d), points(s, d), 40.0).select("pt", F.coalesce("nearest", F.lit(-1).cast("bigint")).alias("nearest"), F.coalesce("d2", F.lit(-1.0)).alias("d2")), with_(POINTS_SQL, f"p AS (SELECT a.pt, b.pt AS nearest, {D2} AS d2, row_number() OVER (PARTITION BY a.pt ORDER BY {D2}, b.pt) AS k FROM points a JOIN points b ON a.pt <> b.pt AND abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40 AND abs(a.z - b.z) <= 40)") +
       "SELECT points.pt, coalesce(nearest, -1) AS nearest, coalesce(d2, -1) AS d2 FROM points LEFT JOIN p ON p.pt = points.pt AND k = 1")
 
@@ -46,10 +56,62 @@ def _rays(s, d):
 
 _RAYS = "rays AS (SELECT pt AS ray, x * 3 AS ox, y * 3 AS oy, z * 3 AS oz, -x AS dx, -y AS dy, -z AS dz FROM points)"
 _slab = ", ".join(f"CASE WHEN d{c} = 0 THEN (CASE WHEN o{c} BETWEEN {c}0 AND {c}1 THEN -1e300 ELSE 1e300 END) ELSE least(({c}0 - o{c}) / d{c}, ({c}1 - o{c}) / d{c}) END AS n{c}, CASE WHEN d{c} = 0 THEN (CASE WHEN o{c} BETWEEN {c}0 AND {c}1 THEN 1e300 ELSE -1e300 END) ELSE greatest(({c}0 - o{c}) / d{c}, ({c}1 - o{c}) / d{c}) END AS f{c}" for c in "xyz")
-R.add("ray_first_hit", lambda s, d: spatial.first_hit(_boxes(s, d), _rays(s, d)).select("ray", "box", _r("t").alias("t")), with_(POINTS_SQL, _BOXES, _RAYS, f"h AS (SELECT ray, box, {_slab} FROM rays CROSS JOIN boxes)", "k AS (SELECT ray, box, greatest(nx, ny, nz, 0) AS t, least(fx, fy, fz) AS t1 FROM h)", "o AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, box) AS n FROM k WHERE t <= t1)") + "SELECT ray, box, round(t, 6) AS t FROM o WHERE n = 1")
-R.add("context_split", lambda s, d: spatial.with_context(points(s, d), 50.0), with_(POINTS_SQL) + f"SELECT cluster AS set, pt, true AS member FROM points WHERE cluster > 0 UNION ALL SELECT DISTINCT b.cluster, a.pt, false FROM points a JOIN points b ON b.cluster > 0 AND a.cluster <> b.cluster AND {D2} <= 2500")
-R.add("raster_nearest", lambda s, d: spatial.raster_nearest(points(s, d), 20.0, 8), with_(POINTS_SQL, "w AS (SELECT pt, x / 20 AS x, y / 20 AS y, CAST(floor(y / 20) AS BIGINT) + a AS i, CAST(floor(x / 20) AS BIGINT) + b AS j FROM points CROSS JOIN (SELECT unnest(range(-8, 9)) AS a) CROSS JOIN (SELECT unnest(range(-8, 9)) AS b))", "k AS (SELECT i, j, pt, row_number() OVER (PARTITION BY i, j ORDER BY round((x - j - 0.5) ** 2 + (y - i - 0.5) ** 2, 9), pt) AS n FROM w WHERE (x - j - 0.5) ** 2 + (y - i - 0.5) ** 2 <= 64)") + "SELECT i, j, pt FROM k WHERE n = 1")
-R.add("raster_zbuffer", lambda s, d: spatial.depth_layers(points(s, d), 64.0, 2).select("i", "j", "layer", "z", "pt"), with_(POINTS_SQL, "c AS (SELECT CAST(round(y / 64) AS BIGINT) AS i, CAST(round(x / 64) AS BIGINT) AS j, z, min(pt) AS pt FROM points GROUP BY ALL)", "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i, j ORDER BY z DESC) - 1 AS INT) AS layer FROM c)") + "SELECT i, j, layer, z, pt FROM k WHERE layer < 2")
+R.add(
+    "ray_first_hit",
+    lambda s, d: spatial.first_hit(_boxes(s, d), _rays(s, d)).select("ray", "box", _r("t").alias("t")),
+    (
+        with_(
+            POINTS_SQL,
+            _BOXES,
+            _RAYS,
+            f"h AS (SELECT ray, box, {_slab} FROM rays CROSS JOIN boxes)",
+            "k AS (SELECT ray, box, greatest(nx, ny, nz, 0) AS t, least(fx, fy, fz) AS t1 FROM h)",
+            "o AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, box) AS n FROM k WHERE t <= t1)",
+        )
+        + "SELECT ray, box, round(t, 6) AS t FROM o WHERE n = 1"
+    ),
+)
+R.add(
+    "context_split",
+    lambda s, d: spatial.with_context(points(s, d), 50.0),
+    (
+        with_(POINTS_SQL)
+        + (
+            f"SELECT cluster AS set, pt, true AS member FROM points WHERE cluster > 0 UNION ALL SELECT DISTINCT b.cluster, a.pt, false FROM points a JOIN "
+            f"points b ON b.cluster > 0 AND a.cluster <> b.cluster AND {D2} <= 2500"
+        )
+    ),
+)
+R.add(
+    "raster_nearest",
+    lambda s, d: spatial.raster_nearest(points(s, d), 20.0, 8),
+    (
+        with_(
+            POINTS_SQL,
+            (
+                "w AS (SELECT pt, x / 20 AS x, y / 20 AS y, CAST(floor(y / 20) AS BIGINT) + a AS i, CAST(floor(x / 20) AS BIGINT) + b AS j FROM points CROSS "
+                "JOIN (SELECT unnest(range(-8, 9)) AS a) CROSS JOIN (SELECT unnest(range(-8, 9)) AS b))"
+            ),
+            (
+                "k AS (SELECT i, j, pt, row_number() OVER (PARTITION BY i, j ORDER BY round((x - j - 0.5) ** 2 + (y - i - 0.5) ** 2, 9), pt) AS n FROM w WHERE "
+                "(x - j - 0.5) ** 2 + (y - i - 0.5) ** 2 <= 64)"
+            ),
+        )
+        + "SELECT i, j, pt FROM k WHERE n = 1"
+    ),
+)
+R.add(
+    "raster_zbuffer",
+    lambda s, d: spatial.depth_layers(points(s, d), 64.0, 2).select("i", "j", "layer", "z", "pt"),
+    (
+        with_(
+            POINTS_SQL,
+            "c AS (SELECT CAST(round(y / 64) AS BIGINT) AS i, CAST(round(x / 64) AS BIGINT) AS j, z, min(pt) AS pt FROM points GROUP BY ALL)",
+            "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i, j ORDER BY z DESC) - 1 AS INT) AS layer FROM c)",
+        )
+        + "SELECT i, j, layer, z, pt FROM k WHERE layer < 2"
+    ),
+)
 _cub = "(CASE WHEN abs({0}) <= 1 THEN 1.5 * abs({0}) ** 3 - 2.5 * abs({0}) ** 2 + 1 ELSE -0.5 * abs({0}) ** 3 + 2.5 * abs({0}) ** 2 - 4 * abs({0}) + 2 END)"
 R.add("detrend", lambda s, d: spatial.detrend(points(s, d), 64.0).select("pt", F.round("height", 3).alias("height")), with_(POINTS_SQL, "seen AS (SELECT CAST(floor(y / 64) AS INT) AS i, CAST(floor(x / 64) AS INT) AS j, min(z) AS v FROM points GROUP BY ALL)",
       "grid AS (SELECT i, j FROM (SELECT unnest(range((SELECT min(i) FROM seen), (SELECT max(i) + 1 FROM seen))) AS i) CROSS JOIN (SELECT unnest(range((SELECT min(j) FROM seen), (SELECT max(j) + 1 FROM seen))) AS j))",
@@ -70,7 +132,11 @@ R.add("covering", lambda s, d: spatial.covering(volumes.disparity(_volume()(s, d
 
 R.add("degree", lambda s, d: graphs.degrees(edges(s, d)), with_(EDGES_SQL) + "SELECT node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT u AS node, w FROM edges UNION ALL SELECT v, w FROM edges) GROUP BY node")
 R.add("edge_index", lambda s, d: graphs.edge_index(edges(s, d)), with_(EDGES_SQL, "b AS (SELECT u AS node, v AS other FROM edges UNION ALL SELECT v, u FROM edges)") + "SELECT node, other, CAST(row_number() OVER (PARTITION BY node ORDER BY other) - 1 AS INT) AS k FROM b")
-R.add("edge_lookup", lambda s, d: graphs.lookup(edges(s, d), table(s, d, "orders").select((-1 - F.col("o_custkey") % 10).alias("a"), (F.col("o_orderkey") % 200).alias("b"))).select("a", "b", F.coalesce("w", F.lit(0).cast("bigint")).alias("w")), with_(EDGES_SQL) + "SELECT a, b, coalesce(w, 0) AS w FROM (SELECT -1 - o_custkey % 10 AS a, o_orderkey % 200 AS b FROM orders) q LEFT JOIN edges ON (u = b AND v = a)")
+R.add(
+    "edge_lookup",
+    lambda s, d: graphs.lookup(edges(s, d), table(s, d, "orders").select((-1 - F.col("o_custkey") % 10).alias("a"), (F.col("o_orderkey") % 200).alias("b"))).select("a", "b", F.coalesce("w", F.lit(0).cast("bigint")).alias("w")),
+    with_(EDGES_SQL) + "SELECT a, b, coalesce(w, 0) AS w FROM (SELECT -1 - o_custkey % 10 AS a, o_orderkey % 200 AS b FROM orders) q LEFT JOIN edges ON (u = b AND v = a)",
+)
 
 
 def _reach(s, d):
@@ -176,9 +242,21 @@ R.add("rigid_compose", _geo(_composed), _geo_sql({**{f"m{3 * i}": f"({_ROT[3 * i
 R.add("rigid_inverse", _geo(lambda r, v: _named("t", g.inverse(g.rodrigues(r), v)[1])), _geo_sql({f"t{i}": f"-(({_ROT[i]}) * x + ({_ROT[3 + i]}) * y + ({_ROT[6 + i]}) * z)" for i in range(3)}))
 R.add("pose_interpolate", _geo(lambda r, v: _named("r", g.interpolate(r, v, g.scale(r, 1.5), v, 0.5)[0])), _geo_sql({"r0": "rx * 1.25", "r1": "ry * 1.25", "r2": "rz * 1.25"}))
 R.add("project", _geo(lambda r, v: g.project(v)), _geo_sql({"px": "x / z", "py": "y / z"}))
-R.add("triangulate", _geo(lambda r, v: _named("p", g.triangulate(g.at(v, 0) / g.at(v, 2), g.at(v, 1) / g.at(v, 2), (g.at(v, 0) - 1) / g.at(v, 2), g.at(v, 1) / g.at(v, 2), F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]), g.vec(F.lit(-1.0), F.lit(0.0), F.lit(0.0))))), _geo_sql({"p0": "x", "p1": "y", "p2": "z"}))
+R.add(
+    "triangulate",
+    _geo(
+        lambda r, v: _named("p", g.triangulate(g.at(v, 0) / g.at(v, 2), g.at(v, 1) / g.at(v, 2), (g.at(v, 0) - 1) / g.at(v, 2), g.at(v, 1) / g.at(v, 2), F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]), g.vec(F.lit(-1.0), F.lit(0.0), F.lit(0.0)))),
+    ),
+    _geo_sql({"p0": "x", "p1": "y", "p2": "z"}),
+)
 _LENS = ((-0.1, 0.02, 0.0), (0.001, -0.002))
-R.add("lens_forward", _geo(lambda r, v: g.distort(g.at(r, 0), g.at(r, 1), *_LENS)), _geo_sql({"dx": "rx * (1 + (rx * rx + ry * ry) * (-0.1 + (rx * rx + ry * ry) * 0.02)) + 0.002 * rx * ry - 0.002 * (3 * rx * rx + ry * ry)", "dy": "ry * (1 + (rx * rx + ry * ry) * (-0.1 + (rx * rx + ry * ry) * 0.02)) + 0.001 * (rx * rx + 3 * ry * ry) - 0.004 * rx * ry"}))
+R.add(
+    "lens_forward",
+    _geo(lambda r, v: g.distort(g.at(r, 0), g.at(r, 1), *_LENS)),
+    _geo_sql(
+        {"dx": "rx * (1 + (rx * rx + ry * ry) * (-0.1 + (rx * rx + ry * ry) * 0.02)) + 0.002 * rx * ry - 0.002 * (3 * rx * rx + ry * ry)", "dy": "ry * (1 + (rx * rx + ry * ry) * (-0.1 + (rx * rx + ry * ry) * 0.02)) + 0.001 * (rx * rx + 3 * ry * ry) - 0.004 * rx * ry"},
+    ),
+)
 
 
 def _undone(r, v):
@@ -200,9 +278,21 @@ def _speed(s, d):
     return rows.where("b IS NOT NULL AND us > 0").select("event_id", (F.round(g.at(speed, 2), 4) + 0.0).alias("speed"))
 
 
-R.add("rotation_speed", _speed, "WITH l AS (SELECT event_id, value / 200 AS a, lag(value / 200) OVER w AS b, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, round((a - b) / (us / 1e9), 4) + 0.0 AS speed FROM l WHERE b IS NOT NULL AND us > 0")
+R.add(
+    "rotation_speed",
+    _speed,
+    (
+        "WITH l AS (SELECT event_id, value / 200 AS a, lag(value / 200) OVER w AS b, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS us FROM events WINDOW "
+        "w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, round((a - b) / (us / 1e9), 4) + 0.0 AS speed FROM l WHERE b IS NOT NULL "
+        "AND us > 0"
+    ),
+)
 _XY = "SELECT CAST(l_suppkey AS BIGINT) AS g, l_quantity AS x1, l_discount * 100 AS x2, l_extendedprice / 1000 AS y FROM lineitem"
-R.add("least_squares", lambda s, d: solve.line_fit(table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))).select("g", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept")), f"WITH q AS ({_XY}) SELECT g, round(regr_slope(y, x1), 5) AS slope, round(regr_intercept(y, x1), 5) AS intercept FROM q GROUP BY g")
+R.add(
+    "least_squares",
+    lambda s, d: solve.line_fit(table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))).select("g", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept")),
+    f"WITH q AS ({_XY}) SELECT g, round(regr_slope(y, x1), 5) AS slope, round(regr_intercept(y, x1), 5) AS intercept FROM q GROUP BY g",
+)
 _k = "SELECT event_id, round({0}, 6) AS rho FROM events"
 for _n, _f, _q in (("huber", kernels.huber, "CASE WHEN value <= 50 THEN value * value / 2 ELSE 50 * (value - 25) END"), ("pseudo_huber", kernels.pseudo_huber, "2500 * (sqrt(1 + (value / 50) ** 2) - 1)"), ("sqrt_huber", kernels.sqrt_huber, "sqrt(CASE WHEN value <= 50 THEN value * value / 2 ELSE 50 * (value - 25) END)")):
     R.add(_n, lambda s, d, f=_f: table(s, d, "events").select("event_id", _r(f(F.col("value"), 50.0)).alias("rho")), _k.format(_q))
@@ -212,7 +302,22 @@ for _n, _nu, _q in (("matern12", 0.5, "exp(0 - value / 80)"), ("matern32", 1.5,
 R.add("choose_index", lambda s, d: kernels.choose_indices(s, 7, 3), """SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS BIGINT) AS k, a, b, c FROM (SELECT x AS a, y AS b, z AS c FROM range(7) p(x), range(7) q(y), range(7) r(z) WHERE x < y AND y < z)""")
 R.add("attr_rename", lambda s, d: attributes.rename(table(s, d, "part"), {"p_partkey": "id", "p_size": "extent"}, only=True), "SELECT p_partkey AS id, p_size AS extent FROM part")
 R.add("attr_drop", lambda s, d: attributes.drop(table(s, d, "part"), ["p_type", "p_brand", "absent"]), "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
-R.add("attr_cast", lambda s, d: attributes.cast(table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), {"o_totalprice": "int", "o_orderstatus": "double", "o_orderkey": "string"}), "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(trunc(o_totalprice) AS INT) AS o_totalprice, TRY_CAST(o_orderstatus AS DOUBLE) AS o_orderstatus FROM orders")
-R.add("union_members", lambda s, d: attributes.union([table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))]), "SELECT s_suppkey AS id, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer")
-R.add("packed_rgb", lambda s, d: table(s, d, "part").select("p_partkey", *[c.cast("int").alias(n) for n, c in attributes.unpack_argb(F.col("p_partkey") * 65793 + 255).items()]), "SELECT p_partkey, CAST(((p_partkey * 65793 + 255) >> 16) & 255 AS INT) AS r, CAST(((p_partkey * 65793 + 255) >> 8) & 255 AS INT) AS g, CAST((p_partkey * 65793 + 255) & 255 AS INT) AS b, CAST(((p_partkey * 65793 + 255) >> 24) & 255 AS INT) AS a FROM part")
+R.add(
+    "attr_cast",
+    lambda s, d: attributes.cast(table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), {"o_totalprice": "int", "o_orderstatus": "double", "o_orderkey": "string"}),
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(trunc(o_totalprice) AS INT) AS o_totalprice, TRY_CAST(o_orderstatus AS DOUBLE) AS o_orderstatus FROM orders",
+)
+R.add(
+    "union_members",
+    lambda s, d: attributes.union([table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))]),
+    "SELECT s_suppkey AS id, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer",
+)
+R.add(
+    "packed_rgb",
+    lambda s, d: table(s, d, "part").select("p_partkey", *[c.cast("int").alias(n) for n, c in attributes.unpack_argb(F.col("p_partkey") * 65793 + 255).items()]),
+    (
+        "SELECT p_partkey, CAST(((p_partkey * 65793 + 255) >> 16) & 255 AS INT) AS r, CAST(((p_partkey * 65793 + 255) >> 8) & 255 AS INT) AS g, CAST((p_partkey "
+        "* 65793 + 255) & 255 AS INT) AS b, CAST(((p_partkey * 65793 + 255) >> 24) & 255 AS INT) AS a FROM part"
+    ),
+)
 R.add("las_scale_nan", lambda s, d: table(s, d, "part").select("p_partkey", _r(attributes.las_position(F.when(F.col("p_size") == 1, 2147483647).otherwise(F.col("p_size")), 0.01, 5.0)).alias("x")), "SELECT p_partkey, CASE WHEN p_size <> 1 THEN round(p_size * 0.01 + 5, 6) END AS x FROM part")

@@ -80,7 +80,14 @@ R.add("truncated_volume", lambda s, d: v.truncated(_volume()(s, d), 1).select("i
 _V2 = """vol2 AS (SELECT s.img, s.i, s.j, d1, d2, sum(abs(s.v - coalesce(t.v, 0))) AS cost FROM ns s CROSS JOIN (SELECT unnest([-1, 0, 1]) AS d1) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS d2)
     LEFT JOIN nt t ON t.img = s.img AND t.i = s.i + d1 AND t.j = s.j + d2 AND t.di = s.di AND t.dj = s.dj GROUP BY ALL)"""
 R.add("cost_volume_2d", lambda s, d: v.cost_volume_2d(_pair(s, d), vectors.sad, (-1, 1), (0, 3)), with_(*PAIR_SQL, _V2) + "SELECT img, i, j, d1, d2, cost FROM vol2")
-R.add("wta_2d", lambda s, d: v.winner_2d(v.cost_volume_2d(_pair(s, d), vectors.sad, (-1, 1), (0, 3))), with_(*PAIR_SQL, _V2, "w AS (SELECT img, i, j, max_by(struct_pack(d1 := d1, d2 := d2), struct_pack(c := -cost, d1 := d1, d2 := d2)) AS d FROM vol2 GROUP BY img, i, j)") + "SELECT img, i, j, d.d1 AS d1, d.d2 AS d2 FROM w")
+R.add(
+    "wta_2d",
+    lambda s, d: v.winner_2d(v.cost_volume_2d(_pair(s, d), vectors.sad, (-1, 1), (0, 3))),
+    (
+        with_(*PAIR_SQL, _V2, "w AS (SELECT img, i, j, max_by(struct_pack(d1 := d1, d2 := d2), struct_pack(c := -cost, d1 := d1, d2 := d2)) AS d FROM vol2 GROUP BY img, i, j)")
+        + "SELECT img, i, j, d.d1 AS d1, d.d2 AS d2 FROM w"
+    ),
+)
 _PATTERN = [float(k % 5 * 7) for k in range(9)]
 R.add("template_match", lambda s, d: v.template(_pair(s, d), _PATTERN, vectors.ssd), with_(CELLS, SOURCE_SQL, around_sql("ns", 1, 1, "source")) + "SELECT img, i, j, sum((v - ((di + 1) * 3 + dj + 1) % 5 * 7) ** 2) AS cost FROM ns GROUP BY img, i, j")
 R.add("guided_aggregation", lambda s, d: v.guided(raster(s, d), shifted(raster(s, d)), 1, lambda a, b: 1.0 / (1 + a * a + b * b), lambda g, c: F.exp(-F.abs(g - c) / 10)).select("img", "i", "j", _r("value").alias("value")),
@@ -120,7 +127,19 @@ for _name, _f, _sql in (
     ("gaussian", refine.gaussian, "CASE WHEN a > 0 AND b > 0 AND c > 0 THEN (SELECT CASE WHEN abs(q) < 1e-300 THEN 0 ELSE p / q END FROM (SELECT ln(a) - ln(c) AS p, 2 * (ln(a) - 2 * ln(b) + ln(c)) AS q)) ELSE 0 END"),
 ):
     R.add(f"refine_{_name}", _refined(_f), with_(*PAIR_SQL, VOLUME_SQL, WIN_SQL, _TRIPLE) + f"SELECT img, i, j, round(d + {_sql}, 6) AS disparity FROM tri")
-R.sql["refine_gaussian"] = with_(*PAIR_SQL, VOLUME_SQL, WIN_SQL, _TRIPLE, "lt AS (SELECT img, i, j, d, CASE WHEN a > 0 AND b > 0 AND c > 0 THEN ln(a) - ln(c) END AS p, CASE WHEN a > 0 AND b > 0 AND c > 0 THEN 2 * (ln(a) - 2 * ln(b) + ln(c)) END AS q FROM tri)") + "SELECT img, i, j, round(d + CASE WHEN p IS NULL OR q = 0 THEN 0 ELSE p / q END, 6) AS disparity FROM lt"
+R.sql["refine_gaussian"] = (
+    with_(
+        *PAIR_SQL,
+        VOLUME_SQL,
+        WIN_SQL,
+        _TRIPLE,
+        (
+            "lt AS (SELECT img, i, j, d, CASE WHEN a > 0 AND b > 0 AND c > 0 THEN ln(a) - ln(c) END AS p, CASE WHEN a > 0 AND b > 0 AND c > 0 THEN 2 * (ln(a) "
+            "- 2 * ln(b) + ln(c)) END AS q FROM tri)"
+        ),
+    )
+    + "SELECT img, i, j, round(d + CASE WHEN p IS NULL OR q = 0 THEN 0 ELSE p / q END, 6) AS disparity FROM lt"
+)
 
 
 def _patch(s, d):
