@@ -42,6 +42,8 @@ ROWS, BANDS = 4, 32
 #: Samples of a sketch; the bands are made of the first of them.
 HASHES = 192
 SKETCH_BITS, SKETCH_FLOOR = 768, 0.6
+#: Ids that are broadcast, of 8 bytes each.
+SENT_IDS = 4_000_000
 #: Members of a bucket whose sketches are compared at once.
 BLOCK = 1024
 
@@ -271,8 +273,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group, with their own columns."""
     name = free_name(docs, "dropped")
-    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop[name]), "left_anti")
+    drop = Table(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()).read()
+    # Ids are sent to the texts while they are few; beyond that both sides are shuffled.
+    own = F.broadcast(drop) if drop.count() <= SENT_IDS else drop
+    return docs.join(own, docs["doc_id"].eqNullSafe(own[name]), "left_anti")
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
