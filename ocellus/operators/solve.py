@@ -108,7 +108,7 @@ def pca(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def ransac_lines(rows: DataFrame, trials: int, threshold: float, seed: int = 7) -> DataFrame:
     """g, slope, intercept, inliers: the best of lines through two rows, for each group.
 
-    The pairs come of the rows' own hashes: for each trial, a group's rows of lowest and highest hash, or, with
+    The pairs come of the rows' own hashes, or of draws by row number where there is a column `k`: for each trial, a group's rows of lowest and highest hash, or, with
     priorities (a column `priority`, above 0), the row of least exponential draw with that rate in either half of the group
     (by another hash), so that a row is drawn as often as its priority says. A row is joined to its group's lines once, and counts for all of them in one
     aggregation.
@@ -122,13 +122,19 @@ def ransac_lines(rows: DataFrame, trials: int, threshold: float, seed: int = 7)
     return score.select("g", best.alias("b")).select("g", "b.slope", "b.intercept", "b.inliers")
 
 
+def _draw(key: Column, trial: Column, seed: int) -> Column:
+    """A number below 2^32 for each row number and trial, by whole-number arithmetic that any engine repeats."""
+    once = (F.pmod(key.cast("bigint"), F.lit(2147483647)) + trial * 7919 + seed * 104729) * F.lit(2654435761) % F.lit(4294967296)
+    return once.bitwiseXOR(F.shiftright(once, 16)) * F.lit(40503) % F.lit(4294967296)
+
+
 def _drawn_lines(rows: DataFrame, trials: int, seed: int) -> DataFrame:
     """g, lines: an array of trial, slope, intercept through two rows each; groups without any are left out. Of rows only two for each trial leave a partition."""
     dealt = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    h = F.xxhash64("x", "y", "trial", F.lit(seed))
+    h = _draw(F.col("k"), F.col("trial"), seed) if "k" in rows.columns else F.xxhash64("x", "y", "trial", F.lit(seed))
     if "priority" in rows.columns:
         # 53 bits of the hash as a uniform number make an exponential draw.
-        uniform = (F.shiftrightunsigned(h, 11) + 1) / F.lit(float(1 << 53))
+        uniform = (h + 1) / F.lit(float(1 << 32)) if "k" in rows.columns else (F.shiftrightunsigned(h, 11) + 1) / F.lit(float(1 << 53))
         dealt = dealt.withColumns({"h": -F.ln(uniform) / F.col("priority"), "half": F.pmod(F.xxhash64("trial", "y", "x", F.lit(seed)), F.lit(2))})
         two = dealt.groupBy("g", "trial").agg(*[F.min(F.when(F.col("half") == k, F.struct("h", "x", "y"))).alias(c) for k, c in enumerate("pq")])
     else:

@@ -29,11 +29,15 @@ R.add("mean_shift", lambda s, d: q.mean_shift(points(s, d), ["x", "y", "z"], 80.
 
 
 def _lines(s, d):
-    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("k"))
 
 
-R.add("ransac", lambda s, d: solve.ransac_lines(_lines(s, d), 20, 5.0))
-R.add("lmeds", lambda s, d: solve.lmeds_lines(_lines(s, d), 20))
+def _rounded(found, *names):
+    return found.select("g", *[F.round(c, 6).alias(c) for c in names], *[c for c in found.columns if c not in ("g", *names)])
+
+
+R.add("ransac", lambda s, d: _rounded(solve.ransac_lines(_lines(s, d), 20, 5.0), "slope", "intercept"), kernel_sql.RANSAC)
+R.add("lmeds", lambda s, d: _rounded(solve.lmeds_lines(_lines(s, d), 20), "slope", "intercept", "median"), kernel_sql.LMEDS)
 R.add("l1", lambda s, d: solve.l1_lines(_lines(s, d)))
 
 
@@ -118,7 +122,7 @@ def _rectified(s, d):
     from ocellus.operators import pose
 
     a, b = pose.rectify(pose.rotation(np.array([0.02, -0.05, 0.01])), np.array([-0.4, 0.1, 0.05]))
-    return _vector(s, [*a.ravel(), *b.ravel()])
+    return _vector(s, [float(v) + 0.0 for v in (*a.ravel(), *b.ravel())])
 
 
 def _similar(s, d):
@@ -156,5 +160,5 @@ R.add("checkerboard_corners", _segmented(lambda m, x: m.checkerboard_corners(x,
 R.sql |= {
     "sgm": kernel_sql.sgm(10.0, 60.0), "dp_scanline": kernel_sql.dp_scanline(10.0), "fast_match": kernel_sql.FAST_MATCH, "fft_rows": kernel_sql.FFT_ROWS, "brief": kernel_sql.brief(_PAIRS, _KEYS),
     "circle_descriptor": kernel_sql.circle_descriptor(_KEYS, 16, 14), "line_pixels": kernel_sql.LINE_PIXELS, "pca": kernel_sql.PCA, "gauss_newton": kernel_sql.GAUSS_NEWTON, "assignment": kernel_sql.ASSIGNMENT,
-    "essential": kernel_sql.ESSENTIAL, "similarity_align": kernel_sql.SIMILARITY, "pnp": kernel_sql.PNP,
+    "essential": kernel_sql.ESSENTIAL, "similarity_align": kernel_sql.SIMILARITY, "pnp": kernel_sql.PNP, "mean_shift": kernel_sql.MEAN_SHIFT, "gauss_newton_huber": kernel_sql.GAUSS_NEWTON_HUBER, "rectify": kernel_sql.RECTIFY, "checkerboard_corners": kernel_sql.CHECKERBOARD,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ocellus.operators.sequential import DIRECTIONS
 from ocellus.plans.registry import with_
-from ocellus.plans.standins import POINTS_SQL, W, raster_sql
+from ocellus.plans.standins import POINTS_SQL, W, around_sql, raster_sql
 from ocellus.plans.stereo_queries import PAIR_SQL, VOLUME_SQL, D
 
 CELLS = raster_sql()
@@ -65,6 +65,29 @@ def dp_scanline(jump: float) -> str:
     ) + "SELECT img, i, j, CAST(d AS INT) AS d FROM b"
 
 
+def scanline_paths(first: float, further: float) -> str:
+    """Least costs of reaching each column and disparity by each kind of step, then the path from its end."""
+    far = 1e300
+    start, none = f"[{', '.join(['0.0'] + [str(far)] * (D - 1))}]", f"[{', '.join([str(far)] * D)}]"
+
+    def past_target(m: str, s: str) -> str:
+        return f"list_transform({_ALL_D}, lambda d: CASE WHEN d = 0 THEN {far} ELSE list_min(list_transform(range(d), lambda e: least({m}[e + 1], {s}[e + 1]) + {first} + (d - 1 - e) * {further})) END)"
+
+    which = "CASE WHEN {0} <= {1} AND {0} <= {2} THEN 0 WHEN {1} <= {2} THEN 1 ELSE 2 END"
+    matched = f"list_transform({_ALL_D}, lambda d: least(f.m[d + 1], f.t[d + 1], f.s[d + 1]) + v.c[d + 1])"
+    passed = f"list_transform({_ALL_D}, lambda d: CASE WHEN d = {D - 1} THEN {far} ELSE least(f.m[d + 2] + {first}, f.t[d + 2] + {first}, f.s[d + 2] + {further}) END)"
+    to = "CASE b.kind WHEN 0 THEN b.d WHEN 2 THEN b.d + 1 ELSE b.d - 1 END"
+    price = lambda kind: f"CASE b.kind WHEN 0 THEN 0 WHEN {kind} THEN {further} ELSE {first} END"
+    back = which.format(f"f.m[{to} + 1] + {price(3)}", f"f.t[{to} + 1] + {price(1)}", f"f.s[{to} + 1] + {price(2)}")
+    return _recursive(
+        *PAIR_SQL, VOLUME_SQL, _LISTS,
+        f"""f(img, i, j, m, t, s) AS (SELECT DISTINCT img, i, 0::BIGINT, CAST({start} AS DOUBLE[]), {past_target(f'CAST({start} AS DOUBLE[])', none)}, CAST({none} AS DOUBLE[]) FROM v
+  UNION ALL SELECT img, i, j, m, {past_target('m', 's')}, s FROM (SELECT f.img, f.i, f.j + 1 AS j, {matched} AS m, {passed} AS s FROM f JOIN v ON v.img = f.img AND v.i = f.i AND v.j = f.j))""",
+        f"""b(img, i, j, d, kind) AS (SELECT img, i, j, 0::BIGINT, {which.format('m[1]', 't[1]', 's[1]')} FROM f WHERE j = {W}
+  UNION ALL SELECT b.img, b.i, f.j, {to}, {back} FROM b JOIN f ON f.img = b.img AND f.i = b.i AND f.j = CASE b.kind WHEN 1 THEN b.j ELSE b.j - 1 END WHERE b.j > 0 OR b.d > 0)""",
+    ) + "SELECT v.img, v.i, v.j, CAST(coalesce(b.d, -1) AS INT) AS d FROM v LEFT JOIN b ON b.kind = 0 AND b.img = v.img AND b.i = v.i AND b.j = v.j + 1"
+
+
 def sgm(p1: float, p2: float, directions: int = 8) -> str:
     """A recursion for each direction: a cell's path costs from those of the cell before, which may lie outside."""
     parts = []
@@ -125,3 +148,59 @@ _LONG = "sqrt(0.4 * 0.4 + 0.1 * 0.1 + 0.05 * 0.05)"
 ESSENTIAL = _vector([*TURN, *[f"({v}) / {_LONG}" for v in _T]])
 SIMILARITY = _vector(["2", *TURN, *[f"2 * ({v})" + (" + 1" if k == 0 else "") for k, v in enumerate(_T)]])
 PNP = with_(POINTS_SQL, "v AS (SELECT pt % 10 AS g, count(*) AS n FROM points GROUP BY 1)") + f"SELECT g, {_T[0]}::DOUBLE AS t0, {_T[1]}::DOUBLE AS t1, {_T[2]}::DOUBLE AS t2 FROM v WHERE n >= 4"
+
+_DRAWN = [
+    "q AS (SELECT l_suppkey AS g, l_quantity AS x, l_extendedprice / 1000 AS y, l_orderkey * 100 + l_linenumber AS k FROM lineitem)",
+    "o AS (SELECT g, x, y, k, t, (k % 2147483647 + t * 7919 + 7 * 104729) * 2654435761 % 4294967296 AS h FROM q CROSS JOIN range(20) r(t))",
+    "d AS (SELECT g, x, y, k, t, xor(h, h >> 16) * 40503 % 4294967296 AS h FROM o)",
+    "e AS (SELECT g, t, min(struct_pack(h := h, x := x, y := y)) AS p, max(struct_pack(h := h, x := x, y := y)) AS q FROM d GROUP BY g, t)",
+    "l AS (SELECT g, t, (q.y - p.y) / (q.x - p.x) AS a, p.y - (q.y - p.y) / (q.x - p.x) * p.x AS b FROM e WHERE q.x <> p.x)",
+]
+RANSAC = with_(*_DRAWN, "n AS (SELECT l.g, t, a, b, count(*) FILTER (WHERE abs(y - a * x - b) < 5) AS inliers FROM q JOIN l ON l.g = q.g GROUP BY ALL)") + (
+    "SELECT g, round(a, 6) AS slope, round(b, 6) AS intercept, inliers FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY inliers DESC, t) = 1"
+)
+LMEDS = with_(*_DRAWN, "n AS (SELECT l.g, t, a, b, quantile_disc((y - a * x - b) ** 2, 0.5) AS median FROM q JOIN l ON l.g = q.g GROUP BY ALL)") + (
+    "SELECT g, round(a, 6) AS slope, round(b, 6) AS intercept, round(median, 6) AS median FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY median, t) = 1"
+)
+
+MEAN_SHIFT = _recursive(
+    POINTS_SQL,
+    """s(pt, x, y, z, done) AS (SELECT pt, x, y, z, false FROM points
+  UNION ALL SELECT pt, nx, ny, nz, sqrt((nx - x) ** 2 + (ny - y) ** 2 + (nz - z) ** 2) <= 1e-3 FROM (
+    SELECT s.pt, s.x, s.y, s.z, avg(p.x) AS nx, avg(p.y) AS ny, avg(p.z) AS nz FROM s JOIN points p ON (s.x - p.x) ** 2 + (s.y - p.y) ** 2 + (s.z - p.z) ** 2 <= 6400 WHERE NOT s.done GROUP BY s.pt, s.x, s.y, s.z))""",
+) + "SELECT pt, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM s WHERE done"
+
+#: Twenty rounds of weighted regression, as the fit takes at most.
+GAUSS_NEWTON_HUBER = _recursive(
+    _XY,
+    """s(k, a, b) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL SELECT k + 1, (sw * sxy - sx * sy) / (sw * sxx - sx * sx), (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) FROM (
+    SELECT k, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+    FROM (SELECT k, x, y, CASE WHEN abs(a * x + b - y) <= 5 THEN 1 ELSE 5 / abs(a * x + b - y) END AS w FROM s CROSS JOIN q WHERE k < 20) GROUP BY k))""",
+) + "SELECT 0::INT AS k, round(a, 6) AS value FROM s WHERE k = 20 UNION ALL SELECT 1, round(b, 6) FROM s WHERE k = 20"
+
+
+def _rectify() -> str:
+    """The common frame: its x along the baseline, its z the mean of both views' parts across it."""
+    cells = ", ".join(f"{v} AS r{k}" for k, v in enumerate(TURN))
+    base = ", ".join(f"0 - (r{k} * {_T[0]} + r{3 + k} * {_T[1]} + r{6 + k} * {_T[2]}) AS b{k}" for k in range(3))
+    unit = lambda n, names: ", ".join(f"{n}{k} / sqrt({n}0 ** 2 + {n}1 ** 2 + {n}2 ** 2) AS {m}{k}" for k, m in enumerate([names] * 3))
+    first = ", ".join(f"CASE {k} WHEN 2 THEN 1 ELSE 0 END - x2 * x{k} AS p{k}" for k in range(3))
+    second = ", ".join(f"r{6 + k} - (r6 * x0 + r7 * x1 + r8 * x2) * x{k} AS q{k}" for k in range(3))
+    total = ", ".join(f"p{k} / sqrt(p0 ** 2 + p1 ** 2 + p2 ** 2) + q{k} / sqrt(q0 ** 2 + q1 ** 2 + q2 ** 2) AS s{k}" for k in range(3))
+    rows = [["x0", "x1", "x2"], ["z1 * x2 - z2 * x1", "z2 * x0 - z0 * x2", "z0 * x1 - z1 * x0"], ["z0", "z1", "z2"]]
+    values = [c for row in rows for c in row] + [" + ".join(f"({row[k]}) * r{3 * c + k}" for k in range(3)) for row in rows for c in range(3)]
+    listed = ", ".join(values)
+    return with_(f"r AS (SELECT {cells})", f"b AS (SELECT *, {base} FROM r)", f"x AS (SELECT *, {unit('b', 'x')} FROM b)", f"v AS (SELECT *, {first}, {second} FROM x)", f"t AS (SELECT *, {total} FROM v)", f"z AS (SELECT *, {unit('s', 'z')} FROM t)") + (
+        f"SELECT CAST(k AS INT) AS k, round(l[k + 1], 6) + 0.0 AS value FROM (SELECT [{listed}] AS l FROM z) CROSS JOIN range(18) i(k)"
+    )
+
+
+RECTIFY = _rectify()
+
+CHECKERBOARD = with_(
+    CELLS, around_sql("nb", 1, 1),
+    "h AS (SELECT img, i, j, sum(CASE WHEN dj = 0 THEN (3 * di * di - 2) * v ELSE 0 END) AS yy, sum(CASE WHEN di = 0 THEN (3 * dj * dj - 2) * v ELSE 0 END) AS xx, sum(di * dj * v) / 4 AS xy FROM nb GROUP BY img, i, j)",
+    "det AS (SELECT img, i, j, xx * yy - xy * xy AS value, (xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS lo, (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS hi FROM h)",
+    around_sql("near", 1, 1, "det"), "least_ AS (SELECT img, i, j, min(v) AS m FROM near GROUP BY img, i, j)",
+) + "SELECT d.img, d.i, d.j, d.value FROM det d JOIN least_ USING (img, i, j) WHERE lo <= -10 AND hi >= 10 AND d.value = m"

@@ -13,6 +13,7 @@ from ocellus.operators import raster as ops
 from ocellus.operators import attributes, graphs, segmentation, sequential, solve, spatial, stereo
 from ocellus.operators import volumes as v
 from ocellus.operators.iteration import shared_dir
+from ocellus.plans import kernel_sql
 from ocellus.plans.registry import Registry, with_
 from ocellus.plans.spatial_queries import _GEO, _ROT, _faces, _geo, _r
 from ocellus.plans.spatial_queries import R as R_spatial
@@ -368,7 +369,7 @@ R.add("guided_edges", _guided, with_(
     "e AS (SELECT x.img, x.k AS a, y.k AS b, abs(x.value - y.value) + abs(x.i - y.i) * 2.0 AS w, x.value AS u, y.value AS v FROM k x JOIN k y ON y.img = x.img AND ((y.i = x.i AND y.j = x.j + 1) OR (y.i = x.i + 1 AND y.j = x.j)))",
     "m AS (SELECT img, min(w) AS lo, max(w) AS hi FROM e GROUP BY img)") +
     "SELECT img, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(1 + 9 * (hi - w) / (hi - lo), 6) AS w FROM e JOIN m USING (img) WHERE u < 45 AND v < 45")
-R.add("scanline_paths", lambda s, d: sequential.scanline_paths(_volume()(s, d), 20.0, 5.0))
+R.add("scanline_paths", lambda s, d: sequential.scanline_paths(_volume()(s, d), 20.0, 5.0), kernel_sql.scanline_paths(20.0, 5.0))
 
 
 def _kernel_sql(cut: int) -> str:
