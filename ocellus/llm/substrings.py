@@ -12,7 +12,11 @@ Windows longer than wanted would change nothing that is removed.
 
 Rows that are shuffled are hashes and places, not texts, until the kept words
 are written; every group is pre-aggregated to its first place, and what is
-joined back on a key of very many rows is a skewed join that Spark splits.
+joined back on a key of very many rows is a skewed join that Spark splits. Most
+segments have an anchor that occurs once, and a bitmap of the repeated ones, of
+bounded size, holds back nearly all of these before the shuffle; an exact join
+drops those that pass. The last anchors are counted where segments are, and one
+that occurs once leaves by the joins on segments that occur twice.
 
 Cases: a null or empty text has no words; a document shorter than a window
 loses nothing; a null doc_id (or -2**63) counts as smaller than any other; rows
@@ -24,13 +28,15 @@ ignored.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm._shared import Table, documents
@@ -39,6 +45,22 @@ from ocellus.llm._text import NULL_ID, PLAIN, WINDOW_BASES, give_back, leftmost_
 WIDTH = 20
 #: The shortest windows that a first level looks at.
 LEAST = 5
+#: Bits of a sieve for each repeated anchor, and the binary logarithms of the least and the most bits in all (4 KB, 16 MB).
+SIEVE_SHARE, SIEVE_LEAST, SIEVE_MOST = 16, 15, 27
+#: Bytes of a shuffle partition up to which it is hashed for a join, where all are that small.
+BUILD_BYTES = 16 << 20
+_BUILD = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+
+
+@contextlib.contextmanager
+def hashed_joins(spark: SparkSession) -> Iterator[None]:
+    """Within, a join hashes a side whose shuffle partitions all turn out small, and does not sort the other."""
+    before = spark.conf.get(_BUILD)
+    spark.conf.set(_BUILD, str(BUILD_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BUILD, before)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -113,10 +135,29 @@ def _emit_anchors(lengths: list[int], units):
     return run
 
 
-def _emit_segments(lengths: list[int], units):
-    """Segments: anchors of each level and whether their places are new, the hash of all units, the document, and packed place and length."""
+def sieve(anchors: DataFrame) -> np.ndarray:
+    """A bitmap with the low bits of the column a0 set, and of others few, or many if there are more anchors than its most bits."""
+    bits = min(max((SIEVE_SHARE * anchors.count()).bit_length(), SIEVE_LEAST), SIEVE_MOST)
+    at = F.col("a0").bitwiseAND(F.lit((1 << bits) - 1))
+    pieces = anchors.select(F.shiftright(at, SIEVE_LEAST).alias("piece"), at.bitwiseAND(F.lit((1 << SIEVE_LEAST) - 1)).alias("bit")).repartition("piece")
+    out = np.zeros((1 << bits - SIEVE_LEAST, 1 << SIEVE_LEAST - 3), dtype=np.uint8)
+    for piece, part in pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit")).collect():
+        out[piece] = np.frombuffer(part, dtype=np.uint8)
+    return out.ravel()
+
+
+def _passes(a: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = a & np.uint64(8 * len(bitmap) - 1)
+    return bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+
+
+def _emit_segments(lengths: list[int], units, held: Broadcast | None = None):
+    """Segments: anchors of each level and whether the places of those that a level counts are new, the hash of all units, the document, and packed place and length.
+
+    held: a sieve that the first anchors pass.
+    """
     m = len(lengths) - 1
-    names = [*[f"a{j}" for j in range(m)], *[f"new{j}" for j in range(1, m)], "f", "k", "t", "run"]
+    names = [*[f"a{j}" for j in range(m)], *[f"new{j}" for j in range(1, m - 1)], "f", "k", "t", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,8 +166,10 @@ def _emit_segments(lengths: list[int], units):
             for i, j in slices(off):
                 h, first = units(b[off[i] : off[j]], off[i : j + 1] - off[i])
                 made = segments(h, first, lengths)
-                f = sequence_hash(h, made.start, made.start + made.n - 1 + lengths[-1])
-                columns = [*made.anchors, *[_changes(p) for p in made.places[1:]], f, k[i + made.doc], t[i + made.doc], (made.start - first[made.doc]) << 32 | made.n]
+                on = slice(None) if held is None else _passes(made.anchors[0], held.value)
+                doc, start, n = made.doc[on], made.start[on], made.n[on]
+                f = sequence_hash(h, start, start + n - 1 + lengths[-1])
+                columns = [*[a[on] for a in made.anchors], *[_changes(p)[on] for p in made.places[1:-1]], f, k[i + doc], t[i + doc], (start - first[doc]) << 32 | n]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
         give_back()
 
@@ -169,48 +212,65 @@ def _removed(listed: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Flags of n places, true in the given ranges, none of which overlap."""
+    edge = np.zeros(n + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def _kept_words(width: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = utf8(batch.column(1))
-            b, listed = np.concatenate([b, np.zeros(1, np.uint8)]), batch.column(2)
-            total, removed, out = [], [], []
+            listed, total, removed, out = batch.column(2), [], [], []
             for i, j in slices(off):
-                part = b[off[i] : off[j] + 1]
-                starts, ends, first = spans(part[:-1], off[i : j + 1] - off[i], PLAIN)
-                for d in range(j - i):
-                    s, e = starts[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
-                    total.append(len(s))
-                    if (found := listed[i + d].values) is not None:
-                        gone = _removed(found.to_numpy(), len(s), width)
-                        s, e = s[~gone], e[~gone]
-                    removed.append(total[-1] - len(s))
-                    # Each word with the byte after it, which becomes a space.
-                    kept = part[ranges(s, e - s + 1)]
-                    kept[np.cumsum(e - s + 1) - 1] = 0x20
-                    kept = kept[:-1].tobytes()
-                    out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
+                part = b[off[i] : off[j]]
+                starts, ends, first = spans(part, off[i : j + 1] - off[i], PLAIN)
+                found = listed.slice(i, j - i)
+                # A null list has no values; runs are placed among the words of the whole slice.
+                runs_of = np.repeat(first[:-1], found.value_lengths().fill_null(0).to_numpy())
+                gone = _removed(found.flatten().to_numpy() + (runs_of << 32), len(starts), width)
+                s, e = starts[~gone], ends[~gone]
+                to = np.concatenate(([0], np.cumsum(~gone)))[first]
+                # Each word with a space after it, which the last of a document leaves out.
+                at = np.concatenate(([0], np.cumsum(e - s + 1)))
+                kept, word = np.full(at[-1], 0x20, dtype=np.uint8), np.ones(at[-1], dtype=bool)
+                word[at[1:] - 1] = False
+                kept[word] = part[_covered(s, e, len(part))]
+                total.extend(np.diff(first).tolist())
+                removed.extend((np.diff(first) - np.diff(to)).tolist())
+                for x, y in zip(at[to[:-1]].tolist(), at[to[1:]].tolist(), strict=True):
+                    text = kept[x : max(x, y - 1)].tobytes()
+                    out.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["k", "n_words", "n_removed", "kept"])
         give_back()
 
     return run
 
 
-def repeated_segments(texts: DataFrame, lengths: list[int], units) -> tuple[Table, Table]:
-    """Segments whose anchors are repeated at every level, and for each distinct one (a, f) its first place and how often it is there."""
+def repeated_segments(texts: DataFrame, lengths: list[int], units, sieved: bool = False) -> tuple[Table, Table]:
+    """Segments whose anchors are repeated at every level before the last, and for each distinct one (a, f) its first place and how often it is there.
+
+    An anchor that the last level has once is in one segment, which is there once. sieved: hold back segments before their shuffle.
+    """
     m = len(lengths) - 1
-    kinds = [*[f"a{j} long" for j in range(m)], *[f"new{j} boolean" for j in range(1, m)], "f long", "k long", "t long", "run long"]
+    kinds = [*[f"a{j} long" for j in range(m)], *[f"new{j} boolean" for j in range(1, m - 1)], "f long", "k long", "t long", "run long"]
     anchors = texts.select("text").mapInArrow(_emit_anchors(lengths, units), "a0 long")
     # A written table has an exchange of its own, so that Spark can split what a frequent anchor is joined to.
     twice = Table(anchors.groupBy("a0").agg(F.count("*").alias("c")).where("c > 1").select("a0"))
-    found = Table(texts.mapInArrow(_emit_segments(lengths, units), ", ".join(kinds)).join(twice.read(), "a0", "left_semi").drop(*["a0"] * (m > 1)))
+    held = texts.sparkSession.sparkContext.broadcast(sieve(twice.read())) if sieved else None
+    found = Table(texts.mapInArrow(_emit_segments(lengths, units, held), ", ".join(kinds)).join(twice.read(), "a0", "left_semi").drop(*["a0"] * (m > 1)))
     twice.drop()
-    for j in range(1, m):
+    if held is not None:
+        held.destroy()
+    for j in range(1, m - 1):
         if found.read().isEmpty():
             break
         rows = found.read()
         again = Table(rows.groupBy(f"a{j}").agg(F.count_if(f"new{j}").alias("c")).where("c > 1").select(f"a{j}"))
-        kept = Table(rows.drop(f"new{j}").join(again.read(), f"a{j}", "left_semi").drop(*[f"a{j}"] * (j < m - 1)))
+        kept = Table(rows.drop(f"new{j}").join(again.read(), f"a{j}", "left_semi").drop(f"a{j}"))
         again.drop()
         found.drop()
         found = kept
@@ -237,7 +297,7 @@ def listed(rows: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """k, t and a list of runs of windows (p << 32 | n) that occur earlier too."""
     lengths = levels(width, LEAST)
-    found, firsts = repeated_segments(texts, lengths, words)
+    found, firsts = repeated_segments(texts, lengths, words, sieved=True)
     f = firsts.read()
     lists = listed(f.join(shared_anchors(f).read(), "a", "left_semi").select("first.*"))
     windows = Table(texts.join(lists, ["k", "t"]).select("k", "t", "text", "listed").mapInArrow(_emit_windows(width), "h1 long, h2 long, k long, t long, run long"))
@@ -249,10 +309,11 @@ def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by a space (or their SHA-256)."""
-    texts = _keyed(docs)
-    out = texts.join(repeats(texts, width), ["k", "t"], "left").select("k", "text", "listed")
-    made = out.mapInArrow(_kept_words(width, digest), "k long, n_words long, n_removed long, kept string")
-    return Table(made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "text"))).read()
+    with hashed_joins(docs.sparkSession):
+        texts = _keyed(docs)
+        out = texts.join(repeats(texts, width), ["k", "t"], "left").select("k", "text", "listed")
+        made = out.mapInArrow(_kept_words(width, digest), "k long, n_words long, n_removed long, kept string")
+        return Table(made.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "text"))).read()
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

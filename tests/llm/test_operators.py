@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ocellus.llm import chat, decontaminate, langid, near_dup, packing, quality, rules, secrets, substrings, suffix, suffix_dedup
 from ocellus.llm._shared import Table, sampled
@@ -95,6 +96,36 @@ def test_substring_dedup(shared_ids, empty, width):
     assert substrings.without_repeats(empty).count() == 0
 
 
+def test_substring_sieve(spark):
+    """Every repeated anchor passes and nearly no other, and the segments of these alone reach the shuffle."""
+    rng = np.random.default_rng(4)
+    twice, once = (rng.integers(-(1 << 63), 1 << 63, n) for n in (5000, 200_000))
+    bitmap = substrings.sieve(spark.createDataFrame([(int(x),) for x in twice], "a0 long"))
+    assert len(bitmap) == 1 << 14 and substrings._passes(twice.view(np.uint64), bitmap).all()
+    assert substrings._passes(once.view(np.uint64), bitmap).mean() < 0.06
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, n))
+    passage = say(30)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([f"{say(3000)} {passage}", f"{passage} {say(3000)}"])], names=["k", "t", "text"])
+    emitted = lambda held: pa.Table.from_batches(substrings._emit_segments([5, 10, 20], substrings.words, held)(iter([batch]))).to_pandas()
+    every = emitted(None)
+    anchors = np.concatenate([x.column(0).to_numpy() for x in substrings._emit_anchors([5, 10, 20], substrings.words)(iter([batch.select(["text"])]))])
+    a, c = np.unique(anchors, return_counts=True)
+    held = spark.sparkContext.broadcast(substrings.sieve(spark.createDataFrame([(int(x),) for x in a[c > 1]], "a0 long")))
+    few, want = emitted(held), every[every.a0.isin(a[c > 1])]
+    assert 0 < len(want) <= len(few) < len(every) / 10
+    assert set(want.itertuples(index=False, name=None)) <= set(few.itertuples(index=False, name=None)) <= set(every.itertuples(index=False, name=None))
+
+
+def test_substring_kept_words():
+    """Words at the edges of documents of one slice stay apart, and whole, with null, empty and wholly removed ones between them."""
+    texts = ["ab", "cd", "", "e f g", "é ü", " x  y ", "h"]
+    listed = [None, None, None, [0 << 32 | 2], [1 << 32 | 1], None, [0 << 32 | 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts), pa.array(listed, pa.list_(pa.int64()))], names=["k", "text", "listed"])
+    out = pa.Table.from_batches(substrings._kept_words(1, False)(iter([batch]))).to_pydict()
+    assert out["kept"] == ["ab", "cd", "", "g", "é", "x y", ""]
+    assert out["n_removed"] == [0, 0, 0, 2, 1, 0, 1] and out["n_words"] == [1, 1, 0, 3, 2, 2, 1]
+
+
 def test_substring_levels():
     assert substrings.levels(20, 5) == [5, 10, 20] and substrings.levels(80, 5) == [5, 10, 20, 40, 80]
     rng = np.random.default_rng(3)
