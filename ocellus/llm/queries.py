@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import chat, decontaminate, langid, near_dup, oracles, packing, quality, rules, secrets, substrings, suffix_dedup
+from ocellus.llm import audit, chat, decontaminate, langid, near_dup, oracles, packing, quality, rules, secrets, substrings, suffix_dedup, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_minhash_near_dedup": near_dup.op9_minhash_near_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op11_vector_code_compression": vector_codes.op11_vector_code_compression,
+    "op13_filter_interaction_audit": audit.op13_filter_interaction_audit,
 }
 #: The others' models and tokenizers cannot be put in SQL.
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
     "op6_chat_formatting": chat.OP6_SQL,
     "op9_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op11_vector_code_compression": vector_codes.SQL,
+    "op13_filter_interaction_audit": audit.SQL,
 }
