@@ -32,7 +32,6 @@ LOWER[0x41:0x5B] += 0x20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 _BASE = U64(0x9E3779B97F4A7C15 & ~0x7 | 0x3)
-_BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 #: Two independent bases for window hashes.
 WINDOW_BASES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
@@ -44,29 +43,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Entries of a table of powers; powers of larger exponents are products of two.
+_BLOCK_BITS = 16
+_BLOCK = 1 << _BLOCK_BITS
+
+
 class _Powers:
-    """base**0, base**1, ... and the powers of its inverse, extended on demand."""
+    """Powers of a base and of its inverse: a table of the first _BLOCK, and one of every _BLOCK-th, which alone grows with what is hashed."""
 
     def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, U64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        inverse = U64(pow(int(base), -1, 1 << 64))
+        self.up, self.down = self._table(base, _BLOCK), self._table(inverse, _BLOCK)
+        self.far_base, self.far_inverse = self.up[-1] * base, self.down[-1] * inverse
+        self.far_up = self.far_down = np.ones(1, dtype=np.uint64)
+
+    @staticmethod
+    def _table(base: np.uint64, n: int) -> np.ndarray:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
 
     def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        if len(self.far_up) <= n >> _BLOCK_BITS:
+            size = 2 * (n >> _BLOCK_BITS) + 2
+            self.far_up, self.far_down = self._table(self.far_base, size), self._table(self.far_inverse, size)
+
+    def sums(self, values: np.ndarray, take: np.ndarray | None = None) -> np.ndarray:
+        """0 and the sums of the first 1, 2, ... values (or of take[values]) times their powers."""
+        total = np.empty(len(values) + 1, dtype=np.uint64)
+        total[0] = 0
+        self.reach(len(values))
+        carry = U64(0)
+        for k, at in enumerate(range(0, len(values), _BLOCK)):
+            part = values[at : at + _BLOCK]
+            sums = total[at + 1 : at + 1 + len(part)]
+            np.cumsum((part if take is None else take[part]) * self.up[: len(part)], out=sums)
+            sums *= self.far_up[k]
+            sums += carry
+            carry = sums[-1]
+        return total
+
+    def last(self, values: np.ndarray, take: np.ndarray) -> np.uint64:
+        """The last of sums(), a block of values at a time."""
+        self.reach(len(values))
+        total = U64(0)
+        for k, at in enumerate(range(0, len(values), _BLOCK)):
+            part = values[at : at + _BLOCK]
+            total += (take[part] * self.up[: len(part)]).sum(dtype=np.uint64) * self.far_up[k]
+        return total
+
+    def inverses(self, at: np.ndarray) -> np.ndarray:
+        """The inverse powers of the exponents at (below what was reached)."""
+        return self.down[at & (_BLOCK - 1)] * self.far_down[at >> _BLOCK_BITS]
 
 
 _POWERS: dict[int, _Powers] = {}
 
 
-def powers(base: np.uint64, n: int) -> _Powers:
-    p = _POWERS.setdefault(int(base), _Powers(base))
-    p.reach(n)
-    return p
+def powers(base: np.uint64) -> _Powers:
+    if int(base) not in _POWERS:
+        _POWERS[int(base)] = _Powers(base)
+    return _POWERS[int(base)]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,17 +156,22 @@ def spans(b: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarr
 
 
 def span_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+    """A 64-bit hash of each span of bytes, the same wherever the span stands. A span of more than a slice is hashed by itself, in blocks."""
     out = np.empty(len(starts), dtype=np.uint64)
+    p = powers(_BASE)
+    long = ends - starts > SLICE_BYTES
+    for k in np.flatnonzero(long).tolist():
+        out[k] = p.last(b[starts[k] : ends[k]], _BYTE)
+    own = slice(None) if not long.any() else np.flatnonzero(~long)
+    starts, ends, made = starts[own], ends[own], out[own]
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE_BYTES, side="right")))
         at, to = int(starts[i]), int(ends[i:j].max())
-        p = powers(_BASE, to - at + 1)
-        total = np.zeros(to - at + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[b[at:to]] * p.up[: to - at], out=total[1:])
-        out[i:j] = (total[ends[i:j] - at] - total[starts[i:j] - at]) * p.down[starts[i:j] - at]
+        total = p.sums(b[at:to], _BYTE)
+        made[i:j] = (total[ends[i:j] - at] - total[starts[i:j] - at]) * p.inverses(starts[i:j] - at)
         i = j
+    out[own] = made
     return mix(out)
 
 
@@ -138,15 +180,16 @@ def window_hash(h: np.ndarray, width: int, base: np.uint64 = WINDOW_BASES[0]) ->
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.empty(n, dtype=np.uint64)
+    out, p = np.empty(n, dtype=np.uint64), powers(base)
     step = 1 << 20
     for i in range(0, n, step):
         j = min(n, i + step)
-        part = h[i : j + width - 1]
-        p = powers(base, len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * p.up[: len(part)], out=total[1:])
-        out[i:j] = (total[width:] - total[:-width]) * p.down[: j - i]
+        total = p.sums(h[i : j + width - 1])
+        np.subtract(total[width:], total[:-width], out=out[i:j])
+        for at in range(i, j, _BLOCK):
+            part = out[at : min(at + _BLOCK, j)]
+            part *= p.down[: len(part)]
+            part *= p.far_down[at - i >> _BLOCK_BITS]
     return mix(out ^ U64(width))
 
 
@@ -154,10 +197,9 @@ def sequence_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.
     """A 64-bit hash of each range of entries of h (mixed values), the same wherever the range stands."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    p = powers(base, len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * p.up[: len(h)], out=total[1:])
-    return mix((total[ends] - total[starts]) * p.down[starts] ^ (ends - starts).astype(np.uint64))
+    p = powers(base)
+    total = p.sums(h)
+    return mix((total[ends] - total[starts]) * p.inverses(starts) ^ (ends - starts).astype(np.uint64))
 
 
 def leftmost_least(g: np.ndarray, width: int) -> np.ndarray:
