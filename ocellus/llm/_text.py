@@ -54,7 +54,7 @@ class _Powers:
     def __init__(self, base: np.uint64):
         inverse = U64(pow(int(base), -1, 1 << 64))
         self.up, self.down = self._table(base, _BLOCK), self._table(inverse, _BLOCK)
-        self.far_base, self.far_inverse = self.up[-1] * base, self.down[-1] * inverse
+        self.far_base, self.far_inverse = (self.up[-1:] * base)[0], (self.down[-1:] * inverse)[0]
         self.far_up = self.far_down = np.ones(1, dtype=np.uint64)
 
     @staticmethod
@@ -86,11 +86,11 @@ class _Powers:
     def last(self, values: np.ndarray, take: np.ndarray) -> np.uint64:
         """The last of sums(), a block of values at a time."""
         self.reach(len(values))
-        total = U64(0)
+        total = np.zeros(1, dtype=np.uint64)
         for k, at in enumerate(range(0, len(values), _BLOCK)):
             part = values[at : at + _BLOCK]
-            total += (take[part] * self.up[: len(part)]).sum(dtype=np.uint64) * self.far_up[k]
-        return total
+            total += (take[part] * self.up[: len(part)]).sum(keepdims=True) * self.far_up[k]
+        return total[0]
 
     def inverses(self, at: np.ndarray) -> np.ndarray:
         """The inverse powers of the exponents at (below what was reached)."""

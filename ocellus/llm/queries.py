@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm import audit, chat, decontaminate, langid, near_dup, oracles, packing, quality, rules, secrets, substrings, suffix_dedup, vector_codes
+from ocellus.llm import audit, chat, decontaminate, langid, lm, near_dup, oracles, packing, quality, rules, secrets, substrings, suffix_dedup, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": near_dup.op9_minhash_near_dedup,
     "op10_language_id": langid.op10_language_id,
     "op11_vector_code_compression": vector_codes.op11_vector_code_compression,
+    "op12_lm_scoring": lm.op12_lm_scoring,
     "op13_filter_interaction_audit": audit.op13_filter_interaction_audit,
 }
 #: The others' models and tokenizers cannot be put in SQL.
