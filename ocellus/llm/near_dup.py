@@ -42,8 +42,6 @@ ROWS, BANDS = 4, 32
 #: Samples of a sketch; the bands are made of the first of them.
 HASHES = 192
 SKETCH_BITS, SKETCH_FLOOR = 768, 0.6
-#: Ids that are broadcast, of 8 bytes each.
-SENT_IDS = 4_000_000
 #: Members of a bucket whose sketches are compared at once.
 BLOCK = 1024
 
@@ -131,37 +129,40 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
-def _set_of(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    return shingle_sets(raw, np.array([0, len(raw)]))[0]
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted shingles of each text, 8 bytes each."""
+    for batch in batches:
+        b, off = utf8(batch.column(1))
+        for i, j in slices(off):
+            values, first = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i])
+            raw, at = values.tobytes(), (8 * first).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["k", "shingles"])
+    give_back()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, held = None, np.zeros(0, np.uint64)
     for batch in batches:
-        out = []
-        for u, v, a, b in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-            if b != last:
-                last, held = b, _set_of(b)
-            own = _set_of(a)
-            inter = len(np.intersect1d(own, held, assume_unique=True))
-            if len(own) and len(held) and 100 * inter >= PERCENT * (len(own) + len(held) - inter):
-                out.append((u, v))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
+        u, v = (batch.column(k).to_numpy() for k in (0, 1))
+        keep = np.zeros(len(u), dtype=bool)
+        for r in range(len(u)):
+            one, two = (np.frombuffer(batch.column(k)[r].as_buffer(), dtype=np.uint64) for k in (2, 3))
+            inter = len(np.intersect1d(one, two, assume_unique=True))
+            keep[r] = len(one) > 0 and len(two) > 0 and 100 * inter >= PERCENT * (len(one) + len(two) - inter)
+        yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
     give_back()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough; texts: k, text. A v of very many pairs is a skewed key that Spark splits.
 
-    Only texts of nodes in pairs move: they are written once, and both sides are joined to that table.
+    Each text in a pair is parsed once: its set is written, and both sides are joined to that table.
     """
     nodes = Table(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct())
-    own = Table(texts.join(nodes.read(), "k", "left_semi"))
+    own = Table(texts.join(nodes.read(), "k", "left_semi").select("k", "text").mapInArrow(_sets, "k long, shingles binary"))
     nodes.drop()
     held = own.read()
-    one = pairs.join(held.select(F.col("k").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
-    two = one.join(held.select(F.col("k").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
+    one = pairs.join(held.select(F.col("k").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u")
+    two = one.join(held.select(F.col("k").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
     out = Table(two.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long").distinct())
     own.drop()
     return out
@@ -274,9 +275,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their group, with their own columns."""
     name = free_name(docs, "dropped")
     drop = Table(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()).read()
-    # Ids are sent to the texts while they are few; beyond that both sides are shuffled.
-    own = F.broadcast(drop) if drop.count() <= SENT_IDS else drop
-    return docs.join(own, docs["doc_id"].eqNullSafe(own[name]), "left_anti")
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop[name]), "left_anti")
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
