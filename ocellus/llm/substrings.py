@@ -15,8 +15,7 @@ are written; every group is pre-aggregated to its first place, and what is
 joined back on a key of very many rows is a skewed join that Spark splits. Most
 segments have an anchor that occurs once, and a bitmap of the repeated ones, of
 bounded size, holds back nearly all of these before the shuffle; an exact join
-drops those that pass. The last anchors are counted where segments are, and one
-that occurs once leaves by the joins on segments that occur twice.
+drops those that pass.
 
 Cases: a null or empty text has no words; a document shorter than a window
 loses nothing; a null doc_id (or -2**63) counts as smaller than any other; rows
@@ -152,12 +151,12 @@ def _passes(a: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def _emit_segments(lengths: list[int], units, held: Broadcast | None = None):
-    """Segments: anchors of each level and whether the places of those that a level counts are new, the hash of all units, the document, and packed place and length.
+    """Segments: anchors of each level and, but for the first, how far into the segment they stand, the hash of all units, the document, and packed place and length.
 
     held: a sieve that the first anchors pass.
     """
     m = len(lengths) - 1
-    names = [*[f"a{j}" for j in range(m)], *[f"new{j}" for j in range(1, m - 1)], "f", "k", "t", "run"]
+    names = [*[f"a{j}" for j in range(m)], *[f"at{j}" for j in range(1, m)], "f", "k", "t", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +168,7 @@ def _emit_segments(lengths: list[int], units, held: Broadcast | None = None):
                 on = slice(None) if held is None else _passes(made.anchors[0], held.value)
                 doc, start, n = made.doc[on], made.start[on], made.n[on]
                 f = sequence_hash(h, start, start + n - 1 + lengths[-1])
-                columns = [*[a[on] for a in made.anchors], *[_changes(p)[on] for p in made.places[1:-1]], f, k[i + doc], t[i + doc], (start - first[doc]) << 32 | n]
+                columns = [*[a[on] for a in made.anchors], *[(p[on] - start).astype(np.int32) for p in made.places[1:]], f, k[i + doc], t[i + doc], (start - first[doc]) << 32 | n]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
         give_back()
 
@@ -251,12 +250,12 @@ def _kept_words(width: int, digest: bool):
 
 
 def repeated_segments(texts: DataFrame, lengths: list[int], units, sieved: bool = False) -> tuple[Table, Table]:
-    """Segments whose anchors are repeated at every level before the last, and for each distinct one (a, f) its first place and how often it is there.
+    """Segments whose anchors are repeated at every level, and for each distinct one (a, f) its first place and how often it is there.
 
-    An anchor that the last level has once is in one segment, which is there once. sieved: hold back segments before their shuffle.
+    sieved: hold back segments before their shuffle.
     """
     m = len(lengths) - 1
-    kinds = [*[f"a{j} long" for j in range(m)], *[f"new{j} boolean" for j in range(1, m - 1)], "f long", "k long", "t long", "run long"]
+    kinds = [*[f"a{j} long" for j in range(m)], *[f"at{j} int" for j in range(1, m)], "f long", "k long", "t long", "run long"]
     anchors = texts.select("text").mapInArrow(_emit_anchors(lengths, units), "a0 long")
     # A written table has an exchange of its own, so that Spark can split what a frequent anchor is joined to.
     twice = Table(anchors.groupBy("a0").agg(F.count("*").alias("c")).where("c > 1").select("a0"))
@@ -265,12 +264,14 @@ def repeated_segments(texts: DataFrame, lengths: list[int], units, sieved: bool
     twice.drop()
     if held is not None:
         held.destroy()
-    for j in range(1, m - 1):
+    for j in range(1, m):
         if found.read().isEmpty():
             break
         rows = found.read()
-        again = Table(rows.groupBy(f"a{j}").agg(F.count_if(f"new{j}").alias("c")).where("c > 1").select(f"a{j}"))
-        kept = Table(rows.drop(f"new{j}").join(again.read(), f"a{j}", "left_semi").drop(f"a{j}"))
+        # An anchor that several segments share is repeated only if it stands at several places.
+        place = F.xxhash64("k", "t", F.shiftright("run", 32) + F.col(f"at{j}"))
+        again = Table(rows.groupBy(f"a{j}").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one != other").select(f"a{j}"))
+        kept = Table(rows.drop(f"at{j}").join(again.read(), f"a{j}", "left_semi").drop(*[f"a{j}"] * (j < m - 1)))
         again.drop()
         found.drop()
         found = kept
