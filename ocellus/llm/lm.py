@@ -28,6 +28,8 @@ are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
@@ -41,8 +43,8 @@ from ocellus.llm._shared import Table, bucket, documents
 from ocellus.llm._text import LOWER, PLAIN, U64, give_back, mix, slices, span_hash, spans, utf8
 
 #: Words that tasks look up themselves, and words that the network knows by number.
-HEAD, WORDS = 1 << 19, 4096
-EMBED, HIDDEN, CLASSES = 16, 16, 64
+HEAD, WORDS = 1 << 19, 2048
+EMBED, HIDDEN, CLASSES = 16, 16, 48
 #: Documents side by side, tokens of a window of training and of scoring, and tokens held at once.
 LANES, WINDOW, SCORE_WINDOW, BUFFER = 512, 16, 32, 1 << 20
 #: Tokens that the first task learns from, and its passes over a smaller table.
@@ -272,6 +274,16 @@ class Lanes:
             yield np.where(real, self.first[:active] + time, 0), real
 
 
+def one_thread() -> None:
+    """Let the library of matrix products use one thread in this process: tasks use the cores already, and threads that wait for small products burn as much again."""
+    with contextlib.suppress(OSError), open("/proc/self/maps") as maps:
+        for path in {line.split()[-1] for line in maps if "openblas" in line}:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     out = np.tanh(x * np.float32(0.5))
     out += np.float32(1)
@@ -451,6 +463,7 @@ def _train(net: Network, starts: np.ndarray, warm: bool):
     """Weights after this partition's documents, times their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         trainer = Trainer(net.copy(), starts, RATE if warm else RATE / 4)
         if warm:
             seen = [docs for _, docs in _buffers(batches, 0)]
@@ -508,6 +521,7 @@ def _mass(v: Vocabulary, k: int) -> int:
 
 def _score(net: Network, starts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for rows, docs in _buffers(batches, len(KEPT)):
             said = rows.select(KEPT).append_column("net", pa.array(scores(net, starts, docs) / np.log(10)))
             yield from said.to_batches()
