@@ -43,13 +43,15 @@ from ocellus.llm._shared import Table, bucket, documents
 from ocellus.llm._text import LOWER, PLAIN, U64, give_back, mix, slices, span_hash, spans, utf8
 
 #: Words that tasks look up themselves, and words that the network knows by number.
-HEAD, WORDS = 1 << 19, 2048
-EMBED, HIDDEN, CLASSES = 16, 16, 48
+HEAD, WORDS = 1 << 19, 1024
+EMBED, HIDDEN, CLASSES = 12, 12, 24
 #: Documents side by side, tokens of a window of training and of scoring, and tokens held at once.
 LANES, WINDOW, SCORE_WINDOW, BUFFER = 512, 16, 32, 1 << 20
 #: Tokens that the first task learns from, and its passes over a smaller table.
 WARM_TOKENS, WARM_PASSES = 1 << 21, 8
 RATE, MAX_NORM = 0.05, 1.0
+#: Logits up to this, either way, need no shift before their exponential.
+MAX_LOGIT = 60.0
 #: Blocks that a network's weights are averaged in.
 BLOCKS = 64
 OTHER, END = 0, 1
@@ -311,16 +313,22 @@ def _states(net: Network, pushed: np.ndarray, keep: np.ndarray, state: np.ndarra
     return out, state
 
 
-def _softmax(logits: np.ndarray, place: tuple[np.ndarray, np.ndarray], shares: bool) -> np.ndarray:
+def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit can leave the range of exp in single precision: states lie between -1 and 1. weights: a row for each logit."""
+    return len(bias) < 1 << 12 and float((np.abs(weights).sum(axis=1) + np.abs(bias)).max()) < MAX_LOGIT
+
+
+def _softmax(logits: np.ndarray, place: tuple[np.ndarray, np.ndarray], small: bool, shares: bool) -> np.ndarray:
     """Natural logarithms of the softmax at place, a place for each row. The logits are overwritten: by the shares less 1 at place, if these are wanted."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
     said = logits[place].astype(np.float64)
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
+    total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
     if shares:
-        logits /= total
+        logits *= (1 / total)[:, None]
         logits[place] -= 1
-    return said - np.log(total[:, 0])
+    return said - np.log(total)
 
 
 def _log_probabilities(net: Network, starts: np.ndarray, said: np.ndarray, state: np.ndarray, grad: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -333,17 +341,17 @@ def _log_probabilities(net: Network, starts: np.ndarray, said: np.ndarray, state
     own = np.searchsorted(starts, said, side="right") - 1
     rows = np.arange(len(said))
     d = state @ net.to_class + net.class_bias
-    out, d_state = _softmax(d, (rows, own), grad is not None), None
+    out, d_state = _softmax(d, (rows, own), _small(net.to_class.T, net.class_bias), grad is not None), None
     if grad is not None:
         grad.to_class += state.T @ d
         grad.class_bias += d.sum(axis=0)
         d_state = d @ net.to_class.T
-    cuts = np.searchsorted(own, np.arange(len(starts)))
+    cuts, small = np.searchsorted(own, np.arange(len(starts))), _small(net.to_word, net.word_bias)
     for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(starts) > 1)).tolist():
         s, e, a, z = cuts[k], cuts[k + 1], starts[k], starts[k + 1]
         d = state[s:e] @ net.to_word[a:z].T
         d += net.word_bias[a:z]
-        out[s:e] += _softmax(d, (rows[: e - s], said[s:e] - a), grad is not None)
+        out[s:e] += _softmax(d, (rows[: e - s], said[s:e] - a), small, grad is not None)
         if grad is not None:
             grad.to_word[a:z] += d.T @ state[s:e]
             grad.word_bias[a:z] += d.sum(axis=0)
