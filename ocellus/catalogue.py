@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ocellus.plans.registry import Query
 
-MODULES = ("raster_queries", "stereo_queries", "spatial_queries", "kernel_queries", "more_queries", "detection_queries", "matching_queries", "fitting_queries", "volume_queries")
+MODULES = ("raster_queries", "stereo_queries", "spatial_queries", "kernel_queries", "more_queries", "detection_queries", "matching_queries", "fitting_queries", "volume_queries", "program_queries")
 
 
 def _all():

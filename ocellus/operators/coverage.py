@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _next(ring: Column, k: Column) -> Column:
-    return F.get(ring, F.when(k + 1 == F.size(ring), 0).otherwise(k + 1))
+def _turned(ring: Column) -> Column:
+    """The ring from its second corner on."""
+    return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
 
 
 def clip(ring: Column, axis: str, bound: Column, below: bool) -> Column:
@@ -25,17 +26,17 @@ def clip(ring: Column, axis: str, bound: Column, below: bool) -> Column:
         along = a[other] + (b[other] - a[other]) * ((bound - a[axis]) / (b[axis] - a[axis]))
         return F.struct((bound if axis == "y" else along).cast("double").alias("y"), (bound if axis == "x" else along).cast("double").alias("x"))
 
-    def edge(a: Column, k: Column) -> Column:
-        b = _next(ring, k)
-        own = F.when(inside(a), F.array(a)).otherwise(none)
-        return F.concat(own, F.when(inside(a) != inside(b), F.array(cut(a, b))).otherwise(none))
+    def edge(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return F.when(e["p"] & e["q"], F.array(a)).when(e["p"], F.array(a, cut(a, b))).when(e["q"], F.array(cut(a, b))).otherwise(none)
 
-    return F.flatten(F.transform(ring, edge))
+    sides = F.zip_with(ring, _turned(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b"), inside(a).alias("p"), inside(b).alias("q")))
+    return F.flatten(F.transform(sides, edge))
 
 
 def area(ring: Column) -> Column:
     """The area of a ring, by its corners' cross products; 0 of less than three."""
-    crossed = F.transform(ring, lambda a, k: a["x"] * _next(ring, k)["y"] - a["y"] * _next(ring, k)["x"])
+    crossed = F.zip_with(ring, _turned(ring), lambda a, b: a["x"] * b["y"] - a["y"] * b["x"])
     return F.abs(F.aggregate(crossed, F.lit(0.0), lambda acc, v: acc + v)) / 2
 
 

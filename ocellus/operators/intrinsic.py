@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocellus.operators.iteration import NotSettled
 from ocellus.operators.raster import CELL, neighbourhood, rotate_window, sizes
-from ocellus.operators.rays import NotSettled
 
 RGB = ["r", "g", "b"]
 DARK = 1e-3
@@ -100,8 +100,9 @@ def retinex_with_texture(cells: DataFrame, threshold: float, grain: float = 0.01
         own = np.maximum(image, DARK) / shade[:, :, None]
         return pd.DataFrame({**{c: pdf[c].to_numpy() for c in CELL}, "shading": shade.ravel(), **{c: own[:, :, k].ravel() for k, c in enumerate(RGB)}})
 
-    links = texture_links(cells, grain)
-    return cells.select(*CELL, *RGB).groupBy("img").cogroup(links.groupBy("img")).applyInPandas(run, "img int, i int, j int, shading double, r double, g double, b double")
+    links = texture_links(cells, grain).toDF("_img", "i", "j", "pi", "pj")
+    rows = cells.select(*[F.col(c).alias(c) for c in (*CELL, *RGB)])
+    return rows.groupBy("img").cogroup(links.groupBy("_img")).applyInPandas(run, "img int, i int, j int, shading double, r double, g double, b double")
 
 
 def rectify_normals(normals: DataFrame, mask: Column | None = None) -> DataFrame:

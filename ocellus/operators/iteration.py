@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+class NotSettled(RuntimeError):
+    """An iteration ended at its limit without meeting its tolerance."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. In local mode, one is made where that is unset; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, for files of any kind; it goes with the driver."""
+    path = f"{shared_dir(spark)}/ocellus/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written step."""
     jvm = spark.sparkContext._jvm
@@ -44,9 +55,8 @@ class Step:
 
     def __init__(self, df: DataFrame):
         self.spark, self.schema = df.sparkSession, df.schema
-        self.path = f"{shared_dir(self.spark)}/ocellus/{uuid.uuid4().hex}"
+        self.path = scratch(self.spark)
         df.write.option("compression", "zstd").parquet(self.path)
-        _made.append((self.spark, self.path))
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

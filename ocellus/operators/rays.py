@@ -16,16 +16,13 @@ from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as g
 from ocellus.functions import vectors
+from ocellus.operators.iteration import NotSettled
 from ocellus.operators.pose import rotation, skew
 from ocellus.operators.solve import normal_equations
 
 LIMIT, TOLERANCE = 200, 1e-10
 
 
-class NotSettled(RuntimeError):
-    """An iteration ended at its limit without meeting its tolerance."""
-
-
 def gram(rows: DataFrame, vector: Column, n: int, weight: Column | None = None) -> np.ndarray:
     """The sum of the outer products of a column of n numbers with itself: a matrix for each partition, then their sum."""
     upper = np.triu_indices(n)

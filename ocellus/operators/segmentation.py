@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.operators.graphs import min_cut
+from ocellus.operators.iteration import NotSettled
 from ocellus.operators.sequential import _laplace, _long, conjugate_gradient, image
 
 
@@ -182,20 +183,23 @@ def height_of(nx: np.ndarray, ny: np.ndarray, nz: np.ndarray) -> np.ndarray:
         d = -(g[tuple(lo)] + g[tuple(hi)]) / 2
         rhs[tuple(lo)] -= d
         rhs[tuple(hi)] += d
-    z = conjugate_gradient(_laplace, rhs - rhs.mean(), steps=2000)
+    z = conjugate_gradient(_laplace, rhs - rhs.mean())
     return z - z[0, 0]
 
 
-def normals_from_shading(x: np.ndarray, light: np.ndarray, smooth: float = 0.25, steps: int = 50) -> np.ndarray:
-    """h, w, 3: unit normals whose shading is near x, smoothed, by steepest descent."""
+def normals_from_shading(x: np.ndarray, light: np.ndarray, smooth: float = 0.25, limit: int = 20_000, tol: float = 1e-6) -> np.ndarray:
+    """h, w, 3: unit normals whose shading is near x, smoothed, by steepest descent until no normal moves by more than tol; an error if the limit comes first."""
     n = np.zeros((*x.shape, 3))
     n[:] = light / np.linalg.norm(light)
-    for _ in range(steps):
+    for _ in range(limit):
         error = n @ light - x
         grad = error[:, :, None] * light + smooth * np.stack([_laplace(n[:, :, c]) for c in range(3)], axis=2)
-        n = n - 0.1 * grad
-        n /= np.maximum(np.linalg.norm(n, axis=2, keepdims=True), 1e-9)
-    return n
+        new = n - 0.1 * grad
+        new /= np.maximum(np.linalg.norm(new, axis=2, keepdims=True), 1e-9)
+        moved, n = float(np.abs(new - n).max()), new
+        if moved <= tol:
+            return n
+    raise NotSettled(f"normals still move by {moved} after {limit} steps")
 
 
 def shape_from_shading(cells: DataFrame, light: tuple[float, float, float]) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.operators.iteration import NotSettled
+
 VOLUME = ["img", "i", "j", "costs"]
 #: Steps of 4, 8 and 16 path directions.
 DIRECTIONS = {
@@ -258,19 +260,20 @@ def l0_fusion(cells: DataFrame, penalty: float, rounds: int = 20) -> DataFrame:
     return _per_image(cells, fuse)
 
 
-def conjugate_gradient(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, steps: int = 500, tol: float = 1e-10) -> np.ndarray:
+def conjugate_gradient(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, steps: int | None = None, tol: float = 1e-10) -> np.ndarray:
+    """x with apply(x) = b, to a squared residual of tol; an error if it is not reached in 20 steps an unknown."""
     x = np.zeros_like(b)
     r = b - apply(x)
     p, rr = r.copy(), float((r * r).sum())
-    for _ in range(steps):
+    for _ in range(steps or 20 * b.size + 100):
         if rr < tol:
-            break
+            return x
         ap = apply(p)
         a = rr / float((p * ap).sum())
         x, r = x + a * p, r - a * ap
         new = float((r * r).sum())
         p, rr = r + new / rr * p, new
-    return x
+    raise NotSettled("conjugate gradients ended at their limit")
 
 
 def _laplace(x: np.ndarray) -> np.ndarray:

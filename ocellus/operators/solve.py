@@ -13,6 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.operators.iteration import NotSettled
+
+#: Steps of an iteration that has no number of its own.
+LIMIT = 1000
+
 
 def line_fit(rows: DataFrame) -> DataFrame:
     """g, slope, intercept of y over x."""
@@ -41,21 +46,23 @@ def affine_least_squares(rows: DataFrame, a: list[Column], b: Column) -> np.ndar
     return np.append(free, 1 - free.sum())
 
 
-def gauss_newton(rows: DataFrame, residual: Callable[[list[float]], Column], jacobian: Callable[[list[float]], list[Column]], start: list[float], weight: Callable[[Column], Column] | None = None, steps: int = 20, tol: float = 1e-9) -> list[float]:
-    """Minimises the sum of squared residuals (or a kernel's, by its weights); one aggregation a step."""
+def gauss_newton(rows: DataFrame, residual: Callable[[list[float]], Column], jacobian: Callable[[list[float]], list[Column]], start: list[float], weight: Callable[[Column], Column] | None = None, steps: int | None = None, tol: float = 1e-9) -> list[float]:
+    """Minimises the sum of squared residuals (or a kernel's, by its weights); one aggregation a step. With steps, as many at most; without, until they are small, and an error if LIMIT of them are not."""
     x = np.array(start, dtype=float)
-    for _ in range(steps):
+    for _ in range(steps or LIMIT):
         r = residual(x.tolist())
         m, v = normal_equations(rows, jacobian(x.tolist()), r, None if weight is None else weight(r))
         d = np.linalg.lstsq(m, v, rcond=None)[0]
         x = x - d
         if np.linalg.norm(d) < tol:
-            break
-    return x.tolist()
+            return x.tolist()
+    if steps is not None:
+        return x.tolist()
+    raise NotSettled(f"Gauss-Newton still moves after {LIMIT} steps")
 
 
-def l_bfgs(rows: DataFrame, value: Callable[[list[float]], Column], gradient: Callable[[list[float]], list[Column]], start: list[float], steps: int = 40, memory: int = 6, tol: float = 1e-8) -> list[float]:
-    """Minimises a summed function by its summed gradient, with backtracking."""
+def l_bfgs(rows: DataFrame, value: Callable[[list[float]], Column], gradient: Callable[[list[float]], list[Column]], start: list[float], steps: int = 400, memory: int = 6, tol: float = 1e-8) -> list[float]:
+    """Minimises a summed function by its summed gradient, with backtracking. An error if neither the gradient nor the gain becomes small."""
 
     def at(x: np.ndarray) -> tuple[float, np.ndarray]:
         got = rows.agg(F.sum(value(x.tolist())), *[F.sum(c) for c in gradient(x.tolist())]).first()
@@ -66,7 +73,7 @@ def l_bfgs(rows: DataFrame, value: Callable[[list[float]], Column], gradient: Ca
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         if np.linalg.norm(g) < tol:
-            break
+            return x.tolist()
         q, alphas = g.copy(), []
         for s, y in reversed(past):
             a = (s @ q) / (y @ s)
@@ -89,7 +96,7 @@ def l_bfgs(rows: DataFrame, value: Callable[[list[float]], Column], gradient: Ca
         if abs(f - f_new) < tol * max(1.0, abs(f)):
             return (x + s).tolist()
         x, f, g = x + s, f_new, g_new
-    return x.tolist()
+    raise NotSettled(f"L-BFGS still gains after {steps} steps")
 
 
 def pca(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -51,7 +51,7 @@ def _xy():
 
 R.add("pca", lambda s, d: _vector(s, solve.pca(table(s, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])[0]))
 R.add("gauss_newton", lambda s, d: _vector(s, solve.gauss_newton(table(s, d, "lineitem"), lambda p: p[0] * _xy()[0] + p[1] - _xy()[1], lambda p: [_xy()[0], F.lit(1.0)], [1.0, 0.0])))
-R.add("gauss_newton_huber", lambda s, d: _vector(s, solve.gauss_newton(table(s, d, "lineitem"), lambda p: p[0] * _xy()[0] + p[1] - _xy()[1], lambda p: [_xy()[0], F.lit(1.0)], [1.0, 0.0], weight=lambda r: F.when(F.abs(r) <= 5, 1.0).otherwise(5 / F.abs(r)))))
+R.add("gauss_newton_huber", lambda s, d: _vector(s, solve.gauss_newton(table(s, d, "lineitem"), lambda p: p[0] * _xy()[0] + p[1] - _xy()[1], lambda p: [_xy()[0], F.lit(1.0)], [1.0, 0.0], weight=lambda r: F.when(F.abs(r) <= 5, 1.0).otherwise(5 / F.abs(r)), steps=20)))
 def _bfgs(s, d):
     def off(p):
         x, y = _xy()

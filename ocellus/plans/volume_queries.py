@@ -65,11 +65,11 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = coverage.polygon_cells(rows.select("pt", coverage.triangle_ring(["ya", "xa", "yb", "xb", "yc", "xc"]).alias("ring")))
     moments = [F.sum("weight").alias("area"), F.count_if(F.col("weight") > 1 - 1e-9).alias("whole"), F.max("weight").alias("most")]
     made = made.groupBy("pt").agg(*moments)
-    return made.select("pt", (F.round("area", 5) + 0.0).alias("area"), (F.col("most") <= 1 + 1e-9).alias("within"), (F.col("whole") <= F.col("area") + 1e-6).alias("inside"))
+    return made.select("pt", (F.round(F.col("area") + 1e-7, 5) + 0.0).alias("area"), (F.col("most") <= 1 + 1e-9).alias("within"), (F.col("whole") <= F.col("area") + 1e-6).alias("inside"))
 
 
 _AREA = "abs((xb - xa) * (yc - ya) - (xc - xa) * (yb - ya)) / 2"
-R.add("triangle_coverage", _covered, with_(_TRIANGLES) + f"SELECT pt, round({_AREA}, 5) + 0.0 AS area, true AS within, true AS inside FROM tri WHERE {_AREA} > 0")
+R.add("triangle_coverage", _covered, with_(_TRIANGLES) + f"SELECT pt, round({_AREA} + 1e-7, 5) + 0.0 AS area, true AS within, true AS inside FROM tri WHERE {_AREA} > 0")
 
 
 def _line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +94,11 @@ def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _painted(spark, sf_dir)
-    links = intrinsic.texture_links(rows, 0.01).groupBy("img").agg(F.count("*").alias("links"))
-    made = intrinsic.retinex_with_texture(rows, 0.05).select(*CELL, "shading").join(rows.select(*CELL, "light"), CELL)
+    links = intrinsic.texture_links(rows, 0.01).groupBy(F.col("img").alias("_img")).agg(F.count("*").alias("links"))
+    made = intrinsic.retinex_with_texture(rows, 0.05).select(*CELL, "shading").join(rows.select(*[F.col(c).alias(c) for c in (*CELL, "light")]), CELL)
     gap = made.select("img", (F.log("shading") - F.log("light")).alias("e"))
     spread = gap.groupBy("img").agg((F.stddev_pop("e") < 0.02).alias("close"))
-    return links.join(spread, "img").select("img", "links", "close")
+    return links.join(spread, F.col("_img") == F.col("img")).select("img", "links", "close")
 
 
 def _decomposed_sql() -> str:
