@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.operators import checkerboard
+from ocellus.operators import checkerboard, hexagons
 from ocellus.operators.raster import CELL
 from ocellus.plans.registry import Registry, with_
 from ocellus.plans.standins import H, W, around_sql, raster, raster_sql
@@ -105,3 +105,33 @@ def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 R.add("checkerboard_filtered", _filtered, with_(raster_sql(), BOARD_CELLS, *_corner_parts()) + f"SELECT img, CAST(node // {checkerboard.ROW} % {checkerboard.ROW} AS INT) AS i, CAST(node % {checkerboard.ROW} AS INT) AS j, round(y, 4) + 0.0 AS y, round(x, 4) + 0.0 AS x FROM pts")
 R.add("checkerboard_grid", _grid, "WITH RECURSIVE " + ",\n".join([raster_sql(), BOARD_CELLS, *_corner_parts(), *_grid_parts()]) + "\nSELECT * FROM grid")
+
+
+# --- hexagonal targets: six dots around the middle of each image, turned and coded by its number, on the image's own grey
+
+_DOTS = [(round(16 + 11 * math.sin(a)), round(24 + 11 * math.cos(a))) for a in (0.2 + k * math.pi / 3 for k in range(6))]
+_CODE = "(img * 5 + 3) % 32"
+_GREY = "200 + value / 4"
+
+
+def _hexagon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot k of image img is the main one if k = img % 6; the others, in order from it on, are red where a bit of the code is set, else green."""
+    rows = raster(spark, sf_dir)
+    near = F.coalesce(*[F.when((F.col("i") - y) * (F.col("i") - y) + (F.col("j") - x) * (F.col("j") - x) <= 5, F.lit(k)) for k, (y, x) in enumerate(_DOTS)])
+    rows = rows.withColumn("k", near).withColumn("place", F.pmod(F.col("k") - F.col("img") % 6, F.lit(6)))
+    bit = F.expr(f"shiftright({_CODE}, place - 1) & 1")
+    kind = F.when(F.col("k").isNull(), "none").when(F.col("place") == 0, "main").when(bit == 1, "red").otherwise("green")
+    grey = F.col("value") / 4 + 200
+    paint = {"r": {"main": 30.0, "red": 210.0, "green": 40.0}, "g": {"main": 40.0, "red": 35.0, "green": 190.0}, "b": {"main": 220.0, "red": 30.0, "green": 45.0}}
+    shade = lambda of: F.when(kind == "none", grey).when(kind == "main", of["main"]).when(kind == "red", of["red"]).otherwise(of["green"])
+    return rows.select(*CELL, *[shade(of).alias(c) for c, of in paint.items()])
+
+
+def _hexagons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hexagons.hexagons(_hexagon_cells(spark, sf_dir), 100.0, 90.0, 30.0)
+    return found.select("img", "bits", (F.round("y", 4) + 0.0).alias("y"), (F.round("x", 4) + 0.0).alias("x"), F.size("dots").alias("n"))
+
+
+_PLACES = ", ".join(f"({k}, {y}, {x})" for k, (y, x) in enumerate(_DOTS))
+R.add("hexagon_targets", _hexagons, with_(raster_sql()) + f"""SELECT img, CAST({_CODE} AS INT) AS bits, CAST(p.y AS DOUBLE) AS y, CAST(p.x AS DOUBLE) AS x, CAST(5 AS INT) AS n
+FROM (SELECT DISTINCT img FROM cells) JOIN (VALUES {_PLACES}) AS p(k, y, x) ON p.k = img % 6""")

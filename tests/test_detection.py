@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from ocellus.operators import checkerboard
+import pytest
+from ocellus.operators import checkerboard, hexagons
 
 POINTS = "img int, i int, j int, direction double, y double, x double"
 
@@ -105,3 +106,50 @@ def test_empty_board(spark):
     assert checkerboard.grids(spark.createDataFrame([], POINTS), 10.0).count() == 0
 
 
+
+
+DOTS = "img int, label long, n long, y double, x double, r double, g double, b double"
+PAINT = {"b": (10.0, 20.0, 200.0), "r": (200.0, 10.0, 20.0), "g": (20.0, 200.0, 10.0)}
+
+
+def _target(rng, first, centre, size, code, squeeze=1.0, main=0):
+    """Six dots around a centre, the main one and five by the bits of a code, in order from a random angle on."""
+    start, rows = rng.uniform(0, 6.28), []
+    for k in range(6):
+        a = start + (k + main) * np.pi / 3
+        colour = "b" if k == 0 else "r" if code >> (k - 1) & 1 else "g"
+        rows.append((0, first + k, 20, float(centre[0] + size * np.sin(a) * squeeze), float(centre[1] + size * np.cos(a)), *PAINT[colour]))
+    return rows
+
+
+def test_hexagons_and_their_colours(spark, monkeypatch):
+    """Targets side by side, one seen aslant, beside stray dots, a six that is no ellipse, and one of two main colours."""
+    rng = np.random.default_rng(5)
+    want = {0: (100, 100, 13), 10: (100, 145, 0), 20: (150, 100, 31), 30: (150, 150, 6)}
+    rows = [r for first, (y, x, code) in want.items() for r in _target(rng, first, (y, x), 10.0, code, 0.8 if first == 30 else 1.0)]
+    spoilt = _target(rng, 40, (300, 300), 10.0, 9)
+    spoilt[3] = (*spoilt[3][:3], spoilt[3][3] + 7.0, spoilt[3][4] - 6.0, *spoilt[3][5:])
+    twice = _target(rng, 50, (400, 300), 10.0, 9)
+    twice[2] = (*twice[2][:5], *PAINT["b"])
+    stray = [(0, 90 + k, 20, 600.0 + 40 * k, 50.0, *PAINT["b"]) for k in range(3)]
+    df = spark.createDataFrame(rows + spoilt + twice + stray, DOTS).repartition(3)
+    monkeypatch.setattr(hexagons, "dots", lambda cells, *a, **k: cells)
+    got = {r.six: r for r in hexagons.hexagons(df, 0.0, 0.0, 25.0).collect()}
+    assert {k: r.bits for k, r in got.items()} == {k: code for k, (_, _, code) in want.items()}
+    for k, r in got.items():
+        planted = {row[1]: row for row in rows}
+        assert (r.y, r.x) == planted[k][3:5] and [(d.y, d.x) for d in r.dots] == [planted[k + n][3:5] for n in range(1, 6)]
+    with pytest.raises(ValueError, match="two of"):
+        hexagons.hexagons(df, 0.0, 0.0, 25.0, "b", "b")
+
+
+def test_dots_by_size_and_roundness(spark):
+    image = np.full((40, 40, 3), 220.0)
+    y, x = np.mgrid[0:40, 0:40]
+    image[(y - 8) ** 2 + (x - 8) ** 2 <= 9] = PAINT["r"]
+    image[(np.abs(y - 25) <= 1) & (np.abs(x - 20) <= 12)] = PAINT["g"]
+    image[(y - 30) ** 2 + (x - 5) ** 2 <= 1] = PAINT["b"]
+    cells = spark.createDataFrame([(0, int(a), int(b), *map(float, image[a, b])) for a, b in zip(y.ravel(), x.ravel(), strict=True)], "img int, i int, j int, r double, g double, b double")
+    got = hexagons.dots(cells, 100.0, 90.0).collect()
+    assert [(r.n, r.y, r.x, r.r, r.g, r.b) for r in got] == [(29, 8.0, 8.0, *PAINT["r"])]
+    assert hexagons.reach_of(cells) == 8.0
