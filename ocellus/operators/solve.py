@@ -161,8 +161,8 @@ def lmeds_lines(rows: DataFrame, trials: int, seed: int = 7) -> DataFrame:
     return score.groupBy("g").agg(best.alias("b")).select("g", "b.*")
 
 
-def l1_fit(a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Least absolute residuals: from least squares, moves along one unknown at a time, or one active row's null space, to weighted medians."""
+def l1_fit(a: np.ndarray, b: np.ndarray, steps: int = LIMIT) -> np.ndarray:
+    """Least absolute residuals: from least squares, moves along one unknown at a time, or one active row's null space, to weighted medians. An error if the last of the steps still moves."""
     x = np.linalg.lstsq(a, b, rcond=None)[0]
     best = np.abs(a @ x - b).sum()
     for _ in range(steps):
@@ -185,8 +185,8 @@ def l1_fit(a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:
             if value < best - 1e-12:
                 x, best, moved = x + t * d, value, True
         if not moved:
-            break
-    return x
+            return x
+    raise NotSettled(f"least absolute residuals still fall after {steps} rounds")
 
 
 def l1_lines(rows: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as g
-from ocellus.operators import rays, robust
+from ocellus.operators import pose, rays, robust, segmentation
 from ocellus.operators.pose import rotation
 from ocellus.plans.registry import Registry, with_
-from ocellus.plans.standins import POINTS_SQL, points, table
+from ocellus.plans.standins import POINTS_SQL, H, W, points, raster, raster_sql, table
 
 R = Registry()
 TRIALS, SEED = 20, 1
@@ -158,3 +158,57 @@ def _turned_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("rays_axis_relaxed", _turned(rays.axis_relaxed), _values_sql(_TURN.ravel()))
 R.add("rays_axis", _turned(rays.align_axis), _values_sql(_TURN.ravel()))
 R.add("rays_axis_robust", _turned_robust, "SELECT true AS turned, count(*) AS met FROM embeddings WHERE vec_id % 5 <> 0")
+
+
+# --- maps of points, projections of an image into another camera, and the light of a map of normals
+
+_A = np.array([[1.2, 0.1, -0.3], [0.05, 0.9, 0.2], [-0.1, 0.15, 1.1]])
+_OFF = np.array([5.0, -7.0, 3.0])
+
+
+def _tied(spark: SparkSession, sf_dir: str, a: np.ndarray) -> DataFrame:
+    """Points and where a map takes them."""
+    moved = [(sum(float(a[k, c]) * F.col(n) for c, n in enumerate("xyz")) + float(_OFF[k])).alias(f"{n}2") for k, n in enumerate("xyz")]
+    return points(spark, sf_dir).select("x", "y", "z", *moved)
+
+
+def _mapped(how, a: np.ndarray):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ties = _tied(spark, sf_dir, a)
+        return _values(spark, np.concatenate([np.ravel(x) for x in how(ties)]), ties.count())
+
+    return run
+
+
+R.add("affine_map", _mapped(pose.affine_map, _A), _values_sql(np.concatenate([_A.ravel(), _OFF])))
+R.add("quasi_similarity", _mapped(pose.quasi_similarity, 1.5 * _TURN), _values_sql(np.concatenate([[1.5], _TURN.ravel(), _OFF])))
+R.add("scale_and_translation", _mapped(pose.scale_and_translation, 1.5 * np.eye(3)), _values_sql(np.concatenate([[1.5], _OFF])))
+
+_STEP = (0.5, -0.25, 0.0)
+
+
+def _seen_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image from a camera that stands aside, at depths of its own values."""
+    rows = raster(spark, sf_dir)
+    depth = rows.select("img", "i", "j", (F.col("value") / 10 + 2).alias("depth"))
+    return pose.reprojected_image(rows, depth, np.eye(3), np.array(_STEP), 20.0)
+
+
+R.add("reprojected_image", _seen_from, with_(raster_sql()) + f"""SELECT c.img, c.i, c.j, m.value FROM cells c LEFT JOIN (SELECT img, i, j, arg_min(value, (depth, value)) AS value FROM (
+  SELECT img, value, value / 10 + 2 AS depth, CAST(round(((i - {(H - 1) / 2}::DOUBLE) / 20 * (value / 10 + 2) + {_STEP[1]}::DOUBLE) / (value / 10 + 2) * 20 + {(H - 1) / 2}::DOUBLE) AS INT) AS i,
+    CAST(round(((j - {(W - 1) / 2}::DOUBLE) / 20 * (value / 10 + 2) + {_STEP[0]}::DOUBLE) / (value / 10 + 2) * 20 + {(W - 1) / 2}::DOUBLE) AS INT) AS j FROM cells) GROUP BY img, i, j) m
+  ON m.img = c.img AND m.i = c.i AND m.j = c.j""")
+
+_LIGHT = np.array([0.2, 0.3, 0.93]) / np.linalg.norm([0.2, 0.3, 0.93])
+
+
+def _light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normals that lean by the image's own values and places, lit by a planted lamp."""
+    x, y = F.col("value") / 40 - 0.6, (F.col("j") + F.col("i")) / 40 - 1
+    n = F.sqrt(x * x + y * y + 1)
+    rows = raster(spark, sf_dir).select("img", (x / n).alias("nx"), (y / n).alias("ny"), (1 / n).alias("nz"))
+    lit = rows.withColumn("value", sum(float(k) * F.col(c) for k, c in zip(_LIGHT, ("nx", "ny", "nz"), strict=True)))
+    return segmentation.light_direction(lit).select("img", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lx", "ly", "lz")])
+
+
+R.add("light_direction", _light, with_(raster_sql()) + f"SELECT DISTINCT img, {', '.join(f'{round(float(v), 6)!r}::DOUBLE AS {c}' for v, c in zip(_LIGHT, ('lx', 'ly', 'lz'), strict=True))} FROM cells")
