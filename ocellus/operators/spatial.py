@@ -253,7 +253,8 @@ def inpaint_nearest(cells: DataFrame, reach: int) -> DataFrame:
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]))
     unknown, known = cells.where("value IS NULL").select("img", "i", "j"), cells.where("value IS NOT NULL").select("img", F.col("i").alias("ki"), F.col("j").alias("kj"), "value")
     best = F.min(F.struct(((F.col("ki") - F.col("i")) * (F.col("ki") - F.col("i")) + (F.col("kj") - F.col("j")) * (F.col("kj") - F.col("j"))).cast("bigint").alias("d2"), "ki", "kj", "value")).alias("m")
-    asked = unknown.select("img", "i", "j", steps.alias("_s")).select("img", "i", "j", (F.col("i") + F.col("_s.a")).alias("ki"), (F.col("j") + F.col("_s.b")).alias("kj"))
+    # Exploded rows are dealt out before a join weighs its sides: it would take them for as few as they come of, and broadcast them.
+    asked = unknown.select("img", "i", "j", steps.alias("_s")).select("img", "i", "j", (F.col("i") + F.col("_s.a")).alias("ki"), (F.col("j") + F.col("_s.b")).alias("kj")).repartition("img", "ki", "kj")
     near = asked.join(known, ["img", "ki", "kj"]).groupBy("img", "i", "j").agg(best).where(F.col("m.d2") < (reach + 1) * (reach + 1))
     found = near.select("img", "i", "j", F.col("m.value").alias("_v"))
     left = Step(unknown.join(found, ["img", "i", "j"], "left_anti").join(known.select("img").distinct(), "img", "left_semi")).read()
@@ -261,7 +262,7 @@ def inpaint_nearest(cells: DataFrame, reach: int) -> DataFrame:
     while not left.isEmpty():
         rim = rim or Step(_rim(cells.where("value IS NOT NULL").select("img", "i", "j", "value")).withColumnsRenamed({"i": "ki", "j": "kj"}))
         around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        asked = left.withColumn("_s", around).select("img", "i", "j", (_cell(F.col("i"), size) + F.col("_s.a")).alias("_i"), (_cell(F.col("j"), size) + F.col("_s.b")).alias("_j"))
+        asked = left.withColumn("_s", around).select("img", "i", "j", (_cell(F.col("i"), size) + F.col("_s.a")).alias("_i"), (_cell(F.col("j"), size) + F.col("_s.b")).alias("_j")).repartition("img", "_i", "_j")
         keyed = rim.read().withColumns({"_i": _cell(F.col("ki"), size), "_j": _cell(F.col("kj"), size)})
         near = Step(asked.join(keyed, ["img", "_i", "_j"]).groupBy("img", "i", "j").agg(best).where(F.col("m.d2") <= size * size).select("img", "i", "j", F.col("m.value").alias("_v"))).read()
         found = found.unionByName(near)

@@ -22,10 +22,11 @@ def _block() -> Column:
 
 
 def grid(lines: DataFrame) -> DataFrame:
-    """All cells of the images of each block of orders."""
+    """All cells of the images of each block of orders. Dealt out once more, so that a join weighs the cells and not the few blocks that they come of."""
     k = F.col("k")
     cells = lines.select(_block().alias("b")).distinct().select("b", F.explode(F.sequence(F.lit(0), F.lit(IMAGES * H * W - 1))).alias("k"))
-    return cells.select((F.col("b") * IMAGES + F.floor(k / (H * W))).cast("int").alias("img"), (k / W % H).cast("int").alias("i"), (k % W).cast("int").alias("j"))
+    out = cells.select((F.col("b") * IMAGES + F.floor(k / (H * W))).cast("int").alias("img"), (k / W % H).cast("int").alias("i"), (k % W).cast("int").alias("j"))
+    return out.repartition("img", "i", "j")
 
 
 def raster(spark: SparkSession, sf_dir: str, measure: str = "l_quantity", scale: float = 1.0) -> DataFrame:
