@@ -6,6 +6,7 @@ quaternion (w, x, y, z). All functions stay on the JVM.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -270,6 +271,11 @@ def image_to_normalised(px: Column, py: Column, focal: float, width: int, height
 
 
 def rotation_speed(r0: Vector, r1: Vector, dt: Column) -> Vector:
-    """Axis-angle per unit of time that takes the first rotation to the second."""
+    """Axis-angle per unit of time that takes the first rotation to the second.
+
+    About one axis, and less than half a turn apart, it is the difference of the two, which no matrix rounds.
+    """
     step = inverse_rodrigues(multiply(rodrigues(r1), transpose(rodrigues(r0))))
-    return vec(*[F.try_divide(at(step, k), dt) for k in range(3)])
+    gap, turn = [at(r1, k) - at(r0, k) for k in range(3)], cross(r0, r1)
+    plain = (dot(turn, turn) == 0) & (F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) < math.pi)
+    return vec(*[F.try_divide(F.when(plain, gap[k]).otherwise(at(step, k)), dt) for k in range(3)])

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ocellus.operators import spatial
+from ocellus.functions import geometry as g
+from ocellus.operators import solve, spatial
 from ocellus.plans import standins
 
 
@@ -31,9 +32,55 @@ def test_cells_of_a_grid_are_not_taken_for_its_blocks_by_a_join(spark):
     assert standins.grid(lines).count() == 40 * standins.IMAGES * standins.H * standins.W
 
 
-def test_cells_asked_for_by_inpainting_are_not_broadcast(spark):
-    k = F.col("id")
-    cells = spark.range(30_000).select((k / 1000).cast("int").alias("img"), (k / 40 % 25).cast("int").alias("i"), (k % 40).cast("int").alias("j"), F.when(k % 5 != 0, k.cast("double")).alias("value")).repartition(4, "img")
-    out = limited(spark, "300k", lambda: spatial.inpaint_nearest(cells, 3))
-    assert "BroadcastHashJoin" not in limited(spark, "300k", lambda: final_plan(out))
-    assert out.where("value IS NULL").count() == 0
+def test_rotation_speed_about_one_axis_is_the_plain_difference(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(t)) for a, b, t in zip(np.round(rng.random(2000) * 560, 2) / 200, np.round(rng.random(2000) * 560, 2) / 200, rng.integers(1, 2000, 2000) / 1e9, strict=True)]
+    z = F.lit(0.0)
+    got = spark.createDataFrame(rows, "a double, b double, t double").select("a", "b", "t", g.at(g.rotation_speed(g.vec(z, z, F.col("b")), g.vec(z, z, F.col("a")), F.col("t")), 2).alias("s")).collect()
+    assert all(r.s == (r.a - r.b) / r.t for r in got)
+    turned = spark.range(1).select(g.rotation_speed(g.vec(z, z, F.lit(-2.0)), g.vec(z, z, F.lit(2.0)), F.lit(1.0)).alias("s")).first().s
+    assert np.allclose(turned, [0, 0, 4 - 2 * np.pi], atol=1e-9)
+
+
+def lines_by_hand(rows, trials, seed=7):
+    """g: the (trial, slope, intercept) of the drawn lines, by the draw's own whole-number arithmetic."""
+    out = {}
+    for g_ in sorted({r[0] for r in rows}):
+        for t in range(trials):
+            drawn = []
+            for _, x, y, k in (r for r in rows if r[0] == g_):
+                once = (k % 2147483647 + t * 7919 + seed * 104729) * 2654435761 % 4294967296
+                drawn.append(((once ^ (once >> 16)) * 40503 % 4294967296, x, y))
+            (_, px, py), (_, qx, qy) = min(drawn), max(drawn)
+            if px != qx:
+                out.setdefault(g_, []).append((t, (qy - py) / (qx - px), py - (qy - py) / (qx - px) * px))
+    return out
+
+
+def test_lines_are_drawn_and_counted_without_a_sort_of_rows_for_trials(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(a), float(b), float(c), k) for k, (a, b, c) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 30, 400), rng.integers(0, 90, 400), strict=True))]
+    df = spark.createDataFrame(rows, "g long, x double, y double, k long")
+    want = {}
+    for g_, lines in lines_by_hand(rows, 6).items():
+        n = [(sum(abs(y - a * x - b) < 9 for h, x, y, _ in rows if h == g_), -t, a, b) for t, a, b in lines]
+        want[g_] = max(n)
+    found = solve.ransac_lines(df, 6, 9.0)
+    assert {r.g: (r.inliers, r.slope, r.intercept) for r in found.collect()} == {k: (v[0], v[2], v[3]) for k, v in want.items()}
+    assert "SortAggregate" not in final_plan(solve.ransac_lines(df, 6, 9.0))
+
+
+def test_least_medians_of_small_and_large_groups_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(int(a), float(b), float(c), k) for k, (a, b, c) in enumerate(zip(rng.integers(0, 3, 600) ** 2, rng.integers(0, 30, 600), rng.random(600) * 90, strict=True))]
+    df = spark.createDataFrame(rows, "g long, x double, y double, k long")
+    want = {}
+    for g_, lines in lines_by_hand(rows, 6).items():
+        e = {t: sorted((y - a * x - b) ** 2 for h, x, y, _ in rows if h == g_) for t, a, b in lines}
+        m, t = min((v[(len(v) - 1) // 2], t) for t, v in e.items())
+        want[g_] = (*next(line[1:] for line in lines if line[0] == t), m)
+    for held in (1 << 20, 150, 1):
+        monkeypatch.setattr(solve, "HELD", held)
+        got = {r.g: (r.slope, r.intercept, r.median) for r in solve.lmeds_lines(df, 6).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-12, atol=0) for k in want)
+    assert "percentile" not in final_plan(solve.lmeds_lines(df, 6))
