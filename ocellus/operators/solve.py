@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ocellus.operators.iteration import NotSettled
+from ocellus.operators.iteration import NotSettled, Step
+from ocellus.operators.robust import DIGIT
 
 #: Steps of an iteration that has no number of its own.
 LIMIT = 1000
@@ -120,10 +121,12 @@ def ransac_lines(rows: DataFrame, trials: int, threshold: float, seed: int = 7)
     (by another hash), so that a row is drawn as often as its priority says. A row is joined to its group's lines once, and counts for all of them in one
     aggregation.
     """
-    lines = _drawn_lines(rows, trials, seed)
-    held = rows.join(lines, "g")
+    lines = Step(_drawn_lines(rows, trials, seed))
+    held = rows.select("g", "x", "y").join(lines.read(), "g")
     inlier = [F.abs(F.col("y") - F.get("lines", F.lit(k))["slope"] * F.col("x") - F.get("lines", F.lit(k))["intercept"]) < threshold for k in range(trials)]
-    score = held.groupBy("g").agg(F.array(*[F.count_if(c) for c in inlier]).alias("n"), F.any_value("lines").alias("lines"))
+    # Sums of plain numbers by group: an array among them would have every row sorted.
+    score = held.groupBy("g").agg(*[F.count_if(c).alias(f"_n{k}") for k, c in enumerate(inlier)])
+    score = score.select("g", F.array(*[f"_n{k}" for k in range(trials)]).alias("n")).join(lines.read(), "g")
     listed = F.zip_with("lines", "n", lambda x, n: F.struct(n.alias("inliers"), (-x["trial"]).alias("t"), x["slope"].alias("slope"), x["intercept"].alias("intercept")))
     best = F.array_max(F.filter(listed, lambda x: x["inliers"].isNotNull() & x["slope"].isNotNull()))
     return score.select("g", best.alias("b")).select("g", "b.slope", "b.intercept", "b.inliers")
@@ -136,29 +139,148 @@ def _draw(key: Column, trial: Column, seed: int) -> Column:
 
 
 def _drawn_lines(rows: DataFrame, trials: int, seed: int) -> DataFrame:
-    """g, lines: an array of trial, slope, intercept through two rows each; groups without any are left out. Of rows only two for each trial leave a partition."""
-    dealt = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    h = _draw(F.col("k"), F.col("trial"), seed) if "k" in rows.columns else F.xxhash64("x", "y", "trial", F.lit(seed))
-    if "priority" in rows.columns:
-        # 53 bits of the hash as a uniform number make an exponential draw.
-        uniform = (h + 1) / F.lit(float(1 << 32)) if "k" in rows.columns else (F.shiftrightunsigned(h, 11) + 1) / F.lit(float(1 << 53))
-        dealt = dealt.withColumns({"h": -F.ln(uniform) / F.col("priority"), "half": F.pmod(F.xxhash64("trial", "y", "x", F.lit(seed)), F.lit(2))})
-        two = dealt.groupBy("g", "trial").agg(*[F.min(F.when(F.col("half") == k, F.struct("h", "x", "y"))).alias(c) for k, c in enumerate("pq")])
-    else:
-        two = dealt.withColumn("h", h).groupBy("g", "trial").agg(F.min(F.struct("h", "x", "y")).alias("p"), F.max(F.struct("h", "x", "y")).alias("q"))
+    """g, lines: an array of trial, slope, intercept through two rows each; groups without any are left out.
+
+    Numbered rows of a group of no more than HELD are drawn by one task. Otherwise the least and greatest numbers of all
+    trials are found by one aggregation of plain numbers, and rows are read again for those that have them. No row is
+    repeated for the trials, sorted or sent for each.
+    """
+    if "k" in rows.columns and "priority" not in rows.columns:
+        held = rows.select("g", *[F.col(c).cast("double").alias(c) for c in "xy"], F.col("k").cast("bigint").alias("k"))
+        large = Step(_large(held))
+        kind = dict(held.dtypes)["g"]
+        if large.read().isEmpty():
+            return held.groupBy("g").applyInPandas(_drawn(trials, seed), f"g {kind}, {_LINES}")
+        small = held.join(large.read(), "g", "left_anti").groupBy("g").applyInPandas(_drawn(trials, seed), f"g {kind}, {_LINES}")
+        return small.unionByName(_lines_by_numbers(held.join(large.read(), "g", "left_semi"), trials, seed))
+    return _lines_by_numbers(rows, trials, seed)
+
+
+_LINES = "lines array<struct<trial: int, slope: double, intercept: double>>"
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """The groups of more rows than HELD."""
+    return rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("g")
+
+
+def _drawn(trials: int, seed: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"], na_position="first")
+        x, y, lines = pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), []
+        k = pdf["k"].to_numpy(dtype=float, na_value=-1) if pdf["k"].isna().any() else pdf["k"].to_numpy(dtype=np.int64)
+        none, k = pdf["k"].isna().to_numpy(), k.astype(np.int64)
+        for t in range(trials):
+            once = (k % 2147483647 + t * 7919 + seed * 104729) * 2654435761 % 4294967296
+            h = np.where(none, -1, (once ^ (once >> 16)) * 40503 % 4294967296)
+            # Of equal numbers the first and the last in order of x and y.
+            p, q = int(h.argmin()), len(h) - 1 - int(h[::-1].argmax())
+            if x[p] != x[q] and np.isfinite([x[p], x[q], y[p], y[q]]).all():
+                slope = (y[q] - y[p]) / (x[q] - x[p])
+                lines.append({"trial": t, "slope": slope, "intercept": y[p] - slope * x[p]})
+        return pd.DataFrame({"g": [key[0]], "lines": [lines]}) if lines else pd.DataFrame({"g": pd.Series(dtype="int64"), "lines": pd.Series(dtype=object)})
+
+    return run
+
+
+def _lines_by_numbers(rows: DataFrame, trials: int, seed: int) -> DataFrame:
+    numbered, prioritised = "k" in rows.columns, "priority" in rows.columns
+    firsts, seconds, numbers = [], [], []
+    for t in range(trials):
+        trial = F.lit(t)
+        h = F.coalesce(_draw(F.col("k"), trial, seed), F.lit(-1).cast("bigint")) if numbered else F.xxhash64("x", "y", trial, F.lit(seed))
+        p = q = h
+        if prioritised:
+            # 53 bits of the hash as a uniform number make an exponential draw.
+            uniform = (h + 1) / F.lit(float(1 << 32)) if numbered else (F.shiftrightunsigned(h, 11) + 1) / F.lit(float(1 << 53))
+            h = -F.ln(uniform) / F.col("priority")
+            half = F.pmod(F.xxhash64(trial, "y", "x", F.lit(seed)), F.lit(2))
+            p, q = F.when(half == 0, h), F.when(half == 1, h)
+        numbers.append((p, q))
+        firsts.append(F.min(p).alias(f"_p{t}"))
+        seconds.append((F.min(q) if prioritised else F.max(q)).alias(f"_q{t}"))
+    ends = rows.groupBy("g").agg(*firsts, *seconds)
+    held = rows.join(ends.select("g", F.array(*[F.struct(F.col(f"_p{t}").alias("p"), F.col(f"_q{t}").alias("q")) for t in range(trials)]).alias("_ends")), "g")
+    held = held.select("g", "x", "y", "_ends", F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in numbers]).alias("_h"))
+    same = lambda h, e, c: F.coalesce(h[c] == e[c], F.lit(False))
+    # The numbers are made once for a row's test: as many tests of a column each would be too long a method to be compiled.
+    held = held.where(F.exists(F.zip_with("_h", "_ends", lambda h, e: same(h, e, "p") | same(h, e, "q")), lambda x: x))
+    drawn = F.posexplode(F.zip_with("_h", "_ends", lambda h, e: F.struct(same(h, e, "p").alias("a"), same(h, e, "q").alias("b"))))
+    chosen = held.select("g", "x", "y", drawn.alias("trial", "_d")).where("_d.a OR _d.b").select("g", "x", "y", "trial", "_d.a", "_d.b").distinct()
+    own = F.struct("x", "y")
+    two = chosen.groupBy("g", "trial").agg(F.min(F.when(F.col("a"), own)).alias("p"), (F.min if prioritised else F.max)(F.when(F.col("b"), own)).alias("q"))
     slope = F.try_divide(F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x"))
     lines = two.select("g", "trial", slope.alias("slope"), (F.col("p.y") - slope * F.col("p.x")).alias("intercept")).where("slope IS NOT NULL")
     return lines.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("trial", "slope", "intercept"))).alias("lines"))
 
 
+#: Fixed value: rows of a group that one task holds; medians of larger groups come of counts.
+HELD = 1 << 20
+
+
 def lmeds_lines(rows: DataFrame, trials: int, seed: int = 7) -> DataFrame:
-    """g, slope, intercept, median: the line through two rows of least median squared residual."""
-    lines = _drawn_lines(rows, trials, seed)
-    dealt = rows.join(lines, "g").select("g", "x", "y", F.explode("lines").alias("l")).select("g", "x", "y", "l.*")
-    e = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
-    score = dealt.withColumn("e2", e * e).groupBy("g", "trial", "slope", "intercept").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY e2)").alias("median"))
-    best = F.min_by(F.struct("slope", "intercept", "median"), F.struct("median", "trial"))
-    return score.groupBy("g").agg(best.alias("b")).select("g", "b.*")
+    """g, slope, intercept, median: the line through two rows of least median squared residual (the lower median of an even number)."""
+    lines = Step(_drawn_lines(rows, trials, seed))
+    rows = rows.select("g", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("g IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    large = Step(_large(rows))
+    kind = dict(rows.dtypes)["g"]
+    if large.read().isEmpty():
+        return _medians_by_group(rows, lines.read(), kind)
+    some = large.read()
+    small = _medians_by_group(rows.join(some, "g", "left_anti"), lines.read().join(some, "g", "left_anti"), kind)
+    return small.unionByName(_medians_by_counts(rows.join(some, "g", "left_semi"), lines.read().join(some, "g").join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")))
+
+
+def _medians_by_group(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"g": pd.Series(dtype="int64"), "slope": [], "intercept": [], "median": []})
+        x, y, best = left["x"].to_numpy(), left["y"].to_numpy(), None
+        for line in right["lines"].iloc[0]:
+            e = y - line["slope"] * x - line["intercept"]
+            median = np.partition(e * e, (len(e) - 1) // 2)[(len(e) - 1) // 2]
+            if best is None or median < best[2]:
+                best = line["slope"], line["intercept"], median
+        return pd.DataFrame([(key[0], *best)], columns=["g", "slope", "intercept", "median"])
+
+    return rows.groupBy("g").cogroup(lines.groupBy("g")).applyInPandas(run, f"g {kind}, slope double, intercept double, median double")
+
+
+def _medians_by_counts(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """As _medians_by_group, of the few groups above HELD (with n): errors are counted digit by digit, so no task holds a group."""
+    fits = {r["g"]: (r["n"], [(line["slope"], line["intercept"]) for line in r["lines"]]) for r in lines.collect()}
+    state = {(g, t): (0, (n - 1) // 2) for g, (n, own) in fits.items() for t in range(len(own))}
+    kind = dict(rows.dtypes)["g"]
+    for shift in range(5 * DIGIT, -1, -DIGIT):
+        prefix = {k: np.uint64(p) for k, (p, _) in state.items()}
+
+        def run(batches, prefix=prefix, shift=shift):
+            total: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                for g, own in pdf.groupby("g"):
+                    x, y = own["x"].to_numpy(), own["y"].to_numpy()
+                    for t, (slope, intercept) in enumerate(fits[g][1] if g in fits else ()):
+                        e = y - slope * x - intercept
+                        # The bits of numbers that are not negative stand in their order.
+                        bits = (e * e + 0.0).view(np.uint64)
+                        digit = (bits[(bits >> np.uint64(min(shift + DIGIT, 63))) == prefix[g, t]] >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)
+                        n = np.bincount(digit.astype(np.int64), minlength=1 << DIGIT)
+                        total[g, t] = total[g, t] + n if (g, t) in total else n
+            out = [(g, t, int(d), int(n[d])) for (g, t), n in total.items() for d in np.flatnonzero(n)]
+            yield pd.DataFrame(out, columns=["g", "t", "digit", "n"])
+
+        counts = rows.mapInPandas(run, f"g {kind}, t int, digit int, n long").groupBy("g", "t", "digit").agg(F.sum("n").alias("n"))
+        upto = counts.withColumn("_u", F.sum("n").over(Window.partitionBy("g", "t").orderBy("digit")))
+        asked = rows.sparkSession.createDataFrame([(g, t, int(r)) for (g, t), (_, r) in state.items()], f"g {kind}, t int, rank long")
+        hit = upto.join(asked, ["g", "t"]).where((F.col("_u") > F.col("rank")) & (F.col("_u") - F.col("n") <= F.col("rank")))
+        for r in hit.select("g", "t", "digit", (F.col("rank") - F.col("_u") + F.col("n")).alias("rank")).collect():
+            state[r["g"], r["t"]] = (state[r["g"], r["t"]][0] << DIGIT) | r["digit"], r["rank"]
+    found = []
+    for g, (_, own) in fits.items():
+        medians = [float(np.array([state[g, t][0]], dtype=np.uint64).view(np.float64)[0]) for t in range(len(own))]
+        t = min(range(len(own)), key=lambda k: (medians[k], k))
+        found.append((g, *map(float, own[t]), medians[t]))
+    return rows.sparkSession.createDataFrame(found, f"g {kind}, slope double, intercept double, median double")
 
 
 def l1_fit(a: np.ndarray, b: np.ndarray, steps: int = LIMIT) -> np.ndarray:

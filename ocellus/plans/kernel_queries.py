@@ -32,8 +32,14 @@ def _lines(s, d):
     return table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("k"))
 
 
+def _sixth(c):
+    """Six decimals by the arithmetic of the SQL; Spark's round() goes by the number's decimal text, and exact halves are frequent here."""
+    v = F.col(c) * 1e6
+    return (F.signum(v) * F.floor(F.abs(v) + 0.5) / 1e6 + 0.0).alias(c)
+
+
 def _rounded(found, *names):
-    return found.select("g", *[F.round(c, 6).alias(c) for c in names], *[c for c in found.columns if c not in ("g", *names)])
+    return found.select("g", *[_sixth(c) for c in names], *[c for c in found.columns if c not in ("g", *names)])
 
 
 R.add("ransac", lambda s, d: _rounded(solve.ransac_lines(_lines(s, d), 20, 5.0), "slope", "intercept"), kernel_sql.RANSAC)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as g
-from ocellus.operators import solve, spatial
+from ocellus.operators import pose, solve, spatial
 from ocellus.plans import standins
 
 
@@ -84,3 +84,31 @@ def test_least_medians_of_small_and_large_groups_agree(spark, monkeypatch):
         got = {r.g: (r.slope, r.intercept, r.median) for r in solve.lmeds_lines(df, 6).collect()}
         assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-12, atol=0) for k in want)
     assert "percentile" not in final_plan(solve.lmeds_lines(df, 6))
+
+
+def test_large_views_are_solved_from_sums(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for g_, turn, t in ((3, [0.1, -0.3, 0.2], [0.4, -0.2, 6.0]), (8, [-0.2, 0.1, 0.7], [-0.5, 0.3, 9.0])):
+        p = rng.random((300, 3)) * 2 - 1
+        q = p @ pose.rotation(np.array(turn)).T + t
+        rows += [(g_, *map(float, a), float(b[0] / b[2]), float(b[1] / b[2])) for a, b in zip(p, q, strict=True)]
+        want[g_] = pose.rotation(np.array(turn)), np.array(t)
+    df = spark.createDataFrame(rows + [r for r in rows[:40] for r in [(1, *r[1:])]], "g long, x double, y double, z double, u double, v double")
+    monkeypatch.setattr(pose, "HELD", 100)
+    got = {r.g: r for r in pose.pnp(df).collect()}
+    assert set(got) == {1, 3, 8}
+    for k, (r, t) in {**want, 1: want[3]}.items():
+        assert np.allclose(got[k].r, r.ravel(), atol=1e-6) and np.allclose(got[k].t, t, atol=1e-6)
+
+
+def test_a_linear_start_holds_no_square_of_the_points():
+    import tracemalloc
+
+    p = np.random.default_rng(1).random((3000, 3))
+    q = p + [0.0, 0.0, 5.0]
+    tracemalloc.start()
+    r, t = pose.pnp_solve(p, q[:, :2] / q[:, 2:])
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert np.allclose(r, np.eye(3), atol=1e-6) and np.allclose(t, [0, 0, 5], atol=1e-6)
