@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.operators.iteration import NotSettled
 from ocellus.operators.solve import normal_equations
 
 
@@ -164,15 +165,21 @@ def _minimise(residuals: Callable[[np.ndarray], np.ndarray], x: np.ndarray, step
     return x
 
 
+def _camera(p: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """R, t of a projection's twelve entries that has the middle of the points before it."""
+    p = p.reshape(3, 4)
+    p = p * np.sign((p[2] @ np.append(middle, 1)) or 1)
+    u, d, vt = np.linalg.svd(p[:, :3])
+    return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt, p[:, 3] / d.mean()
+
+
 def pnp_solve(world: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """R, t of a camera that sees world points at normalised image points: a linear start, then reprojection errors."""
     rows = []
     for (x, y, z), (u, v) in zip(world, image, strict=True):
         rows += [[x, y, z, 1, 0, 0, 0, 0, -u * x, -u * y, -u * z, -u], [0, 0, 0, 0, x, y, z, 1, -v * x, -v * y, -v * z, -v]]
-    p = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 4)
-    p = p * np.sign((p[2] @ np.append(world.mean(axis=0), 1)) or 1)
-    u, d, vt = np.linalg.svd(p[:, :3])
-    r0, t0 = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt, p[:, 3] / d.mean()
+    # Only the last right vector is asked for; the left ones would be a square of the points.
+    r0, t0 = _camera(np.linalg.svd(np.array(rows), full_matrices=False)[2][-1], world.mean(axis=0))
 
     def residuals(x: np.ndarray) -> np.ndarray:
         q = world @ (rotation(x[:3]) @ r0).T + x[3:]
@@ -262,8 +269,83 @@ def _pose_of(world: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return None
 
 
+#: Points of a view that one task holds, and of those how many are summed at once; larger views are solved from sums.
+HELD, BLOCK = 1 << 14, 1 << 12
+#: Steps of a large view's poses; no view took more than a few.
+STEPS = 100
+_SUMS = "g long, s array<double>"
+
+
+def _summed(rows: DataFrame, of: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """g and the sum of what of() makes of its points, block by block: an array of one length for each partition and view is shuffled."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for g, own in pdf.groupby("g"):
+                for k in range(0, len(own), BLOCK):
+                    some = own.iloc[k : k + BLOCK]
+                    s = of(int(g), some[["x", "y", "z"]].to_numpy(), some[["u", "v"]].to_numpy())
+                    total[int(g)] = total[int(g)] + s if int(g) in total else s
+        yield pd.DataFrame({"g": pd.Series(list(total), dtype="int64"), "s": [s.tolist() for s in total.values()]})
+
+    sums = rows.mapInPandas(run, _SUMS).select("g", F.posexplode("s").alias("k", "v")).groupBy("g", "k").agg(F.sum("v").alias("v"))
+    got = sums.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("s"))
+    return {r["g"]: np.array(r["s"]) for r in got.collect()}
+
+
+def _products(g: int, world: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """The 144 sums of the linear start's equations, and those of the points."""
+    one, zero, (u, v) = np.column_stack([world, np.ones(len(world))]), np.zeros((len(world), 4)), image.T[:, :, None]
+    a = np.concatenate([np.hstack([one, zero, -u * one]), np.hstack([zero, one, -v * one])])
+    return np.concatenate([(a.T @ a).ravel(), world.sum(axis=0)])
+
+
+def _normal(r: np.ndarray, t: np.ndarray, world: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """36 sums of products of the derivatives by a turn and a move, 6 with the errors, and the squared errors."""
+    turned = world @ r.T
+    x, y, z = (turned + t).T
+    e = np.concatenate([x / z - image[:, 0], y / z - image[:, 1]])
+    zero, (a, b, c) = np.zeros(len(world)), turned.T
+    j = np.concatenate([np.stack([-x / z * b / z, (c + x / z * a) / z, -b / z, 1 / z, zero, -x / z / z], axis=1), np.stack([-(c + y / z * b) / z, y / z * a / z, a / z, zero, 1 / z, -y / z / z], axis=1)])
+    return np.concatenate([(j.T @ j).ravel(), j.T @ e, [e @ e]])
+
+
+def _large(rows: DataFrame, counts: dict[int, int], tol: float = 1e-9) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Poses of views with many points (how many are in counts): damped Gauss-Newton for all of them together, one aggregation a step."""
+    pose = {}
+    for g, s in _summed(rows, _products).items():
+        pose[g] = _camera(np.linalg.eigh(s[:144].reshape(12, 12))[1][:, 0], s[144:] / counts[g])
+    at = {g: (s, 1e-3) for g, s in _summed(rows, lambda g, w, m: _normal(*pose[g], w, m) if g in pose else np.zeros(43)).items()}
+    live = set(pose)
+    for _ in range(STEPS):
+        tried, step = {}, {}
+        for g in live:
+            s, damp = at[g]
+            step[g] = np.linalg.solve(s[:36].reshape(6, 6) + damp * np.eye(6), -s[36:42])
+            tried[g] = rotation(step[g][:3]) @ pose[g][0], pose[g][1] + step[g][3:]
+        if not live:
+            return pose
+        made = _summed(rows.where(F.col("g").isin(sorted(live))), lambda g, w, m, tried=tried: _normal(*tried[g], w, m))
+        for g in list(live):
+            s, damp = at[g]
+            if made[g][42] < s[42]:
+                pose[g], at[g] = tried[g], (made[g], damp / 3)
+                if np.linalg.norm(step[g]) < tol:
+                    live.discard(g)
+            else:
+                at[g] = s, damp * 4
+                # A step too short to count ends it too: what is left of the errors is rounding.
+                if damp * 4 > 1e9 or np.linalg.norm(step[g]) < tol:
+                    live.discard(g)
+    raise NotSettled(f"poses still move after {STEPS} steps")
+
+
 def pnp(views: DataFrame) -> DataFrame:
-    """g and the pose (r: 9 by rows, t: 3) of each view's points (g, x, y, z, u, v); four at least, and four or five start from three of them. A view is solved by one task; one without a pose gives no row."""
+    """g and the pose (r: 9 by rows, t: 3) of each view's points (g, x, y, z, u, v); four at least, and four or five start from three of them; one without a pose gives no row.
+
+    A view of no more than HELD points is solved by one task; larger ones are solved together from sums over their points.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # In a fixed order, so that the first four are the same whatever the plan.
@@ -274,7 +356,15 @@ def pnp(views: DataFrame) -> DataFrame:
         r, t = found
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "r": [r.ravel().tolist()], "t": [t.tolist()]})
 
-    return views.groupBy("g").applyInPandas(run, "g long, r array<double>, t array<double>")
+    kinds = "g long, r array<double>, t array<double>"
+    rows = views.select(F.col("g").cast("long").alias("g"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "u", "v")])
+    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HELD).collect()}
+    if not counts:
+        return rows.groupBy("g").applyInPandas(run, kinds)
+    some = F.col("g").isin(sorted(counts))
+    found = _large(rows.where(some), counts)
+    large = views.sparkSession.createDataFrame([(g, r.ravel().tolist(), t.tolist()) for g, (r, t) in found.items()], kinds)
+    return rows.where(~some).groupBy("g").applyInPandas(run, kinds).unionByName(large)
 
 
 def align_rays(rays: DataFrame, steps: int = 20, bound: float | None = None) -> tuple[np.ndarray, np.ndarray]:
