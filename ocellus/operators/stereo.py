@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions.refine import parabola
 from ocellus.operators.graphs import mask_components
+from ocellus.operators.iteration import Step
 from ocellus.operators.raster import CELL, neighbourhood, sizes
 from ocellus.operators.volumes import Cost, winner
 
@@ -204,7 +205,8 @@ def background_growth(frame: DataFrame, background: DataFrame, tolerance: int, r
     b = winner(background).select(*CELL, F.col("d").alias("_b"), F.get("costs", "d").alias("_cb"))
     rows = winner(frame).join(b, CELL).withColumn("_cf", F.get("costs", "_b"))
     changed = F.col("_cf").isNotNull() & ~(F.coalesce(F.try_divide(F.least("_cb", "_cf"), F.greatest("_cb", "_cf")), F.lit(0.0)) > ratio)
-    rows = rows.select(*CELL, "d", "_b", changed.alias("_seed"), (F.abs(F.col("d") - F.col("_b")) >= tolerance).alias("_off"))
+    # Written once: both volumes would be made again for each use of the cells in a search of components.
+    rows = Step(rows.select(*CELL, "d", "_b", changed.alias("_seed"), (F.abs(F.col("d") - F.col("_b")) >= tolerance).alias("_off"))).read()
     groups = mask_components(rows.where("_off"), full=True)
     grown = groups.join(rows.where("_seed AND _off").select(*CELL), CELL).select("img", "label").distinct().withColumn("_grown", F.lit(True))
     marked = rows.join(groups.join(grown, ["img", "label"]).select(*CELL, "_grown"), CELL, "left").withColumn("foreground", F.coalesce("_grown", F.lit(False)))
