@@ -149,6 +149,54 @@ def min_cut(edges: list[tuple[int, int, float]], source: int, sink: int) -> tupl
         total += least
 
 
+def source_side(edges: list[tuple[int, int, float]], source: int, sink: int) -> set[int]:
+    """The nodes on the source's side of the least cut, the fewest of several, as min_cut(): all shortest paths of one length are filled from one search."""
+    ends: list[int] = []
+    room: list[float] = []
+    at: dict[int, list[int]] = {source: [], sink: []}
+    for u, v, w in edges:
+        for a, b, c in ((u, v, w), (v, u, 0.0)):
+            at.setdefault(a, []).append(len(ends))
+            ends.append(b)
+            room.append(c)
+    while True:
+        level, front = {source: 0}, [source]
+        while front and sink not in level:
+            reached = []
+            for u in front:
+                for k in at[u]:
+                    if room[k] > 1e-12 and ends[k] not in level:
+                        level[ends[k]] = level[u] + 1
+                        reached.append(ends[k])
+            front = reached
+        if sink not in level or source == sink:
+            return set(level)
+        left, path, u = {v: iter(at[v]) for v in level}, [], source
+        k = next(left[u], None)
+        while k is not None or path:
+            if k is None:
+                # A dead end: back, and on to the next edge of the node before.
+                u = ends[path.pop() ^ 1]
+                k = next(left[u], None)
+                continue
+            v = ends[k]
+            if room[k] <= 1e-12 or level.get(v) != level[u] + 1 or (level[v] == level[sink] and v != sink):
+                k = next(left[u], None)
+                continue
+            path.append(k)
+            u = v
+            if v == sink:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                # Back to before the first edge that is full; those beyond it wait for the next search.
+                full = next(n for n, e in enumerate(path) if room[e] <= 1e-12)
+                u = ends[path[full] ^ 1]
+                del path[full:]
+            k = next(left[u], None)
+
+
 def max_flow(edges: DataFrame) -> DataFrame:
     """g, flow and the number of saturated edges for each group of edges (g, u, v, w) from -1 to -2; a group is one graph."""
 

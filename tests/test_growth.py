@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ocellus.functions import geometry as g
-from ocellus.operators import pose, solve, spatial
+from ocellus.operators import pose, segmentation, solve, spatial, stereo
 from ocellus.plans import standins
 
 
@@ -112,3 +112,20 @@ def test_a_linear_start_holds_no_square_of_the_points():
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
     assert np.allclose(r, np.eye(3), atol=1e-6) and np.allclose(t, [0, 0, 5], atol=1e-6)
+
+
+def test_growth_over_a_background_makes_its_volumes_once(spark):
+    k = F.col("id")
+    frame = spark.range(60).select(F.lit(0).alias("img"), (k / 10).cast("int").alias("i"), (k % 10).cast("int").alias("j"), F.array((k % 7).cast("double"), (k % 5).cast("double"), (k % 3).cast("double")).alias("costs"))
+    grown = stereo.background_growth(frame, frame.withColumn("costs", F.reverse("costs")), 1, 0.5)
+    assert grown.count() == 60 and "reverse" not in grown._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cuts_of_settled_cells_are_the_whole_cuts():
+    rng = np.random.default_rng(4)
+    for k in range(8):
+        x = np.floor(rng.integers(1, 51, (1 + k % 4, 14, 17)).mean(axis=0))
+        fore, back = np.maximum(25 - x, 0), np.maximum(x - 25, 0)
+        assert (segmentation.cut_mask(fore, back, 4.0) == segmentation.cut_mask(fore, back, np.full(x.shape, 4.0))).all()
+        some = segmentation.settled(fore, back, 4.0)
+        assert (some >= 0).any() and ((some < 0) | (some == segmentation.cut_mask(fore, back, 4.0))).all()
