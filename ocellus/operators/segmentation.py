@@ -151,7 +151,9 @@ def min_cut_masks(cells: DataFrame, threshold: float, smooth: float) -> DataFram
         x = image(pdf)
         return _long(pdf["img"].iloc[0], mask=cut_mask(np.maximum(threshold - x, 0), np.maximum(x - threshold, 0), smooth))
 
-    return cells.select("img", "i", "j", "value").groupBy("img").applyInPandas(run, "img int, i int, j int, mask boolean")
+    # Small rows of long work: with a number of its own, the exchange is not merged into few tasks.
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.select("img", "i", "j", "value").repartition(tasks, "img").groupBy("img").applyInPandas(run, "img int, i int, j int, mask boolean")
 
 
 def retinex(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
