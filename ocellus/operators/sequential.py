@@ -372,17 +372,35 @@ def rasterise_lines(lines: DataFrame) -> DataFrame:
 
 
 def shifted_means(points: np.ndarray, places: np.ndarray, radius: float) -> np.ndarray:
-    """Means of the points (sorted along x) within radius of each place, block by block of places; a place without any stays."""
-    out, block = places.copy(), np.floor(places / (radius / 2))
-    order = np.lexsort(block.T)
-    for own in np.split(order, np.flatnonzero((np.diff(block[order], axis=0) != 0).any(axis=1)) + 1):
-        low, high = places[own].min(axis=0) - radius * (1 + 1e-9), places[own].max(axis=0) + radius * (1 + 1e-9)
-        near = points[np.searchsorted(points[:, 0], low[0]) : np.searchsorted(points[:, 0], high[0], "right")]
-        near = near[((near >= low) & (near <= high)).all(axis=1)]
-        for some in np.split(own, range(0, len(own), max(1, 500_000 // max(len(near), 1)))[1:]):
-            inside = (sum((places[some, None, c] - near[None, :, c]) ** 2 for c in range(places.shape[1])) <= radius * radius).astype(float)
-            n = inside.sum(axis=1)
-            out[some[n > 0]] = (inside @ near)[n > 0] / n[n > 0, None]
+    """Means of the points within radius of each place; a place without any stays.
+
+    Places are halved along their box's longest side. What lies within radius of all of a box is added up once for it, and only
+    what lies within radius of a part of it is handed on to the halves and, in the end, held against each place.
+    """
+    out, axes = places.copy(), range(places.shape[1])
+    todo = [(np.arange(len(places)), np.vstack([points.T, np.ones(len(points))]), np.zeros(len(axes) + 1))]
+    while todo:
+        own, near, base = todo.pop()
+        at = places[own]
+        low, high = at.min(axis=0), at.max(axis=0)
+        least, most = np.zeros(near.shape[1]), np.zeros(near.shape[1])
+        for c in axes:
+            below, above = low[c] - near[c], near[c] - high[c]
+            least += np.maximum(np.maximum(below, above), 0) ** 2
+            most += np.minimum(below, above) ** 2
+        whole = most <= (radius * (1 - 1e-9)) ** 2
+        base = base + near[:, np.flatnonzero(whole)].sum(axis=1)
+        near = near[:, np.flatnonzero(~whole & (least <= (radius * (1 + 1e-9)) ** 2))]
+        if len(own) > 8 and len(own) * near.shape[1] > 200_000 and (high > low).any():
+            longest = int(np.argmax(high - low))
+            order, half = np.argpartition(at[:, longest], len(own) // 2), len(own) // 2
+            todo += [(own[order[:half]], near, base), (own[order[half:]], near, base)]
+            continue
+        for some in np.split(own, range(0, len(own), max(1, 500_000 // max(near.shape[1], 1)))[1:]):
+            inside = (sum((places[some, c, None] - near[c]) ** 2 for c in axes) <= radius * radius).astype(float)
+            sums = inside @ near.T + base
+            n = sums[:, -1]
+            out[some[n > 0]] = sums[n > 0, :-1] / n[n > 0, None]
     return out
 
 
@@ -391,18 +409,20 @@ def mean_shift(points: DataFrame, columns: list[str], radius: float, tol: float
 
     A tile holds the points that its places can need; places move there until they are done or have left it by more than a
     margin, and the latter go on in the tile that they came to. One written step for each such change, not for each move.
+    Places of a crowded tile are dealt over several groups, each with the tile's points.
     """
     from ocellus.operators.iteration import Step
     from ocellus.operators.spatial import _cell
 
-    side, margin = 2 * radius, radius / 2
+    side, margin, most = 2 * radius, radius / 2, 20_000
     reach, keys = (radius + margin) * (1 + 1e-9), ["_x", "_y", "_z"]
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, p = left[list("xyz")].to_numpy(dtype=float, copy=True), right[list("xyz")].to_numpy(dtype=float)
         done = np.zeros(len(at), dtype=bool)
         if len(at):
-            p, tile = p[np.argsort(p[:, 0])], left[keys].iloc[0].to_numpy(dtype=float)
+            tile = left[keys].iloc[0].to_numpy(dtype=float)
             low, high = tile * side - margin, (tile + 1) * side + margin
             live = np.arange(len(at))
             while len(live):
@@ -413,14 +433,18 @@ def mean_shift(points: DataFrame, columns: list[str], radius: float, tol: float
         return pd.DataFrame({"pt": left["pt"], "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "done": done})
 
     base = Step(points.select("pt", *[F.col(c).cast("double").alias(n) for c, n in zip(columns, "xyz", strict=True)]).dropna(subset=list("xyz")))
-    tiled = base.read()
+    tiled = base.read().drop("pt")
     for c in "xyz":
         tiled = tiled.withColumn(f"_{c}", F.explode(F.sequence(_cell(F.col(c) - reach, side), _cell(F.col(c) + reach, side))))
     left, found = base.read(), None
     while not left.isEmpty():
         asked = left.withColumns({f"_{c}": _cell(F.col(c), side) for c in "xyz"})
-        near = tiled.join(asked.select(*keys).distinct(), keys, "left_semi")
-        moved = Step(asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, f"pt {dict(base.read().dtypes)['pt']}, x double, y double, z double, done boolean"))
+        parts = asked.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+        near = tiled.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        asked = asked.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64("pt", *"xyz"), F.col("_parts")).cast("int")).drop("_parts")
+        # So many partitions that crowded tiles seldom share one: by bytes, all would be few.
+        asked, near = (rows.repartition(n, *keys, "_part").groupBy(*keys, "_part") for rows in (asked, near))
+        moved = Step(asked.cogroup(near).applyInPandas(run, f"pt {dict(base.read().dtypes)['pt']}, x double, y double, z double, done boolean"))
         ended = moved.read().where("done").drop("done")
         found = ended if found is None else found.unionByName(ended)
         left = moved.read().where("NOT done").drop("done")
