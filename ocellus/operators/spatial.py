@@ -33,52 +33,103 @@ def box(points: DataFrame, low: dict[str, float], high: dict[str, float]) -> Dat
     return points.where(keep)
 
 
-def _near_cells(queries: DataFrame, size: float) -> DataFrame:
-    """A row for each of the 27 cells around a query."""
+def _near_cells(queries: DataFrame, size: float, dealt: bool = False) -> DataFrame:
+    """A row for each of the 27 cells around a query. Dealt out by cell, a join weighs these rows and not the few queries that they come of, but does not split hot cells."""
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     out = queries.withColumn("_s", F.explode(steps))
-    return out.select(F.struct(*queries.columns).alias("q"), *[(_cell(F.col(c), size) + F.col(f"_s.{k}")).alias(f"_{c}") for c, k in zip(XYZ, "abc", strict=True)])
+    out = out.select(F.struct(*queries.columns).alias("q"), *[(_cell(F.col(c), size) + F.col(f"_s.{k}")).alias(f"_{c}") for c, k in zip(XYZ, "abc", strict=True)])
+    return out.repartition(*[f"_{c}" for c in XYZ]) if dealt else out
 
 
-def within(points: DataFrame, queries: DataFrame, distance: float) -> DataFrame:
+def within(points: DataFrame, queries: DataFrame, distance: float, dealt: bool = False) -> DataFrame:
     """q, p (structs) and d2 of all pairs no farther apart than distance."""
     p = points.select(F.struct(*points.columns).alias("p"), *[_cell(F.col(c), distance).alias(f"_{c}") for c in XYZ])
-    return _near_cells(queries, distance).join(p, [f"_{c}" for c in XYZ]).select("q", "p", _d2("q", "p").alias("d2")).where(F.col("d2") <= distance * distance)
+    return _near_cells(queries, distance, dealt).join(p, [f"_{c}" for c in XYZ]).select("q", "p", _d2("q", "p").alias("d2")).where(F.col("d2") <= distance * distance)
 
 
-def nearest(points: DataFrame, queries: DataFrame, size: float, reach: float) -> DataFrame:
-    """For each query pt the nearest other point: pt, nearest, d2; ties to the least pt.
+def _places(points: DataFrame) -> DataFrame:
+    """x, y, z of the places that hold points, with the two least pts of each."""
+    pt = points.select("pt", *XYZ).dropna()
+    least = pt.groupBy(*XYZ).agg(F.min("pt").alias("_m1"))
+    second = pt.join(least, [*XYZ]).where("pt > _m1").groupBy(*XYZ).agg(F.min("pt").alias("_m2"))
+    return least.join(second, [*XYZ], "left")
+
+
+def _uncrowded(places: DataFrame, size: float, most: float = 4.0) -> list[float]:
+    """Sizes from one that leaves a place at most so many others in its cell, on average, up to size; each is four times the one before."""
+    sizes = [size]
+    while True:
+        cells = places.groupBy(*[_cell(F.col(c), sizes[0]).alias(f"_{c}") for c in XYZ]).agg(F.count("*").cast("double").alias("n"))
+        n, squares = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if n is None or squares <= (most + 1) * n or sizes[0] < size * 1e-9:
+            return sizes
+        sizes.insert(0, sizes[0] / 4)
+
+
+def _closest(places: DataFrame, queries: DataFrame, near) -> DataFrame:
+    """pt, nearest, d2 of queries that near(places, queries), pairs of q and p, brings another point to; ties to the least pt.
 
-    Cells of size are searched first; only queries whose answer may lie beyond
-    the 27 cells are searched in cells of four times the size, and so on until
-    none is left or reach, the extent of points and queries, is passed; a query
-    without any other point by then is null. Each round is written, so none is
-    repeated.
+    A least struct would have all pairs sorted; least numbers are kept in a hash table of the queries. So the distance is found first, and then who has it.
     """
+
+    def pairs(asked: DataFrame) -> DataFrame:
+        other = F.when(F.col("p._m1") == F.col("q.pt"), F.col("p._m2")).otherwise(F.col("p._m1"))
+        return near(places, asked).select("q", _d2("q", "p").alias("d2"), other.alias("nearest")).where("nearest IS NOT NULL")
+
+    least = queries.join(pairs(queries).groupBy("q.pt").agg(F.min("d2").alias("_least")), "pt")
+    return pairs(least).where("d2 = q._least").groupBy("q.pt", "d2").agg(F.min("nearest").alias("nearest")).select("pt", "nearest", "d2")
+
+
+def _search(places: DataFrame, queries: DataFrame, sizes: list[float]) -> tuple[DataFrame | None, DataFrame]:
+    """What is found within each size in turn, by cells of that size, and the queries that are left. Each round is written, so none is repeated."""
     from ocellus.operators.iteration import Step
 
     found, left = None, queries
-    while True:
-        best = F.min(F.struct("d2", F.col("p.pt").alias("nearest"))).alias("m")
-        hit = Step(within(points, left, size).where("q.pt != p.pt").groupBy("q.pt").agg(best).select("pt", "m.nearest", "m.d2")).read()
+    for size in sizes:
+        hit = Step(_closest(places, left, lambda p, q, s=size: within(p, q, s, dealt=True))).read()
         found = hit if found is None else found.unionByName(hit)
         left = Step(left.join(hit.select("pt"), "pt", "left_anti")).read()
         if left.isEmpty():
-            return found
-        if size > reach:
-            return found.unionByName(left.select("pt", F.lit(None).cast(hit.schema["nearest"].dataType).alias("nearest"), F.lit(None).cast("double").alias("d2")))
-        size *= 4
+            break
+    return found, left
+
+
+def nearest(points: DataFrame, queries: DataFrame, size: float, reach: float) -> DataFrame:
+    """For each query pt the nearest other point: pt, nearest, d2; ties to the least pt.
+
+    Cells of size are searched first, or smaller ones where those are crowded; only queries whose answer may lie beyond
+    the 27 cells are searched in cells of four times the size, and so on until none is left or reach, the extent of
+    points and queries, is passed; a query without any other point by then is null.
+    """
+    from ocellus.operators.iteration import Step
+
+    places = Step(_places(points)).read()
+    sizes = _uncrowded(places, size)
+    while sizes[-1] <= reach:
+        sizes.append(sizes[-1] * 4)
+    found, left = _search(places, Step(queries.select("pt", *XYZ)).read(), sizes)
+    return found.unionByName(left.select("pt", F.lit(None).cast(found.schema["nearest"].dataType).alias("nearest"), F.lit(None).cast("double").alias("d2")))
 
 
 def nearest_in_box(points: DataFrame, queries: DataFrame, half: float) -> DataFrame:
-    """The nearest other point within a cube around each query; null where there is none."""
-    p = points.select(F.struct(*points.columns).alias("p"), *[_cell(F.col(c), half).alias(f"_{c}") for c in XYZ])
-    inside = F.lit(True)
-    for c in XYZ:
-        inside = inside & (F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) <= half)
-    near = _near_cells(queries, half).join(p, [f"_{c}" for c in XYZ]).where(inside & (F.col("q.pt") != F.col("p.pt")))
-    best = near.groupBy("q.pt").agg(F.min(F.struct(_d2("q", "p").alias("d2"), F.col("p.pt").alias("nearest"))).alias("m"))
-    return queries.select("pt").join(best, "pt", "left").select("pt", "m.nearest", "m.d2")
+    """The nearest other point within a cube around each query; null where there is none.
+
+    What is found within half is in the cube; only the other queries are held against all of the cube, which has points in its corners alone.
+    """
+    from ocellus.operators.iteration import Step
+
+    places, asked = Step(_places(points)).read(), Step(queries.select("pt", *XYZ)).read()
+    found, left = _search(places, asked, _uncrowded(places, half))
+
+    def inside(p: DataFrame, q: DataFrame) -> DataFrame:
+        p = p.select(F.struct(*p.columns).alias("p"), *[_cell(F.col(c), half).alias(f"_{c}") for c in XYZ])
+        cube = F.lit(True)
+        for c in XYZ:
+            cube = cube & (F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) <= half)
+        return _near_cells(q, half).join(p, [f"_{c}" for c in XYZ]).where(cube)
+
+    found = found.unionByName(_closest(places, left, inside))
+    return asked.select("pt").join(found, "pt", "left").select("pt", "nearest", "d2")
 
 
 def _levelled(boxes: DataFrame, size: float, low: tuple[str, ...], high: tuple[str, ...]) -> DataFrame:

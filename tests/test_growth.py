@@ -150,3 +150,24 @@ def test_places_of_a_crowded_tile_are_dealt_over_groups(spark):
     rows = spark.range(45_000).select(F.col("id").alias("pt"), *[F.lit(float(v)).alias(c) for v, c in zip((40, 50, 60), "xyz", strict=True)])
     got = sequential.mean_shift(rows, ["x", "y", "z"], 80.0)
     assert got.groupBy("x", "y", "z").count().collect() == [(40.0, 50.0, 60.0, 45_000)]
+
+
+def test_nearest_points_of_crowded_cells_are_looked_for_in_smaller_ones_and_pairs_are_not_sorted(spark):
+    rng = np.random.default_rng(12)
+    p = np.concatenate([np.round(rng.normal(size=(1500, 3)) * 40), np.repeat([[7.0, 8.0, 9.0]], 300, axis=0), rng.normal(size=(40, 3)) * 900, [[39.0, 39.0, 5000.0], [0.0, 0.0, 5039.0], [39.0, 0.0, 5078.0]]])
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "pt long, x double, y double, z double")
+    places = spatial._places(rows)
+    assert spatial._uncrowded(places, 60.0)[0] < 20
+    closest = final_plan(spatial._closest(places, rows, lambda a, b: spatial.within(a, b, 15.0, dealt=True)))
+    assert "SortAggregate" not in closest
+    d = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {k: (int(d[k].argmin()), float(d[k].min())) for k in range(len(p))}
+    got = {r.pt: (r.nearest, r.d2) for r in spatial.nearest(rows, rows, 60.0, 9000.0).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - v[1]) <= 1e-9 * v[1] for k, v in want.items())
+    d[(np.abs(p[:, None] - p[None]) > 40).any(axis=2)] = np.inf
+    boxed = {r.pt: r.nearest for r in spatial.nearest_in_box(rows, rows, 40.0).collect()}
+    assert boxed == {k: int(d[k].argmin()) if np.isfinite(d[k].min()) else None for k in range(len(p))}
+    # One that lies farther than 40 off, in a corner of the cube.
+    assert boxed[len(p) - 3] == len(p) - 2
