@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.functions.affine import Share, Shares
-from ocellus.operators.raster import CELL, sizes
+from ocellus.operators.raster import CELL, width
 from ocellus.operators.volumes import Cost, winner
 
 
@@ -28,7 +28,7 @@ def _beside(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
     """The winner's target _own, the steps _up and _down from it to the targets on both sides, the way _gap from it to the source, and whether both sides are in the image."""
     along = Window.partitionBy("img", "i").orderBy("j")
     zero = F.transform("s", lambda v: F.lit(0.0))
-    rows = pair.join(sizes(pair), "img").withColumns({f"_t{d + 1}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(-1, disparities + 1)})
+    rows = pair.withColumn("w", width()).withColumns({f"_t{d + 1}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(-1, disparities + 1)})
     rows = rows.withColumns({"_ts": F.array(*[F.col(f"_t{d}") for d in range(disparities + 2)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d + 1}")) for d in range(disparities)])})
     r = winner(rows).withColumn("_own", F.get("_ts", F.col("d") + 1))
     partner = F.col("j") + F.col("d")

@@ -32,6 +32,11 @@ def sizes(cells: DataFrame) -> DataFrame:
     return cells.groupBy("img").agg((F.max("i") + 1).alias("h"), (F.max("j") + 1).alias("w"))
 
 
+def width() -> Column:
+    """The image's width, from a cell's own line: windows along rows have its rows at hand, and no image is joined to its size."""
+    return F.max("j").over(Window.partitionBy("img", "i")) + 1
+
+
 def _inside(x: Column, n: Column, padding: str) -> Column:
     """The place that stands for place x of an axis of n."""
     if padding == "periodic":

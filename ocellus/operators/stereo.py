@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ocellus.functions.refine import parabola
 from ocellus.operators.graphs import mask_components
 from ocellus.operators.iteration import Step
-from ocellus.operators.raster import CELL, neighbourhood, sizes
+from ocellus.operators.raster import CELL, neighbourhood, sizes, width
 from ocellus.operators.volumes import Cost, winner
 
 DIRECTIONS = ("same", "reversed", "both")
@@ -101,7 +101,7 @@ def cost_symmetric(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
     """img, i, j, disparity: the mean of the parabola through the winner's costs and of one through the costs of the source half a cell further on, towards the parabola's vertex."""
     along = Window.partitionBy("img", "i").orderBy("j")
     zero = F.transform("t", lambda v: F.lit(0.0))
-    rows = pair.join(sizes(pair), "img").withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(disparities)})
+    rows = pair.withColumn("w", width()).withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(disparities)})
     rows = rows.withColumns({"_before": F.lag("s", 1).over(along), "_after": F.lag("s", -1).over(along)})
     rows = rows.withColumns({"_ts": F.array(*[F.col(f"_t{d}") for d in range(disparities)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d}")) for d in range(disparities)])})
     r = winner(rows)
@@ -142,7 +142,7 @@ def barycentric_symmetric(pair: DataFrame, cost: Cost, disparities: int) -> Data
     """img, i, j, disparity: the winner moved by the mix, with shares that sum to 1, of the targets at it and on both sides that is nearest to the source, if that is by less than 1. Winners at the range's ends, and whose neighbours leave the image, stay."""
     along = Window.partitionBy("img", "i").orderBy("j")
     zero = F.transform("t", lambda v: F.lit(0.0))
-    rows = pair.join(sizes(pair), "img").withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(disparities)})
+    rows = pair.withColumn("w", width()).withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(disparities)})
     rows = rows.withColumns({"_ts": F.array(*[F.col(f"_t{d}") for d in range(disparities)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d}")) for d in range(disparities)])})
     r = winner(rows).withColumn("_own", F.get("_ts", F.col("d")))
     r = r.withColumns({"_gap": _minus(F.col("s"), F.col("_own")), "_down": _minus(F.get("_ts", F.col("d") - 1), F.col("_own")), "_up": _minus(F.get("_ts", F.col("d") + 1), F.col("_own"))})
@@ -178,7 +178,7 @@ def kernel_refined(pair: DataFrame, cost: Cost, disparities: int, kernel: Callab
     """img, i, j, disparity: the winner moved by the multiple of 1 / cut, less than 1 either way, at which the target's line, interpolated by a kernel of that radius, costs least; of equal ones the shortest move, then the lower. Targets on the border stay."""
     along = Window.partitionBy("img", "i").orderBy("j")
     zero = F.transform("t", lambda v: F.lit(0.0))
-    rows = pair.join(sizes(pair), "img").withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(-radius, disparities + radius)})
+    rows = pair.withColumn("w", width()).withColumns({f"_t{d}": F.coalesce(F.lag("t", -d).over(along), zero) for d in range(-radius, disparities + radius)})
     rows = rows.withColumns({"_ts": F.array(*[F.col(f"_t{d}") for d in range(-radius, disparities + radius)]), "costs": F.array(*[cost(F.col("s"), F.col(f"_t{d}")) for d in range(disparities)])})
     r = winner(rows)
 

@@ -18,9 +18,27 @@ Cost = Callable[[Column, Column], Column]
 
 
 def feature_pair(source: DataFrame, target: DataFrame, ri: int = 1, rj: int = 1) -> DataFrame:
-    """img, i, j, s, t: both images' windows around each cell."""
-    s = neighbourhood(source, ri, rj, out="s").select(*CELL, "s")
-    return s.join(neighbourhood(target, ri, rj, out="t").select(*CELL, "t"), CELL)
+    """img, i, j, s, t: both images' windows around each cell that both have; 0 outside.
+
+    Values are joined before windows are made of them, so only narrow rows are shuffled and sorted. The last sort is along
+    rows and serves the search for disparities as well.
+    """
+    across, along = Window.partitionBy("img", "j").orderBy("i"), Window.partitionBy("img", "i").orderBy("j")
+    s, t = (x.select(*CELL, F.col("value").cast("double").alias(f"_{n}"), F.lit(True).alias(f"_in_{n}")) for n, x in (("s", source), ("t", target)))
+    rows = s.join(t, CELL, "full")
+
+    def column(n: str) -> Column:
+        """The values above and below a cell; those that this image lacks are outside."""
+        at = lambda c, d: F.lag(c, -d).over(across) if d else F.col(c)
+        return F.array(*[F.when(at(f"_in_{n}", d), at(f"_{n}", d)).otherwise(0.0) for d in range(-ri, ri + 1)])
+
+    def window(n: str) -> Column:
+        side = lambda d, k: F.coalesce(F.get(F.lag(f"_c{n}", -d).over(along), F.lit(k)), F.lit(0.0))
+        return F.array(*[side(d, k) if d else F.get(f"_c{n}", F.lit(k)) for k in range(2 * ri + 1) for d in range(-rj, rj + 1)])
+
+    rows = rows.select(*CELL, "_in_s", "_in_t", column("s").alias("_cs"), column("t").alias("_ct"))
+    rows = rows.select(*CELL, "_in_s", "_in_t", window("s").alias("s"), window("t").alias("t"))
+    return rows.where("_in_s AND _in_t").select(*CELL, "s", "t")
 
 
 def cost_volume(pair: DataFrame, cost: Cost, disparities: int, sign: int = 1, offset: int = 0, truncate: bool = False) -> DataFrame:
