@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ocellus.functions.vectors import dot, medad, sad, total
+from ocellus.functions.vectors import dot, medad, total
 
 #: A share of one step; the shares of two, as a struct of p and q.
 Share = Callable[[Column, Column], Column]
@@ -66,26 +68,62 @@ def _with(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _two_tried(gap: Column, one: Column, two: Column, n: int, cost: Callable[[Column, Column], Column], parts: Sequence[Sequence[int]] | None) -> Column:
-    """Of shares that leave nothing of two entries (or least of a part's squares), those that cost least."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(n) for b in range(a + 1, n)])
-    zero = F.array(*[F.lit(0.0)] * n)
+def _sad_of(rest: list[np.ndarray]) -> np.ndarray:
+    out = 0.0
+    for e in rest:
+        out = out + np.abs(e)
+    return out
+
+
+def _medad_of(rest: list[np.ndarray]) -> np.ndarray:
+    return np.partition(np.abs(rest), len(rest) // 2, axis=0)[len(rest) // 2]
+
+
+def two_solved(gap: np.ndarray, one: np.ndarray, two: np.ndarray, cost: Callable[[list[np.ndarray]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """p and q, one for each row of gap, one and two: of shares that leave nothing of two entries, those that cost least; nan where there are none."""
+    g, u, w = gap.T, one.T, two.T
+    p, q, least = np.full(len(gap), np.nan), np.full(len(gap), np.nan), np.full(len(gap), np.inf)
+    with np.errstate(all="ignore"):
+        for a in range(len(g)):
+            for b in range(a + 1, len(g)):
+                det = u[a] * w[b] - w[a] * u[b]
+                det[det == 0] = np.nan
+                s, t = (g[a] * w[b] - w[a] * g[b]) / det, (u[a] * g[b] - g[a] * u[b]) / det
+                c = np.round(cost([g[k] - s * u[k] - t * w[k] for k in range(len(g))]), 9)
+                better = (c < least) | np.isnan(p) & ~np.isnan(det)
+                p[better], q[better], least[better] = s[better], t[better], c[better]
+    return p, q
+
+
+def _two_of_entries(cost: Callable[[list[np.ndarray]], np.ndarray]) -> Shares:
+    """Shares of two steps by two_solved, over batches of rows: as nested column functions, 36 pairs of nine entries are interpreted one number at a time."""
 
-    def solved(entries: Column, x: Column) -> Column:
-        e, f = F.get(entries, x["a"]), F.get(entries, x["b"])
-        det = F.nullif(e["u"] * f["w"] - e["w"] * f["u"], F.lit(0.0))
-        return F.struct(((e["g"] * f["w"] - e["w"] * f["g"]) / det).alias("p"), ((e["u"] * f["g"] - e["g"] * f["u"]) / det).alias("q"))
+    @F.pandas_udf("p double, q double")
+    def solved(gap: pd.Series, one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        known = gap.notna() & one.notna() & two.notna()
+        out = np.full((len(gap), 2), np.nan)
+        if known.any():
+            out[known] = np.column_stack(two_solved(*[np.stack(x[known].to_list()).astype(float) for x in (gap, one, two)], cost))
+        return pd.DataFrame(out, columns=["p", "q"])
+
+    def shares(gap: Column, one: Column, two: Column) -> Column:
+        s = solved(gap, one, two)
+        return F.when(s["p"].isNotNull() & ~F.isnan(s["p"]), F.struct(s["p"].alias("p"), s["q"].alias("q")))
+
+    return shares
+
+
+def _two_by_parts(gap: Column, one: Column, two: Column, n: int, cost: Callable[[Column, Column], Column], parts: Sequence[Sequence[int]]) -> Column:
+    """Of shares that leave least of a part's squares, those that cost least."""
+    zero = F.array(*[F.lit(0.0)] * n)
 
     def priced(entries: Column, x: Column, k: Column) -> Column:
         rest = F.transform(entries, lambda e: e["g"] - x["p"] * e["u"] - x["q"] * e["w"])
         return F.when(x["p"].isNotNull(), F.struct(F.round(cost(rest, zero), 9).alias("cost"), k.alias("k"), x["p"].alias("p"), x["q"].alias("q")))
 
     def best(entries: Column) -> Column:
-        if parts is None:
-            tried = F.transform(pairs, lambda x: solved(entries, x))
-        else:
-            at = lambda x, part: F.array(*[F.get(x, F.lit(k)) for k in part])
-            tried = F.array(*[two_by_squares(at(gap, p), at(one, p), at(two, p)) for p in parts])
+        at = lambda x, part: F.array(*[F.get(x, F.lit(k)) for k in part])
+        tried = F.array(*[two_by_squares(at(gap, p), at(one, p), at(two, p)) for p in parts])
         return F.array_min(F.array_compact(F.transform(tried, lambda x, k: priced(entries, x, k))))
 
     entries = F.zip_with(F.zip_with(gap, one, lambda g, u: F.struct(g.alias("g"), u.alias("u"))), two, lambda x, w: F.struct(x["g"].alias("g"), x["u"].alias("u"), w.alias("w")))
@@ -94,8 +132,8 @@ def _two_tried(gap: Column, one: Column, two: Column, n: int, cost: Callable[[Co
 
 def two_by_absolutes(n: int) -> Shares:
     """For vectors of n entries: a sum of absolute values of two unknowns is least where two entries are left nothing."""
-    return lambda gap, one, two: _two_tried(gap, one, two, n, sad, None)
+    return _two_of_entries(_sad_of)
 
 
 def two_by_median(n: int, parts: Sequence[Sequence[int]] | None = None) -> Shares:
-    return lambda gap, one, two: _two_tried(gap, one, two, n, medad, parts)
+    return _two_of_entries(_medad_of) if parts is None else lambda gap, one, two: _two_by_parts(gap, one, two, n, medad, parts)

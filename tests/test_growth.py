@@ -5,8 +5,9 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from ocellus.functions import affine, vectors
 from ocellus.functions import geometry as g
-from ocellus.operators import pose, segmentation, sequential, solve, spatial, stereo
+from ocellus.operators import mixtures, pose, segmentation, sequential, solve, spatial, stereo, volumes
 from ocellus.plans import standins
 
 
@@ -171,3 +172,39 @@ def test_nearest_points_of_crowded_cells_are_looked_for_in_smaller_ones_and_pair
     assert boxed == {k: int(d[k].argmin()) if np.isfinite(d[k].min()) else None for k in range(len(p))}
     # One that lies farther than 40 off, in a corner of the cube.
     assert boxed[len(p) - 3] == len(p) - 2
+
+
+def test_windows_of_a_pair_are_made_after_its_join_and_sorted_once_more_only(spark):
+    rng = np.random.default_rng(13)
+    s, t = (rng.integers(0, 99, (9, n)).astype(float) for n in (11, 12))
+    frames = [spark.createDataFrame([(0, i, j, float(x[i, j])) for i in range(9) for j in range(x.shape[1])], "img int, i int, j int, value double") for x in (s, t)]
+    pair = volumes.feature_pair(*frames)
+    pad = {n: np.pad(x, 1) for n, x in (("s", s), ("t", t))}
+    rows = pair.collect()
+    assert len(rows) == 9 * 11
+    for r in rows:
+        for n in "st":
+            assert r[n] == pad[n][r.i : r.i + 3, r.j : r.j + 3].ravel().tolist()
+    for made in (volumes.cost_volume(pair, vectors.sad, 4), mixtures.two_sided(pair, vectors.sad, affine.two_by_absolutes(9), 4)):
+        plan = final_plan(made).split("Initial Plan")[-1]
+        # Two for the join, two for the windows; the search for disparities and the image's width need none.
+        assert plan.count("Sort [") <= 4 and plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_shares_of_pairs_of_entries_are_solved_in_batches():
+    rng = np.random.default_rng(14)
+    gap, one, two = (rng.integers(-5, 6, (20_000, 9)).astype(float) for _ in range(3))
+    one[0] = two[0] = 0
+    began = time.process_time()
+    p, q = affine.two_solved(gap, one, two, affine._sad_of)
+    assert time.process_time() - began < 4
+    assert np.isnan(p[0])
+    for k in range(1, 200):
+        tried = []
+        for a in range(9):
+            for b in range(a + 1, 9):
+                det = one[k, a] * two[k, b] - two[k, a] * one[k, b]
+                if det:
+                    x = ((gap[k, a] * two[k, b] - two[k, a] * gap[k, b]) / det, (one[k, a] * gap[k, b] - gap[k, a] * one[k, b]) / det)
+                    tried.append((round(float(np.abs(gap[k] - x[0] * one[k] - x[1] * two[k]).sum()), 9), len(tried), x))
+        assert (p[k], q[k]) == min(tried)[2]
