@@ -23,9 +23,19 @@ def feature_pair(source: DataFrame, target: DataFrame, ri: int = 1, rj: int = 1)
     Values are joined before windows are made of them, so only narrow rows are shuffled and sorted. The last sort is along
     rows and serves the search for disparities as well.
     """
+    s, t = (x.select(*CELL, F.col("value").alias(n), F.lit(True).alias(f"_in_{n}")) for n, x in (("s", source), ("t", target)))
+    return _windows(s.join(t, CELL, "full"), ri, rj)
+
+
+def pair_of(cells: DataFrame, ri: int = 1, rj: int = 1) -> DataFrame:
+    """feature_pair of two images whose values s and t lie beside each other: nothing is joined."""
+    return _windows(cells.select(*CELL, "s", "t", F.lit(True).alias("_in_s"), F.lit(True).alias("_in_t")), ri, rj)
+
+
+def _windows(rows: DataFrame, ri: int, rj: int) -> DataFrame:
+    """rows: img, i, j, the values s and t, and _in_s and _in_t, whether the images have the cell."""
     across, along = Window.partitionBy("img", "j").orderBy("i"), Window.partitionBy("img", "i").orderBy("j")
-    s, t = (x.select(*CELL, F.col("value").cast("double").alias(f"_{n}"), F.lit(True).alias(f"_in_{n}")) for n, x in (("s", source), ("t", target)))
-    rows = s.join(t, CELL, "full")
+    rows = rows.select(*CELL, "_in_s", "_in_t", *[F.col(n).cast("double").alias(f"_{n}") for n in "st"])
 
     def column(n: str) -> Column:
         """The values above and below a cell; those that this image lacks are outside."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ocellus.functions import affine, vectors
 from ocellus.functions import geometry as g
 from ocellus.operators import mixtures, pose, segmentation, sequential, solve, spatial, stereo, volumes
-from ocellus.plans import standins
+from ocellus.plans import standins, stereo_queries
 
 
 def final_plan(df):
@@ -208,3 +208,32 @@ def test_shares_of_pairs_of_entries_are_solved_in_batches():
                     x = ((gap[k, a] * two[k, b] - two[k, a] * gap[k, b]) / det, (one[k, a] * gap[k, b] - gap[k, a] * one[k, b]) / det)
                     tried.append((round(float(np.abs(gap[k] - x[0] * one[k] - x[1] * two[k]).sum()), 9), len(tried), x))
         assert (p[k], q[k]) == min(tried)[2]
+
+
+def lines(spark, path):
+    """Line items of two blocks of orders, with gaps, as the table of a folder."""
+    k = F.col("id")
+    cols = {"l_orderkey": k * 7, "l_partkey": k * k % 97, "l_linenumber": (k % 5).cast("int"), "l_quantity": (k * 31 % 50 + 1).cast("double")}
+    spark.range(5000).select(*[c.alias(n) for n, c in cols.items()]).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_a_pair_made_of_one_image_joins_no_images(spark, tmp_path):
+    folder = lines(spark, tmp_path)
+    pair = stereo_queries._pair(spark, folder)
+    # The grid's own.
+    assert pair._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    target = standins.raster(spark, folder)
+    value = {(r.img, r.i, r.j): r.value for r in target.collect()}
+    source = {(m, i, j): value.get((m, i, j + standins.SHIFT), 0.0) for m, i, j in value}
+    rows = pair.collect()
+    assert len(rows) == len(value) == 2 * standins.IMAGES * standins.H * standins.W
+    for r in rows:
+        for image, f in ((source, r.s), (value, r.t)):
+            assert f == [image.get((r.img, r.i + a, r.j + b), 0.0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+
+
+def test_a_shifted_image_with_missing_cells_looks_up_places_not_rows(spark):
+    cells = spark.createDataFrame([(0, 0, j, float(j + 1)) for j in (0, 1, 3, 4, 7, 9)] + [(0, 1, 2, 5.0)], "img int, i int, j int, value double")
+    got = {(r.i, r.j): r.value for r in standins.shifted(cells, 2).collect()}
+    assert got == {(0, 0): 0.0, (0, 1): 4.0, (0, 3): 0.0, (0, 4): 0.0, (0, 7): 10.0, (0, 9): 0.0, (1, 2): 0.0}
