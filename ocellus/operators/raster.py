@@ -37,6 +37,11 @@ def width() -> Column:
     return F.max("j").over(Window.partitionBy("img", "i")) + 1
 
 
+def height() -> Column:
+    """The image's height, from a cell's own column."""
+    return F.max("i").over(Window.partitionBy("img", "j")) + 1
+
+
 def _inside(x: Column, n: Column, padding: str) -> Column:
     """The place that stands for place x of an axis of n."""
     if padding == "periodic":

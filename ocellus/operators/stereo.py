@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ocellus.functions.refine import parabola
 from ocellus.operators.graphs import mask_components
 from ocellus.operators.iteration import Step
-from ocellus.operators.raster import CELL, neighbourhood, sizes, width
+from ocellus.operators.raster import CELL, height, neighbourhood, width
 from ocellus.operators.volumes import Cost, winner
 
 DIRECTIONS = ("same", "reversed", "both")
@@ -29,19 +29,23 @@ def _slots(r: int, direction: str) -> list[tuple[int, bool]]:
     return out
 
 
-def _inside(k: int, other: bool, sign: int, h: int, v: int) -> Column:
-    """Whether the window of radius (v, h) around a slot's place, and around its partner, lies in the image."""
+def _inside(k: int, other: bool, sign: int, h: int) -> Column:
+    """Whether the window of radius h along the line around a slot's place, and around its partner, lies in the image."""
     p = F.col("d") + k
-    rows = (F.col("i") >= v) & (F.col("i") + v < F.col("_h"))
     if other:
         jp = F.col("j") - sign * k
-        return rows & (p >= 0) & (p < F.col("_n")) & (F.least(jp, F.col("j")) >= h) & (F.greatest(jp, F.col("j")) + h < F.col("_w"))
+        return (p >= 0) & (p < F.col("_n")) & (F.least(jp, F.col("j")) >= h) & (F.greatest(jp, F.col("j")) + h < F.col("_w"))
     partner = F.col("j") + p
-    return rows & (p >= 0) & (p < F.col("_n")) & (F.col("j") >= h) & (partner + h < F.col("_w"))
+    return (p >= 0) & (p < F.col("_n")) & (F.col("j") >= h) & (partner + h < F.col("_w"))
 
 
 def _sized(volume: DataFrame) -> DataFrame:
-    return winner(volume).withColumn("_n", F.size("costs")).join(sizes(volume).withColumnsRenamed({"h": "_h", "w": "_w"}), "img")
+    return winner(volume).withColumns({"_n": F.size("costs"), "_w": width()})
+
+
+def _upright(rows: DataFrame, v: int) -> DataFrame:
+    """Adds _rows: whether the window of radius v across the lines lies in the image. Asked last, when a cell's row is narrow."""
+    return rows.withColumn("_rows", (F.col("i") >= v) & (F.col("i") + v < height()) if v else F.lit(True))
 
 
 def slices(volume: DataFrame, r: int, direction: str = "same", h: int = 0, v: int = 0, sign: int = 1) -> DataFrame:
@@ -51,15 +55,17 @@ def slices(volume: DataFrame, r: int, direction: str = "same", h: int = 0, v: in
 
     def slot(k: int, other: bool) -> Column:
         costs = F.col(f"_c{k + r}") if other and k else F.col("costs")
-        return F.when(_inside(k, other, sign, h, v), F.get(costs, F.col("d") + k))
+        return F.when(_inside(k, other, sign, h), F.get(costs, F.col("d") + k))
 
-    return rows.select(*CELL, "d", F.array(*[slot(k, o) for k, o in _slots(r, direction)]).alias("costs"))
+    rows = _upright(rows.select(*CELL, "d", F.array(*[slot(k, o) for k, o in _slots(r, direction)]).alias("costs")), v)
+    return rows.select(*CELL, "d", F.transform("costs", lambda c: F.when(F.col("_rows"), c)).alias("costs"))
 
 
 def in_bounds(volume: DataFrame, r: int, direction: str = "same", h: int = 0, v: int = 0, sign: int = 1) -> DataFrame:
     """img, i, j, d, inside: for each slot of slices(), whether it holds a cost."""
     rows = _sized(volume)
-    return rows.select(*CELL, "d", F.array(*[F.coalesce(_inside(k, o, sign, h, v), F.lit(False)) for k, o in _slots(r, direction)]).alias("inside"))
+    rows = _upright(rows.select(*CELL, "d", F.array(*[F.coalesce(_inside(k, o, sign, h), F.lit(False)) for k, o in _slots(r, direction)]).alias("inside")), v)
+    return rows.select(*CELL, "d", F.transform("inside", lambda c: c & F.col("_rows")).alias("inside"))
 
 
 def patches_2d(volume: DataFrame) -> DataFrame:

@@ -237,3 +237,30 @@ def test_a_shifted_image_with_missing_cells_looks_up_places_not_rows(spark):
     cells = spark.createDataFrame([(0, 0, j, float(j + 1)) for j in (0, 1, 3, 4, 7, 9)] + [(0, 1, 2, 5.0)], "img int, i int, j int, value double")
     got = {(r.i, r.j): r.value for r in standins.shifted(cells, 2).collect()}
     assert got == {(0, 0): 0.0, (0, 1): 4.0, (0, 3): 0.0, (0, 4): 0.0, (0, 7): 10.0, (0, 9): 0.0, (1, 2): 0.0}
+
+
+def test_slices_of_a_volume_are_not_joined_to_the_size_of_its_image(spark):
+    rng = np.random.default_rng(15)
+    sizes, n = {0: (6, 9), 1: (5, 7)}, 4
+    cost = {(m, i, j): rng.permutation(n).astype(float).tolist() for m, (h, w) in sizes.items() for i in range(h) for j in range(w)}
+    volume = spark.createDataFrame([(*k, c) for k, c in cost.items()], "img int, i int, j int, costs array<double>")
+
+    def slot(m, i, j, d, k, other):
+        h, w = sizes[m]
+        least, most = (min(j - k, j), max(j - k, j)) if other else (j, j + d + k)
+        if 1 <= i < h - 1 and 0 <= d + k < n and least >= 1 and most + 1 < w:
+            return cost[m, i, j - k if other else j][d + k]
+
+    for direction in stereo.DIRECTIONS:
+        made, held = stereo.slices(volume, 1, direction, 1, 1), stereo.in_bounds(volume, 1, direction, 1, 1)
+        assert all("Join " not in x._jdf.queryExecution().optimizedPlan().toString() for x in (made, held))
+        inside = {(r.img, r.i, r.j): r.inside for r in held.collect()}
+        rows = made.collect()
+        assert len(rows) == len(cost) == len(inside)
+        for r in rows:
+            c = cost[r.img, r.i, r.j]
+            assert r.d == c.index(min(c))
+            assert r.costs == [slot(r.img, r.i, r.j, r.d, k, o) for k, o in stereo._slots(1, direction)]
+            assert inside[r.img, r.i, r.j] == [x is not None for x in r.costs]
+        # Without a window across the lines all lines count.
+        assert {r.i for r in stereo.in_bounds(volume, 1, direction).where("exists(inside, x -> x)").collect()} == set(range(6))
