@@ -170,10 +170,10 @@ def barycentric(pair: DataFrame, cost: Cost, disparities: int) -> DataFrame:
     return w.select(*CELL, (F.col("d") + F.when(inside, moved).otherwise(0.0)).alias("disparity"))
 
 
-def accuracy(found: DataFrame, truth: DataFrame, within: float) -> DataFrame:
-    """img, n, mae, rmse, snr (decibels) of disparities within a bound of the truth, and the share of such inliers."""
-    t = truth.select(*CELL, F.col("disparity").alias("_t"))
-    e = found.join(t, CELL).withColumn("_e", F.col("disparity") - F.col("_t"))
+def accuracy(found: DataFrame, truth: DataFrame | Column, within: float) -> DataFrame:
+    """img, n, mae, rmse, snr (decibels) of disparities within a bound of the truth, and the share of such inliers. A truth that is a column of found is not joined."""
+    known = found.withColumn("_t", truth) if isinstance(truth, Column) else found.join(truth.select(*CELL, F.col("disparity").alias("_t")), CELL)
+    e = known.withColumn("_e", F.col("disparity") - F.col("_t"))
     inlier = F.abs("_e") <= within
     own = [F.avg(F.when(inlier, F.abs("_e"))).alias("mae"), F.sqrt(F.avg(F.when(inlier, F.col("_e") * F.col("_e")))).alias("rmse")]
     power = F.avg(F.when(inlier, F.col("_t") * F.col("_t")))

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ocellus.functions import affine, vectors
@@ -264,3 +265,16 @@ def test_slices_of_a_volume_are_not_joined_to_the_size_of_its_image(spark):
             assert inside[r.img, r.i, r.j] == [x is not None for x in r.costs]
         # Without a window across the lines all lines count.
         assert {r.i for r in stereo.in_bounds(volume, 1, direction).where("exists(inside, x -> x)").collect()} == set(range(6))
+
+
+def test_accuracy_against_a_column_is_that_against_the_joined_truth(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    rows = [(m, i, j, float(rng.normal(2, 1)), float(rng.integers(1, 4))) for m in range(3) for i in range(5) for j in range(6)]
+    found = spark.createDataFrame(rows, "img int, i int, j int, disparity double, known double")
+    joined = volumes.accuracy(found.drop("known"), found.select("img", "i", "j", F.col("known").alias("disparity")), 1.0)
+    beside = volumes.accuracy(found, F.col("known"), 1.0)
+    for a, b in zip(joined.orderBy("img").collect(), beside.orderBy("img").collect(), strict=True):
+        assert a.asDict() == {k: v if k in ("img", "n") else pytest.approx(v) for k, v in b.asDict().items()}
+    assert "Join " not in beside._jdf.queryExecution().optimizedPlan().toString()
+    # The grid's own.
+    assert stereo_queries.R.queries["disparity_accuracy"](spark, lines(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
